@@ -78,6 +78,12 @@ class Layers:
     def mfr(self):
         return R.entity_drug_manufacturer(self.payments, self.drug_map, map_rows=self.map_rows)
 
+    @cached_property
+    def pay_rows(self):
+        """Matched, scoped payment rows (one per row and drug), SQL matching rule."""
+        from dosewise.operators import match as M
+        return M.match_payments(R.scoped_payments(self.payments), self.drug_map, map_rows=self.map_rows)
+
     @cached_property
     def dd(self):
         return P.entity_drug(self.claims, self.pays)
@@ -131,6 +137,158 @@ def agg_3(spark, d):
     return A.paid_vs_unpaid(x.rx, x.pay)
 
 
+JOIN3 = "FROM fx_rx r LEFT JOIN fx_pay p USING (drug_key, npi)"
+AVG_CLMS = "round(CAST(sum(r.clms) AS DOUBLE) / count(r.clms), 1) AS avg_claims"
+GRP = "CASE WHEN p.pay_amount > 0 THEN 'paid' ELSE 'unpaid' END"
+BAND = """CASE WHEN p.pay_amount = 0 OR p.pay_amount IS NULL THEN '0 $0'
+            WHEN p.pay_amount < 100 THEN '1 <$100'
+            WHEN p.pay_amount < 1000 THEN '2 $100-1k'
+            WHEN p.pay_amount < 10000 THEN '3 $1k-10k'
+            ELSE '4 $10k+' END"""
+
+
+@query("join_3_per_npi_export", f"""
+SELECT r.drug_key, r.npi, r.clms, r.specialty,
+       coalesce(p.pay_amount, CAST(0 AS DECIMAL(18,2))) AS pay_amount {JOIN3}""")
+def join_3(spark, d):
+    x = L(spark, d)
+    return A.per_entity(x.rx, x.pay)
+
+
+@query("join_4_paid_with_claims", """
+SELECT p.drug_key, p.npi, p.pay_amount, p.pay_count, r.specialty, r.clms, r.drug_cst, r.benes
+FROM fx_pay p JOIN fx_rx r USING (drug_key, npi)""")
+def join_4(spark, d):
+    x = L(spark, d)
+    return A.paid_with_claims(x.rx, x.pay)
+
+
+@query("agg_5_within_specialty", f"""
+SELECT r.drug_key, r.specialty, {GRP} AS grp, count(*) AS n, {AVG_CLMS}
+{JOIN3} GROUP BY 1, 2, 3 HAVING count(*) >= 30""")
+def agg_5(spark, d):
+    x = L(spark, d)
+    return A.within_group(x.rx, x.pay, min_n=30)
+
+
+@query("agg_34_small_cell_flags", f"""
+SELECT r.drug_key, r.specialty, {GRP} AS grp, count(*) AS n, {AVG_CLMS}, count(*) < 30 AS small_n
+{JOIN3} GROUP BY 1, 2, 3""")
+def agg_34(spark, d):
+    x = L(spark, d)
+    return A.small_cells(x.rx, x.pay, threshold=30)
+
+
+EXPLORE_ARGS = dict(specialty="BUILDING", min_clms=30, pay_min=0.0, pay_max=500.0)
+EXPLORE_BANDS_SQL = f"""
+SELECT r.drug_key, {BAND} AS pay_band, count(*) AS n, {AVG_CLMS}
+{JOIN3}
+WHERE r.specialty = 'BUILDING' AND r.clms >= 30
+  AND coalesce(CAST(p.pay_amount AS DOUBLE), 0.0) >= 0.0 AND coalesce(CAST(p.pay_amount AS DOUBLE), 0.0) <= 500.0
+GROUP BY 1, 2"""
+
+
+@query("agg_6_explore_bands", EXPLORE_BANDS_SQL)
+def agg_6(spark, d):
+    x = L(spark, d)
+    return A.explore_bands(x.rx, x.pay, None, **EXPLORE_ARGS)
+
+
+@query("agg_7_explore_summary", """
+SELECT drug_key, CAST(sum(n) AS BIGINT) AS n_prescribers,
+       coalesce(round(sum(CASE WHEN pay_band <> '0 $0' THEN avg_claims * n END)
+                      / sum(CASE WHEN pay_band <> '0 $0' THEN n END), 1), 0.0) AS paid_avg,
+       coalesce(max(CASE WHEN pay_band = '0 $0' THEN avg_claims END), 0.0) AS unpaid_avg
+FROM bands GROUP BY drug_key""", extra_ctes=[("bands", EXPLORE_BANDS_SQL)])
+def agg_7(spark, d):
+    return A.explore_summary(agg_6(spark, d))
+
+
+@query("agg_8_cost_per_claim", f"""
+SELECT r.drug_key, {GRP} AS grp,
+       CAST(round(sum(r.drug_cst) / sum(r.clms), 2) AS DECIMAL(18,2)) AS cost_per_claim,
+       CAST(round(sum(r.drug_cst), 0) AS DECIMAL(18,0)) AS total_drug_cost
+{JOIN3} GROUP BY 1, 2""")
+def agg_8(spark, d):
+    x = L(spark, d)
+    return A.cost_per_claim(x.rx, x.pay)
+
+
+@query("agg_20_paid_unpaid_counts", f"""
+SELECT r.drug_key, CAST(count_if(coalesce(p.pay_amount > 0, false)) AS BIGINT) AS paid,
+       CAST(count_if(p.pay_amount = 0 OR p.pay_amount IS NULL) AS BIGINT) AS unpaid
+{JOIN3} GROUP BY 1""")
+def agg_20(spark, d):
+    x = L(spark, d)
+    return A.paid_unpaid_counts(x.rx, x.pay)
+
+
+@query("agg_24_specialties_by_drug", """
+SELECT drug_key, specialty, c, rank FROM (
+  SELECT drug_key, specialty, c, row_number() OVER (PARTITION BY drug_key ORDER BY c DESC, specialty) AS rank
+  FROM (SELECT drug_key, specialty, count(*) AS c FROM fx_rx WHERE specialty <> '' GROUP BY 1, 2))
+WHERE rank <= 40""")
+def agg_24(spark, d):
+    return A.specialties_for_drug(L(spark, d).rx, None, 40)
+
+
+@query("ord_7_top_paid_per_drug", """
+SELECT drug_key, rank, npi, specialty, dollars, claims FROM (
+  SELECT p.drug_key, p.npi, r.specialty, CAST(round(p.pay_amount, 0) AS DECIMAL(18,0)) AS dollars,
+         r.clms AS claims,
+         row_number() OVER (PARTITION BY p.drug_key ORDER BY p.pay_amount DESC, p.npi) AS rank
+  FROM fx_pay p JOIN fx_rx r USING (drug_key, npi))
+WHERE rank <= 10""")
+def ord_7(spark, d):
+    x = L(spark, d)
+    return A.top_paid(x.rx, x.pay, None, 10)
+
+
+@query("flt_9_drugs_in_list", f"""
+SELECT r.drug_key, {GRP} AS grp, count(*) AS n_prescribers, {AVG_CLMS},
+       round(CAST(sum(r.drug_cst) AS DOUBLE) / count(r.drug_cst), 0) AS avg_drug_cost
+{JOIN3} WHERE r.drug_key IN ('Small', 'Economy') GROUP BY 1, 2""")
+def flt_9(spark, d):
+    x = L(spark, d)
+    return A.drugs_in(x.rx, x.pay, ["Small", "Economy"])
+
+
+@query("agg_32_lift", """
+SELECT r.drug_key, r.n_paid, r.n_unpaid, round(r.paid_avg, 1) AS paid_avg, round(r.unpaid_avg, 1) AS unpaid_avg,
+       round(r.paid_avg / r.unpaid_avg, 3) AS lift, round(s.lift_within, 3) AS lift_within
+FROM (SELECT drug_key, CAST(count_if(paid) AS BIGINT) AS n_paid, CAST(count_if(NOT paid) AS BIGINT) AS n_unpaid,
+             avg(CASE WHEN paid THEN clms END) AS paid_avg, avg(CASE WHEN NOT paid THEN clms END) AS unpaid_avg
+      FROM j GROUP BY drug_key) r
+LEFT JOIN (SELECT drug_key, sum(pa / ua * np) / sum(np) AS lift_within FROM (
+             SELECT drug_key, specialty, count_if(paid) AS np, avg(CASE WHEN paid THEN clms END) AS pa,
+                    avg(CASE WHEN NOT paid THEN clms END) AS ua
+             FROM j GROUP BY drug_key, specialty) WHERE pa IS NOT NULL AND ua > 0 GROUP BY drug_key) s
+USING (drug_key)""", extra_ctes=[("j", f"SELECT r.*, coalesce(p.pay_amount > 0, false) AS paid {JOIN3}")])
+def agg_32(spark, d):
+    x = L(spark, d)
+    return A.lift(x.rx, x.pay)
+
+
+@query("agg_31_manufacturer_leaderboard", """
+SELECT drug_key, manufacturer, dollars, events, prescribers, rank FROM (
+  SELECT drug_key, manufacturer, CAST(sum(amount) AS DECIMAL(18,2)) AS dollars, count(*) AS events,
+         count(DISTINCT npi) AS prescribers,
+         row_number() OVER (PARTITION BY drug_key ORDER BY sum(amount) DESC, manufacturer) AS rank
+  FROM fx_pay_rows GROUP BY drug_key, manufacturer)
+WHERE rank <= 10""")
+def agg_31(spark, d):
+    return A.manufacturer_leaderboard(L(spark, d).pay_rows, 10)
+
+
+@query("agg_38_claims_quantiles", """
+SELECT drug_key, count(*) AS n,
+       round(quantile_cont(clms, 0.25), 6) AS p25, round(quantile_cont(clms, 0.5), 6) AS p50,
+       round(quantile_cont(clms, 0.75), 6) AS p75, round(quantile_cont(clms, 0.9), 6) AS p90
+FROM fx_rx GROUP BY drug_key""")
+def agg_38(spark, d):
+    return A.claims_quantiles(L(spark, d).rx)
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: dose-response (avg claims by payment band per drug)."""
     return agg_4(spark, sf_dir).orderBy("drug_key", "pay_band")
