@@ -289,6 +289,109 @@ def agg_38(spark, d):
     return A.claims_quantiles(L(spark, d).rx)
 
 
+# ---------------------------------------------------------------- entity layer
+
+
+@query("agg_9_entity_drug_claims", "SELECT * FROM fx_claims")
+def agg_9(spark, d):
+    return L(spark, d).claims
+
+
+@query("agg_10_entity_drug_payments", "SELECT * FROM fx_pays")
+def agg_10(spark, d):
+    return L(spark, d).pays
+
+
+@query("agg_11_entity_drug_manufacturer", "SELECT * FROM fx_mfr")
+def agg_11(spark, d):
+    return L(spark, d).mfr
+
+
+@query("join_8_entities", "SELECT * FROM fx_doctors")
+def join_8(spark, d):
+    return L(spark, d).doctors
+
+
+@query("agg_13_peer_benchmark", """
+SELECT specialty, drug_key,
+       coalesce(round(CASE WHEN n_paid > 0 THEN CAST(s_paid AS DOUBLE) / n_paid END, 1), 0.0) AS paid_avg,
+       coalesce(round(CASE WHEN n_unpaid > 0 THEN CAST(s_unpaid AS DOUBLE) / n_unpaid END, 1), 0.0) AS unpaid_avg,
+       CAST(n_paid AS BIGINT) AS n_paid, CAST(n_unpaid AS BIGINT) AS n_unpaid
+FROM fx_bench""")
+def agg_13(spark, d):
+    x = L(spark, d)
+    return P.peer_benchmark(x.claims, x.pays)
+
+
+@query("agg_14_entity_drug_bias", "SELECT * FROM fx_dd")
+def agg_14(spark, d):
+    return L(spark, d).dd
+
+
+@query("ord_4_similar_pool", """
+SELECT drug_key, specialty, rank, npi, name, city, state, claims, pay_amount, pct_vs_unpaid FROM (
+  SELECT dd.drug_key, dd.specialty, dd.npi, d.name, d.city, d.state, dd.claims, d.total_pay AS pay_amount,
+         dd.pct_vs_unpaid,
+         row_number() OVER (PARTITION BY dd.drug_key, dd.specialty
+                            ORDER BY d.total_pay ASC NULLS FIRST, dd.claims DESC, dd.npi) AS rank
+  FROM fx_dd dd JOIN fx_doctors d USING (npi))
+WHERE rank <= 13""")
+def ord_4(spark, d):
+    x = L(spark, d)
+    return P.similar_pool(x.dd, x.doctors, 13)
+
+
+@query("win_3_peer_percentile", """
+SELECT npi, specialty, drug_key, claims,
+       percent_rank() OVER (PARTITION BY specialty, drug_key ORDER BY claims) AS pct_rank
+FROM fx_dd""")
+def win_3(spark, d):
+    return P.peer_percentile(L(spark, d).dd)
+
+
+@query("agg_33_outliers", """
+WITH b AS (SELECT specialty, drug_key,
+                  CASE WHEN count_if(NOT paid) > 0 THEN CAST(sum(CASE WHEN NOT paid THEN claims END) AS DOUBLE) / count_if(NOT paid) END AS unpaid_avg,
+                  CASE WHEN count_if(paid) > 0 THEN CAST(sum(CASE WHEN paid THEN claims END) AS DOUBLE) / count_if(paid) END AS paid_avg
+           FROM (SELECT *, pay_amount > 0 AS paid FROM fx_dd) GROUP BY specialty, drug_key),
+     j AS (SELECT dd.*, b.unpaid_avg, b.paid_avg FROM fx_dd dd JOIN b USING (specialty, drug_key)),
+     u AS (SELECT 'high_pay_low_volume' AS kind, *, unpaid_avg AS peer_avg FROM j WHERE pay_amount > 0 AND claims < unpaid_avg
+           UNION ALL
+           SELECT 'high_volume_no_pay' AS kind, *, paid_avg AS peer_avg FROM j WHERE pay_amount = 0 AND claims > paid_avg)
+SELECT u.kind, u.npi, d.name, u.specialty, d.city, d.state, u.drug_key, u.pay_amount, u.claims,
+       round(u.peer_avg, 1) AS peer_avg
+FROM u LEFT JOIN fx_doctors d USING (npi)""")
+def agg_33(spark, d):
+    x = L(spark, d)
+    return P.outliers(x.dd, x.doctors)
+
+
+@query("win_4_primary_drug", """
+SELECT npi, drug_key AS primary_drug FROM (
+  SELECT npi, drug_key, row_number() OVER (PARTITION BY npi ORDER BY pay_amount DESC, claims DESC, drug_key) AS rn
+  FROM fx_dd) WHERE rn = 1""")
+def win_4(spark, d):
+    return P.primary_drug(L(spark, d).dd)
+
+
+@query("agg_35_manufacturers_per_drug", """
+SELECT npi, drug_key, string_agg(manufacturer, ', ' ORDER BY amount DESC, manufacturer) AS manufacturers,
+       CAST(sum(amount) AS DECIMAL(18,2)) AS amount
+FROM fx_mfr GROUP BY npi, drug_key""")
+def agg_35(spark, d):
+    return P.manufacturers_list(L(spark, d).mfr)
+
+
+@query("join_6_entity_drug_named", """
+SELECT dd.npi, dd.drug_key, dd.specialty, dd.claims, dd.pay_amount, dd.pct_vs_unpaid, d.name, d.city, d.state,
+       d.total_pay
+FROM fx_dd dd JOIN fx_doctors d USING (npi)""")
+def join_6(spark, d):
+    x = L(spark, d)
+    return (x.dd.select("npi", "drug_key", "specialty", "claims", "pay_amount", "pct_vs_unpaid")
+             .join(x.doctors.select("npi", "name", "city", "state", "total_pay"), "npi"))
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: dose-response (avg claims by payment band per drug)."""
     return agg_4(spark, sf_dir).orderBy("drug_key", "pay_band")

@@ -130,4 +130,7 @@ def with_fixtures(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with every fixture CTE (plus ``extra`` ones, in order)."""
     ctes = FIXTURE_SQL + list(extra or [])
     head = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
-    return f"WITH {head}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {head},\n{body[5:]}"
+    return f"WITH {head}\n{body}"
