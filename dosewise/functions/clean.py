@@ -122,8 +122,13 @@ def paid_group(c) -> Column:
     return F.when(F.coalesce(_c(c) > 0, F.lit(False)), F.lit("paid")).otherwise(F.lit("unpaid"))
 
 
-def first_in(arr, allowed) -> Column:
-    """FN-18: first element whose upper-case form is in ``allowed`` ('' if none)."""
+def first_in(arr, allowed, match: str = "token") -> Column:
+    """FN-18: first element naming a product of ``allowed`` ('' if none).
+
+    ``match="token"`` compares the first token (canonical, D-1/D-10);
+    ``"exact"`` the whole upper-cased element.
+    """
+    norm = tok if match == "token" else (lambda x: F.upper(x))
     return F.coalesce(
-        F.try_element_at(F.filter(_c(arr), lambda x: F.upper(x).isin(list(allowed))), F.lit(1)),
+        F.try_element_at(F.filter(_c(arr), lambda x: norm(x).isin(list(allowed))), F.lit(1)),
         F.lit(""))

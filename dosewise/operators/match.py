@@ -101,6 +101,15 @@ def first_match_key(partd: DataFrame, drug_map: DataFrame, map_rows: int | None
              .drop("_bk", "_gk", "_brand_key", "_generic_key"))
 
 
+def in_scope_prescribing(partd: DataFrame, brands, generics) -> DataFrame:
+    """FLT-5: brand token in ``brands`` or trimmed generic in ``generics``.
+
+    Both lists come from the bounded map, so ``isin`` is a constant set
+    probe inside generated code; each row is kept at most once.
+    """
+    return partd.where(tok("brnd_name").isin(list(brands)) | upper_key("gnrc_name").isin(list(generics)))
+
+
 def names_tracked_brand(payments: DataFrame, brands) -> DataFrame:
     """FLT-2: payment rows naming at least one tracked brand (first token) in any slot."""
     toks = F.array(*[tok(s) for s in SLOTS])

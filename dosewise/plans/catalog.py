@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewise.operators import analyses as A
+from dosewise.operators import match as M
 from dosewise.operators import peers as P
+from dosewise.operators import quality as Q
+from dosewise.operators import regress as G
+from dosewise.operators import review as V
 from dosewise.operators import rollup as R
+from dosewise.operators import search as S
+from dosewise.operators import selection as SEL
 from dosewise.plans.oracle import with_fixtures
 from dosewise.sources import fixtures as FX
 
@@ -84,6 +90,10 @@ class Layers:
         from dosewise.operators import match as M
         return M.match_payments(R.scoped_payments(self.payments), self.drug_map, map_rows=self.map_rows)
 
+    @cached_property
+    def review_changes(self):
+        return FX.review_changes(self.t)
+
     @cached_property
     def dd(self):
         return P.entity_drug(self.claims, self.pays)
@@ -392,6 +402,370 @@ def join_6(spark, d):
              .join(x.doctors.select("npi", "name", "city", "state", "total_pay"), "npi"))
 
 
+# ---------------------------------------------------------------- filters
+
+
+def TOK(c):
+    return f"split_part(upper(trim({c})), ' ', 1)"
+
+
+FX_BRANDS = [b for _, b, _, _ in FX.FIXTURE_DRUG_MAP if b]
+FX_GENERICS = [g for _, _, g, m in FX.FIXTURE_DRUG_MAP if m == "generic" and g]
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+@query("flt_2_payments_naming_tracked_brand", f"""
+SELECT * FROM fx_payments_raw
+WHERE {TOK('drug1')} IN {_IN(FX_BRANDS)} OR {TOK('drug2')} IN {_IN(FX_BRANDS)} OR {TOK('drug3')} IN {_IN(FX_BRANDS)}
+   OR {TOK('drug4')} IN {_IN(FX_BRANDS)} OR {TOK('drug5')} IN {_IN(FX_BRANDS)}""")
+def flt_2(spark, d):
+    return M.names_tracked_brand(L(spark, d).payments, FX_BRANDS)
+
+
+@query("flt_5_prescribing_in_scope", f"""
+SELECT * FROM fx_partd_raw
+WHERE {TOK('brnd_name')} IN {_IN(FX_BRANDS)} OR upper(trim(gnrc_name)) IN {_IN(FX_GENERICS)}""")
+def flt_5(spark, d):
+    return M.in_scope_prescribing(L(spark, d).partd, FX_BRANDS, FX_GENERICS)
+
+
+# ---------------------------------------------------------------- drug selection
+
+SEL_MIN_ROWS = 500
+SEL_CONTROL = ("Economy", "", "ECONOMY", "generic")
+PROMO_SQL = f"""
+SELECT {TOK('drug1')} AS t, count(*) AS op_count, CAST(sum(amount) AS DECIMAL(18,2)) AS op_dollars
+FROM fx_payments_raw WHERE {TOK('drug1')} <> '' GROUP BY 1"""
+SEL_CTES = [
+    ("promo", PROMO_SQL),
+    ("cand", "SELECT * FROM promo ORDER BY op_count DESC, t LIMIT 150"),
+    ("presc", f"SELECT {TOK('brnd_name')} AS t, tot_clms AS c, gnrc_name FROM fx_partd_raw "
+              f"WHERE {TOK('brnd_name')} IN (SELECT t FROM cand)"),
+    ("ptot", "SELECT t, count(*) AS pd_rows, CAST(sum(c) AS BIGINT) AS pd_clms FROM presc GROUP BY t"),
+    ("gmode", """SELECT t, g, cnt FROM (
+        SELECT t, g, cnt, row_number() OVER (PARTITION BY t ORDER BY cnt DESC, g) AS rn
+        FROM (SELECT t, upper(trim(gnrc_name)) AS g, count(*) AS cnt FROM presc
+              WHERE upper(trim(gnrc_name)) <> '' GROUP BY 1, 2)) WHERE rn = 1"""),
+    ("elig", f"""SELECT c.t, c.op_count FROM cand c JOIN ptot p USING (t) WHERE p.pd_rows >= {SEL_MIN_ROWS}
+        ORDER BY c.op_count DESC, c.t LIMIT 49"""),
+    ("selmap", f"""SELECT upper(substr(e.t, 1, 1)) || lower(substr(e.t, 2)) AS drug_key, e.t AS brnd_name,
+        coalesce(g.g, '') AS gnrc_name, 'brand' AS match_on FROM elig e LEFT JOIN gmode g USING (t)
+        UNION ALL SELECT '{SEL_CONTROL[0]}', '{SEL_CONTROL[1]}', '{SEL_CONTROL[2]}', '{SEL_CONTROL[3]}'"""),
+]
+
+
+def _selected_map(spark, d):
+    x = L(spark, d)
+    return SEL.select_drugs(x.payments, x.partd, n=49, n_candidates=150, min_rows=SEL_MIN_ROWS,
+                            control=SEL_CONTROL)
+
+
+@query("agg_15_brand_promotion", "SELECT * FROM promo", extra_ctes=SEL_CTES)
+def agg_15(spark, d):
+    return SEL.brand_promotion(L(spark, d).payments)
+
+
+@query("agg_16_brand_prescribing", "SELECT * FROM ptot", extra_ctes=SEL_CTES)
+def agg_16(spark, d):
+    x = L(spark, d)
+    cand = SEL.top_candidates(SEL.brand_promotion(x.payments), 150)
+    return SEL.prescribing_totals(SEL.brand_prescribing(x.partd, cand, 150))
+
+
+@query("agg_17_generic_mode", "SELECT * FROM gmode", extra_ctes=SEL_CTES)
+def agg_17(spark, d):
+    x = L(spark, d)
+    cand = SEL.top_candidates(SEL.brand_promotion(x.payments), 150)
+    return SEL.generic_mode(SEL.brand_prescribing(x.partd, cand, 150))
+
+
+@query("api_11_select_drugs", "SELECT * FROM selmap", extra_ctes=SEL_CTES)
+def api_11(spark, d):
+    return _selected_map(spark, d)
+
+
+@query("fn_29_drug_meta", """
+SELECT drug_key, drug_key AS label,
+       CASE WHEN match_on = 'generic' THEN 'generic — control (no payments)'
+            ELSE regexp_replace(lower(gnrc_name), '["\\\\]', '', 'g') END AS generic,
+       match_on = 'generic' AS control, CASE WHEN match_on = 'generic' THEN 1 ELSE 0 END AS section
+FROM selmap""", extra_ctes=SEL_CTES)
+def fn_29(spark, d):
+    return SEL.drug_meta(_selected_map(spark, d))
+
+
+@query("dq_7_selected_map_shape", """
+SELECT count(*) AS rows, CAST(count_if(match_on = 'generic' AND brnd_name = '') AS BIGINT) AS control_rows,
+       CAST(count_if(match_on NOT IN ('brand', 'generic')) AS BIGINT) AS invalid_match_on FROM selmap""",
+       extra_ctes=SEL_CTES)
+def dq_7(spark, d):
+    return Q.map_shape(_selected_map(spark, d))
+
+
+# ---------------------------------------------------------------- quality reports
+
+
+@query("dq_1_raw_summary", """
+SELECT 'partd_raw' AS tbl, count(*) AS rows, CAST(count_if(npi = 0) AS BIGINT) AS zero_npi,
+       CAST(round(sum(tot_drug_cst), 0) AS DECIMAL(20,0)) AS total_cost,
+       CAST(count_if(tot_clms > 0) AS BIGINT) AS rows_positive FROM fx_partd_raw
+UNION ALL
+SELECT 'payments_raw', count(*), CAST(count_if(npi = 0) AS BIGINT),
+       CAST(round(sum(amount), 0) AS DECIMAL(20,0)), CAST(count_if(amount > 0) AS BIGINT) FROM fx_payments_raw""")
+def dq_1(spark, d):
+    x = L(spark, d)
+    return Q.raw_summary(x.partd, x.payments)
+
+
+@query("dq_2_scoped_key_counts", """
+SELECT 'rx_by_npi_drug' AS tbl, drug_key, count(*) AS n FROM fx_rx GROUP BY drug_key
+UNION ALL SELECT 'pay_by_npi_drug', drug_key, count(*) FROM fx_pay GROUP BY drug_key""")
+def dq_2(spark, d):
+    x = L(spark, d)
+    return Q.scoped_key_counts(x.rx, x.pay)
+
+
+@query("dq_3_control_invariant", """
+SELECT m.drug_key, coalesce(c.n, 0) AS control_payment_rows, coalesce(c.n, 0) = 0 AS ok
+FROM fx_drug_map m LEFT JOIN (SELECT drug_key, count(*) AS n FROM fx_pay GROUP BY drug_key) c USING (drug_key)
+WHERE m.match_on = 'generic' AND m.brnd_name = ''""")
+def dq_3(spark, d):
+    x = L(spark, d)
+    return Q.control_invariant(x.pay, x.drug_map)
+
+
+@query("dq_5_brand_generic_combos", """
+SELECT brnd_name, gnrc_name, count(*) AS n, round(CAST(sum(tot_clms) AS DOUBLE) / count(tot_clms), 1) AS avg_clms,
+       CAST(sum(tot_clms) AS BIGINT) AS tot_clms FROM fx_partd_raw GROUP BY 1, 2""")
+def dq_5(spark, d):
+    return Q.brand_generic_combos(L(spark, d).partd)
+
+
+def _dup(name, tbl, keys):
+    k = ", ".join(keys)
+    return (f"SELECT '{name}' AS tbl, count(*) AS duplicate_keys FROM "
+            f"(SELECT {k} FROM {tbl} GROUP BY {k} HAVING count(*) > 1)")
+
+
+UNIQ = [("rx_by_npi_drug", "fx_rx", "rx", ["drug_key", "npi"]),
+        ("pay_by_npi_drug", "fx_pay", "pay", ["drug_key", "npi"]),
+        ("doctors", "fx_doctors", "doctors", ["npi"]),
+        ("doctor_drug", "fx_dd", "dd", ["npi", "drug_key"]),
+        ("doctor_drug_mfr", "fx_mfr", "mfr", ["npi", "drug_key", "manufacturer"])]
+
+
+@query("dq_6_key_uniqueness", "\nUNION ALL\n".join(_dup(n, t, k) for n, t, _, k in UNIQ))
+def dq_6(spark, d):
+    x = L(spark, d)
+    return Q.key_uniqueness({n: (getattr(x, a), k) for n, _, a, k in UNIQ})
+
+
+@query("agg_18_scoped_counts", """
+SELECT 'rx_by_npi_drug' AS tbl, count(*) AS rows, count(DISTINCT npi) AS npis FROM fx_rx
+UNION ALL SELECT 'pay_by_npi_drug', count(*), count(DISTINCT npi) FROM fx_pay""")
+def agg_18(spark, d):
+    x = L(spark, d)
+    return Q.scoped_counts(x.rx, x.pay)
+
+
+@query("agg_22_literal_brand_payments", f"""
+WITH brands AS (SELECT DISTINCT upper(brnd_name) AS brand FROM fx_drug_map WHERE brnd_name <> ''
+                UNION SELECT {TOK('gnrc_name')} FROM fx_drug_map WHERE match_on = 'generic')
+SELECT b.brand, count(*) AS n, CAST(round(sum(p.amount), 0) AS DECIMAL(20,0)) AS total_paid
+FROM fx_payments_raw p JOIN brands b
+  ON b.brand IN ({TOK('p.drug1')}, {TOK('p.drug2')}, {TOK('p.drug3')}, {TOK('p.drug4')}, {TOK('p.drug5')})
+GROUP BY b.brand""")
+def agg_22(spark, d):
+    x = L(spark, d)
+    return Q.literal_brand_payments(x.payments, Q.tracked_brand_list(x.drug_map))
+
+
+TABLES = [("partd_raw", "fx_partd_raw", "partd"), ("payments_raw", "fx_payments_raw", "payments"),
+          ("rx_by_npi_drug", "fx_rx", "rx"), ("pay_by_npi_drug", "fx_pay", "pay"),
+          ("doctors", "fx_doctors", "doctors"), ("doctor_drug", "fx_dd", "dd"),
+          ("doctor_drug_mfr", "fx_mfr", "mfr"), ("drug_map", "fx_drug_map", "drug_map")]
+
+
+@query("agg_36_table_row_counts", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS name, count(*) AS total_rows FROM {t}" for n, t, _ in TABLES))
+def agg_36(spark, d):
+    x = L(spark, d)
+    return Q.table_counts({n: getattr(x, a) for n, _, a in TABLES})
+
+
+PHYS = "(lower(recipient_type) LIKE '%physician%' OR lower(recipient_type) LIKE '%practitioner%')"
+
+
+@query("agg_37_drop_counters", f"""
+SELECT count(*) AS rows, CAST(count_if(npi = 0) AS BIGINT) AS dropped_npi,
+       CAST(count_if(npi <> 0 AND NOT {PHYS}) AS BIGINT) AS dropped_type,
+       CAST(count_if(npi <> 0 AND {PHYS}) AS BIGINT) AS kept
+FROM fx_payments_raw""")
+def agg_37(spark, d):
+    return Q.drop_counters(L(spark, d).payments)
+
+
+@query("set_2_distinct_years", "SELECT DISTINCT yr AS year FROM fx_partd_raw")
+def set_2(spark, d):
+    return Q.distinct_years(L(spark, d).partd)
+
+
+# ---------------------------------------------------------------- search
+
+
+def _search_sql(q, limit=20):
+    return f"""
+SELECT npi, name, specialty, city, state, total_pay, total_claims,
+       CASE WHEN regexp_matches(lower(name), '\\b{q}\\b') THEN 0
+            WHEN regexp_matches(lower(name), '\\b{q}') THEN 1 ELSE 2 END AS match_rank
+FROM fx_doctors WHERE instr(lower(name), '{q}') > 0
+ORDER BY match_rank, total_claims DESC NULLS LAST, name, npi LIMIT {limit}"""
+
+
+@query("api_4_search_whole_word", _search_sql("old"))
+def api_4a(spark, d):
+    return S.search_entities(L(spark, d).doctors, "  Old ", 20)
+
+
+@query("api_4_search_word_start", _search_sql("ol"))
+def api_4b(spark, d):
+    return S.search_entities(L(spark, d).doctors, "ol", 20)
+
+
+@query("api_3_find_entity", """
+SELECT npi, name, specialty, city, state, CAST(round(total_pay, 0) AS DECIMAL(18,0)) AS total_pay, total_claims
+FROM fx_doctors WHERE instr(lower(name), 'ring') > 0 ORDER BY total_claims DESC, npi LIMIT 25""")
+def api_3(spark, d):
+    return S.find_entity(L(spark, d).doctors, "RING", 25)
+
+
+@query("api_9_entity_payment_events", f"""
+SELECT npi, date, amount, manufacturer, drug, event_no FROM (
+  SELECT npi, date, amount, manufacturer, drug,
+         row_number() OVER (PARTITION BY npi ORDER BY date, amount, manufacturer, drug) AS event_no
+  FROM (SELECT npi, CAST(payment_date AS VARCHAR) AS date, amount, manufacturer,
+               CASE WHEN {TOK('drug1')} IN {_IN(FX_BRANDS)} THEN drug1
+                    WHEN {TOK('drug2')} IN {_IN(FX_BRANDS)} THEN drug2
+                    WHEN {TOK('drug3')} IN {_IN(FX_BRANDS)} THEN drug3
+                    WHEN {TOK('drug4')} IN {_IN(FX_BRANDS)} THEN drug4
+                    WHEN {TOK('drug5')} IN {_IN(FX_BRANDS)} THEN drug5 ELSE '' END AS drug
+        FROM fx_payments_raw WHERE amount > 0))
+WHERE event_no <= 1000""")
+def api_9(spark, d):
+    x = L(spark, d)
+    return S.entity_events(x.payments, x.drug_map, None, 1000)
+
+
+# ---------------------------------------------------------------- review queue
+
+SEED_SQL = """
+SELECT drug_key, npi, pay_amount, CAST(clms AS DOUBLE) AS avg_claims FROM (
+  SELECT p.drug_key, p.npi, p.pay_amount, r.clms,
+         row_number() OVER (PARTITION BY p.drug_key ORDER BY p.pay_amount DESC, p.npi) AS rn
+  FROM fx_pay p JOIN fx_rx r USING (drug_key, npi)) WHERE rn <= 10"""
+LATEST_SQL = """
+SELECT review_id, drug_key, npi, pay_amount, status, max_u AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY updated_at DESC, event_id DESC) AS rn,
+         max(updated_at) OVER (PARTITION BY review_id) AS max_u
+  FROM fx_review_changes) WHERE rn = 1"""
+SYNC_TS = "2030-01-01 00:00:00"
+UPSERT_CTES = [
+    ("src", SEED_SQL),
+    ("tgt", f"""SELECT review_id AS id, drug_key, npi, pay_amount, CAST(NULL AS DOUBLE) AS avg_claims, status,
+                       '' AS assigned_to, updated_at FROM ({LATEST_SQL})"""),
+    ("j", """SELECT coalesce(t.drug_key, s.drug_key) AS drug_key, coalesce(t.npi, s.npi) AS npi, t.id,
+                    t.pay_amount AS t_pay, t.avg_claims AS t_avg, t.status AS t_status,
+                    t.assigned_to AS t_assigned, t.updated_at AS t_upd, s.pay_amount AS s_pay, s.avg_claims AS s_avg
+             FROM tgt t FULL OUTER JOIN src s ON t.drug_key = s.drug_key AND t.npi = s.npi"""),
+    ("m", f"""SELECT id, drug_key, npi, coalesce(s_pay, t_pay) AS pay_amount, coalesce(s_avg, t_avg) AS avg_claims,
+                     coalesce(t_status, 'flagged') AS status, t_assigned AS assigned_to,
+                     CASE WHEN id IS NULL OR (s_pay IS NOT NULL AND s_pay IS DISTINCT FROM t_pay)
+                               OR (s_avg IS NOT NULL AND s_avg IS DISTINCT FROM t_avg)
+                          THEN TIMESTAMP '{SYNC_TS}' ELSE t_upd END AS updated_at FROM j"""),
+    ("upserted", """SELECT * FROM m WHERE id IS NOT NULL
+        UNION ALL
+        SELECT (SELECT coalesce(max(id), 0) FROM tgt) + row_number() OVER (ORDER BY drug_key, npi) AS id,
+               drug_key, npi, pay_amount, avg_claims, status, assigned_to, updated_at FROM m WHERE id IS NULL"""),
+]
+
+
+def _upserted(spark, d):
+    import datetime as dt
+    x = L(spark, d)
+    queue = V.queue_from_log(x.review_changes)
+    seed = V.seed_top_n(x.rx, x.pay, 10)
+    return V.upsert(queue, seed, dt.datetime.fromisoformat(SYNC_TS))
+
+
+@query("win_1_seed_top_n", SEED_SQL)
+def win_1(spark, d):
+    x = L(spark, d)
+    return V.seed_top_n(x.rx, x.pay, 10)
+
+
+@query("agg_25_latest_review_state", LATEST_SQL)
+def agg_25(spark, d):
+    return V.latest_state(L(spark, d).review_changes, order=("updated_at", "event_id"))
+
+
+@query("join_9_upsert_review_queue", "SELECT * FROM upserted", extra_ctes=UPSERT_CTES)
+def join_9(spark, d):
+    return _upserted(spark, d)
+
+
+@query("ord_10_review_queue_by_pay", """
+SELECT id, drug_key, npi, CAST(round(pay_amount, 0) AS DECIMAL(18,0)) AS pay_amount, status, assigned_to, updated_at
+FROM upserted""", extra_ctes=UPSERT_CTES)
+def ord_10(spark, d):
+    return V.review_by_pay(_upserted(spark, d))
+
+
+# ---------------------------------------------------------------- regression
+
+FE_SQL = """
+WITH pe AS (SELECT r.drug_key, r.npi, r.clms, r.specialty, coalesce(p.pay_amount, 0) AS pay_amount
+            FROM fx_rx r LEFT JOIN fx_pay p USING (drug_key, npi)),
+     yb AS (SELECT drug_key, avg(ln(clms + 1.0)) AS ybar FROM pe GROUP BY drug_key),
+     dd AS (SELECT pe.drug_key, pe.specialty, CASE WHEN pe.pay_amount > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x,
+                   ln(pe.clms + 1.0) - yb.ybar AS y FROM pe JOIN yb USING (drug_key)),
+     s AS (SELECT drug_key, specialty, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx,
+                  sum(x * y) AS sxy, sum(y * y) AS syy FROM dd GROUP BY 1, 2),
+     g AS (SELECT drug_key, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, CAST(sum(sx) AS BIGINT) AS n_paid,
+                  sum(sxx - sx * sx / n) AS cxx, sum(sxy - sx * sy / n) AS cxy, sum(syy - sy * sy / n) AS cyy
+           FROM s GROUP BY 1),
+     e AS (SELECT *, n - groups - 1 AS dof, (n_paid = 0 OR n_paid = n) AS constant,
+                  NOT (n_paid = 0 OR n_paid = n) AND cxx > 1e-12 AND n - groups - 1 > 0 AS ok FROM g),
+     f AS (SELECT *, CASE WHEN ok THEN cxy / cxx END AS coef,
+                  CASE WHEN ok THEN sqrt(greatest(cyy - cxy * cxy / cxx, 0.0) / dof / cxx) END AS se FROM e)
+SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) AS coef, round(se, 6) AS se,
+       round(coef / se, 4) AS t, round((exp(coef) - 1) * 100, 4) AS effect_pct,
+       CASE WHEN constant THEN 'control: no paid prescribers' WHEN coef IS NULL THEN 'not estimable' END AS note
+FROM f"""
+
+
+def _fe(spark, d):
+    x = L(spark, d)
+    return G.fixed_effects(A.per_entity(x.rx, x.pay))
+
+
+@query("agg_28_fixed_effects_ols", FE_SQL)
+def agg_28(spark, d):
+    fe = _fe(spark, d)
+    return fe.select("drug_key", "n", "groups", "n_paid", "dof", F.round("coef", 6).alias("coef"),
+                     F.round("se", 6).alias("se"), F.round("t", 4).alias("t"),
+                     F.round("effect_pct", 4).alias("effect_pct"), "note")
+
+
+@query("agg_28_fixed_effects_pvalues")
+def agg_28p(spark, d):
+    return G.with_pvalues(_fe(spark, d))
+
+
+@query("agg_30_headline")
+def agg_30(spark, d):
+    return G.headline(G.with_pvalues(_fe(spark, d)))
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: dose-response (avg claims by payment band per drug)."""
     return agg_4(spark, sf_dir).orderBy("drug_key", "pay_band")
