@@ -56,10 +56,10 @@ def date0(c) -> Column:
     """FN-5: m/d/Y, Y-m-d (also before a 'T'), m/d/Y H:M:S, ISO prefix; else epoch."""
     s = strip(c)
     return F.coalesce(
-        F.try_to_date(s, F.lit("M/d/yyyy")),
-        F.try_to_date(F.split_part(s, F.lit("T"), F.lit(1)), F.lit("yyyy-M-d")),
-        F.try_to_date(s, F.lit("M/d/yyyy H:m:s")),
-        F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")),
+        F.try_to_date(s, "M/d/yyyy"),
+        F.try_to_date(F.split_part(s, F.lit("T"), F.lit(1)), "yyyy-M-d"),
+        F.try_to_date(s, "M/d/yyyy H:m:s"),
+        F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"),
         F.lit(EPOCH).cast("date"),
     )
 
