@@ -75,15 +75,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+COMMIT_MARKER = "_COMMITTED"
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    fs, p, jvm = _fs(spark, path)
+    fs.create(jvm.org.apache.hadoop.fs.Path(p, COMMIT_MARKER), True).close()
+
+
 def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions (folders ``v=<n>`` holding a ``_SUCCESS`` marker)."""
+    """Committed versions (folders ``v=<n>`` holding the commit marker)."""
     fs, p, jvm = _fs(spark, base)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), COMMIT_MARKER)):
             out.append(int(name[2:]))
     return sorted(out)
 
@@ -98,10 +106,11 @@ def read_snapshot(spark: SparkSession, base: str, schema: T.StructType | None =
 
 def swap_snapshot(spark: SparkSession, df: DataFrame, base: str) -> str:
     """Write the next version of a mutable table beside the current one and
-    make it current only once fully committed (the ``_SUCCESS`` marker):
+    make it current only once the write job has committed (marker file):
     the path being read is never overwritten, a failed job leaves the old
     version current."""
     v = snapshot_versions(spark, base)
     nxt = f"{base.rstrip('/')}/v={(v[-1] + 1) if v else 0}"
     df.write.mode("overwrite").parquet(nxt)
+    _mark(spark, nxt)
     return nxt
