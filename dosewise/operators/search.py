@@ -71,6 +71,21 @@ def entity_drugs(dd: DataFrame, npi: int) -> DataFrame:
                       "peer_unpaid_avg", "pct_vs_unpaid"))
 
 
+def paid_drugs(dd: DataFrame) -> DataFrame:
+    """FLT-18: profile section rows with a payment."""
+    return dd.where(F.col("pay_amount") > 0)
+
+
+def prescribed_drugs(dd: DataFrame) -> DataFrame:
+    """FLT-18: profile section rows with claims."""
+    return dd.where(F.col("claims") > 0)
+
+
+def sample_rows(df: DataFrame, k: int = 10, keys=("npi",)) -> DataFrame:
+    """ORD-11: k rows of a table, ordered by its key (deterministic sample)."""
+    return df.orderBy(*keys).limit(k)
+
+
 def entity_events(payments: DataFrame, drug_map: DataFrame, npi: int | None = None,
                   limit: int = 1000) -> DataFrame:
     """API-9 / FLT-10 / FN-18 / ORD-5 / WIN-2: an entity's positive payments

@@ -22,8 +22,11 @@ from dosewise.operators import rollup as R
 from dosewise.sources import fixtures as FX
 
 GRAIN_KEYS = ("drug_key", "npi")
-# Layers materialised by ``build_layers``, in dependency order.
-BUILT = ("rx", "pay", "claims", "pays", "mfr", "dd", "doctors")
+# Layers materialised by ``build_layers``, in dependency order.  The typed raw
+# tables are stored partitioned by year (year pins prune folders); the grain
+# layers are bucketed on the grain key.
+BUILT = ("partd", "payments", "rx", "pay", "claims", "pays", "mfr", "dd", "doctors")
+RAW_PARTITION = {"partd": "yr", "payments": "program_year"}
 BUCKET_KEYS = {"doctors": ("npi",)}
 
 
@@ -123,11 +126,16 @@ def build_layers(spark: SparkSession, sf_dir: str, buckets: int | None = None,
     took = {}
     for name in names:
         t0 = time.perf_counter()
-        keys = BUCKET_KEYS.get(name, GRAIN_KEYS)
-        tbl = _table_name(sf_dir, name)
         df = getattr(lay, name)
-        (df.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys)
-           .option("path", f"{root}/{name}").saveAsTable(tbl))
-        lay.__dict__[name] = spark.table(tbl)
+        if name in RAW_PARTITION:
+            path = f"{root}/{name}"
+            df.write.mode("overwrite").partitionBy(RAW_PARTITION[name]).parquet(path)
+            lay.__dict__[name] = spark.read.parquet(path).select(*df.columns)
+        else:
+            keys = BUCKET_KEYS.get(name, GRAIN_KEYS)
+            tbl = _table_name(sf_dir, name)
+            (df.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys)
+               .option("path", f"{root}/{name}").saveAsTable(tbl))
+            lay.__dict__[name] = spark.table(tbl)
         took[name] = round(time.perf_counter() - t0, 3)
     return took
