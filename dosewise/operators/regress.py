@@ -137,74 +137,73 @@ LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
            -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
            1.5056327351493116e-7)
-CF_STEPS = 20_000      # >> sqrt(max(a, b)) for any realistic degrees of freedom
+CF_MAX_STEPS = 100_000
 CF_TINY, CF_EPS = 1e-300, 1e-15
 
 
-def lgamma_col(x):
-    """log Gamma(x) for x >= 0.5 (Lanczos)."""
-    z = x - 1.0
-    ser = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], start=1):
-        ser = ser + F.lit(c) / (z + i)
-    t = z + LANCZOS_G + 0.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(ser)
+def _d(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
 
 
-def _fix(v):
-    return F.when(F.abs(v) < CF_TINY, F.lit(CF_TINY)).otherwise(v)
+def _lgamma_sql(x: str) -> str:
+    """log Gamma(x) for x >= 0.5 (Lanczos), as SQL text."""
+    z = f"({x} - 1D)"
+    ser = _d(LANCZOS[0]) + "".join(f" + {_d(c)} / ({z} + {i}D)" for i, c in enumerate(LANCZOS[1:], 1))
+    t = f"({z} + {_d(LANCZOS_G + 0.5)})"
+    return f"({_d(0.5 * math.log(2 * math.pi))} + ({z} + 0.5D) * ln({t}) - {t} + ln({ser}))"
 
 
-def _betacf_col(a, b, x):
-    """Modified-Lentz continued fraction as an ``aggregate`` over a step
-    sequence: the state (c, d, h, done) stops changing once converged."""
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    d0 = F.lit(1.0) / _fix(F.lit(1.0) - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(False).alias("done"))
-
-    def step(acc, m):
-        m = m.cast("double")
-        m2 = m * 2.0
-        aa1 = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d1 = F.lit(1.0) / _fix(F.lit(1.0) + aa1 * acc["d"])
-        c1 = _fix(F.lit(1.0) + aa1 / acc["c"])
-        h1 = acc["h"] * d1 * c1
-        aa2 = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d2 = F.lit(1.0) / _fix(F.lit(1.0) + aa2 * d1)
-        c2 = _fix(F.lit(1.0) + aa2 / c1)
-        delta = d2 * c2
-        nxt = F.struct(c2.alias("c"), d2.alias("d"), (h1 * delta).alias("h"),
-                       (F.abs(delta - 1.0) < CF_EPS).alias("done"))
-        return F.when(acc["done"], acc).otherwise(nxt)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CF_STEPS)), init, step)["h"]
-
-
-def t_pvalue_col(t, dof):
+def _fix(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < {_d(CF_TINY)} THEN {_d(CF_TINY)} ELSE {v} END)"
+
+
+def _betacf_sql(a: str, b: str, x: str) -> str:
+    """Modified-Lentz continued fraction folded with ``aggregate`` over
+    half-steps j = 1..2n (m = ceil(j/2)).  The state keeps the last factor
+    d*c pending (h excludes it) so each step is one small expression; a
+    converged state (|d*c - 1| < eps after a full step) stops changing.
+    n grows like sqrt(max(a, b)), the worst-case number of terms."""
+    m = "CAST((j + 1) DIV 2 AS DOUBLE)"
+    aa = (f"(CASE WHEN j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} - 1D + 2D * {m}) * ({a} + 2D * {m})) "
+          f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 1D + 2D * {m})) END)")
+    dn = f"(1D / {_fix(f'1D + {aa} * acc.d')})"
+    cn = _fix(f"1D + {aa} / acc.c")
+    d0 = f"(1D / {_fix(f'1D - ({a} + {b}) * {x} / ({a} + 1D)')})"
+    steps = f"CAST(least({CF_MAX_STEPS}, 64 + 8 * ceil(sqrt(greatest({a}, {b})))) AS INT) * 2 + 1"
+    return (f"aggregate(sequence(1, {steps}), named_struct('c', 1D, 'd', {d0}, 'h', 1D, 'done', false), "
+            f"(acc, j) -> CASE WHEN acc.done THEN acc "
+            f"WHEN j % 2 = 1 AND j > 1 AND abs(acc.d * acc.c - 1D) < {_d(CF_EPS)} "
+            f"THEN named_struct('c', acc.c, 'd', acc.d, 'h', acc.h, 'done', true) "
+            f"ELSE named_struct('c', {cn}, 'd', {dn}, 'h', acc.h * acc.d * acc.c, 'done', false) END, "
+            f"acc -> acc.h * acc.d * acc.c)")
+
+
+def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "dof", out: str = "p_value") -> DataFrame:
     """Two-sided Student-t p-value P(|T| > |t|) = I_x(dof/2, 1/2), x = dof/(dof+t^2),
     evaluated entirely in JVM expressions (no Python worker)."""
-    a, b = dof / 2.0, F.lit(0.5)
-    x = dof / (dof + t * t)
-    swap = x >= (a + 1.0) / (a + b + 2.0)
-    a_ = F.when(swap, b).otherwise(a)
-    b_ = F.when(swap, a).otherwise(b)
-    x_ = F.when(swap, F.lit(1.0) - x).otherwise(x)
-    lbt = (lgamma_col(a + b) - lgamma_col(a) - lgamma_col(b)
-           + a * F.log(x) + b * F.log1p(-x))
-    frac = F.exp(lbt) * _betacf_col(a_, b_, x_) / a_
-    ib = F.when(swap, F.lit(1.0) - frac).otherwise(frac)
-    return (F.when(t.isNull() | dof.isNull() | (dof <= 0), F.lit(None).cast("double"))
-             .when(x >= 1.0, F.lit(1.0))
-             .when(x <= 0.0, F.lit(0.0))
-             .otherwise(ib))
+    tc, dc = F.col(t).cast("double"), F.col(dof).cast("double")
+    x = dc / (dc + tc * tc)
+    a = dc / 2.0
+    swap = x >= (a + 1.0) / (a + 2.5)
+    h = df.select("*", (tc.isNotNull() & dc.isNotNull() & (dc > 0)).alias("_pvalid"),
+                  a.alias("_pa"), x.alias("_px"), swap.alias("_pswap"),
+                  F.when(swap, F.lit(0.5)).otherwise(a).alias("_a"),
+                  F.when(swap, a).otherwise(F.lit(0.5)).alias("_b"),
+                  F.when(swap, F.lit(1.0) - x).otherwise(x).alias("_x"))
+    lbt = (f"{_lgamma_sql('(_pa + 0.5D)')} - {_lgamma_sql('_pa')} - {_lgamma_sql('0.5D')}"
+           f" + _pa * ln(_px) + 0.5D * ln(1D - _px)")
+    frac = f"exp({lbt}) * ({_betacf_sql('_a', '_b', '_x')}) / _a"
+    p = F.expr(f"CASE WHEN NOT _pvalid THEN CAST(NULL AS DOUBLE) WHEN _px >= 1D THEN 1D WHEN _px <= 0D THEN 0D "
+               f"WHEN _pswap THEN 1D - {frac} ELSE {frac} END")
+    keep = [c for c in df.columns]
+    return h.select(*keep, p.alias(out))
 
 
 def with_pvalues(fe: DataFrame) -> DataFrame:
     """Adds ``p_value`` and the interpretation text (FN-23)."""
-    p = t_pvalue_col(F.col("t"), F.col("dof").cast("double"))
     text = F.when(F.col("coef").isNotNull(),
                   F.format_string("%.1f%% more claims if paid", F.round(F.expm1("coef") * 100, 1)))
-    return (fe.withColumn("p_value", p)
+    return (with_t_pvalue(fe)
               .withColumn("interpretation", F.coalesce(text, F.concat(F.lit("("), F.col("note"), F.lit(")")))))
 
 

@@ -70,7 +70,7 @@ def test_pvalue_udf_and_headline(spark):
 def test_jvm_pvalue_equals_python(spark):
     grid = [(t, dof) for t in (0.0, 0.3, 1.0, 2.0, 3.5, 8.0, 40.0) for dof in (1.0, 3.0, 10.0, 57.0, 1e3, 2.5e5, 4e6)]
     df = spark.createDataFrame(grid, "t double, dof double")
-    got = df.select("t", "dof", G.t_pvalue_col(F.col("t"), F.col("dof")).alias("p")).collect()
+    got = G.with_t_pvalue(df, "t", "dof", "p").collect()
     for r in got:
         want = G.t_two_sided_p(r.t, r.dof)
         assert abs(r.p - want) <= 1e-9 * max(want, 1e-300) + 1e-300, (r.t, r.dof, r.p, want)
