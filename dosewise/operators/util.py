@@ -12,28 +12,15 @@ def checked_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = Non
     """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
 
     ``known_rows`` is a bound the caller has by construction (a literal list,
-    a ``limit(n)``); otherwise the plan is inspected: a local relation is
-    counted for free; anything else is counted once.  Beyond the bound the
-    frame is returned unhinted and AQE picks the join strategy at run time
-    from the real shuffle statistics.
+    a ``limit(n)``); otherwise ``limit(max_rows + 1).count()`` checks it with
+    one small job that stops early.  Beyond the bound the frame is returned
+    unhinted and AQE picks the join strategy from real shuffle statistics.
     """
-    if known_rows is None:
-        known_rows = _local_rows(df)
     if known_rows is None:
         known_rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if known_rows <= max_rows else df
 
 
-def _local_rows(df: DataFrame) -> int | None:
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        if plan.getClass().getSimpleName() == "LocalRelation":
-            return int(plan.data().size())
-    except Exception:  # Connect sessions have no _jdf
-        return None
-    return None
-
-
 def money_sum(c) -> Column:
     """Exact decimal sum, cast back to the money type."""
     col = F.col(c) if isinstance(c, str) else c

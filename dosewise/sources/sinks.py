@@ -67,50 +67,48 @@ def write_json_dump(df: DataFrame, path: str) -> int:
 
 
 # ---------------------------------------------------------------- snapshots
+#
+# A mutable table without a table format: every version is written to its
+# own folder ``v=<n>``; only after that write job has committed is a row
+# (version, path) appended to the table's commit log ``_log``.  Readers take
+# the highest logged version, so a failed or half-written version is never
+# read and the path being read is never overwritten.
 
+COMMIT_LOG = "_log"
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
-
-COMMIT_MARKER = "_COMMITTED"
-
-
-def _mark(spark: SparkSession, path: str) -> None:
-    fs, p, jvm = _fs(spark, path)
-    fs.create(jvm.org.apache.hadoop.fs.Path(p, COMMIT_MARKER), True).close()
+def _log(spark: SparkSession, base: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version long, path string").parquet(f"{base.rstrip('/')}/{COMMIT_LOG}")
+    except Exception:  # no version committed yet
+        return None
 
 
 def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions (folders ``v=<n>`` holding the commit marker)."""
-    fs, p, jvm = _fs(spark, base)
-    if not fs.exists(p):
+    """Committed versions, ascending."""
+    log = _log(spark, base)
+    if log is None:
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), COMMIT_MARKER)):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return sorted(r.version for r in log.select("version").distinct().collect())
 
 
 def read_snapshot(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame | None:
-    v = snapshot_versions(spark, base)
-    if not v:
+    log = _log(spark, base)
+    if log is None:
+        return None
+    last = log.orderBy(F.desc("version")).limit(1).collect()
+    if not last:
         return None
     r = spark.read.schema(schema) if schema is not None else spark.read
-    return r.parquet(f"{base.rstrip('/')}/v={v[-1]}")
+    return r.parquet(last[0].path)
 
 
 def swap_snapshot(spark: SparkSession, df: DataFrame, base: str) -> str:
-    """Write the next version of a mutable table beside the current one and
-    make it current only once the write job has committed (marker file):
-    the path being read is never overwritten, a failed job leaves the old
-    version current."""
+    """Write the next version beside the current one, then log it as committed."""
     v = snapshot_versions(spark, base)
-    nxt = f"{base.rstrip('/')}/v={(v[-1] + 1) if v else 0}"
+    n = (v[-1] + 1) if v else 0
+    nxt = f"{base.rstrip('/')}/v={n}"
     df.write.mode("overwrite").parquet(nxt)
-    _mark(spark, nxt)
+    spark.createDataFrame([(n, nxt)], "version long, path string").write.mode("append") \
+         .parquet(f"{base.rstrip('/')}/{COMMIT_LOG}")
     return nxt

@@ -88,14 +88,18 @@ def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, q
     """STR-6 / STR-7: upsert every micro-batch of changes into the queue snapshot.
 
     The next snapshot is computed from the committed one and written as a
-    new version (``sinks.swap_snapshot``); the version written for a batch
-    is recorded in a per-batch marker folder so a replay is a no-op.
+    new version (``sinks.swap_snapshot``); applied batch ids are appended to
+    a small log table after the swap, so a replayed batch is a no-op.
     """
+    applied = f"{queue_base.rstrip('/')}/_batches"
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{queue_base.rstrip('/')}/_batches/batch_id={batch_id}"
-        fs, p, _ = sinks._fs(spark, marker)
-        if fs.exists(p):
-            return
+        try:
+            done = spark.read.schema("batch_id long").parquet(applied).where(F.col("batch_id") == batch_id)
+            if done.limit(1).count():
+                return
+        except Exception:  # nothing applied yet
+            pass
         current = sinks.read_snapshot(spark, queue_base)
         src = batch.select("drug_key", "npi", "pay_amount",
                            (F.col("avg_claims") if "avg_claims" in batch.columns
@@ -106,7 +110,7 @@ def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, q
         else:
             nxt = V.upsert(current, src, ts)
         sinks.swap_snapshot(spark, nxt, queue_base)
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
+        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(applied)
 
     r = change_stream(spark, source_dir, schema, max_files_per_trigger)
     w = r.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
