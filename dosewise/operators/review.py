@@ -60,17 +60,12 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
         F.when(is_new | changed, now_c).otherwise(F.col("t_updated_at")).alias("updated_at"),
     ]
     merged = j.select(*cols)
-    # New ids: offset by the current maximum.  The max is a one-row aggregate
-    # joined back on a constant key; the numbering window sees only the new
-    # keys, whose count is bounded by the source (a top-N seed or one
-    # micro-batch of changes).
-    max_id = target.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max_id")) \
-                   .withColumn("_one", F.lit(1))
+    # New ids: offset by the current maximum, a scalar subquery evaluated
+    # once.  The numbering window sees only the new keys, whose count is
+    # bounded by the source (a top-N seed or one micro-batch of changes).
+    max_id = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint"))
     w = Window.orderBy(*keys)
-    new = (merged.where(F.col("id").isNull()).withColumn("_one", F.lit(1))
-                 .join(F.broadcast(max_id), "_one")
-                 .withColumn("id", F.col("_max_id") + F.row_number().over(w))
-                 .drop("_one", "_max_id"))
+    new = merged.where(F.col("id").isNull()).withColumn("id", max_id + F.row_number().over(w))
     return merged.where(F.col("id").isNotNull()).unionByName(new)
 
 
