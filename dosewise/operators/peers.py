@@ -50,6 +50,15 @@ def peer_benchmark(claims: DataFrame, pays: DataFrame) -> DataFrame:
                     avg("s_unpaid", "n_unpaid").alias("unpaid_avg"), "n_paid", "n_unpaid")
 
 
+def peer_benchmark_from_read_model(dd: DataFrame) -> DataFrame:
+    """AGG-13 from the ``doctor_drug`` read model, which already carries the
+    entity specialty, claims and payment of every prescribed pair."""
+    b = _bench_raw(dd.withColumn("paid", F.col("pay_amount") > 0))
+    avg = lambda s, n: F.coalesce(F.round(F.try_divide(F.col(s).cast("double"), F.col(n)), 1), F.lit(0.0))
+    return b.select("specialty", "drug_key", avg("s_paid", "n_paid").alias("paid_avg"),
+                    avg("s_unpaid", "n_unpaid").alias("unpaid_avg"), "n_paid", "n_unpaid")
+
+
 def entity_drug(claims: DataFrame, pays: DataFrame) -> DataFrame:
     """AGG-14 + JOIN-7: the ``doctor_drug`` read model.
 

@@ -5,12 +5,13 @@ Frisch-Waugh-Lovell the ``paid`` coefficient of the fixed-effects model
 equals the slope on within-specialty demeaned data, which needs only the
 sufficient statistics ``n, Sx, Sy, Sxx, Sxy, Syy`` per (drug, specialty):
 
-    Cxx = sum_g (Sxx - Sx^2/n),  Cxy = sum_g (Sxy - Sx*Sy/n),  Cyy likewise
+    Cxx = sum_g n_g var_g(x),  Cxy = sum_g n_g cov_g(x, y),  Cyy = sum_g n_g var_g(y)
     coef = Cxy / Cxx,  dof = N - G - 1,  se = sqrt((Cyy - Cxy^2/Cxx) / dof / Cxx)
 
 Two hash aggregations (partial + final each): the data is never collected
-and no group is ever materialised.  ``y`` is centred by a per-drug
-constant first to limit cancellation in the sums of squares.  The
+and no group is ever materialised.  The per-group moments come from
+Spark's stable central-moment aggregates (``var_pop``/``covar_pop``), so
+no sum-of-squares cancellation and no extra centring pass.  The
 two-sided p-value needs the Student-t CDF: the regularised incomplete
 beta is evaluated in JVM expressions (Lanczos log-gamma and a continued
 fraction folded with ``aggregate``) over at most one row per drug, so no
@@ -28,37 +29,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _suff(per_entity: DataFrame, group: str, y_shift: DataFrame | None) -> DataFrame:
+def _group_moments(per_entity: DataFrame, group: str) -> DataFrame:
+    """Per (drug, group): n, number paid, and the centred second moments
+    n*var(x), n*cov(x, y), n*var(y).  Spark's central-moment aggregates
+    update and merge numerically stably (no sum-of-squares cancellation),
+    and are partial-aggregated like any sum."""
     x = F.when(F.coalesce(F.col("pay_amount"), F.lit(0)) > 0, 1.0).otherwise(0.0)
     y = F.log1p(F.col("clms").cast("double"))
     d = per_entity.select("drug_key", group, x.alias("x"), y.alias("y"))
-    if y_shift is not None:
-        d = d.join(y_shift, "drug_key").withColumn("y", F.col("y") - F.col("_ybar")).drop("_ybar")
+    n = F.count(F.lit(1))
     return d.groupBy("drug_key", group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"))
+        n.alias("n"), F.sum("x").alias("sx"),
+        (F.var_pop("x") * n).alias("cxx"), (F.covar_pop("x", "y") * n).alias("cxy"),
+        (F.var_pop("y") * n).alias("cyy"))
 
 
-def fixed_effects(per_entity: DataFrame, group: str = "specialty", center: bool = True) -> DataFrame:
+def fixed_effects(per_entity: DataFrame, group: str = "specialty") -> DataFrame:
     """(drug_key, n, groups, n_paid, dof, coef, se, t, effect_pct, note) per drug.
 
     ``per_entity`` is the JOIN-3 export (drug_key, npi, clms, specialty,
     pay_amount).  Drugs where ``paid`` is constant get NULL estimates and the
     control note (AGG-29); so do singular designs (Cxx = 0) and dof <= 0.
     """
-    shift = None
-    if center:
-        # One row per drug: a bounded side, joined back by broadcast.
-        shift = F.broadcast(per_entity.groupBy("drug_key").agg(
-            F.avg(F.log1p(F.col("clms").cast("double"))).alias("_ybar")))
-    s = _suff(per_entity, group, shift)
-    g = s.groupBy("drug_key").agg(
+    g = _group_moments(per_entity, group).groupBy("drug_key").agg(
         F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("groups"),
         F.sum("sx").cast("bigint").alias("n_paid"),
-        F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")).alias("cxx"),
-        F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")).alias("cxy"),
-        F.sum(F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("cyy"))
+        F.sum("cxx").alias("cxx"), F.sum("cxy").alias("cxy"), F.sum("cyy").alias("cyy"))
     constant = (F.col("n_paid") == 0) | (F.col("n_paid") == F.col("n"))
     dof = F.col("n") - F.col("groups") - 1
     ok = ~constant & (F.col("cxx") > 1e-12) & (dof > 0)
@@ -192,9 +188,13 @@ def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "dof", out: str = "p_v
                   F.when(swap, F.lit(1.0) - x).otherwise(x).alias("_x"))
     lbt = (f"{_lgamma_sql('(_pa + 0.5D)')} - {_lgamma_sql('_pa')} - {_lgamma_sql('0.5D')}"
            f" + _pa * ln(_px) + 0.5D * ln(1D - _px)")
-    frac = f"exp({lbt}) * ({_betacf_sql('_a', '_b', '_x')}) / _a"
-    p = F.expr(f"CASE WHEN NOT _pvalid THEN CAST(NULL AS DOUBLE) WHEN _px >= 1D THEN 1D WHEN _px <= 0D THEN 0D "
-               f"WHEN _pswap THEN 1D - {frac} ELSE {frac} END")
+    h = h.select("*", F.expr(lbt).alias("_lbt"), F.expr(_betacf_sql("_a", "_b", "_x")).alias("_cf"))
+    frac = F.exp("_lbt") * F.col("_cf") / F.col("_a")
+    p = (F.when(~F.col("_pvalid"), F.lit(None).cast("double"))
+          .when(F.col("_px") >= 1.0, F.lit(1.0))
+          .when(F.col("_px") <= 0.0, F.lit(0.0))
+          .when(F.col("_pswap"), F.lit(1.0) - frac)
+          .otherwise(frac))
     keep = [c for c in df.columns]
     return h.select(*keep, p.alias(out))
 

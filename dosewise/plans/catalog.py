@@ -265,8 +265,7 @@ SELECT specialty, drug_key,
        CAST(n_paid AS BIGINT) AS n_paid, CAST(n_unpaid AS BIGINT) AS n_unpaid
 FROM fx_bench""")
 def agg_13(spark, d):
-    x = L(spark, d)
-    return P.peer_benchmark(x.claims, x.pays)
+    return P.peer_benchmark_from_read_model(L(spark, d).dd)
 
 
 @query("agg_14_entity_drug_bias", "SELECT * FROM fx_dd")
