@@ -29,12 +29,78 @@ from dosewise.sources import fixtures as FX
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Output columns normalised at the boundary (see ``finalize``): exact decimal
+# money becomes DOUBLE, dates become ISO text, on the Spark and the oracle side.
+# ``tests/test_catalog.py`` checks this table against the Spark schemas.
+OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
+    'agg_10_entity_drug_payments': {'double': ['pay_amount'], 'string': []},
+    'agg_11_entity_drug_manufacturer': {'double': ['amount'], 'string': []},
+    'agg_14_entity_drug_bias': {'double': ['cost', 'pay_amount'], 'string': []},
+    'agg_15_brand_promotion': {'double': ['op_dollars'], 'string': []},
+    'agg_1_rx_by_npi_drug': {'double': ['drug_cst'], 'string': []},
+    'agg_22_literal_brand_payments': {'double': ['total_paid'], 'string': []},
+    'agg_25_latest_review_state': {'double': ['pay_amount'], 'string': []},
+    'agg_2_pay_by_npi_drug': {'double': ['pay_amount'], 'string': []},
+    'agg_31_manufacturer_leaderboard': {'double': ['dollars'], 'string': []},
+    'agg_33_outliers': {'double': ['pay_amount'], 'string': []},
+    'agg_35_manufacturers_per_drug': {'double': ['amount'], 'string': []},
+    'agg_8_cost_per_claim': {'double': ['cost_per_claim', 'total_drug_cost'], 'string': []},
+    'agg_9_entity_drug_claims': {'double': ['cost'], 'string': []},
+    'api_3_find_entity': {'double': ['total_pay'], 'string': []},
+    'api_4_search_whole_word': {'double': ['total_pay'], 'string': []},
+    'api_4_search_word_start': {'double': ['total_pay'], 'string': []},
+    'api_9_entity_payment_events': {'double': ['amount'], 'string': []},
+    'dq_1_raw_summary': {'double': ['total_cost'], 'string': []},
+    'flt_2_payments_naming_tracked_brand': {'double': ['amount'], 'string': ['payment_date']},
+    'flt_5_prescribing_in_scope': {'double': ['tot_drug_cst'], 'string': []},
+    'flt_6_rx_year_pinned': {'double': ['drug_cst'], 'string': []},
+    'join_3_per_npi_export': {'double': ['pay_amount'], 'string': []},
+    'join_4_paid_with_claims': {'double': ['pay_amount', 'drug_cst'], 'string': []},
+    'join_6_entity_drug_named': {'double': ['pay_amount', 'total_pay'], 'string': []},
+    'join_8_entities': {'double': ['total_pay'], 'string': []},
+    'join_9_upsert_review_queue': {'double': ['pay_amount'], 'string': []},
+    'ord_10_review_queue_by_pay': {'double': ['pay_amount'], 'string': []},
+    'ord_11_sample_entities': {'double': ['total_pay'], 'string': []},
+    'ord_4_similar_pool': {'double': ['pay_amount'], 'string': []},
+    'ord_7_top_paid_per_drug': {'double': ['dollars'], 'string': []},
+    'str_5_streamed_log_latest_state': {'double': ['pay_amount'], 'string': []},
+    'win_1_seed_top_n': {'double': ['pay_amount'], 'string': []},
+}
+
+
+def finalize(df: DataFrame) -> DataFrame:
+    """Output boundary: DECIMAL -> DOUBLE (exact sums converted once, so both
+    engines give the same double) and DATE -> ISO text."""
+    from pyspark.sql import types as T
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def _oracle_boundary(name: str, sql: str) -> str:
+    casts = OUTPUT_CASTS.get(name)
+    if not casts:
+        return sql
+    rep = [f"CAST({c} AS DOUBLE) AS {c}" for c in casts["double"]]
+    rep += [f"CAST({c} AS VARCHAR) AS {c}" for c in casts["string"]]
+    return f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql.strip()}) AS q"
+
 
 def query(name: str, sql: str | None = None, extra_ctes=None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            return finalize(fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
-            SQL[name] = with_fixtures(sql, extra_ctes)
+            SQL[name] = with_fixtures(_oracle_boundary(name, sql), extra_ctes)
         return fn
     return deco
 

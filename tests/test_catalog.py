@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, norm_rows
+from tools.oracle_check import TABLES, duck_kind, norm_rows, spark_kind
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +21,13 @@ def con():
     return c
 
 
+def test_output_boundary_types(spark):
+    from pyspark.sql import types as T
+    for name, fn in E.queries().items():
+        for f in fn(spark, SF).schema.fields:
+            assert not isinstance(f.dataType, (T.DecimalType, T.DateType)), (name, f)
+
+
 def test_entry(spark):
     df = E.entry(spark)
     rows = df.collect()
@@ -38,6 +45,8 @@ def test_query_matches_oracle(spark, con, name):
     cur = con.execute(sql)
     ocols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(ocols)
+    assert {f.name: spark_kind(f.dataType) for f in df.schema.fields} == \
+        {d[0]: duck_kind(d[1]) for d in cur.description}
     assert norm_rows(cols, rows) == norm_rows(ocols, cur.fetchall())
 
 
