@@ -132,3 +132,13 @@ def first_in(arr, allowed, match: str = "token") -> Column:
     return F.coalesce(
         F.try_element_at(F.filter(_c(arr), lambda x: norm(x).isin(list(allowed))), F.lit(1)),
         F.lit(""))
+
+
+def json_field(c, path: str, default: str = "") -> Column:
+    """FN-27: a field of a JSON text column with a default when absent."""
+    return F.coalesce(F.get_json_object(_c(c), path), F.lit(default))
+
+
+def drop_tz(c) -> Column:
+    """FN-28: wall-clock time without zone (session zone is UTC)."""
+    return _c(c).cast("timestamp_ntz")

@@ -75,3 +75,11 @@ def test_first_in_and_join_nonempty(spark):
                   C.first_in("a", ["NONE"]).alias("g"),
                   C.join_nonempty(", ", "c", "s").alias("j")).first()
     assert (r.f, r.g, r.j) == ("ELIQUIS Starter", "", "Austin")
+
+
+def test_json_field_and_drop_tz(spark):
+    import datetime as dt
+    df = spark.createDataFrame([('{"k": 69}', dt.datetime(2024, 1, 5, 10, 0))], "props string, ts timestamp")
+    r = df.select(C.json_field("props", "$.k").alias("k"), C.json_field("props", "$.x", "0").alias("x"),
+                  C.drop_tz("ts").alias("t")).first()
+    assert (r.k, r.x, r.t) == ("69", "0", dt.datetime(2024, 1, 5, 10, 0))
