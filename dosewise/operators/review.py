@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from dosewise.operators.util import dense_ids
 from dosewise.sources import schemas
 
 KEYS = ["drug_key", "npi"]
@@ -39,8 +40,9 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
     conflict update only ``update_cols``; status and assignee are kept.
 
     ``updated_at`` moves to ``now`` only where a value actually changed
-    (the trigger of the reference, STR-7).  New ids are ``max(id)`` +
-    ``row_number()`` over the new keys in key order: deterministic.
+    (the trigger of the reference, STR-7).  New ids are ``max(id)`` + the
+    dense position of the new key in key order (``dense_ids``): deterministic
+    and computed across partitions.
     """
     ts_type = target.schema["updated_at"].dataType
     now_c = (F.lit(now) if not hasattr(now, "_jc") else now).cast(ts_type)
@@ -60,12 +62,11 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
         F.when(is_new | changed, now_c).otherwise(F.col("t_updated_at")).alias("updated_at"),
     ]
     merged = j.select(*cols)
-    # New ids: offset by the current maximum, a scalar subquery evaluated
-    # once.  The numbering window sees only the new keys, whose count is
-    # bounded by the source (a top-N seed or one micro-batch of changes).
+    # New ids: max(id) (a scalar subquery evaluated once) + dense position of
+    # the new key, numbered across partitions without a single-task window.
     max_id = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint"))
-    w = Window.orderBy(*keys)
-    new = merged.where(F.col("id").isNull()).withColumn("id", max_id + F.row_number().over(w))
+    new = dense_ids(merged.where(F.col("id").isNull()).drop("id"), list(keys), offset=max_id) \
+        .select(*merged.columns)
     return merged.where(F.col("id").isNotNull()).unionByName(new)
 
 

@@ -38,6 +38,33 @@ def mean(c) -> Column:
     return F.sum(col).cast("double") / F.count(col)
 
 
+def dense_ids(df: DataFrame, order_cols, offset=None, partitions: int | None = None) -> DataFrame:
+    """Adds ``id`` = ``offset`` + 1-based position of each row in ``order_cols``
+    order, without moving all rows into one task.
+
+    Rows are range-partitioned on the order (sampling splits even a hot
+    value range), the result is checkpointed into the shared folder so both
+    uses below see the same partitioning, each partition is counted (one row
+    per partition), the counts are turned into start offsets by a window over
+    those few rows, and every row gets its partition's offset plus its local
+    position.  ``order_cols`` must be unique per row for determinism.
+    """
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(spark, df.repartitionByRange(n, *order_cols)
+                         .sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id()))
+    starts = (ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+                    .withColumn("_start", F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt"))
+                    .select("_pid", "_start"))
+    local = Window.partitionBy("_pid").orderBy(*order_cols)
+    base = F.lit(0).cast("bigint") if offset is None else offset
+    return (ranged.join(F.broadcast(starts), "_pid")
+                  .withColumn("id", base + F.col("_start") + F.row_number().over(local))
+                  .drop("_pid", "_start"))
+
+
 def cut_lineage(spark: SparkSession, df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder.
 

@@ -68,7 +68,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def sized_conf(input_bytes: int, cores: int, shuffle_fraction: float = 0.25,
-               target_bytes: int = 256 << 20) -> dict:
+               target_bytes: int = 256 << 20, layer_fraction: float = 0.05,
+               bucket_bytes: int = 512 << 20) -> dict:
     """Partition sizing for a given input size and cluster core count.
 
     * scan splits of ``target_bytes`` (``spark.sql.files.maxPartitionBytes``);
@@ -77,15 +78,18 @@ def sized_conf(input_bytes: int, cores: int, shuffle_fraction: float = 0.25,
       partial-aggregate before every exchange) lands near ``target_bytes`` per
       task, never fewer than 3 tasks per core, capped at 100k; AQE then
       coalesces small partitions to the advisory size and splits skewed ones;
-    * the bucket count for ``build_layers`` is the same figure rounded to a
-      power of two, so grain tables and later shuffles line up.
+    * the bucket count for ``build_layers`` sizes one bucket file of the
+      grain layers (``input_bytes * layer_fraction``: one row per product and
+      entity) near ``bucket_bytes``, rounded up to a power of two and at
+      least one bucket per core.
 
-    At 100 TB on 1,000 executors x 8 cores this gives ~100k shuffle
-    partitions (~250 MB each) and 2^17 buckets.
+    At 100 TB on 1,000 executors x 8 cores this gives ~93k shuffle
+    partitions (~250 MB each) and 16,384 buckets (~300 MB files).
     """
     import math
     parts = int(min(100_000, max(cores * 3, math.ceil(input_bytes * shuffle_fraction / target_bytes))))
-    buckets = 1 << max(0, math.ceil(math.log2(parts)))
+    want = max(cores, math.ceil(input_bytes * layer_fraction / bucket_bytes))
+    buckets = 1 << max(0, math.ceil(math.log2(want)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_bytes),
         "spark.sql.shuffle.partitions": str(parts),

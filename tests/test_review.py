@@ -47,3 +47,12 @@ def test_seed_top_n_plan_limits_before_shuffle(spark):
     assert [r.npi for r in s.orderBy("pay_amount").collect()] == [47, 48, 49]
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_dense_ids_across_partitions(spark):
+    from pyspark.sql import functions as F
+    from dosewise.operators.util import dense_ids
+    df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k"), F.lit("x").alias("v"))
+    out = dense_ids(df, ["k"], offset=F.lit(100).cast("bigint"), partitions=7)
+    got = {r.k: r.id for r in out.collect()}
+    assert all(got[k] == 101 + k for k in range(5000))
