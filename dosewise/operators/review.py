@@ -34,8 +34,12 @@ def seed_top_n(rx: DataFrame, pay: DataFrame, n: int = 10) -> DataFrame:
              .select("drug_key", "npi", "pay_amount", F.col("clms").cast("double").alias("avg_claims")))
 
 
+SMALL_SOURCE = 1_000_000
+
+
 def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
-           update_cols=("pay_amount", "avg_claims"), default_status: str = DEFAULT_STATUS) -> DataFrame:
+           update_cols=("pay_amount", "avg_claims"), default_status: str = DEFAULT_STATUS,
+           source_rows_bound: int | None = None) -> DataFrame:
     """JOIN-9 / SNK-9 / STR-7: insert new keys with the default status; on a key
     conflict update only ``update_cols``; status and assignee are kept.
 
@@ -64,9 +68,14 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
     merged = j.select(*cols)
     # New ids: max(id) (a scalar subquery evaluated once) + dense position of
     # the new key, numbered across partitions without a single-task window.
+    # With a proven small bound on the source (a top-N seed), the new keys
+    # are numbered by one window over at most that many rows.
     max_id = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint"))
-    new = dense_ids(merged.where(F.col("id").isNull()).drop("id"), list(keys), offset=max_id) \
-        .select(*merged.columns)
+    fresh = merged.where(F.col("id").isNull())
+    if source_rows_bound is not None and source_rows_bound <= SMALL_SOURCE:
+        new = fresh.withColumn("id", max_id + F.row_number().over(Window.orderBy(*keys)))
+    else:
+        new = dense_ids(fresh.drop("id"), list(keys), offset=max_id).select(*merged.columns)
     return merged.where(F.col("id").isNotNull()).unionByName(new)
 
 

@@ -695,7 +695,8 @@ def _upserted(spark, d):
     x = L(spark, d)
     queue = V.queue_from_log(x.review_changes)
     seed = V.seed_top_n(x.rx, x.pay, 10)
-    return V.upsert(queue, seed, dt.datetime.fromisoformat(SYNC_TS))
+    # The seed holds at most 10 rows per product of the bounded map.
+    return V.upsert(queue, seed, dt.datetime.fromisoformat(SYNC_TS), source_rows_bound=10 * x.map_rows)
 
 
 @query("win_1_seed_top_n", SEED_SQL)

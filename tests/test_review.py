@@ -18,6 +18,8 @@ def test_upsert(spark):
                                  ("Ozempic", 13, D("30.00"), 2.0), ("Humira", 14, D("1.00"), 1.0)],
                                 "drug_key string, npi long, pay_amount decimal(18,2), avg_claims double")
     out = {(r.drug_key, r.npi): r for r in V.upsert(tgt, src, NOW).collect()}
+    small = {(r.drug_key, r.npi): r.id for r in V.upsert(tgt, src, NOW, source_rows_bound=4).collect()}
+    assert small == {k: r.id for k, r in out.items()}
     a = out[("Eliquis", 11)]
     assert (a.id, a.status, a.assigned_to, a.pay_amount, a.avg_claims, a.updated_at) == \
         (1, "cleared", "ann", D("120.00"), 6.0, NOW)
