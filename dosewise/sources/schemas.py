@@ -102,6 +102,16 @@ def require_columns(df: DataFrame, names) -> DataFrame:
     return df
 
 
+def header_report(df: DataFrame, expected) -> DataFrame:
+    """SRC-11 report form: every actual header column numbered, plus every
+    expected name with whether it is present (metadata only, no data job)."""
+    spark = df.sparkSession
+    have = list(df.columns)
+    rows = [(i + 1, c, c in expected, True) for i, c in enumerate(have)]
+    rows += [(None, c, True, False) for c in expected if c not in have]
+    return spark.createDataFrame(rows, "position int, column string, expected boolean, present boolean")
+
+
 def check_allowed(df: DataFrame, column: str, allowed) -> DataFrame:
     """Rows whose value is outside the allowed set (enum check as a query)."""
     from pyspark.sql import functions as F

@@ -35,3 +35,11 @@ def test_bucketed_core_join_has_no_exchange(spark, tmp_dir):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         from dosewise.plans import layers as LY
         LY._INSTANCES.clear()
+
+
+@pytest.mark.parametrize("name", ["agg_1_rx_by_npi_drug", "agg_2_pay_by_npi_drug", "agg_25_latest_review_state",
+                                  "win_4_primary_drug", "agg_28_fixed_effects_ols", "agg_38_claims_quantiles"])
+def test_map_side_combine_before_shuffle(spark, name):
+    """Hot keys are pre-aggregated per task: every aggregation has a partial step."""
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan, plan

@@ -45,6 +45,15 @@ def test_header_contract(spark, tmp_dir):
     assert "Total_Amount_of_Payment_USDollars" in str(e.value)
 
 
+def test_header_report(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "h.csv")
+    _write_csv(p, ["Covered_Recipient_NPI", "Extra"], [["1", "x"]])
+    rep = schemas.header_report(RD.csv_reader(spark).csv(p), list(schemas.PAYMENTS_HEADERS))
+    rows = {r.column: r for r in rep.collect()}
+    assert rows["Covered_Recipient_NPI"].position == 1 and rows["Covered_Recipient_NPI"].present
+    assert rows["Extra"].expected is False and rows["Program_Year"].present is False
+
+
 def test_prescribing_csv_year_from_name_and_json(spark, tmp_dir):
     hdr = list(schemas.PARTD_HEADERS) + list(schemas.PARTD_OPTIONAL)
     p = os.path.join(tmp_dir, "partd_2023.csv")
