@@ -19,11 +19,11 @@ def raw_summary(partd: DataFrame, payments: DataFrame) -> DataFrame:
     """DQ-1 / AGG-19 / SET-1: rows, zero ids, rounded totals, positive rows per raw table."""
     a = partd.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("npi") == 0).alias("zero_npi"),
                   F.round(F.sum("tot_drug_cst"), 0).cast("decimal(20,0)").alias("total_cost"),
-                  F.count_if(F.col("tot_clms") > 0).alias("rows_positive")) \
+                  F.count_if(F.col("tot_clms") > 0).alias("rows_with_clms")) \
              .select(F.lit("partd_raw").alias("tbl"), "*")
     b = payments.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("npi") == 0).alias("zero_npi"),
                      F.round(F.sum("amount"), 0).cast("decimal(20,0)").alias("total_cost"),
-                     F.count_if(F.col("amount") > 0).alias("rows_positive")) \
+                     F.count_if(F.col("amount") > 0).alias("rows_with_clms")) \
                 .select(F.lit("payments_raw").alias("tbl"), "*")
     return a.unionByName(b)
 

@@ -509,7 +509,7 @@ def dq_7(spark, d):
 @query("dq_1_raw_summary", """
 SELECT 'partd_raw' AS tbl, count(*) AS rows, CAST(count_if(npi = 0) AS BIGINT) AS zero_npi,
        CAST(round(sum(tot_drug_cst), 0) AS DECIMAL(20,0)) AS total_cost,
-       CAST(count_if(tot_clms > 0) AS BIGINT) AS rows_positive FROM fx_partd_raw
+       CAST(count_if(tot_clms > 0) AS BIGINT) AS rows_with_clms FROM fx_partd_raw
 UNION ALL
 SELECT 'payments_raw', count(*), CAST(count_if(npi = 0) AS BIGINT),
        CAST(round(sum(amount), 0) AS DECIMAL(20,0)), CAST(count_if(amount > 0) AS BIGINT) FROM fx_payments_raw""")
