@@ -89,13 +89,14 @@ def first_identity(rows: DataFrame, key: str, cols, order_cols) -> DataFrame:
                 .select(key, *[F.col(f"_id.{c}").alias(c) for c in cols]))
 
 
-def entities(claims: DataFrame, pays: DataFrame, identity: DataFrame) -> DataFrame:
+def entities(claims: DataFrame, pays: DataFrame, identity: DataFrame,
+             pay_identity: DataFrame | None = None) -> DataFrame:
     """JOIN-8 + AGG-12: one row per entity with totals (the ``doctors`` table).
 
     Prescribing entities take name, city and state from the identity table
     and the specialty of their own prescribing rows (min, D-4);
-    entities seen only in payments are added with name 'NPI n' and an empty
-    specialty.  ``total_pay`` sums the per-drug payment rows, so a payment
+    entities seen only in payments are added with an empty specialty and the
+    name/city/state of ``pay_identity`` when given (else name 'NPI n').  ``total_pay`` sums the per-drug payment rows, so a payment
     naming two tracked drugs counts twice (D-15, reference semantics).
     """
     rx_tot = claims.groupBy("npi").agg(long_sum("claims").alias("total_claims"),
@@ -104,9 +105,13 @@ def entities(claims: DataFrame, pays: DataFrame, identity: DataFrame) -> DataFra
     ident = identity.select("npi", "name", "city", "state")
     rx_side = rx_tot.join(ident, "npi", "left")
     pay_only = pay_tot.select("npi").join(rx_tot.select("npi"), "npi", "left_anti")
+    if pay_identity is not None:
+        pay_only = pay_only.join(pay_identity.select("npi", "name", "city", "state"), "npi", "left")
+    else:
+        pay_only = pay_only.select("npi", F.lit(None).cast("string").alias("name"),
+                                   F.lit("").alias("city"), F.lit("").alias("state"))
     ids = rx_side.select("npi", "name", "specialty", "city", "state", "total_claims").unionByName(
-        pay_only.select("npi", F.lit(None).cast("string").alias("name"),
-                        F.lit("").alias("specialty"), F.lit("").alias("city"), F.lit("").alias("state"),
+        pay_only.select("npi", "name", F.lit("").alias("specialty"), "city", "state",
                         F.lit(0).cast("bigint").alias("total_claims")))
     return (ids.join(pay_tot, "npi", "left")
                .select("npi",

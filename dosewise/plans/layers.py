@@ -31,7 +31,11 @@ BUCKET_KEYS = {"doctors": ("npi",)}
 
 
 class Layers:
-    """Typed inputs and derived layers of one data directory (all lazy)."""
+    """Typed inputs and derived layers of one data directory (all lazy).
+
+    By default the inputs are the fixture projection of the provided tables
+    under ``sf_dir``; ``Layers.of`` takes typed inputs read from real files.
+    """
 
     map_rows = len(FX.FIXTURE_DRUG_MAP)
 
@@ -40,6 +44,22 @@ class Layers:
         self.sf_dir = sf_dir
         self.t = FX.Tables(spark, sf_dir)
 
+    @classmethod
+    def of(cls, spark: SparkSession, *, partd, payments, drug_map, identities,
+           pay_identities=None, map_rows: int | None = None, key: str = "inputs") -> "Layers":
+        """Layers over typed input tables (e.g. from ``sources.readers``).
+        ``map_rows`` is the map's size when known; otherwise it is checked
+        before the map is broadcast."""
+        lay = cls(spark, key)
+        lay.map_rows = map_rows
+        lay.__dict__.update(partd=partd, payments=payments, drug_map=drug_map,
+                            identities=identities, pay_identities=pay_identities)
+        return lay
+
+    @cached_property
+    def pay_identities(self):
+        return None
+
     @cached_property
     def drug_map(self):
         return FX.drug_map(self.spark)
@@ -91,7 +111,7 @@ class Layers:
 
     @cached_property
     def doctors(self):
-        return R.entities(self.claims, self.pays, self.identities)
+        return R.entities(self.claims, self.pays, self.identities, self.pay_identities)
 
 
 _INSTANCES: dict[tuple[str, str], Layers] = {}
@@ -131,7 +151,8 @@ def _write_layer(spark: SparkSession, lay: Layers, name: str, root: str, n: int)
 
 
 def build_layers(spark: SparkSession, sf_dir: str, buckets: int | None = None,
-                 base: str | None = None, names=BUILT, parallel: bool = True) -> dict[str, float]:
+                 base: str | None = None, names=BUILT, parallel: bool = True,
+                 layers: Layers | None = None) -> dict[str, float]:
     """Write every layer once under the shared folder — typed raw tables
     partitioned by year, grain layers bucketed and sorted on the grain key —
     and point this session's ``Layers`` at them.
@@ -146,7 +167,7 @@ def build_layers(spark: SparkSession, sf_dir: str, buckets: int | None = None,
     from concurrent.futures import ThreadPoolExecutor
 
     from dosewise.plans.session import shared_dir
-    lay = layers_for(spark, sf_dir)
+    lay = layers if layers is not None else layers_for(spark, sf_dir)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = base or shared_dir(spark, f"layers/{_table_name(sf_dir, 'v1')}")
     lay.drug_map  # resolve shared inputs once, before threads start
