@@ -17,6 +17,21 @@ from dosewise.operators.util import long_sum, money_sum
 from dosewise.sources import schemas
 
 
+def _sum_then_min_specialty(rows: DataFrame, keys, sums: dict, money=()) -> DataFrame:
+    """Sums per ``keys`` plus the deterministic ``min(specialty)``.
+
+    A string ``min`` cannot live in a hash-aggregation buffer (Spark would
+    sort the raw rows instead).  So the raw rows are first reduced with the
+    specialty as a grouping *key* -- a hash aggregate with map-side combine
+    -- and the string ``min`` then runs over that grain-sized result only.
+    """
+    first = rows.groupBy(*keys, "specialty").agg(
+        *[F.sum(src).alias(out) for out, src in sums.items()])
+    return first.groupBy(*keys).agg(
+        F.min("specialty").alias("specialty"),
+        *[(money_sum(out) if out in money else long_sum(out)).alias(out) for out in sums])
+
+
 def rx_by_key(partd: DataFrame, drug_map: DataFrame, year: int | None = None,
               match: str = "token", map_rows: int | None = None) -> DataFrame:
     """AGG-1: (drug_key, npi, specialty, clms, drug_cst, benes) from prescribing.
@@ -28,11 +43,9 @@ def rx_by_key(partd: DataFrame, drug_map: DataFrame, year: int | None = None,
     if year is not None:
         p = p.where(F.col("yr") == year)
     m = M.match_prescribing(p, drug_map, match=match, map_rows=map_rows)
-    return m.groupBy("drug_key", "npi").agg(
-        F.min("specialty").alias("specialty"),
-        long_sum("tot_clms").alias("clms"),
-        money_sum("tot_drug_cst").alias("drug_cst"),
-        long_sum("tot_benes").alias("benes"))
+    return _sum_then_min_specialty(m, ["drug_key", "npi"],
+                                   {"clms": "tot_clms", "drug_cst": "tot_drug_cst", "benes": "tot_benes"},
+                                   money={"drug_cst"})
 
 
 def scoped_payments(payments: DataFrame, year: int | None = None) -> DataFrame:
@@ -55,11 +68,9 @@ def entity_drug_claims(partd: DataFrame, drug_map: DataFrame, map_rows: int | No
     """AGG-9: (npi, drug_key, specialty, claims, cost, benes) with the first-match key (JOIN-5)."""
     p = partd.where(F.col("npi") != 0)
     m = M.first_match_key(p, drug_map, map_rows=map_rows)
-    return m.groupBy("npi", "drug_key").agg(
-        F.min("specialty").alias("specialty"),
-        long_sum("tot_clms").alias("claims"),
-        money_sum("tot_drug_cst").alias("cost"),
-        long_sum("tot_benes").alias("benes"))
+    return _sum_then_min_specialty(m, ["npi", "drug_key"],
+                                   {"claims": "tot_clms", "cost": "tot_drug_cst", "benes": "tot_benes"},
+                                   money={"cost"})
 
 
 def entity_drug_payments(payments: DataFrame, drug_map: DataFrame, map_rows: int | None = None) -> DataFrame:
@@ -80,13 +91,16 @@ def entity_drug_manufacturer(payments: DataFrame, drug_map: DataFrame, map_rows:
 def first_identity(rows: DataFrame, key: str, cols, order_cols) -> DataFrame:
     """AGG-27: first-seen identity per key: ``min_by(struct(cols), struct(order))``.
 
-    A single hash aggregate with a mergeable buffer, so a hot key is
-    combined map-side instead of sorted in one task.
+    Raw rows are first reduced to distinct (key, identity, order) tuples by a
+    hash aggregate with map-side combine (a hot key collapses to its few
+    distinct identities per task); the ``min_by`` over structs then runs on
+    that reduced set only.
     """
     ident = F.struct(*[F.col(c) for c in cols])
     order = F.struct(*[F.col(c) for c in order_cols])
-    return (rows.groupBy(key).agg(F.min_by(ident, order).alias("_id"))
-                .select(key, *[F.col(f"_id.{c}").alias(c) for c in cols]))
+    distinct = rows.select(key, *cols, *[c for c in order_cols if c not in cols]).distinct()
+    return (distinct.groupBy(key).agg(F.min_by(ident, order).alias("_id"))
+                    .select(key, *[F.col(f"_id.{c}").alias(c) for c in cols]))
 
 
 def entities(claims: DataFrame, pays: DataFrame, identity: DataFrame,

@@ -114,11 +114,12 @@ class Layers:
         return R.entities(self.claims, self.pays, self.identities, self.pay_identities)
 
 
-_INSTANCES: dict[tuple[str, str], Layers] = {}
+_INSTANCES: dict[tuple, Layers] = {}
 
 
 def layers_for(spark: SparkSession, sf_dir: str) -> Layers:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    # DataFrames belong to one session: key by application and session.
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _INSTANCES:
         _INSTANCES[key] = Layers(spark, sf_dir)
     return _INSTANCES[key]
