@@ -203,6 +203,17 @@ def manufacturer_leaderboard(matched_pay: DataFrame, n: int = 10) -> DataFrame:
     return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def manufacturer_leaderboard_from_mfr(mfr: DataFrame, n: int = 10) -> DataFrame:
+    """AGG-31 from the per (entity, drug, manufacturer) read model: it is
+    unique on that key, so distinct prescribers = rows and events = sum(n);
+    no raw payments are re-matched and no distinct aggregation is needed."""
+    agg = mfr.groupBy("drug_key", "manufacturer").agg(
+        money_sum("amount").alias("dollars"), F.sum("n").cast("bigint").alias("events"),
+        F.count(F.lit(1)).alias("prescribers"))
+    w = Window.partitionBy("drug_key").orderBy(F.desc("dollars"), F.asc("manufacturer"))
+    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def claims_quantiles(rx: DataFrame, qs=(0.25, 0.5, 0.75, 0.9), by=("drug_key",)) -> DataFrame:
     """AGG-38: exact linear-interpolated quantiles of claims per group.
 

@@ -289,7 +289,7 @@ SELECT drug_key, manufacturer, dollars, events, prescribers, rank FROM (
   FROM fx_pay_rows GROUP BY drug_key, manufacturer)
 WHERE rank <= 10""")
 def agg_31(spark, d):
-    return A.manufacturer_leaderboard(L(spark, d).pay_rows, 10)
+    return A.manufacturer_leaderboard_from_mfr(L(spark, d).mfr, 10)
 
 
 @query("agg_38_claims_quantiles", """
