@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dosewise.functions.clean import BAND_LABELS, pay_band, paid_group
-from dosewise.operators.util import long_sum, mean, money_sum
+from dosewise.operators.util import mean, money_sum
 from dosewise.sources import schemas
 
 KEYS = ["drug_key", "npi"]

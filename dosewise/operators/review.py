@@ -8,8 +8,6 @@ over the path being read.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -118,5 +116,3 @@ def to_event_rows(changes: DataFrame, synced_at=None) -> DataFrame:
         F.coalesce(F.col("assigned_to"), F.lit("")).alias("assigned_to"),
         F.col("updated_at").cast("timestamp").alias("updated_at"), ts.alias("synced_at"))
 
-
-EPOCH = dt.datetime(1970, 1, 1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.functions.clean import full_name, strip
+from dosewise.functions.clean import strip
 from dosewise.operators import peers as P
 from dosewise.operators import quality as Q
 from dosewise.operators import rollup as R

@@ -1,7 +1,6 @@
 """Ad-hoc SQL guard and the entity profile."""
 import pytest
 
-import __spark_entry__ as E
 from dosewise.plans import adhoc
 from dosewise.plans.layers import layers_for
 from dosewise.operators import search as S

@@ -1,7 +1,6 @@
 """Edge cases of the cleaning expressions (FIXTURES.md section 3)."""
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from dosewise.functions import clean as C
 

@@ -1,5 +1,4 @@
 """Name matching truth table and the disjunctive-join rewrite."""
-from pyspark.sql import functions as F
 
 from dosewise.operators import match as M
 from dosewise.operators import rollup as R

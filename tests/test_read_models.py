@@ -1,7 +1,6 @@
 """Bias metric, peer benchmark, search ranking, similar entities."""
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from dosewise.operators import peers as P
 from dosewise.operators import search as S
