@@ -59,3 +59,35 @@ def test_upsert_each_batch(spark, tmp_dir):
     assert len(sinks.snapshot_versions(spark, q)) == 2
     assert snap[("A", 1)].pay_amount == D("7.00") and snap[("A", 1)].id == 1
     assert snap[("B", 3)].id == 3 and snap[("B", 3)].status == "flagged"
+
+
+def test_latest_state_stream_complete_mode(spark, tmp_dir):
+    ch = review_changes(Tables(spark, SF))
+    land = os.path.join(tmp_dir, "landing")
+    ch.write.parquet(land)
+    s = RS.change_stream(spark, land, ch.schema, max_files_per_trigger=1)
+    q = (RS.latest_state_stream(s, order=("updated_at", "event_id")).writeStream
+         .outputMode("complete").format("memory").queryName("latest_review_state")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("latest_review_state").select("review_id", "drug_key", "npi", "pay_amount", "status",
+                                                   "updated_at")
+    want = V.latest_state(ch, order=("updated_at", "event_id"),
+                          cols=("drug_key", "npi", "pay_amount", "status"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_watch_mode_polls(spark, tmp_dir):
+    ch = review_changes(Tables(spark, SF))
+    land, log, ck = (os.path.join(tmp_dir, x) for x in ("landing", "log", "ck"))
+    ch.limit(10).write.parquet(land)
+    q = RS.sync_to_log(spark, land, ch.schema, log, ck, once=False, interval="1 second",
+                       dedup_keys=("review_id", "updated_at", "event_id"))
+    try:
+        q.processAllAvailable()
+        assert RS.read_log(spark, log).count() == 10
+    finally:
+        q.stop()
