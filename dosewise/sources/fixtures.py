@@ -64,8 +64,11 @@ def partd_raw(t: Tables) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = t("customer").select("c_custkey", "c_mktsegment")
     p = t("part").select("p_partkey", "p_name", "p_type")
-    j = (l.join(o, l.l_orderkey == o.o_orderkey)
-          .join(c, o.o_custkey == c.c_custkey)
+    # orders x customer first: at scale neither side may be broadcastable,
+    # and joining the two smaller tables before meeting lineitem saves one
+    # lineitem-sized shuffle (lineitem is shuffled on orderkey, then partkey).
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    j = (l.join(oc, l.l_orderkey == oc.o_orderkey)
           .join(p, l.l_partkey == p.p_partkey))
     return j.select(
         F.col("o_custkey").alias("npi"),
