@@ -117,6 +117,14 @@ def pay_band(c, edges=BAND_EDGES) -> Column:
             .otherwise(F.lit(BAND_LABELS[4])))
 
 
+def band_display(c) -> Column:
+    """FN-25: display label of a band key ('2 $100-1k' -> '$100-1k')."""
+    out = F.lit(None).cast("string")
+    for k, v in reversed(list(BAND_DISPLAY.items())):
+        out = F.when(_c(c) == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def paid_group(c) -> Column:
     """FLT-21: 'paid' when the amount is > 0, else 'unpaid' (NULL -> 'unpaid')."""
     return F.when(F.coalesce(_c(c) > 0, F.lit(False)), F.lit("paid")).otherwise(F.lit("unpaid"))

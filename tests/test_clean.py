@@ -50,6 +50,12 @@ def test_pay_band(spark):
     assert got == ["0 $0", "0 $0", "1 <$100", "2 $100-1k", "3 $1k-10k", "4 $10k+", "1 <$100"]
 
 
+def test_band_display(spark):
+    df = spark.createDataFrame([(k,) for k in C.BAND_LABELS] + [("x",)], "b string")
+    assert [r[0] for r in df.select(C.band_display("b")).collect()] == \
+        ["$0", "<$100", "$100-1k", "$1k-10k", "$10k+", None]
+
+
 def test_paid_group(spark):
     df = spark.createDataFrame([(None,), (0.0,), (0.01,), (-1.0,)], "x double")
     assert [r[0] for r in df.select(C.paid_group("x")).collect()] == ["unpaid", "unpaid", "paid", "unpaid"]
