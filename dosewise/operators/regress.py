@@ -154,21 +154,25 @@ def _fix(v: str) -> str:
 
 
 def _betacf_sql(a: str, b: str, x: str) -> str:
-    """Modified-Lentz continued fraction folded with ``aggregate`` over
-    half-steps j = 1..2n (m = ceil(j/2)).  The state keeps the last factor
-    d*c pending (h excludes it) so each step is one small expression; a
-    converged state (|d*c - 1| < eps after a full step) stops changing.
-    n grows like sqrt(max(a, b)), the worst-case number of terms."""
+    """Modified-Lentz continued fraction as a fold.
+
+    The coefficients of the half-steps j = 1..2n (m = ceil(j/2)) are built
+    once with ``transform(sequence(...))``; ``aggregate`` then folds them.
+    The state keeps the last factor d*c pending (h excludes it) so each step
+    is one small expression; a converged state (|d*c - 1| < eps after a full
+    step) stops changing.  n grows like sqrt(max(a, b)), the worst-case
+    number of terms."""
     m = "CAST((j + 1) DIV 2 AS DOUBLE)"
-    aa = (f"(CASE WHEN j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} - 1D + 2D * {m}) * ({a} + 2D * {m})) "
-          f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 1D + 2D * {m})) END)")
-    dn = f"(1D / {_fix(f'1D + {aa} * acc.d')})"
-    cn = _fix(f"1D + {aa} / acc.c")
-    d0 = f"(1D / {_fix(f'1D - ({a} + {b}) * {x} / ({a} + 1D)')})"
+    aa = (f"CASE WHEN j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} - 1D + 2D * {m}) * ({a} + 2D * {m})) "
+          f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 1D + 2D * {m})) END")
     steps = f"CAST(least({CF_MAX_STEPS}, 64 + 8 * ceil(sqrt(greatest({a}, {b})))) AS INT) * 2 + 1"
-    return (f"aggregate(sequence(1, {steps}), named_struct('c', 1D, 'd', {d0}, 'h', 1D, 'done', false), "
-            f"(acc, j) -> CASE WHEN acc.done THEN acc "
-            f"WHEN j % 2 = 1 AND j > 1 AND abs(acc.d * acc.c - 1D) < {_d(CF_EPS)} "
+    coeffs = f"transform(sequence(1, {steps}), j -> named_struct('j', j, 'aa', {aa}))"
+    dn = f"(1D / {_fix('1D + s.aa * acc.d')})"
+    cn = _fix("1D + s.aa / acc.c")
+    d0 = f"(1D / {_fix(f'1D - ({a} + {b}) * {x} / ({a} + 1D)')})"
+    return (f"aggregate({coeffs}, named_struct('c', 1D, 'd', {d0}, 'h', 1D, 'done', false), "
+            f"(acc, s) -> CASE WHEN acc.done THEN acc "
+            f"WHEN s.j % 2 = 1 AND s.j > 1 AND abs(acc.d * acc.c - 1D) < {_d(CF_EPS)} "
             f"THEN named_struct('c', acc.c, 'd', acc.d, 'h', acc.h, 'done', true) "
             f"ELSE named_struct('c', {cn}, 'd', {dn}, 'h', acc.h * acc.d * acc.c, 'done', false) END, "
             f"acc -> acc.h * acc.d * acc.c)")
