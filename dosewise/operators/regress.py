@@ -211,12 +211,20 @@ def with_pvalues(fe: DataFrame) -> DataFrame:
               .withColumn("interpretation", F.coalesce(text, F.concat(F.lit("("), F.col("note"), F.lit(")")))))
 
 
+def result_table(fe_p: DataFrame) -> DataFrame:
+    """The per-drug result as the reference's notebook shows it: coefficient
+    (3 dp), p-value (4 dp) and the interpretation text, plus n and dof."""
+    return fe_p.select("drug_key", "n", "dof", F.round("coef", 3).alias("paid_coef"),
+                       F.round("p_value", 4).alias("p_value"), "interpretation")
+
+
 def headline(fe_p: DataFrame, alpha: float = 0.001) -> DataFrame:
-    """AGG-30: branded drugs with a significant effect, max and median effect."""
+    """AGG-30: drugs estimated, drugs with a significant positive effect, and
+    the max / median effect (% more claims, 1 dp) among the significant ones."""
     est = fe_p.where(F.col("coef").isNotNull())
-    sig = F.col("p_value") < alpha
+    sig = (F.col("p_value") < alpha) & (F.col("coef") > 0)
     return est.agg(
         F.count(F.lit(1)).alias("drugs_estimated"),
-        F.count_if(sig & (F.col("coef") > 0)).alias("significant_positive"),
-        F.max(F.when(sig, F.col("effect_pct"))).alias("max_effect_pct"),
-        F.median(F.when(sig, F.col("effect_pct"))).alias("median_effect_pct"))
+        F.count_if(sig).alias("significant_positive"),
+        F.round(F.max(F.when(sig, F.col("effect_pct"))), 1).alias("max_effect_pct"),
+        F.round(F.median(F.when(sig, F.col("effect_pct"))), 1).alias("median_effect_pct"))

@@ -820,12 +820,79 @@ def agg_28(spark, d):
                      F.round("effect_pct", 4).alias("effect_pct"), "note")
 
 
-@query("agg_28_fixed_effects_pvalues")
+# The p-value in SQL: the same regularised incomplete beta (continued fraction
+# by modified Lentz, one recursive step per half-term) as the engine's fold.
+PVALUE_CTES = [
+    ("fe", FE_SQL.replace(
+        "SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) AS coef, round(se, 6) AS se,\n"
+        "       round(coef / se, 4) AS t, round((exp(coef) - 1) * 100, 4) AS effect_pct,",
+        "SELECT drug_key, n, groups, n_paid, dof, coef, se,\n"
+        "       coef / se AS t, (exp(coef) - 1) * 100 AS effect_pct,")),
+    ("pin", """SELECT drug_key, t, dof, dof / (dof + t * t) AS x, dof / 2.0 AS a,
+                      dof / (dof + t * t) >= (dof / 2.0 + 1.0) / (dof / 2.0 + 2.5) AS swap
+               FROM fe WHERE t IS NOT NULL AND dof > 0"""),
+    ("prm", """SELECT drug_key, t, dof, x, a, swap,
+                      CASE WHEN swap THEN 0.5 ELSE a END AS a_, CASE WHEN swap THEN a ELSE 0.5 END AS b_,
+                      CASE WHEN swap THEN 1.0 - x ELSE x END AS x_,
+                      CAST(least(100000, 64 + 8 * ceil(sqrt(greatest(a, 0.5)))) AS INTEGER) * 2 + 1 AS steps
+               FROM pin"""),
+    ("cf", """SELECT * FROM (WITH RECURSIVE it(drug_key, j, c, d, h, done) AS (
+                 SELECT drug_key, 0, 1.0::DOUBLE,
+                        1.0 / CASE WHEN abs(1.0 - (a_ + b_) * x_ / (a_ + 1.0)) < 1e-300 THEN 1e-300
+                                   ELSE 1.0 - (a_ + b_) * x_ / (a_ + 1.0) END, 1.0::DOUBLE, false
+                 FROM prm
+                 UNION ALL
+                 SELECT it.drug_key, it.j + 1,
+                        CASE WHEN it.done OR ((it.j + 1) % 2 = 1 AND it.j + 1 > 1 AND abs(it.d * it.c - 1.0) < 1e-15)
+                             THEN it.c ELSE
+                             CASE WHEN abs(1.0 + q.aa / it.c) < 1e-300 THEN 1e-300 ELSE 1.0 + q.aa / it.c END END,
+                        CASE WHEN it.done OR ((it.j + 1) % 2 = 1 AND it.j + 1 > 1 AND abs(it.d * it.c - 1.0) < 1e-15)
+                             THEN it.d ELSE
+                             1.0 / CASE WHEN abs(1.0 + q.aa * it.d) < 1e-300 THEN 1e-300 ELSE 1.0 + q.aa * it.d END END,
+                        CASE WHEN it.done OR ((it.j + 1) % 2 = 1 AND it.j + 1 > 1 AND abs(it.d * it.c - 1.0) < 1e-15)
+                             THEN it.h ELSE it.h * it.d * it.c END,
+                        it.done OR ((it.j + 1) % 2 = 1 AND it.j + 1 > 1 AND abs(it.d * it.c - 1.0) < 1e-15)
+                 FROM it JOIN prm p USING (drug_key)
+                 CROSS JOIN LATERAL (SELECT
+                     CASE WHEN (it.j + 1) % 2 = 1
+                          THEN ceil((it.j + 1) / 2.0) * (p.b_ - ceil((it.j + 1) / 2.0)) * p.x_
+                               / ((p.a_ - 1.0 + 2.0 * ceil((it.j + 1) / 2.0)) * (p.a_ + 2.0 * ceil((it.j + 1) / 2.0)))
+                          ELSE -(p.a_ + ceil((it.j + 1) / 2.0)) * (p.a_ + p.b_ + ceil((it.j + 1) / 2.0)) * p.x_
+                               / ((p.a_ + 2.0 * ceil((it.j + 1) / 2.0)) * (p.a_ + 1.0 + 2.0 * ceil((it.j + 1) / 2.0)))
+                     END AS aa) q
+                 WHERE it.j < p.steps AND NOT it.done)
+              SELECT drug_key, arg_max(h * d * c, j) AS cf FROM it GROUP BY drug_key)"""),
+    ("pv", """SELECT p.drug_key,
+                     CASE WHEN p.x >= 1.0 THEN 1.0 WHEN p.x <= 0.0 THEN 0.0
+                          WHEN p.swap THEN 1.0 - exp(lgamma(p.a + 0.5) - lgamma(p.a) - lgamma(0.5)
+                                                     + p.a * ln(p.x) + 0.5 * ln(1.0 - p.x)) * cf.cf / p.a_
+                          ELSE exp(lgamma(p.a + 0.5) - lgamma(p.a) - lgamma(0.5)
+                                   + p.a * ln(p.x) + 0.5 * ln(1.0 - p.x)) * cf.cf / p.a_ END AS p_value
+              FROM prm p JOIN cf USING (drug_key)"""),
+    ("fep", """SELECT fe.*, pv.p_value,
+                      coalesce(CASE WHEN fe.coef IS NOT NULL
+                                    THEN printf('%.1f%% more claims if paid', round((exp(fe.coef) - 1) * 100, 1)) END,
+                               '(' || fe.note || ')') AS interpretation
+               FROM fe LEFT JOIN pv USING (drug_key)"""),
+]
+
+
+assert "coef / se AS t" in PVALUE_CTES[0][1], "unrounded FE statement expected for the p-value oracle"
+
+
+@query("agg_28_fixed_effects_pvalues", """
+SELECT drug_key, n, dof, round(coef, 3) AS paid_coef, round(p_value, 4) AS p_value, interpretation
+FROM fep""", extra_ctes=PVALUE_CTES)
 def agg_28p(spark, d):
-    return G.with_pvalues(_fe(spark, d))
+    return G.result_table(G.with_pvalues(_fe(spark, d)))
 
 
-@query("agg_30_headline")
+@query("agg_30_headline", """
+SELECT count(*) AS drugs_estimated,
+       CAST(count_if(p_value < 0.001 AND coef > 0) AS BIGINT) AS significant_positive,
+       round(max(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) AS max_effect_pct,
+       round(median(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) AS median_effect_pct
+FROM fep WHERE coef IS NOT NULL""", extra_ctes=PVALUE_CTES)
 def agg_30(spark, d):
     return G.headline(G.with_pvalues(_fe(spark, d)))
 
