@@ -15,7 +15,7 @@ no sum-of-squares cancellation and no extra centring pass.  The
 two-sided p-value needs the Student-t CDF: the regularised incomplete
 beta is evaluated in JVM expressions (Lanczos log-gamma and a continued
 fraction folded with ``aggregate``) over at most one row per drug, so no
-Python worker is involved; the Python form is kept to cross-check it.
+Python worker is involved; the plain-Python form below cross-checks it in tests.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _group_moments(per_entity: DataFrame, group: str) -> DataFrame:
@@ -119,13 +117,6 @@ def t_two_sided_p(t: float, dof: float) -> float:
     return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf(T.DoubleType())
-def t_pvalue_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Arrow-batched form of ``t_two_sided_p`` (kept for cross-checks)."""
-    out = [t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(t, dof)]
-    return pd.Series(out, dtype="float64")
-
-
 # ------------------------------------------------ the same, as JVM expressions
 
 # Lanczos approximation of log-gamma, g = 7, nine coefficients.
