@@ -56,7 +56,7 @@ def test_t_pvalues_known_values():
     assert G.t_two_sided_p(0.0, 5) == 1.0
 
 
-def test_pvalue_udf_and_headline(spark):
+def test_pvalue_and_headline(spark):
     pdf = _sample(n=2000)
     df = spark.createDataFrame(pdf).selectExpr("drug_key", "npi", "CAST(clms AS BIGINT) clms", "specialty",
                                                "CAST(pay_amount AS DECIMAL(18,2)) pay_amount")
