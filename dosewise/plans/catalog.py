@@ -206,6 +206,19 @@ def agg_6(spark, d):
     return A.explore_bands(x.rx, x.pay, None, **EXPLORE_ARGS)
 
 
+@query("api_6_explore_one_drug", f"""
+SELECT r.drug_key, {BAND} AS pay_band, count(*) AS n, {AVG_CLMS}
+FROM fx_rx r LEFT JOIN fx_pay p ON p.drug_key = r.drug_key AND p.npi = r.npi
+WHERE r.drug_key = 'Small' AND r.clms >= 0
+  AND coalesce(CAST(p.pay_amount AS DOUBLE), 0.0) >= 0.0 AND coalesce(CAST(p.pay_amount AS DOUBLE), 0.0) <= 1e12
+GROUP BY 1, 2""")
+def api_6(spark, d):
+    """API-6 as issued for one drug with the default filters (min claims 0,
+    payment range 0..1e12); the drug predicate reaches both scans."""
+    x = L(spark, d)
+    return A.explore_bands(x.rx, x.pay, "Small")
+
+
 @query("agg_7_explore_summary", """
 SELECT drug_key, CAST(sum(n) AS BIGINT) AS n_prescribers,
        coalesce(round(sum(CASE WHEN pay_band <> '0 $0' THEN avg_claims * n END)
