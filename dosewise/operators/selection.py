@@ -54,42 +54,44 @@ def top_candidates(promo: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
 
 
 def brand_prescribing(partd: DataFrame, candidates: DataFrame, n_candidates: int = N_CANDIDATES) -> DataFrame:
-    """JOIN-10 + AGG-16: prescribing rows and claims by brand token, candidates only."""
+    """JOIN-10: one pass over the prescribing rows of candidate brands, reduced
+    to (brand token, trimmed upper generic) -> rows, claims.  Totals and the
+    generic mode are both read off this small table."""
     cand = checked_broadcast(candidates.select("t"), n_candidates, known_rows=n_candidates)
-    p = partd.select(tok("brnd_name").alias("t"), _claims(partd).alias("c"), "gnrc_name")
-    return p.join(cand, "t", "left_semi")
+    p = partd.select(tok("brnd_name").alias("t"), upper_key("gnrc_name").alias("g"), _claims(partd).alias("c"))
+    return (p.join(cand, "t", "left_semi")
+             .groupBy("t", "g").agg(F.count(F.lit(1)).alias("cnt"), F.sum("c").alias("clms")))
 
 
-def prescribing_totals(presc: DataFrame) -> DataFrame:
-    return presc.groupBy("t").agg(F.count(F.lit(1)).alias("pd_rows"), F.sum("c").cast("bigint").alias("pd_clms"))
+def prescribing_totals(tg: DataFrame) -> DataFrame:
+    """AGG-16: prescribing rows and claims per brand token."""
+    return tg.groupBy("t").agg(F.sum("cnt").cast("bigint").alias("pd_rows"),
+                               F.sum("clms").cast("bigint").alias("pd_clms"))
 
 
-def generic_mode(presc: DataFrame) -> DataFrame:
-    """AGG-17: most common non-empty generic per brand; ties by name.
-
-    The window runs over the (brand, generic) counts, one row per distinct
-    pair, never over raw rows.
-    """
-    g = (presc.select("t", upper_key("gnrc_name").alias("g")).where(F.col("g") != "")
-              .groupBy("t", "g").agg(F.count(F.lit(1)).alias("cnt")))
+def generic_mode(tg: DataFrame) -> DataFrame:
+    """AGG-17: most common non-empty generic per brand; ties by name.  The
+    window runs over one row per distinct (brand, generic) pair."""
     w = Window.partitionBy("t").orderBy(F.desc("cnt"), F.asc("g"))
-    return g.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select("t", "g", "cnt")
+    return (tg.where(F.col("g") != "").withColumn("rn", F.row_number().over(w))
+              .where(F.col("rn") == 1).select("t", "g", F.col("cnt").cast("bigint").alias("cnt")))
 
 
 def select_drugs(payments: DataFrame, partd: DataFrame, n: int = N_BRANDS,
                  n_candidates: int = N_CANDIDATES, min_rows: int = MIN_PRESCRIBING_ROWS,
                  control=CONTROL_ROW) -> DataFrame:
     """API-11: (drug_key, brnd_name, gnrc_name, match_on); branded rows ranked by
-    promotion, then the control row (SET-4).  At most ``n + 1`` rows."""
-    promo = brand_promotion(payments)
-    cand = top_candidates(promo, n_candidates)
-    presc = brand_prescribing(partd, cand, n_candidates)
-    tot = prescribing_totals(presc)
-    elig = (cand.join(tot, "t").where(F.col("pd_rows") >= min_rows)
+    promotion, then the control row (SET-4).  At most ``n + 1`` rows.
+
+    The candidate list (at most ``n_candidates`` rows) feeds three branches;
+    it is persisted so the payments are aggregated once.
+    """
+    cand = top_candidates(brand_promotion(payments), n_candidates).persist()
+    tg = brand_prescribing(partd, cand, n_candidates)
+    elig = (cand.join(prescribing_totals(tg), "t").where(F.col("pd_rows") >= min_rows)
                 .orderBy(F.desc("op_count"), F.asc("t")).limit(n))
-    gen = generic_mode(presc)
     spark = payments.sparkSession
-    branded = elig.join(gen, "t", "left").select(
+    branded = elig.join(generic_mode(tg), "t", "left").select(
         F.initcap("t").alias("drug_key"), F.col("t").alias("brnd_name"),
         F.coalesce("g", F.lit("")).alias("gnrc_name"), F.lit("brand").alias("match_on"))
     ctrl = spark.createDataFrame([control], schemas.DRUG_MAP)
