@@ -133,7 +133,7 @@ def _table_name(sf_dir: str, name: str) -> str:
 WAVES = (("partd", "payments"), ("rx", "pay", "claims", "pays", "mfr"), ("dd", "doctors"))
 
 
-def _write_layer(spark: SparkSession, lay: Layers, name: str, root: str, n: int) -> None:
+def _write_layer(spark: SparkSession, lay: Layers, name: str, root: str, n: int, cache: bool = False) -> None:
     df = getattr(lay, name)
     if name in RAW_PARTITION:
         path = f"{root}/{name}"
@@ -148,12 +148,20 @@ def _write_layer(spark: SparkSession, lay: Layers, name: str, root: str, n: int)
     # no bucket can be hot.
     (df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys)
        .option("path", f"{root}/{name}").saveAsTable(tbl))
-    lay.__dict__[name] = spark.table(tbl)
+    table = spark.table(tbl)
+    if cache:
+        # Serving sessions keep the grain layers warm (the reference's shared
+        # result cache); MEMORY_AND_DISK spills instead of failing, and a lost
+        # executor's blocks are rebuilt from the written table.
+        from pyspark import StorageLevel
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        table.count()
+    lay.__dict__[name] = table
 
 
 def build_layers(spark: SparkSession, sf_dir: str, buckets: int | None = None,
                  base: str | None = None, names=BUILT, parallel: bool = True,
-                 layers: Layers | None = None) -> dict[str, float]:
+                 layers: Layers | None = None, cache: bool = False) -> dict[str, float]:
     """Write every layer once under the shared folder — typed raw tables
     partitioned by year, grain layers bucketed and sorted on the grain key —
     and point this session's ``Layers`` at them.
@@ -180,10 +188,10 @@ def build_layers(spark: SparkSession, sf_dir: str, buckets: int | None = None,
         t0 = time.perf_counter()
         if parallel and len(todo) > 1:
             with ThreadPoolExecutor(max_workers=len(todo)) as pool:
-                for f in [pool.submit(_write_layer, spark, lay, w, root, n) for w in todo]:
+                for f in [pool.submit(_write_layer, spark, lay, w, root, n, cache) for w in todo]:
                     f.result()
         else:
             for w in todo:
-                _write_layer(spark, lay, w, root, n)
+                _write_layer(spark, lay, w, root, n, cache)
         took["+".join(todo)] = round(time.perf_counter() - t0, 3)
     return took
