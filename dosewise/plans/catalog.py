@@ -27,11 +27,13 @@ from dosewise.plans.oracle import with_fixtures
 from dosewise.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}   # before the output boundary
 SQL: dict[str, str] = {}
 
 # Output columns normalised at the boundary (see ``finalize``): exact decimal
-# money becomes DOUBLE, dates become ISO text, on the Spark and the oracle side.
-# ``tests/test_catalog.py`` checks this table against the Spark schemas.
+# money becomes DOUBLE, dates and timestamps become ISO text, on the Spark and
+# the oracle side.  ``tests/test_catalog.py`` checks this table against the
+# schemas of the raw query functions.
 OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'agg_10_entity_drug_payments': {'double': ['pay_amount'], 'string': []},
     'agg_11_entity_drug_manufacturer': {'double': ['amount'], 'string': []},
@@ -39,7 +41,7 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'agg_15_brand_promotion': {'double': ['op_dollars'], 'string': []},
     'agg_1_rx_by_npi_drug': {'double': ['drug_cst'], 'string': []},
     'agg_22_literal_brand_payments': {'double': ['total_paid'], 'string': []},
-    'agg_25_latest_review_state': {'double': ['pay_amount'], 'string': []},
+    'agg_25_latest_review_state': {'double': ['pay_amount'], 'string': ['updated_at']},
     'agg_2_pay_by_npi_drug': {'double': ['pay_amount'], 'string': []},
     'agg_31_manufacturer_leaderboard': {'double': ['dollars'], 'string': []},
     'agg_33_outliers': {'double': ['pay_amount'], 'string': []},
@@ -58,27 +60,30 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'join_4_paid_with_claims': {'double': ['pay_amount', 'drug_cst'], 'string': []},
     'join_6_entity_drug_named': {'double': ['pay_amount', 'total_pay'], 'string': []},
     'join_8_entities': {'double': ['total_pay'], 'string': []},
-    'join_9_upsert_review_queue': {'double': ['pay_amount'], 'string': []},
-    'ord_10_review_queue_by_pay': {'double': ['pay_amount'], 'string': []},
+    'join_9_upsert_review_queue': {'double': ['pay_amount'], 'string': ['updated_at']},
+    'ord_10_review_queue_by_pay': {'double': ['pay_amount'], 'string': ['updated_at']},
     'ord_11_sample_entities': {'double': ['total_pay'], 'string': []},
     'ord_4_similar_pool': {'double': ['pay_amount'], 'string': []},
     'ord_7_top_paid_per_drug': {'double': ['dollars'], 'string': []},
-    'str_5_streamed_log_latest_state': {'double': ['pay_amount'], 'string': []},
+    'str_5_streamed_log_latest_state': {'double': ['pay_amount'], 'string': ['updated_at']},
     'win_1_seed_top_n': {'double': ['pay_amount'], 'string': []},
 }
 
 
 def finalize(df: DataFrame) -> DataFrame:
     """Output boundary: DECIMAL -> DOUBLE (exact sums converted once, so both
-    engines give the same double) and DATE -> ISO text."""
+    engines give the same double); DATE and TIMESTAMP -> ISO text (the same
+    text in both engines, free of any time-unit or zone representation)."""
     from pyspark.sql import types as T
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
-        elif isinstance(f.dataType, T.DateType):
+        elif isinstance(f.dataType, (T.DateType, T.TimestampNTZType)):
             c = c.cast("string")
+        elif isinstance(f.dataType, T.TimestampType):
+            c = c.cast("timestamp_ntz").cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -99,6 +104,7 @@ def query(name: str, sql: str | None = None, extra_ctes=None):
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        RAW[name] = fn
         if sql is not None:
             SQL[name] = with_fixtures(_oracle_boundary(name, sql), extra_ctes)
         return fn
@@ -814,8 +820,8 @@ WITH pe AS (SELECT r.drug_key, r.npi, r.clms, r.specialty, coalesce(p.pay_amount
                   NOT (n_paid = 0 OR n_paid = n) AND cxx > 1e-12 AND n - groups - 1 > 0 AS ok FROM g),
      f AS (SELECT *, CASE WHEN ok THEN cxy / cxx END AS coef,
                   CASE WHEN ok THEN sqrt(greatest(cyy - cxy * cxy / cxx, 0.0) / dof / cxx) END AS se FROM e)
-SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) AS coef, round(se, 6) AS se,
-       round(coef / se, 4) AS t, round((exp(coef) - 1) * 100, 4) AS effect_pct,
+SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) + 0.0 AS coef, round(se, 6) + 0.0 AS se,
+       round(coef / se, 4) + 0.0 AS t, round((exp(coef) - 1) * 100, 4) + 0.0 AS effect_pct,
        CASE WHEN constant THEN 'control: no paid prescribers' WHEN coef IS NULL THEN 'not estimable' END AS note
 FROM f"""
 
@@ -837,8 +843,8 @@ def agg_28(spark, d):
 # by modified Lentz, one recursive step per half-term) as the engine's fold.
 PVALUE_CTES = [
     ("fe", FE_SQL.replace(
-        "SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) AS coef, round(se, 6) AS se,\n"
-        "       round(coef / se, 4) AS t, round((exp(coef) - 1) * 100, 4) AS effect_pct,",
+        "SELECT drug_key, n, groups, n_paid, dof, round(coef, 6) + 0.0 AS coef, round(se, 6) + 0.0 AS se,\n"
+        "       round(coef / se, 4) + 0.0 AS t, round((exp(coef) - 1) * 100, 4) + 0.0 AS effect_pct,",
         "SELECT drug_key, n, groups, n_paid, dof, coef, se,\n"
         "       coef / se AS t, (exp(coef) - 1) * 100 AS effect_pct,")),
     ("pin", """SELECT drug_key, t, dof, dof / (dof + t * t) AS x, dof / 2.0 AS a,
@@ -884,7 +890,7 @@ PVALUE_CTES = [
               FROM prm p JOIN cf USING (drug_key)"""),
     ("fep", """SELECT fe.*, pv.p_value,
                       coalesce(CASE WHEN fe.coef IS NOT NULL
-                                    THEN printf('%.1f%% more claims if paid', round((exp(fe.coef) - 1) * 100, 1)) END,
+                                    THEN printf('%.1f%% more claims if paid', round((exp(fe.coef) - 1) * 100, 1) + 0.0) END,
                                '(' || fe.note || ')') AS interpretation
                FROM fe LEFT JOIN pv USING (drug_key)"""),
 ]
@@ -894,7 +900,7 @@ assert "coef / se AS t" in PVALUE_CTES[0][1], "unrounded FE statement expected f
 
 
 @query("agg_28_fixed_effects_pvalues", """
-SELECT drug_key, n, dof, round(coef, 3) AS paid_coef, round(p_value, 4) AS p_value, interpretation
+SELECT drug_key, n, dof, round(coef, 3) + 0.0 AS paid_coef, round(p_value, 4) + 0.0 AS p_value, interpretation
 FROM fep""", extra_ctes=PVALUE_CTES)
 def agg_28p(spark, d):
     return G.result_table(G.with_pvalues(_fe(spark, d)))
@@ -903,8 +909,8 @@ def agg_28p(spark, d):
 @query("agg_30_headline", """
 SELECT count(*) AS drugs_estimated,
        CAST(count_if(p_value < 0.001 AND coef > 0) AS BIGINT) AS significant_positive,
-       round(max(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) AS max_effect_pct,
-       round(median(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) AS median_effect_pct
+       round(max(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) + 0.0 AS max_effect_pct,
+       round(median(CASE WHEN p_value < 0.001 AND coef > 0 THEN effect_pct END), 1) + 0.0 AS median_effect_pct
 FROM fep WHERE coef IS NOT NULL""", extra_ctes=PVALUE_CTES)
 def agg_30(spark, d):
     return G.headline(G.with_pvalues(_fe(spark, d)))

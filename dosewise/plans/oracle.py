@@ -107,7 +107,7 @@ FROM fx_base GROUP BY specialty, drug_key"""),
 SELECT b.npi, b.drug_key, b.specialty, b.claims, b.cost, b.benes, b.pay_amount, b.pay_count,
        round(coalesce(CASE WHEN k.n_unpaid > 0 THEN CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid END, 0.0), 1) AS peer_unpaid_avg,
        CASE WHEN coalesce(CASE WHEN k.n_unpaid > 0 THEN CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid END, 0.0) <> 0
-            THEN round((b.claims - CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid) / (CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid) * 100, 1)
+            THEN round((b.claims - CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid) / (CAST(k.s_unpaid AS DOUBLE) / k.n_unpaid) * 100, 1) + 0.0
        END AS pct_vs_unpaid
 FROM fx_base b LEFT JOIN fx_bench k USING (specialty, drug_key)"""),
     ("fx_rx_tot", "SELECT npi, CAST(sum(claims) AS BIGINT) AS total_claims FROM fx_claims GROUP BY npi"),
