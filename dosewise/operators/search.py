@@ -28,9 +28,12 @@ def _quote(q: str) -> str:
 
 
 def word_patterns(q: str) -> tuple[str, str]:
-    """(whole-word pattern, word-start pattern) of a lower-cased query."""
+    r"""(whole-word pattern, word-start pattern) of a lower-cased query.
+
+    ``(?U)`` makes ``\w`` Unicode-aware, so accented letters are word
+    characters as in PostgreSQL's ``\m``/``\M``."""
     rx = _quote(q)
-    return WORD_START + rx + WORD_END, WORD_START + rx
+    return "(?U)" + WORD_START + rx + WORD_END, "(?U)" + WORD_START + rx
 
 
 def search_entities(doctors: DataFrame, q: str, limit: int = 20) -> DataFrame:

@@ -43,6 +43,12 @@ def test_search_ranking(spark):
     assert S.search_entities(d, "smi%", 20).count() == 0        # D-13: '%' is literal
 
 
+def test_search_unicode_word_chars(spark):
+    d = _docs(spark, [(1, "josé lópez", "", "", "", D("0"), 1), (2, "jos smith", "", "", "", D("0"), 2)])
+    got = {r.npi: r.match_rank for r in S.search_entities(d, "jos", 20).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def test_search_regex_metachars(spark):
     d = _docs(spark, [(1, "o'brien (jr.)", "", "", "", D("0"), 1), (2, "obrien", "", "", "", D("0"), 2)])
     assert [r.npi for r in S.search_entities(d, "(jr.)", 20).collect()] == [1]
