@@ -43,3 +43,11 @@ def test_map_side_combine_before_shuffle(spark, name):
     """Hot keys are pre-aggregated per task: every aggregation has a partial step."""
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "partial_" in plan, plan
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_reads_the_given_tables(spark, name):
+    """Every registered query's work grows with the provided tables."""
+    df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan or "FileScan parquet" in plan, plan[:2000]
