@@ -9,6 +9,7 @@ is the case in local tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,7 +48,10 @@ def build_session(master: str | None = None, app: str = "dosewise",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only
-    when the cluster did not name one (tests, local runs)."""
+    when the session runs in one process (``local[...]``) and names none.
+
+    On any other master a missing ``spark.checkpoint.dir`` is an error: a
+    machine-local folder would lose whatever executors write there."""
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
@@ -55,6 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(
+                f"spark.checkpoint.dir is not set and the master is {master!r}: executors "
+                "would not share a scratch folder made here; name a shared one")
         conf_dir = tempfile.mkdtemp(prefix="dosewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -76,7 +85,7 @@ def sized_conf(input_bytes: int, cores: int, shuffle_fraction: float = 0.25,
     * initial shuffle partitions so that the expected shuffle volume
       (``input_bytes * shuffle_fraction``; the plans project and
       partial-aggregate before every exchange) lands near ``target_bytes`` per
-      task, never fewer than 3 tasks per core, capped at 100k; AQE then
+      task, never fewer than 3 tasks per core; AQE then
       coalesces small partitions to the advisory size and splits skewed ones;
     * the bucket count for ``build_layers`` sizes one bucket file of the
       grain layers (``input_bytes * layer_fraction``: one row per product and
@@ -87,7 +96,7 @@ def sized_conf(input_bytes: int, cores: int, shuffle_fraction: float = 0.25,
     partitions (~250 MB each) and 16,384 buckets (~300 MB files).
     """
     import math
-    parts = int(min(100_000, max(cores * 3, math.ceil(input_bytes * shuffle_fraction / target_bytes))))
+    parts = max(cores * 3, math.ceil(input_bytes * shuffle_fraction / target_bytes))
     want = max(cores, math.ceil(input_bytes * layer_fraction / bucket_bytes))
     buckets = 1 << max(0, math.ceil(math.log2(want)))
     return {
