@@ -19,6 +19,7 @@ into blocks of the longest run the vocabulary has and a rest.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -35,14 +36,13 @@ NEVER = 1 << 60
 CACHED_CHARS, CACHED_WORDS = 40, 1 << 17
 
 
-class PieceCodec:
-    """Encoder and decoder for one BPE model file with byte fallback."""
+class PieceDecoder:
+    """Decoder for one BPE model file with byte fallback."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self._normalize = sp.normalize
+        self.model = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
@@ -63,6 +63,43 @@ class PieceCodec:
                     raise ValueError("unused pieces are not supported")
                 self.ids[piece] = i
                 self.out.append(piece.replace(MARK, " ").encode())
+
+    def decode(self, ids) -> str:
+        """Text of the ids: one leading word-start mark goes, invalid bytes of a run each become U+FFFD."""
+        parts, first = [], True
+        pending = bytearray()
+        for i in ids:
+            if self.is_byte[i]:
+                pending += self.out[i]
+                continue
+            if pending:
+                parts.append(_lossy(pending))
+                first, pending = False, bytearray()
+            piece = self.out[i].decode()
+            if first and piece[:1] == " ":
+                piece, first = piece[1:], False
+            elif piece:
+                first = False
+            parts.append(piece)
+        if pending:
+            parts.append(_lossy(pending))
+        return "".join(parts)
+
+    def decode_valid(self, ids) -> str | None:
+        """``decode`` in one join for ids whose bytes are valid UTF-8, else None."""
+        try:
+            text = b"".join(map(self.out.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return None
+        return text[1:] if len(ids) and not self.is_byte[ids[0]] and text[:1] == " " else text
+
+
+class PieceCodec(PieceDecoder):
+    """Encoder and decoder."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        sp = self.model
         runs = [len(p) for p in self.ids if p and not p.strip(MARK)]
         self.longest_run = max(runs, default=1)
         mergeable = [p for p in self.ids if len(p) > 1 and p.strip(MARK)]
@@ -203,7 +240,7 @@ class PieceCodec:
         return [self.ids[MARK * k] for k in self._blocks(n)]
 
     def encode(self, text: str) -> list[int]:
-        head, *words = self._normalize(text).replace(" ", MARK).split(MARK)
+        head, *words = self.model.normalize(text).replace(" ", MARK).split(MARK)
         out: list[int] = list(self._span(head)) if head else []
         mark, run = self.ids[MARK], 0
         for w in words:
@@ -221,35 +258,6 @@ class PieceCodec:
                 out += ids
         return out + self._run(run)
 
-    def decode(self, ids) -> str:
-        """Text of the ids: one leading word-start mark goes, invalid bytes of a run each become U+FFFD."""
-        parts, first = [], True
-        pending = bytearray()
-        for i in ids:
-            if self.is_byte[i]:
-                pending += self.out[i]
-                continue
-            if pending:
-                parts.append(_lossy(pending))
-                first, pending = False, bytearray()
-            piece = self.out[i].decode()
-            if first and piece[:1] == " ":
-                piece, first = piece[1:], False
-            elif piece:
-                first = False
-            parts.append(piece)
-        if pending:
-            parts.append(_lossy(pending))
-        return "".join(parts)
-
-    def decode_valid(self, ids) -> str | None:
-        """``decode`` in one join for ids whose bytes are valid UTF-8, else None."""
-        try:
-            text = b"".join(map(self.out.__getitem__, ids)).decode()
-        except UnicodeDecodeError:
-            return None
-        return text[1:] if len(ids) and not self.is_byte[ids[0]] and text[:1] == " " else text
-
 
 _BAD = re.compile("[\udc80-\udcff]")
 
@@ -259,9 +267,9 @@ def _lossy(data: bytes) -> str:
 
 
 @functools.lru_cache(2)
-def codec(model: bytes) -> PieceCodec:
+def codec(model: bytes, kind: type[PieceDecoder] = PieceCodec) -> PieceDecoder:
     """One codec per Python worker."""
-    return PieceCodec(model)
+    return kind(model)
 
 
 def _model(df: DataFrame, model_path: str):
@@ -277,11 +285,15 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = work()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                column = pa.array([do(v) for v in part.column(source).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, target])
+        gc.disable()  # the remembered words make no cycles, and walking them again and again is slow
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    part = batch.slice(k, 512)
+                    column = pa.array([do(v) for v in part.column(source).to_pylist()], kind)
+                    yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, target])
+        finally:
+            gc.enable()
 
     return per_batch(df.select(*rest), run, schema)
 
@@ -306,7 +318,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
     model = _model(encoded, model_path)
 
     def work():
-        c = codec(model.value)
+        c = codec(model.value, PieceDecoder)
 
         def do(ids):
             if not ids:
