@@ -75,3 +75,24 @@ def per_batch(df: DataFrame, work, schema: str) -> DataFrame:
     """``df.mapInArrow(work, schema)`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(work, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
+    """Texts of at most ``per_class`` labelled ids of either class, and each class's weight.
+
+    ``learn`` is a condition on ``doc_id``: other ids are never looked at.  The
+    ids are the first in the order of a seeded hash.  Labels other than 0 and 1
+    are ignored; an id with both labels counts as 1; repeated document rows of
+    one id all count.  The weight is the number of labelled ids a sampled one
+    stands for.  Returns ``(label int, text string)`` and ``{label: weight}``.
+    """
+    known = (labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("label"))
+             .where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    ids = parts[0].unionByName(parts[1])
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("label", "text")
+    weights = {v: n / min(n, per_class) for v, n in totals.items()}
+    return texts, weights

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import piece_codec
-from dosewise.llm.common import id_bucket, id_text, read  # noqa: F401
+from dosewise.llm import mixing, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity
+from dosewise.llm.common import id_bucket, id_text, read, stored
 
 
 def piece_model() -> str:
@@ -35,8 +35,53 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(read(spark, sf_dir, "documents"), piece_model())
 
 
+def _with_verdict(scored: DataFrame, n: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), n) == held).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, read(spark, sf_dir, "labels"), learn=id_bucket(F.col("doc_id"), 3) != 1)
+    return _with_verdict(quality_knn.score(docs, model), 3, 1)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), learn=id_bucket(F.col("doc_id"), 5) != 0)
+    return _with_verdict(toxicity.score(docs, model), 5, 0)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = stored(quality_rules.measure(docs).drop("text"), "measured")
+    chosen = stored(quality_rules.cutoffs(measured, read(spark, sf_dir, "labels")), "cutoffs")
+    judged = quality_rules.judge(measured, chosen)
+    return judged.select("doc_id", *(F.col("rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_quality_votes": op1_quality_votes,
+    "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
 }
 
 SQL: dict[str, str] = {}
