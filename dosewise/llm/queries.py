@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import mixing, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity
+from dosewise.llm import embed_dedup, hmm_lm, mixing, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
 from dosewise.llm.common import id_bucket, id_text, read, stored
+from dosewise.plans.session import shared_dir
 
 
 def piece_model() -> str:
@@ -60,6 +62,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(read(spark, sf_dir, "documents"), train_on=id_bucket(F.col("doc_id"), 10) != 0)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark, 'llm')}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -76,12 +93,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_votes": op1_quality_votes,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_embeddings": op10_embeddings,
 }
 
 SQL: dict[str, str] = {}

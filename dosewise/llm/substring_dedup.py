@@ -24,6 +24,7 @@ third of all documents hold costs a row per task, not per document.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,7 +130,17 @@ def _windows_of(window: int):
     return run
 
 
-def _cut(window: int):
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _passages(text: bytes, gone: np.ndarray) -> bytes:
+    """The passages of a text that stay, as they stand, one on a line."""
+    at = [m.span() for m in _WORDS.finditer(text)]
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], ~gone, [0]]).astype(np.int8))).tolist()
+    return b"\n".join(text[at[a][0] : at[b - 1][1]] for a, b in zip(turn[::2], turn[1::2]))
+
+
+def _cut(window: int, as_is: bool):
     """Remove what the repeated windows cover; give the rest and the removed intervals of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +154,7 @@ def _cut(window: int):
                     if not marks:
                         n_removed.append(0)
                         spans.append([])
-                        kept.append(b" ".join(words).decode())
+                        kept.append(text.as_py() if as_is else b" ".join(words).decode())
                         continue
                     edge = np.zeros(len(words) + window + 64, np.int64)
                     for m in marks:
@@ -154,7 +165,8 @@ def _cut(window: int):
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     spans.append([{"from": int(a), "to": int(b)} for a, b in zip(turn[::2], turn[1::2])])
                     n_removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
+                    rest = _passages(text.as_py().encode(), gone) if as_is else b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                    kept.append(rest.decode())
                 span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
                 names = [c for c in part.schema.names if c not in ("text", "marks")]
                 yield pa.RecordBatch.from_arrays(
@@ -199,12 +211,15 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return full.select("row", "start", repeated.alias("bits")).where("bits <> 0")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
+                   as_is: bool = False) -> DataFrame:
     """``doc_id``, the columns ``carry``, ``kept_text`` (kept words, one space between), ``n_words, n_removed``
     and ``removed`` (maximal intervals of words, ``from`` up to ``to``) of every document.
 
     Words are runs of other than ASCII white space, compared as they are.  A
-    null text is empty.  Documents of one id do not remove each other's words;
+    null text is empty.  With ``as_is``, kept text is not split into words: a
+    text without repeats stays as it is, and of others the passages that stay
+    do, one on a line.  Documents of one id do not remove each other's words;
     repeated rows repeat; a null id is larger than any other.
     """
     carry = carry or []
@@ -215,4 +230,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     joined = rows.join(marks, "row", "left").select("doc_id", *carry, "text", "marks")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carry]), "kept_text string, n_words bigint, n_removed bigint, removed array<struct<`from`: int, `to`: int>>"])
-    return per_batch(joined, _cut(window), schema)
+    return per_batch(joined, _cut(window, as_is), schema)
