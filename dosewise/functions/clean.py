@@ -46,6 +46,18 @@ def money(c) -> Column:
     return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
 
+def exact_money(c) -> Column:
+    """FN-2 for the money type: the cleaned text straight to DECIMAL(18,2), no
+    double between; bad text and amounts out of range -> 0."""
+    s = F.regexp_replace(F.coalesce(_c(c).cast("string"), F.lit("")), MONEY_JUNK, "")
+    return F.coalesce(s.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+
+
+def year0(c) -> Column:
+    """FN-3 as a 32-bit year: bad or out of range -> 0."""
+    return F.coalesce(int0(c).try_cast("int"), F.lit(0))
+
+
 def int0(c) -> Column:
     """FN-3: int(float(s)) with truncation toward zero; bad or empty -> 0."""
     d = strip(c).try_cast("double")

@@ -82,17 +82,18 @@ def first_match_key(partd: DataFrame, drug_map: DataFrame, map_rows: int | None
     """JOIN-5: brand-token key first, generic key only when the brand misses.
 
     One row per input row at most (the per-entity read model's rule, D-2):
-    two broadcast left joins and a ``coalesce``; unmatched rows are dropped.
+    two left joins and a ``coalesce``; unmatched rows are dropped.  A name the
+    map holds more than once stands for its last product, by key.
     """
     m = drug_map.select("drug_key", F.upper("brnd_name").alias("b"),
                         F.upper("gnrc_name").alias("g"), "match_on")
     brands = checked_broadcast(
         m.where((F.col("match_on") == "brand") & (F.col("b") != ""))
-         .select(F.col("b").alias("_bk"), F.col("drug_key").alias("_brand_key")),
+         .groupBy(F.col("b").alias("_bk")).agg(F.max("drug_key").alias("_brand_key")),
         MAX_MAP_ROWS, known_rows=map_rows)
     generics = checked_broadcast(
         m.where((F.col("match_on") == "generic") & (F.col("g") != ""))
-         .select(F.col("g").alias("_gk"), F.col("drug_key").alias("_generic_key")),
+         .groupBy(F.col("g").alias("_gk")).agg(F.max("drug_key").alias("_generic_key")),
         MAX_MAP_ROWS, known_rows=map_rows)
     j = (partd.withColumn("_bk", tok("brnd_name")).withColumn("_gk", upper_key("gnrc_name"))
               .join(brands, "_bk", "left").join(generics, "_gk", "left"))

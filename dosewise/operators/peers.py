@@ -138,12 +138,15 @@ def outliers(dd: DataFrame, doctors: DataFrame, min_pay: float = 0.0) -> DataFra
         F.try_divide(F.col("s_unpaid").cast("double"), F.col("n_unpaid")).alias("unpaid_avg"),
         F.try_divide(F.col("s_paid").cast("double"), F.col("n_paid")).alias("paid_avg"))
     j = dd.join(bench, ["specialty", "drug_key"])
-    low = j.where((F.col("pay_amount") > min_pay) & (F.col("claims") < F.col("unpaid_avg"))) \
-           .withColumn("kind", F.lit("high_pay_low_volume")).withColumn("peer_avg", F.col("unpaid_avg"))
-    high = j.where((F.col("pay_amount") == 0) & (F.col("claims") > F.col("paid_avg"))) \
-            .withColumn("kind", F.lit("high_volume_no_pay")).withColumn("peer_avg", F.col("paid_avg"))
+    low = (F.col("pay_amount") > min_pay) & (F.col("claims") < F.col("unpaid_avg"))
+    high = (F.col("pay_amount") == 0) & (F.col("claims") > F.col("paid_avg"))
+    # No pair is both: one pass labels it.
+    found = (j.withColumn("kind", F.when(low, "high_pay_low_volume").when(high, "high_volume_no_pay"))
+              .where(F.col("kind").isNotNull())
+              .withColumn("peer_avg", F.when(F.col("kind") == "high_pay_low_volume", F.col("unpaid_avg"))
+                          .otherwise(F.col("paid_avg"))))
     names = doctors.select("npi", "name", "city", "state")
-    return (low.unionByName(high).join(names, "npi", "left")
+    return (found.join(names, "npi", "left")
                .select("kind", "npi", "name", "specialty", "city", "state", "drug_key", "pay_amount",
                        "claims", F.round("peer_avg", 1).alias("peer_avg")))
 

@@ -15,14 +15,13 @@ no sum-of-squares cancellation and no extra centring pass.  The
 two-sided p-value needs the Student-t CDF: the regularised incomplete
 beta is evaluated in JVM expressions (Lanczos log-gamma and a continued
 fraction folded with ``aggregate``) over at most one row per drug, so no
-Python worker is involved; the plain-Python form below cross-checks it in tests.
+Python worker is involved; tests hold it against numerical integration.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,62 +69,12 @@ def fixed_effects(per_entity: DataFrame, group: str = "specialty") -> DataFrame:
 # ---------------------------------------------------------------- Student t
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10_000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, dof: float) -> float:
-    """P(|T| > |t|) for Student t with ``dof`` degrees of freedom."""
-    if t is None or dof is None or not np.isfinite(t) or dof <= 0:
-        return float("nan")
-    return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-# ------------------------------------------------ the same, as JVM expressions
-
 # Lanczos approximation of log-gamma, g = 7, nine coefficients.
 LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
            -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
            1.5056327351493116e-7)
-CF_MAX_STEPS = 100_000
-CF_TINY, CF_EPS = 1e-300, 1e-15
+CF_TINY, CF_EPS, CF_DONE = 1e-300, 1e-15, 1e-12
 
 
 def _d(v: float) -> str:
@@ -152,11 +101,12 @@ def _betacf_sql(a: str, b: str, x: str) -> str:
     The state keeps the last factor d*c pending (h excludes it) so each step
     is one small expression; a converged state (|d*c - 1| < eps after a full
     step) stops changing.  n grows like sqrt(max(a, b)), the worst-case
-    number of terms."""
+    number of terms, without a cap; a fraction that has not converged by then
+    is NULL, never a cut-off value."""
     m = "CAST((j + 1) DIV 2 AS DOUBLE)"
     aa = (f"CASE WHEN j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} - 1D + 2D * {m}) * ({a} + 2D * {m})) "
           f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 1D + 2D * {m})) END")
-    steps = f"CAST(least({CF_MAX_STEPS}, 64 + 8 * ceil(sqrt(greatest({a}, {b})))) AS INT) * 2 + 1"
+    steps = f"CAST(64 + 8 * ceil(sqrt(greatest({a}, {b}))) AS INT) * 2 + 1"
     coeffs = f"transform(sequence(1, {steps}), j -> named_struct('j', j, 'aa', {aa}))"
     dn = f"(1D / {_fix('1D + s.aa * acc.d')})"
     cn = _fix("1D + s.aa / acc.c")
@@ -166,7 +116,7 @@ def _betacf_sql(a: str, b: str, x: str) -> str:
             f"WHEN s.j % 2 = 1 AND s.j > 1 AND abs(acc.d * acc.c - 1D) < {_d(CF_EPS)} "
             f"THEN named_struct('c', acc.c, 'd', acc.d, 'h', acc.h, 'done', true) "
             f"ELSE named_struct('c', {cn}, 'd', {dn}, 'h', acc.h * acc.d * acc.c, 'done', false) END, "
-            f"acc -> acc.h * acc.d * acc.c)")
+            f"acc -> CASE WHEN acc.done OR abs(acc.d * acc.c - 1D) < {_d(CF_DONE)} THEN acc.h * acc.d * acc.c END)")
 
 
 def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "dof", out: str = "p_value") -> DataFrame:
@@ -175,18 +125,23 @@ def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "dof", out: str = "p_v
     tc, dc = F.col(t).cast("double"), F.col(dof).cast("double")
     x = dc / (dc + tc * tc)
     a = dc / 2.0
+    rest = tc * tc / (dc + tc * tc)         # 1 - x, exact also where x rounds to 1
     swap = x >= (a + 1.0) / (a + 2.5)
     h = df.select("*", (tc.isNotNull() & dc.isNotNull() & (dc > 0)).alias("_pvalid"),
                   a.alias("_pa"), x.alias("_px"), swap.alias("_pswap"),
                   F.when(swap, F.lit(0.5)).otherwise(a).alias("_a"),
                   F.when(swap, a).otherwise(F.lit(0.5)).alias("_b"),
-                  F.when(swap, F.lit(1.0) - x).otherwise(x).alias("_x"))
-    lbt = (f"{_lgamma_sql('(_pa + 0.5D)')} - {_lgamma_sql('_pa')} - {_lgamma_sql('0.5D')}"
-           f" + _pa * ln(_px) + 0.5D * ln(1D - _px)")
+                  F.when(swap, rest).otherwise(x).alias("_x"), rest.alias("_prest"),
+                  F.log1p(tc * tc / dc).alias("_plog"))
+    # For large a the two log-gammas agree in all their digits but the last: their
+    # difference is 0.5 ln a - 1/(8a) + 1/(192 a^3) - ..., cut off below 1e-20.
+    gap = (f"CASE WHEN _pa > 1e5D THEN 0.5D * ln(_pa) - 1D / (8D * _pa) + 1D / (192D * _pa * _pa * _pa) "
+           f"ELSE {_lgamma_sql('(_pa + 0.5D)')} - {_lgamma_sql('_pa')} END")
+    lbt = f"({gap}) - {_lgamma_sql('0.5D')} - _pa * _plog + 0.5D * ln(_prest)"
     h = h.select("*", F.expr(lbt).alias("_lbt"), F.expr(_betacf_sql("_a", "_b", "_x")).alias("_cf"))
     frac = F.exp("_lbt") * F.col("_cf") / F.col("_a")
     p = (F.when(~F.col("_pvalid"), F.lit(None).cast("double"))
-          .when(F.col("_px") >= 1.0, F.lit(1.0))
+          .when(F.col("_prest") <= 0.0, F.lit(1.0))
           .when(F.col("_px") <= 0.0, F.lit(0.0))
           .when(F.col("_pswap"), F.lit(1.0) - frac)
           .otherwise(frac))

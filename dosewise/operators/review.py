@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dosewise.operators.util import dense_ids
+from dosewise.operators.util import cut_lineage, dense_ids
 from dosewise.sources import schemas
 
 KEYS = ["drug_key", "npi"]
@@ -32,24 +32,41 @@ def seed_top_n(rx: DataFrame, pay: DataFrame, n: int = 10) -> DataFrame:
              .select("drug_key", "npi", "pay_amount", F.col("clms").cast("double").alias("avg_claims")))
 
 
-SMALL_SOURCE = 1_000_000
+def latest_per_key(source: DataFrame, keys, cols, order=()) -> DataFrame:
+    """One row (``keys``, ``cols``) per key: the last by ``order``.
+
+    Mergeable aggregates only, so a key with very many changes is combined in
+    each task first.  Where rows of a key tie in the whole order, they must
+    agree; if they do not, no row is the latest and the job fails.
+    """
+    vals = F.struct(*cols)
+    per = source.groupBy(*keys, *order).agg(F.min(vals).alias("lo"), F.max(vals).alias("hi"))
+    if order:
+        per = (per.groupBy(*keys).agg(F.max(F.struct(*order, "lo", "hi")).alias("last"))
+                  .select(*keys, "last.lo", "last.hi"))
+    clash = F.raise_error(F.lit("changes of one key at the same place in the order disagree"))
+    return per.select(*keys, F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo"))
+                      .otherwise(clash.cast(per.schema["lo"].dataType)).alias("v")).select(*keys, "v.*")
 
 
 def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
            update_cols=("pay_amount", "avg_claims"), default_status: str = DEFAULT_STATUS,
-           source_rows_bound: int | None = None) -> DataFrame:
+           order=()) -> DataFrame:
     """JOIN-9 / SNK-9 / STR-7: insert new keys with the default status; on a key
     conflict update only ``update_cols``; status and assignee are kept.
 
-    ``updated_at`` moves to ``now`` only where a value actually changed
-    (the trigger of the reference, STR-7).  New ids are ``max(id)`` + the
-    dense position of the new key in key order (``dense_ids``): deterministic
-    and computed across partitions.
+    The source is first reduced to the latest row per key by ``order``
+    (``latest_per_key``), so the result has one row per key and ids stay
+    unique whatever a batch holds.  ``updated_at`` moves to ``now`` only where
+    a value actually changed (the trigger of the reference, STR-7).  New ids
+    are ``max(id)`` + the dense position of the new key in key order
+    (``dense_ids``): deterministic and computed across partitions.
     """
     ts_type = target.schema["updated_at"].dataType
     now_c = (F.lit(now) if not hasattr(now, "_jc") else now).cast(ts_type)
     t = target.select(*[F.col(c).alias(f"t_{c}") if c not in keys else F.col(c) for c in target.columns])
-    s = source.select(*keys, *[F.col(c).alias(f"s_{c}") for c in update_cols])
+    s = latest_per_key(source, list(keys), list(update_cols), list(order))
+    s = s.select(*keys, *[F.col(c).alias(f"s_{c}") for c in update_cols])
     j = t.join(s, list(keys), "full")
     is_new = F.col("t_id").isNull()
     changed = F.lit(False)
@@ -63,28 +80,38 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
         F.col("t_assigned_to").alias("assigned_to"),
         F.when(is_new | changed, now_c).otherwise(F.col("t_updated_at")).alias("updated_at"),
     ]
-    merged = j.select(*cols)
+    # Read twice below (kept rows, new rows): joined once.
+    merged = cut_lineage(target.sparkSession, j.select(*cols))
     # New ids: max(id) (a scalar subquery evaluated once) + dense position of
     # the new key, numbered across partitions without a single-task window.
-    # With a proven small bound on the source (a top-N seed), the new keys
-    # are numbered by one window over at most that many rows.
     max_id = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint"))
-    fresh = merged.where(F.col("id").isNull())
-    if source_rows_bound is not None and source_rows_bound <= SMALL_SOURCE:
-        new = fresh.withColumn("id", max_id + F.row_number().over(Window.orderBy(*keys)))
-    else:
-        new = dense_ids(fresh.drop("id"), list(keys), offset=max_id).select(*merged.columns)
-    return merged.where(F.col("id").isNotNull()).unionByName(new)
+    new = dense_ids(merged.where(F.col("id").isNull()).drop("id"), list(keys), offset=max_id)
+    return merged.where(F.col("id").isNotNull()).unionByName(new.select(*merged.columns))
+
+
+STATE_COLS = ("drug_key", "npi", "pay_amount", "status", "assigned_to")
 
 
 def latest_state(events: DataFrame, id_col: str = "review_id", order=("synced_at",),
-                 cols=("drug_key", "npi", "pay_amount", "status", "assigned_to")) -> DataFrame:
+                 cols=STATE_COLS) -> DataFrame:
     """AGG-25 / STR-5: last value of each column per id by the log order,
-    plus ``max(updated_at)``.  ``max_by`` on a struct is a mergeable
-    aggregate (partial + final), so a busy id never sorts in one task."""
-    o = F.struct(*[F.col(c) for c in order])
-    aggs = [F.max_by(F.col(c), o).alias(c) for c in cols if c in events.columns]
-    return events.groupBy(id_col).agg(*aggs, F.max("updated_at").alias("updated_at"))
+    plus ``max(updated_at)``.
+
+    The raw log only meets hash aggregates of numbers and times (the largest
+    value of each order column per id, one column after the other) and
+    equi-joins back; the final aggregate runs over the winning rows.  Rows
+    that tie in the whole order resolve to the largest values.
+    """
+    cols = [c for c in cols if c in events.columns]
+    times = events.groupBy(id_col).agg(F.max("updated_at").alias("_latest"))
+    w = events.select(id_col, *dict.fromkeys([*order, *cols]))
+    for c in order:
+        top = w.groupBy(F.col(id_col).alias("_id")).agg(F.max(c).alias("_top"))
+        w = (w.join(top, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(c).eqNullSafe(F.col("_top")))
+              .drop("_id", "_top"))
+    last = w.groupBy(id_col).agg(F.max(F.struct(*cols)).alias("_v")).select(F.col(id_col).alias("_id"), "_v.*")
+    return (times.join(last, F.col(id_col).eqNullSafe(F.col("_id")))
+                 .select(id_col, *cols, F.col("_latest").alias("updated_at")))
 
 
 def queue_from_log(events: DataFrame) -> DataFrame:

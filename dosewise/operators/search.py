@@ -8,14 +8,14 @@ Java-regex lookarounds for Postgres-style word boundaries (FN-14), and a
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dosewise.functions.clean import first_in
-from dosewise.operators.match import SLOTS
+from dosewise.functions.clean import tok
+from dosewise.operators.match import MAX_MAP_ROWS, SLOTS
+from dosewise.operators.rollup import scoped_payments
+from dosewise.operators.util import checked_broadcast
 
 MIN_QUERY_LEN = 2
 WORD_START = r"(?<!\w)(?=\w)"   # Postgres \m
@@ -23,8 +23,8 @@ WORD_END = r"(?<=\w)(?!\w)"     # Postgres \M
 
 
 def _quote(q: str) -> str:
-    """Escape every regex metacharacter of ``q`` for a Java pattern."""
-    return re.sub(r"([.*+?^${}()|\[\]\\/-])", r"\\\1", q)
+    r"""``q`` as a literal of a Java pattern: ``\Q...\E``, interrupted where ``q`` itself has ``\E``."""
+    return "\\Q" + q.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def word_patterns(q: str) -> tuple[str, str]:
@@ -90,36 +90,53 @@ def sample_rows(df: DataFrame, k: int = 10, keys=("npi",)) -> DataFrame:
 
 
 def entity_events(payments: DataFrame, drug_map: DataFrame, npi: int | None = None,
-                  limit: int = 1000) -> DataFrame:
-    """API-9 / FLT-10 / FN-18 / ORD-5 / WIN-2: an entity's positive payments
-    with the first slot naming a tracked brand, by date, first ``limit``,
-    numbered chronologically (``event_no`` = i + 1).
-
-    The top-``limit`` is taken first (partial top-k), so the numbering
-    window only sees ``limit`` rows.  With ``npi=None`` every entity's first
-    ``limit`` events are returned (top-k per entity, ``WindowGroupLimit``).
+                  limit: int = 1000, map_rows: int | None = None) -> DataFrame:
+    """API-9 / FLT-10 / FN-18 / ORD-5 / WIN-2: positive payments in scope (valid
+    id, physician or practitioner) that name a tracked brand, with the first
+    slot that does, by date, numbered chronologically (``event_no`` = i + 1).
+
+    For one entity the page shows the first ``limit``; with ``npi=None`` all
+    events of all entities are returned.  Each slot's token meets the map's
+    brands in an equi-join, so the map may have any size; empty slots join
+    nothing.
     """
-    brands = [r for r in _brand_list(drug_map)]
-    p = payments.where(F.col("amount") > 0)
+    p = scoped_payments(payments).where(F.col("amount") > 0)
     if npi is not None:
         p = p.where(F.col("npi") == npi)
-    slots = F.array(*[F.col(s) for s in SLOTS])
-    ev = p.select("npi", F.col("payment_date").cast("string").alias("date"), "amount", "manufacturer",
-                  first_in(slots, brands).alias("drug"))
-    order = [F.col("date"), F.col("amount"), F.col("manufacturer"), F.col("drug")]
-    w = Window.partitionBy("npi").orderBy(*order)
-    return ev.withColumn("event_no", F.row_number().over(w)).where(F.col("event_no") <= limit)
-
-
-def _brand_list(drug_map: DataFrame):
-    """Brand names of the map as literals of the slot predicate.  The map is a
-    bounded dimension; the bound is checked before anything is fetched."""
-    from dosewise.operators.match import MAX_MAP_ROWS
-    rows = (drug_map.where(F.col("brnd_name") != "").select(F.upper("brnd_name"))
-                    .distinct().orderBy(1).limit(MAX_MAP_ROWS + 1).collect())
-    if len(rows) > MAX_MAP_ROWS:
-        raise ValueError(f"drug map exceeds {MAX_MAP_ROWS} brands")
-    return [r[0] for r in rows]
+    p = p.select("npi", F.col("payment_date").cast("string").alias("date"), "amount", "manufacturer", *SLOTS)
+    brands = (drug_map.where(F.col("brnd_name") != "").select(F.upper("brnd_name").alias("_brand")).distinct())
+    brands = checked_broadcast(brands, MAX_MAP_ROWS, known_rows=map_rows)
+    named = []
+    for s in SLOTS:
+        p = p.join(brands.withColumnRenamed("_brand", f"_{s}"), F.nullif(tok(s), F.lit("")) == F.col(f"_{s}"), "left")
+        named.append(F.when(F.col(f"_{s}").isNotNull(), F.col(s)))
+    ev = (p.select("npi", "date", "amount", "manufacturer", F.coalesce(*named).alias("drug"))
+           .where(F.col("drug").isNotNull()))
+    w = Window.partitionBy("npi").orderBy("date", "amount", "manufacturer", "drug")
+    numbered = ev.withColumn("event_no", F.row_number().over(w))
+    return numbered if npi is None else numbered.where(F.col("event_no") <= limit)
+
+
+def profiles(doctors: DataFrame, dd: DataFrame, mfr: DataFrame, payments: DataFrame, drug_map: DataFrame,
+             map_rows: int | None = None) -> DataFrame:
+    """API-7 in bulk: one row per entity with its header, primary drug, sections
+    (FLT-18: paid and prescribed drugs, ORD-6 order) and number of events.
+
+    The lists hold one entry per product of the bounded map and manufacturer.
+    """
+    drug = F.struct((-F.col("pay_amount")).alias("p"), (-F.col("claims")).alias("c"), "drug_key")
+    per = dd.groupBy("npi").agg(
+        F.sort_array(F.collect_list(drug)).alias("drugs"),
+        F.count_if(F.col("pay_amount") > 0).alias("n_paid_drugs"),
+        F.count_if(F.col("claims") > 0).alias("n_prescribed_drugs"))
+    makers = mfr.groupBy("npi").agg(F.count_distinct("manufacturer").alias("n_manufacturers"))
+    events = (entity_events(payments, drug_map, map_rows=map_rows).groupBy("npi").agg(F.count(F.lit(1)).alias("n_events")))
+    none = F.lit(0).cast("bigint")
+    return (doctors.join(per, "npi", "left").join(makers, "npi", "left").join(events, "npi", "left")
+            .select("npi", "name", "specialty", "city", "state", "total_pay", "total_claims",
+                    F.try_element_at("drugs", F.lit(1))["drug_key"].alias("primary_drug"),
+                    F.coalesce(F.array_join(F.transform("drugs", lambda x: x["drug_key"]), ", "), F.lit("")).alias("drugs"),
+                    *[F.coalesce(c, none).alias(c) for c in ("n_paid_drugs", "n_prescribed_drugs", "n_manufacturers", "n_events")]))
 
 
 def entity_profile(doctors: DataFrame, dd: DataFrame, mfr: DataFrame, payments: DataFrame,

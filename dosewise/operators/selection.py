@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from dosewise.functions.clean import int0, is_drug_indicator, money, tok, upper_key
-from dosewise.operators.util import checked_broadcast
+from dosewise.operators.util import checked_broadcast, cut_lineage
 from dosewise.sources import schemas
 
 # Selection parameters of the reference job.
@@ -84,9 +84,9 @@ def select_drugs(payments: DataFrame, partd: DataFrame, n: int = N_BRANDS,
     promotion, then the control row (SET-4).  At most ``n + 1`` rows.
 
     The candidate list (at most ``n_candidates`` rows) feeds three branches;
-    it is persisted so the payments are aggregated once.
+    it is checkpointed so the payments are aggregated once.
     """
-    cand = top_candidates(brand_promotion(payments), n_candidates).persist()
+    cand = cut_lineage(payments.sparkSession, top_candidates(brand_promotion(payments), n_candidates))
     tg = brand_prescribing(partd, cand, n_candidates)
     elig = (cand.join(prescribing_totals(tg), "t").where(F.col("pd_rows") >= min_rows)
                 .orderBy(F.desc("op_count"), F.asc("t")).limit(n))

@@ -1,21 +1,22 @@
 """Read-only ad-hoc SQL over the registered layers (API-1, API-2, FLT-20).
 
-The reference's tool server forwards model-written SQL to the store with a
-statement guard; here the same guard sits in front of ``spark.sql`` over
-temporary views of the layers, with named parameters instead of string
-building.
+Model-written SQL runs over temporary views of the layers, with named
+parameters instead of string building.  What may run is decided on the parsed
+plan, not on the statement's first word.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from dosewise.operators import quality as Q
 
-# Fixed value: statements allowed through the guard.
-READ_ONLY = re.compile(r"^\s*(with|select|show|describe|desc|explain)\b", re.IGNORECASE)
+# Commands that only report on the catalog or on a plan.
+REPORTS = {"ShowTables", "ShowTablesCommand", "ShowColumns", "ShowColumnsCommand", "ShowNamespaces", "ShowFunctions",
+           "ShowTableProperties", "ShowViews", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand",
+           "DescribeNamespace", "DescribeFunction", "ExplainCommand"}
+# Sources whose name in front of a quoted path would read files instead of a registered table.
+FILE_SOURCES = {"parquet", "csv", "json", "text", "orc", "avro", "binaryfile", "xml", "jdbc"}
 
 # View name -> attribute of ``Layers``.
 VIEWS = {
@@ -35,10 +36,40 @@ def register_views(spark: SparkSession, layers) -> list[str]:
     return list(VIEWS)
 
 
+def _each(seq):
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+def _require_read_only(spark: SparkSession, plan) -> None:
+    """Refuse a parsed plan that holds a command or an insert anywhere, or reads a path instead of a table."""
+    of = spark._jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    command, statement = of(logical + "Command"), of(logical + "ParsedStatement")
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            todo.append(p.logicalPlan())
+        elif name == "DescribeQueryCommand":
+            todo.append(p.plan())
+        if (command.isInstance(p) and name not in REPORTS) or statement.isInstance(p):
+            raise NotReadOnly(f"this statement writes or changes the session ({name}); only queries and reports run here")
+        if name == "UnresolvedRelation" and p.multipartIdentifier().size() > 1 \
+                and p.multipartIdentifier().apply(0).lower() in FILE_SOURCES:
+            raise NotReadOnly("only registered tables can be read, not paths")
+        if not (command.isInstance(p) and name != "ExplainCommand"):
+            todo += [*_each(p.children()), *_each(p.subqueriesAll())]
+            todo += [c for c in _each(p.innerChildren()) if hasattr(c, "subqueriesAll")]
+
+
 def run_query(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """API-1: only WITH/SELECT/SHOW/DESCRIBE/EXPLAIN pass the guard (FLT-20)."""
-    if not READ_ONLY.match(sql or ""):
-        raise NotReadOnly("Only read-only SELECT queries are allowed.")
+    """API-1 / FLT-20: the statement is parsed and its whole plan checked before
+    anything runs: queries, SHOW, DESCRIBE and EXPLAIN pass; commands and
+    inserts are refused wherever they stand (also under WITH or EXPLAIN)."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql or "")
+    _require_read_only(spark, parsed)
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 

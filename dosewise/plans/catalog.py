@@ -41,6 +41,8 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'agg_15_brand_promotion': {'double': ['op_dollars'], 'string': []},
     'agg_1_rx_by_npi_drug': {'double': ['drug_cst'], 'string': []},
     'agg_22_literal_brand_payments': {'double': ['total_paid'], 'string': []},
+    'agg_22_exact_rollup': {'double': ['drug_cst'], 'string': []},
+    'agg_25_latest_state_by_sync': {'double': ['pay_amount'], 'string': ['updated_at']},
     'agg_25_latest_review_state': {'double': ['pay_amount'], 'string': ['updated_at']},
     'agg_2_pay_by_npi_drug': {'double': ['pay_amount'], 'string': []},
     'agg_31_manufacturer_leaderboard': {'double': ['dollars'], 'string': []},
@@ -51,6 +53,8 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'api_3_find_entity': {'double': ['total_pay'], 'string': []},
     'api_4_search_whole_word': {'double': ['total_pay'], 'string': []},
     'api_4_search_word_start': {'double': ['total_pay'], 'string': []},
+    'api_7_entity_profiles': {'double': ['total_pay'], 'string': []},
+    'api_9_events_of_one_entity': {'double': ['amount'], 'string': []},
     'api_9_entity_payment_events': {'double': ['amount'], 'string': []},
     'dq_1_raw_summary': {'double': ['total_cost'], 'string': []},
     'flt_2_payments_naming_tracked_brand': {'double': ['amount'], 'string': ['payment_date']},
@@ -65,6 +69,10 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'ord_11_sample_entities': {'double': ['total_pay'], 'string': []},
     'ord_4_similar_pool': {'double': ['pay_amount'], 'string': []},
     'ord_7_top_paid_per_drug': {'double': ['dollars'], 'string': []},
+    'src_1_payments_csv': {'double': ['amount'], 'string': ['payment_date']},
+    'src_2_prescribing_csv': {'double': ['tot_drug_cst'], 'string': []},
+    'src_5_prescribing_json': {'double': ['tot_drug_cst'], 'string': []},
+    'str_6_upsert_stream': {'double': ['pay_amount'], 'string': ['updated_at']},
     'str_5_streamed_log_latest_state': {'double': ['pay_amount'], 'string': ['updated_at']},
     'win_1_seed_top_n': {'double': ['pay_amount'], 'string': []},
 }
@@ -669,20 +677,55 @@ SELECT npi, date, amount, manufacturer, drug, event_no FROM (
                     WHEN {TOK('drug3')} IN {_IN(FX_BRANDS)} THEN drug3
                     WHEN {TOK('drug4')} IN {_IN(FX_BRANDS)} THEN drug4
                     WHEN {TOK('drug5')} IN {_IN(FX_BRANDS)} THEN drug5 ELSE '' END AS drug
-        FROM fx_payments_raw WHERE amount > 0))
-WHERE event_no <= 1000""")
+        FROM fx_payments_raw WHERE amount > 0 AND npi <> 0
+         AND (lower(recipient_type) LIKE '%physician%' OR lower(recipient_type) LIKE '%practitioner%'))
+  WHERE drug <> '')""")
 def api_9(spark, d):
+    """All events of all entities, in scope (valid id, recipient type, tracked brand)."""
     x = L(spark, d)
-    return S.entity_events(x.payments, x.drug_map, None, 1000)
+    return S.entity_events(x.payments, x.drug_map, map_rows=x.map_rows)
+
+
+@query("api_9_events_of_one_entity", f"""
+SELECT npi, CAST(payment_date AS VARCHAR) AS date, amount, manufacturer,
+       list_filter([drug1, drug2, drug3, drug4, drug5], lambda s: list_contains({list(FX_BRANDS)}, {TOK('s')}))[1] AS drug,
+       row_number() OVER (ORDER BY CAST(payment_date AS VARCHAR), amount, manufacturer,
+            list_filter([drug1, drug2, drug3, drug4, drug5], lambda s: list_contains({list(FX_BRANDS)}, {TOK('s')}))[1]) AS event_no
+FROM fx_payments_raw
+WHERE amount > 0 AND npi = (SELECT max(npi) FROM fx_pay_rows)
+  AND (lower(recipient_type) LIKE '%physician%' OR lower(recipient_type) LIKE '%practitioner%')
+  AND len(list_filter([drug1, drug2, drug3, drug4, drug5], lambda s: list_contains({list(FX_BRANDS)}, {TOK('s')}))) > 0
+ORDER BY event_no LIMIT 1000""")
+def api_9_one(spark, d):
+    """The page of the largest id among paid entities: its first 1,000 events."""
+    x = L(spark, d)
+    npi = x.pays.agg(F.max("npi")).first()[0]
+    return S.entity_events(x.payments, x.drug_map, npi if npi is not None else 0, 1000, map_rows=x.map_rows)
+
+
+@query("api_7_entity_profiles", """
+SELECT d.npi, d.name, d.specialty, d.city, d.state, d.total_pay, d.total_claims,
+       (SELECT arg_min(drug_key, (-pay_amount, -claims, drug_key)) FROM fx_dd x WHERE x.npi = d.npi) AS primary_drug,
+       coalesce((SELECT string_agg(drug_key, ', ' ORDER BY pay_amount DESC, claims DESC, drug_key) FROM fx_dd x WHERE x.npi = d.npi), '') AS drugs,
+       (SELECT count(*) FROM fx_dd x WHERE x.npi = d.npi AND pay_amount > 0) AS n_paid_drugs,
+       (SELECT count(*) FROM fx_dd x WHERE x.npi = d.npi AND claims > 0) AS n_prescribed_drugs,
+       (SELECT count(DISTINCT manufacturer) FROM fx_mfr x WHERE x.npi = d.npi) AS n_manufacturers,
+       (SELECT count(*) FROM ev x WHERE x.npi = d.npi) AS n_events
+FROM fx_doctors d""", extra_ctes=[("ev", f"""
+SELECT npi FROM fx_payments_raw WHERE amount > 0 AND npi <> 0
+  AND (lower(recipient_type) LIKE '%physician%' OR lower(recipient_type) LIKE '%practitioner%')
+  AND ({' OR '.join(f"{TOK(f'drug{i}')} IN {_IN(FX_BRANDS)}" for i in range(1, 6))})""")])
+def api_7(spark, d):
+    x = L(spark, d)
+    return S.profiles(x.doctors, x.dd, x.mfr, x.payments, x.drug_map, map_rows=x.map_rows)
 
 
 # ---------------------------------------------------------------- review queue
 
 SEED_SQL = """
-SELECT drug_key, npi, pay_amount, CAST(clms AS DOUBLE) AS avg_claims FROM (
-  SELECT p.drug_key, p.npi, p.pay_amount, r.clms,
-         row_number() OVER (PARTITION BY p.drug_key ORDER BY p.pay_amount DESC, p.npi) AS rn
-  FROM fx_pay p JOIN fx_rx r USING (drug_key, npi)) WHERE rn <= 10"""
+SELECT drug_key, npi, pay_amount, CAST(clms AS DOUBLE) AS avg_claims
+FROM fx_pay JOIN fx_rx USING (drug_key, npi)
+QUALIFY 10 >= row_number() OVER (PARTITION BY drug_key ORDER BY pay_amount DESC, npi)"""
 LATEST_SQL = """
 SELECT review_id, drug_key, npi, pay_amount, status, max_u AS updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY updated_at DESC, event_id DESC) AS rn,
@@ -714,8 +757,7 @@ def _upserted(spark, d):
     x = L(spark, d)
     queue = V.queue_from_log(x.review_changes)
     seed = V.seed_top_n(x.rx, x.pay, 10)
-    # The seed holds at most 10 rows per product of the bounded map.
-    return V.upsert(queue, seed, dt.datetime.fromisoformat(SYNC_TS), source_rows_bound=10 * x.map_rows)
+    return V.upsert(queue, seed, dt.datetime.fromisoformat(SYNC_TS))
 
 
 @query("win_1_seed_top_n", SEED_SQL)
@@ -729,6 +771,17 @@ def agg_25(spark, d):
     return V.latest_state(L(spark, d).review_changes, order=("updated_at", "event_id"))
 
 
+@query("agg_25_latest_state_by_sync", """
+SELECT review_id, drug_key, npi, pay_amount, status, max_u AS updated_at FROM (
+  SELECT *, max(updated_at) OVER (PARTITION BY review_id) AS max_u FROM fx_review_changes
+  QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY (event_id * 7919) % 10007 DESC, event_id DESC) = 1)""")
+def agg_25_sync(spark, d):
+    """A log whose order of syncs is not that of the changes: the last sync decides."""
+    sync = F.lit(1893456000) + (F.col("event_id") * 7919) % 10007
+    log = L(spark, d).review_changes.withColumn("synced_at", sync.cast("timestamp"))
+    return V.latest_state(log, order=("synced_at", "event_id"))
+
+
 @query("join_9_upsert_review_queue", "SELECT * FROM upserted", extra_ctes=UPSERT_CTES)
 def join_9(spark, d):
     return _upserted(spark, d)
@@ -754,13 +807,128 @@ def str_5(spark, d):
     changes = x.review_changes
     changes.repartitionByRange(4, "updated_at", "event_id").write.parquet(f"{base}/landing")
     RS.sync_to_log(spark, f"{base}/landing", changes.schema, f"{base}/log", f"{base}/checkpoint",
-                   dedup_keys=("review_id", "updated_at", "event_id"), max_files_per_trigger=1)
+                   max_files_per_trigger=1)
     log = RS.read_log(spark, f"{base}/log")
     return (V.latest_state(log, order=("updated_at", "event_id", "synced_at"),
                            cols=("drug_key", "npi", "pay_amount", "status"))
              .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")))
 
 
+@query("str_6_upsert_stream", f"""
+SELECT id, drug_key, npi, pay_amount, avg_claims, status, assigned_to, updated_at
+FROM (SELECT l.drug_key, l.npi, l.pay_amount, CAST(NULL AS DOUBLE) AS avg_claims, 'flagged' AS status,
+             CAST(NULL AS VARCHAR) AS assigned_to, CAST('{SYNC_TS}' AS TIMESTAMP) AS updated_at,
+             row_number() OVER (ORDER BY f.first_batch, l.drug_key, l.npi) AS id
+      FROM (SELECT drug_key, npi, pay_amount FROM c
+            QUALIFY row_number() OVER (PARTITION BY drug_key, npi ORDER BY batch DESC, updated_at DESC, event_id DESC) = 1) l
+      JOIN (SELECT drug_key, npi, min(batch) AS first_batch FROM c GROUP BY ALL) f USING (drug_key, npi))""",
+       extra_ctes=[("c", """SELECT *, event_id % 3 AS batch FROM fx_review_changes
+                            UNION ALL SELECT *, event_id % 3 AS batch FROM fx_review_changes WHERE event_id % 5 = 0""")])
+def str_6(spark, d):
+    """STR-6: three batches of changes, many a key and some twice, upserted into
+    the queue batch by batch; one row per key, ids dense in order of arrival."""
+    import datetime as dt
+    import uuid
+    from dosewise.plans.session import shared_dir
+    from dosewise.sources import sinks
+    from dosewise.streaming import review_sync as RS
+    base = shared_dir(spark, f"review-upsert/{uuid.uuid4().hex}")
+    changes = L(spark, d).review_changes
+    twice = changes.unionByName(changes.where(F.col("event_id") % 5 == 0))
+    now = dt.datetime.fromisoformat(SYNC_TS)
+    for b in range(3):
+        twice.where(F.col("event_id") % 3 == b).write.mode("append").parquet(f"{base}/landing")
+        RS.upsert_batches(spark, f"{base}/landing", changes.schema, f"{base}/queue", f"{base}/checkpoint", now=now)
+    return sinks.read_snapshot(spark, f"{base}/queue").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+def _text_csv(df: DataFrame, headers: dict, optional: dict, path: str, junk, back: bool = False) -> None:
+    """The typed rows as raw text files under the source's header names, with
+    money as '$1,234.50', a column nobody asked for, and ``junk`` in place of
+    some values; ``back``: columns in reverse order."""
+    text = {n: F.concat(F.lit("$"), F.format_number(F.col(n).cast("decimal(18,2)"), 2))
+            if n in ("amount", "tot_drug_cst") else F.col(n).cast("string") for n in df.columns}
+    cols = [junk(n, text[n]).alias(h) for h, n in {**headers, **optional}.items() if n in df.columns]
+    cols.append(F.lit('he said "x, y"').alias("Unknown_Column"))
+    df.select(*(reversed(cols) if back else cols)).write.option("header", True).option("escape", '"').csv(path)
+
+
+def _landing(spark, name: str) -> str:
+    import uuid
+    from dosewise.plans.session import shared_dir
+    return shared_dir(spark, f"landing/{uuid.uuid4().hex}/{name}")
+
+
+@query("src_1_payments_csv", """
+SELECT npi, recipient_type, specialty, CASE WHEN npi % 7 = 3 THEN CAST(0 AS DECIMAL(18,2)) ELSE amount END AS amount,
+       nature, manufacturer, drug1, drug2, drug3, drug4, drug5, CASE WHEN npi % 5 = 1 THEN 0 ELSE program_year END AS program_year,
+       CASE WHEN npi % 11 = 2 THEN DATE '1970-01-01' ELSE payment_date END AS payment_date
+FROM fx_payments_raw""")
+def src_1(spark, d):
+    """SRC-1/3/11, SNK-5: payments written as text under two headers of different
+    column order, with overflowing amounts, junk years and junk dates, read back."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    npi = F.col("npi")
+    bad = {"amount": (npi % 7 == 3, "$99,999,999,999,999,999,999"), "program_year": (npi % 5 == 1, "99999999999"),
+           "payment_date": (npi % 11 == 2, "soon")}
+
+    def junk(name, c):
+        return F.when(bad[name][0], F.lit(bad[name][1])).otherwise(c) if name in bad else c
+
+    p = L(spark, d).payments
+    path = _landing(spark, "payments")
+    for k in (0, 1):
+        _text_csv(p.where(npi % 2 == k), schemas.PAYMENTS_HEADERS, {}, f"{path}/part={k}", junk, back=bool(k))
+    return RD.read_payments_csv(spark, f"{path}/part=*")
+
+
+@query("src_2_prescribing_csv", """
+SELECT npi, specialty, brnd_name, gnrc_name, CASE WHEN npi % 4 = 1 THEN 0 ELSE tot_clms END AS tot_clms, tot_benes,
+       tot_drug_cst, yr FROM fx_partd_raw""")
+def src_2(spark, d):
+    """SRC-2/12: prescribing text files, the year in their names."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    path = _landing(spark, "prescribing")
+    p = L(spark, d).partd
+    p = p.withColumn("file", F.concat(F.lit("partd_20"), F.lpad((F.col("yr") % 100).cast("string"), 2, "0")))
+
+    def junk(name, c):
+        return F.when(F.col("npi") % 4 == 1, "n/a").otherwise(c) if name == "tot_clms" else c
+
+    cols = [junk(n, F.col(n).cast("string")).alias(h) for h, n in schemas.PARTD_HEADERS.items()]
+    p.select("file", *cols).write.partitionBy("file").option("header", True).option("escape", '"').csv(path)
+    back = RD.read_prescribing_csv(spark, f"{path}/file=*")
+    # The given years are of the 1990s; file names hold 20xx.
+    return back.withColumn("yr", F.when(F.col("yr") >= 2090, F.col("yr") - 100).otherwise(F.col("yr")).cast("int"))
+
+
+@query("src_5_prescribing_json", "SELECT npi, specialty, brnd_name, gnrc_name, tot_clms, tot_benes, tot_drug_cst, 2020 AS yr FROM fx_partd_raw")
+def src_5(spark, d):
+    """SRC-5: prescribing rows as JSON text, absent keys where a value is empty."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    path = _landing(spark, "partd_2020")
+    cols = [F.nullif(F.col(n).cast("string"), F.lit("")).alias(h) for h, n in schemas.PARTD_HEADERS.items()]
+    L(spark, d).partd.select(*cols).write.json(path)
+    return RD.read_prescribing_json(spark, path, year=2020, lines=True).select(*schemas.PARTD_RAW.fieldNames())
+
+
+@query("agg_22_exact_rollup", """
+SELECT m.drug_key, p.npi, min(p.specialty) AS specialty, CAST(sum(p.tot_clms) AS BIGINT) AS clms,
+       CAST(sum(p.tot_drug_cst) AS DECIMAL(18,2)) AS drug_cst, CAST(sum(p.tot_benes) AS BIGINT) AS benes
+FROM fx_partd_raw p JOIN (SELECT DISTINCT p_name AS drug_key, upper(trim(p_name)) AS k FROM part WHERE p_partkey <= 40) m
+  ON upper(trim(p.brnd_name)) = m.k
+WHERE p.npi <> 0 GROUP BY m.drug_key, p.npi""")
+def agg_22_exact(spark, d):
+    """D-1 ``match="exact"``: whole upper-cased product names, map of the first 40 parts' names."""
+    x = L(spark, d)
+    names = x.t("part").where(F.col("p_partkey") <= 40).select(F.col("p_name").alias("drug_key")).distinct()
+    dm = names.select("drug_key", F.upper(F.btrim("drug_key")).alias("brnd_name"), F.lit("").alias("gnrc_name"), F.lit("brand").alias("match_on"))
+    return R.rx_by_key(x.partd, dm, match="exact", map_rows=40)
+
+
 @query("flt_6_rx_year_pinned", """
 SELECT m.drug_key, p.npi, min(p.specialty) AS specialty, CAST(sum(p.tot_clms) AS BIGINT) AS clms,
        CAST(sum(p.tot_drug_cst) AS DECIMAL(18,2)) AS drug_cst, CAST(sum(p.tot_benes) AS BIGINT) AS benes
@@ -853,7 +1021,7 @@ PVALUE_CTES = [
     ("prm", """SELECT drug_key, t, dof, x, a, swap,
                       CASE WHEN swap THEN 0.5 ELSE a END AS a_, CASE WHEN swap THEN a ELSE 0.5 END AS b_,
                       CASE WHEN swap THEN 1.0 - x ELSE x END AS x_,
-                      CAST(least(100000, 64 + 8 * ceil(sqrt(greatest(a, 0.5)))) AS INTEGER) * 2 + 1 AS steps
+                      CAST(64 + 8 * ceil(sqrt(greatest(a, 0.5))) AS INTEGER) * 2 + 1 AS steps
                FROM pin"""),
     ("cf", """SELECT * FROM (WITH RECURSIVE it(drug_key, j, c, d, h, done) AS (
                  SELECT drug_key, 0, 1.0::DOUBLE,

@@ -95,7 +95,9 @@ def payments_raw(t: Tables) -> DataFrame:
     (ingest never yields NULL) and is not used by any query.
     """
     e = events_k(t)
-    s = t("supplier").select("s_suppkey", "s_name")
+    # The projection meets ten suppliers whatever the input: their keys are
+    # unique, so this side has at most ten rows.
+    s = F.broadcast(t("supplier").where(F.col("s_suppkey").between(0, 9)).select("s_suppkey", "s_name"))
     p1 = t("part").select(F.col("p_partkey").alias("p1_key"), F.col("p_name").alias("p1_name"))
     p2 = t("part").select(F.col("p_partkey").alias("p2_key"), F.col("p_name").alias("p2_name"))
     j = (e.join(s, s.s_suppkey == e.k % 10)
@@ -122,7 +124,8 @@ def payments_raw(t: Tables) -> DataFrame:
 def identities(t: Tables) -> DataFrame:
     """(npi, name, specialty, city, state): one identity row per prescriber id."""
     c = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    p = t("part").select("p_partkey", "p_name")
+    # Two hundred parts, by their unique key.
+    p = F.broadcast(t("part").where(F.col("p_partkey").between(0, 199)).select("p_partkey", "p_name"))
     n = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     r = t("region").select("r_regionkey", "r_name")
     j = (c.join(p, p.p_partkey == c.c_custkey % 200)

@@ -13,32 +13,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dosewise.functions.clean import date0, full_name, int0, money, strip, year_from_text
+from dosewise.functions.clean import date0, exact_money, full_name, int0, strip, year0, year_from_text
 from dosewise.sources import schemas
 from dosewise.sources.schemas import require_columns
 
 MAX_FIELD_CHARS = 1 << 24
 
 
-def csv_reader(spark: SparkSession):
-    """SRC-1/2: header-keyed CSV, quoted multi-line fields, 16 MiB field limit,
-    bad bytes replaced (UTF-8), everything read as text."""
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("quote", '"')
-            .option("maxCharsPerColumn", MAX_FIELD_CHARS).option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE").option("inferSchema", False))
+def csv_reader(spark: SparkSession, multi_line: bool = False):
+    """SRC-1/2: header-keyed CSV, 16 MiB field limit, bad bytes replaced (UTF-8),
+    everything read as text.
+
+    By default files are split among tasks, a record is a line, and a line with
+    too few or too many fields fails the load (all columns are parsed for
+    that, ``columnPruning`` off).  Files whose quoted fields hold line ends
+    need ``multi_line``, which reads each file in one task: convert such files
+    to Parquet once.
+    """
+    r = (spark.read.option("header", True).option("multiLine", multi_line)
+         .option("escape", '"').option("quote", '"')
+         .option("maxCharsPerColumn", MAX_FIELD_CHARS).option("encoding", "UTF-8")
+         .option("inferSchema", False))
+    return r if multi_line else r.option("mode", "FAILFAST").option("columnPruning", False)
+
+
+def csv_by_header(spark: SparkSession, path, required: dict, optional: dict, multi_line: bool = False) -> DataFrame:
+    """The needed columns of all files under ``path``, each file read by its own header.
+
+    Headers drift between years, and one CSV scan takes all files' columns from
+    one header by position.  So files are grouped by header (one short read of
+    each file's first line), every group is checked for the required columns
+    and scanned under its own header, and groups are united by column name.
+    """
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    groups: dict[tuple, list] = {}
+    for f in files:
+        groups.setdefault(tuple(csv_reader(spark, multi_line).csv(f).columns), []).append(f)
+    if not groups:
+        raise MissingColumns(f"no files under {path}")
+    out = None
+    for same in groups.values():
+        df = csv_reader(spark, multi_line).csv(same)
+        part = _pick(df.withColumn("_path", F.col("_metadata.file_path")), required, optional, ["_path"])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
-def _pick(df: DataFrame, required: dict, optional: dict) -> DataFrame:
+def _pick(df: DataFrame, required: dict, optional: dict, more=()) -> DataFrame:
     require_columns(df, list(required))
     cols = [F.col(f"`{h}`").alias(n) for h, n in required.items()]
     cols += [F.col(f"`{h}`").alias(n) for h, n in optional.items() if h in df.columns]
-    return df.select(*cols)
+    return df.select(*cols, *more)
 
 
-def staged_payments(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: the all-text staging view of a payments file (needed columns only)."""
-    return _pick(csv_reader(spark).csv(path), schemas.PAYMENTS_HEADERS, schemas.PAYMENTS_OPTIONAL)
+def staged_payments(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """SRC-3: the all-text staging view of payments files (needed columns only)."""
+    return csv_by_header(spark, path, schemas.PAYMENTS_HEADERS, schemas.PAYMENTS_OPTIONAL, multi_line).drop("_path")
 
 
 def type_payments(staged: DataFrame, year: int | None = None) -> DataFrame:
@@ -46,25 +76,23 @@ def type_payments(staged: DataFrame, year: int | None = None) -> DataFrame:
     s = lambda c: strip(c) if c in staged.columns else F.lit("")
     out = staged.select(
         int0("npi").alias("npi"), s("recipient_type").alias("recipient_type"),
-        s("specialty").alias("specialty"), money("amount").cast(schemas.MONEY).alias("amount"),
+        s("specialty").alias("specialty"), exact_money("amount").alias("amount"),
         s("nature").alias("nature"), s("manufacturer").alias("manufacturer"),
         *[s(f"drug{i}").alias(f"drug{i}") for i in range(1, 6)],
-        (F.lit(year).cast("int") if year is not None else int0("program_year").cast("int")).alias("program_year"),
+        (F.lit(year).cast("int") if year is not None else year0("program_year")).alias("program_year"),
         date0("payment_date").alias("payment_date"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("indicator1", "first_name", "last_name", "city", "state")
           if c in staged.columns])
     return out
 
 
-def read_payments_csv(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+def read_payments_csv(spark: SparkSession, path: str, year: int | None = None, multi_line: bool = False) -> DataFrame:
     """SRC-1: payments CSV -> typed rows (all rows kept; scope in the rollup, D-8)."""
-    return type_payments(staged_payments(spark, path), year)
+    return type_payments(staged_payments(spark, path, multi_line), year)
 
 
-def staged_prescribing(spark: SparkSession, path: str) -> DataFrame:
-    df = csv_reader(spark).csv(path)
-    picked = _pick(df, schemas.PARTD_HEADERS, schemas.PARTD_OPTIONAL)
-    return picked.withColumn("_path", F.col("_metadata.file_path"))
+def staged_prescribing(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return csv_by_header(spark, path, schemas.PARTD_HEADERS, schemas.PARTD_OPTIONAL, multi_line)
 
 
 def type_prescribing(staged: DataFrame, year: int | None = None) -> DataFrame:
@@ -76,20 +104,21 @@ def type_prescribing(staged: DataFrame, year: int | None = None) -> DataFrame:
         int0("npi").alias("npi"), strip("specialty").alias("specialty"),
         strip("brnd_name").alias("brnd_name"), strip("gnrc_name").alias("gnrc_name"),
         int0("tot_clms").alias("tot_clms"), int0("tot_benes").alias("tot_benes"),
-        money("tot_drug_cst").cast(schemas.MONEY).alias("tot_drug_cst"), yr.alias("yr"), *extra)
+        exact_money("tot_drug_cst").alias("tot_drug_cst"), yr.alias("yr"), *extra)
 
 
-def read_prescribing_csv(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+def read_prescribing_csv(spark: SparkSession, path: str, year: int | None = None, multi_line: bool = False) -> DataFrame:
     """SRC-2 + SRC-12."""
-    return type_prescribing(staged_prescribing(spark, path), year)
+    return type_prescribing(staged_prescribing(spark, path, multi_line), year)
 
 
-def read_prescribing_json(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """SRC-5: glob of JSON files, each one array of objects with the CSV keys;
+def read_prescribing_json(spark: SparkSession, path: str, year: int | None = None, lines: bool = False) -> DataFrame:
+    """SRC-5: glob of JSON files, each one array of objects with the CSV keys
+    (``lines``: an object a line, which files of any size can be split by);
     missing keys default like the CSV path (``get`` with a default)."""
     keys = list(schemas.PARTD_HEADERS) + list(schemas.PARTD_OPTIONAL)
     schema = T.StructType([T.StructField(k, T.StringType(), True) for k in keys])
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", not lines).json(path)
     picked = _pick(df, schemas.PARTD_HEADERS, schemas.PARTD_OPTIONAL)
     return type_prescribing(picked.withColumn("_path", F.col("_metadata.file_path")), year)
 
@@ -109,7 +138,7 @@ def read_payments_json(spark: SparkSession, path: str, year: int | None = None)
 
 def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """SRC-7: small dimension CSV (drug map, entity list) with a declared schema."""
-    df = csv_reader(spark).csv(path)
+    df = csv_reader(spark, multi_line=True).csv(path)
     require_columns(df, schema.fieldNames())
     return df.select(*[F.coalesce(F.col(f.name), F.lit("")).cast(f.dataType).alias(f.name)
                        if isinstance(f.dataType, T.StringType) else F.col(f.name).cast(f.dataType).alias(f.name)

@@ -7,7 +7,10 @@ output committer, so there is nothing to hand-write here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +25,17 @@ def write_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def replace_partition(df: DataFrame, path: str, column: str = "yr") -> None:
+def replace_partition(df: DataFrame, path: str, column: str = "yr", files_per_value: int = 64) -> None:
     """SNK-3: replace the partitions present in ``df`` (one year), keep the rest.
 
-    Needs ``spark.sql.sources.partitionOverwriteMode=dynamic`` (set per write).
+    Dynamic partition overwrite, set for this write.  Rows are first dealt by
+    the value and a hash of the row, so a value has at most
+    ``files_per_value`` files (instead of one for each task) and a value that
+    holds most rows is still written by that many tasks.
     """
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_value))
+    (df.repartition(F.col(column), spread)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(column).parquet(path))
 
 
@@ -61,9 +69,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = No
 
 
 def write_json_dump(df: DataFrame, path: str) -> int:
-    """SNK-8: raw JSON landing dump; returns the row count written."""
-    df.write.mode("overwrite").json(path)
-    return df.sparkSession.read.json(path).count()
+    """SNK-8: raw JSON landing dump; returns the row count written, observed while writing."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
 
 
 # ---------------------------------------------------------------- snapshots
@@ -77,11 +86,19 @@ def write_json_dump(df: DataFrame, path: str) -> int:
 COMMIT_LOG = "_log"
 
 
-def _log(spark: SparkSession, base: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A Parquet table, or None where the path does not exist.  Any other
+    failure is raised: a log that cannot be read is not an empty log."""
     try:
-        return spark.read.schema("version long, path string").parquet(f"{base.rstrip('/')}/{COMMIT_LOG}")
-    except Exception:  # no version committed yet
-        return None
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _log(spark: SparkSession, base: str) -> DataFrame | None:
+    return read_if_there(spark, f"{base.rstrip('/')}/{COMMIT_LOG}", "version long, path string")
 
 
 def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
@@ -104,11 +121,14 @@ def read_snapshot(spark: SparkSession, base: str, schema: T.StructType | None =
 
 
 def swap_snapshot(spark: SparkSession, df: DataFrame, base: str) -> str:
-    """Write the next version beside the current one, then log it as committed."""
+    """Write the next version beside the current one, then log it as committed.
+
+    Every attempt writes a folder of its own, so nothing written before is
+    ever overwritten, committed or not."""
     v = snapshot_versions(spark, base)
     n = (v[-1] + 1) if v else 0
-    nxt = f"{base.rstrip('/')}/v={n}"
-    df.write.mode("overwrite").parquet(nxt)
+    nxt = f"{base.rstrip('/')}/v={n}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("error").parquet(nxt)
     spark.createDataFrame([(n, nxt)], "version long, path string").write.mode("append") \
          .parquet(f"{base.rstrip('/')}/{COMMIT_LOG}")
     return nxt

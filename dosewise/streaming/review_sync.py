@@ -3,10 +3,13 @@
 The reference polls ``updated_at > mark`` and keeps the mark in a file;
 a crash between insert and mark, or rows sharing the mark's timestamp,
 can duplicate or lose changes.  Here the change rows land as files, a
-checkpointed file-source stream replays exactly from its offset log,
-duplicates inside the watermark are dropped, and every micro-batch is
-written to a folder named by its batch id, so a replayed batch
-overwrites itself instead of appending twice.
+checkpointed file-source stream replays exactly from its offset log, and
+every micro-batch is written to a folder named by its batch id, so a
+replayed batch overwrites itself instead of appending twice.  A change that
+arrives twice is dropped when the log is read (``read_log``), by a hash
+aggregation over the log, however late the copy comes: no state grows with
+the stream and no late change is lost.  ``deduplicated`` is the streaming
+form for callers who can name a bound on lateness.
 """
 
 from __future__ import annotations
@@ -18,9 +21,6 @@ from pyspark.sql import types as T
 from dosewise.operators import review as V
 from dosewise.sources import sinks
 
-DEFAULT_LATENESS = "3650 days"
-
-
 def change_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """STR-1: new change files under ``source_dir`` (declared schema, no inference)."""
@@ -30,10 +30,14 @@ def change_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     return r.load(source_dir)
 
 
-def deduplicated(changes: DataFrame, keys=("review_id", "updated_at"), lateness: str = DEFAULT_LATENESS,
-                 time_col: str = "updated_at") -> DataFrame:
+def deduplicated(changes: DataFrame, lateness: str, keys=None, time_col: str = "updated_at") -> DataFrame:
     """STR-8: event-time watermark + ``dropDuplicatesWithinWatermark``; the
-    timestamp is cast to a zoned timestamp first (session zone is UTC)."""
+    timestamp is cast to a zoned timestamp first (session zone is UTC).
+
+    ``lateness`` bounds the state, and a change later than that is dropped, so
+    the caller has to name it.  By default only whole equal changes are
+    duplicates."""
+    keys = keys or changes.columns
     c = changes.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return c.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(list(keys))
 
@@ -62,14 +66,18 @@ def _batch_writer(sink_dir: str):
 
 def sync_to_log(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
                 checkpoint: str, *, once: bool = True, interval: str = "5 seconds",
-                dedup_keys=("review_id", "updated_at"), max_files_per_trigger: int | None = None):
+                lateness: str | None = None, max_files_per_trigger: int | None = None):
     """STR-1..4, STR-8: stream change files into the append-only event log.
 
     ``once=True`` is the one-pass mode (``availableNow``); otherwise a
     ``processingTime`` trigger polls every ``interval`` (STR-3).  The
     checkpoint replaces the hand-kept high-water mark (STR-2).
+    ``lateness`` drops duplicates within that bound in the stream already.
     """
-    s = deduplicated(change_stream(spark, source_dir, schema, max_files_per_trigger), dedup_keys)
+    s = change_stream(spark, source_dir, schema, max_files_per_trigger)
+    s = s.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    if lateness:
+        s = deduplicated(s, lateness)
     w = (log_rows(s).writeStream.foreachBatch(_batch_writer(sink_dir))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)
@@ -80,7 +88,17 @@ def sync_to_log(spark: SparkSession, source_dir: str, schema: T.StructType, sink
 
 
 def read_log(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(sink_dir)
+    """STR-8: the log with every change once (equal in all but when it was
+    synced), stamped with its first sync."""
+    log = spark.read.parquet(sink_dir)
+    same = [c for c in log.columns if c not in ("synced_at", "batch_id")]
+    return log.groupBy(*same).agg(F.min("synced_at").alias("synced_at"))
+
+
+def compact_log(spark: SparkSession, sink_dir: str, out_dir: str, files: int) -> None:
+    """The log of many small batches as ``files`` files in a new folder; the
+    stream goes on writing to its own."""
+    read_log(spark, sink_dir).repartition(files, "review_id").write.mode("error").parquet(out_dir)
 
 
 def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, queue_base: str,
@@ -89,26 +107,24 @@ def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, q
 
     The next snapshot is computed from the committed one and written as a
     new version (``sinks.swap_snapshot``); applied batch ids are appended to
-    a small log table after the swap, so a replayed batch is a no-op.
+    a small log table after the swap, so a replayed batch is a no-op.  A key's
+    changes within a batch are applied in the order of ``updated_at`` and
+    ``event_id``, as far as the source has these; a log that cannot be read
+    stops the stream.
     """
     applied = f"{queue_base.rstrip('/')}/_batches"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.schema("batch_id long").parquet(applied).where(F.col("batch_id") == batch_id)
-            if done.limit(1).count():
-                return
-        except Exception:  # nothing applied yet
-            pass
+        log = sinks.read_if_there(spark, applied, "batch_id long")
+        if log is not None and not log.where(F.col("batch_id") == batch_id).isEmpty():
+            return
         current = sinks.read_snapshot(spark, queue_base)
+        order = [c for c in ("updated_at", "event_id") if c in batch.columns]
         src = batch.select("drug_key", "npi", "pay_amount",
                            (F.col("avg_claims") if "avg_claims" in batch.columns
-                            else F.lit(None).cast("double")).alias("avg_claims"))
+                            else F.lit(None).cast("double")).alias("avg_claims"), *order)
         ts = now if now is not None else F.current_timestamp()
-        if current is None:
-            nxt = V.upsert(_empty_queue(spark), src, ts)
-        else:
-            nxt = V.upsert(current, src, ts)
+        nxt = V.upsert(_empty_queue(spark) if current is None else current, src, ts, order=order)
         sinks.swap_snapshot(spark, nxt, queue_base)
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(applied)
 
@@ -127,6 +143,9 @@ def _empty_queue(spark: SparkSession) -> DataFrame:
 
 
 def latest_state_stream(changes: DataFrame, order=("updated_at", "event_id")) -> DataFrame:
-    """STR-5 (streaming form): running latest state per id; run in
-    ``update`` or ``complete`` output mode."""
-    return V.latest_state(changes, order=order)
+    """STR-5 (streaming form): running latest state per id, one mergeable
+    aggregate; run in ``update`` or ``complete`` output mode."""
+    o = F.struct(*order)
+    cols = [c for c in V.STATE_COLS if c in changes.columns]
+    return changes.groupBy("review_id").agg(*[F.max_by(c, o).alias(c) for c in cols],
+                                            F.max("updated_at").alias("updated_at"))

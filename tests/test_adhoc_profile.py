@@ -1,5 +1,6 @@
 """Ad-hoc SQL guard and the entity profile."""
 import pytest
+from pyspark.errors import ParseException
 
 from dosewise.plans import adhoc
 from dosewise.plans.layers import layers_for
@@ -8,15 +9,30 @@ from dosewise.operators import search as S
 SF = "/root/testdata/sf0.001"
 
 
-def test_guard(spark):
+def test_guard(spark, tmp_dir):
     lay = layers_for(spark, SF)
     adhoc.register_views(spark, lay)
     assert adhoc.run_query(spark, "  select count(*) AS n from doctors").first().n > 0
     assert adhoc.run_query(spark, "SELECT count(*) AS n FROM rx_by_npi_drug WHERE drug_key = :d",
                            {"d": "Small"}).first().n > 0
-    for bad in ("DROP VIEW doctors", "insert into x select 1", "", "; select 1"):
-        with pytest.raises(adhoc.NotReadOnly):
-            adhoc.run_query(spark, bad)
+    for good in ("SHOW TABLES", "DESCRIBE doctors", "EXPLAIN SELECT 1", "WITH a AS (SELECT 1 AS n) SELECT * FROM a",
+                 "SELECT (SELECT max(npi) FROM doctors) AS m", "VALUES (1), (2)", "DESCRIBE QUERY SELECT 1 AS n"):
+        assert adhoc.run_query(spark, good).count() >= 1
+    spark.sql("CREATE TABLE guard_target (n BIGINT) USING parquet LOCATION '%s'" % (tmp_dir + "/t"))
+    try:
+        for bad in ("DROP VIEW doctors", "INSERT INTO guard_target SELECT 1", "WITH x AS (SELECT 1 AS n) INSERT INTO guard_target SELECT n FROM x",
+                    "EXPLAIN INSERT INTO guard_target SELECT 1", "CREATE TABLE guard_copy AS SELECT 1 AS n", "EXPLAIN CREATE TABLE guard_copy AS SELECT 1 AS n",
+                    "SET spark.sql.shuffle.partitions = 1", "CACHE TABLE doctors", "FROM doctors INSERT INTO guard_target SELECT npi",
+                    f"SELECT * FROM parquet.`{tmp_dir}`", f"SELECT (SELECT max(n) FROM parquet.`{tmp_dir}`)", f"WITH a AS (SELECT * FROM csv.`{tmp_dir}`) SELECT * FROM a",
+                    "TRUNCATE TABLE guard_target", "CREATE TEMP VIEW v AS SELECT 1"):
+            with pytest.raises(adhoc.NotReadOnly):
+                adhoc.run_query(spark, bad)
+        for nothing in ("", "; select 1"):
+            with pytest.raises(ParseException):
+                adhoc.run_query(spark, nothing)
+        assert spark.table("guard_target").count() == 0
+    finally:
+        spark.sql("DROP TABLE guard_target")
 
 
 def test_entity_profile(spark):

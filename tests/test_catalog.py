@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from dosewise.plans.catalog import QUERIES
 from tools.oracle_check import TABLES, duck_kind, norm_rows, spark_kind
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def con():
 def test_output_boundary_types(spark):
     from pyspark.sql import types as T
     from dosewise.plans import catalog
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         for f in fn(spark, SF).schema.fields:
             assert not isinstance(f.dataType, (T.DecimalType, T.DateType, T.TimestampType,
                                                T.TimestampNTZType)), (name, f)
@@ -43,7 +44,7 @@ def test_entry(spark):
     assert len(rows) > 0 and df.columns == ["drug_key", "pay_band", "n", "avg_claims"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]

@@ -65,3 +65,11 @@ def test_no_nested_loop_join(spark):
     p = _partd(spark, [(1, "JARDIANCE", "Empagliflozin", 10)])
     plan = M.match_prescribing(p, dm)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_name_listed_twice_does_not_double_rows(spark):
+    dm = spark.createDataFrame([("A", "ELIQUIS", "", "brand"), ("B", "ELIQUIS", "", "brand"),
+                                ("C", "", "APIXABAN", "generic"), ("D", "", "APIXABAN", "generic")],
+                               "drug_key string, brnd_name string, gnrc_name string, match_on string")
+    p = spark.createDataFrame([("Eliquis", "x"), ("y", "Apixaban")], "brnd_name string, gnrc_name string")
+    assert sorted(r.drug_key for r in M.first_match_key(p, dm).collect()) == ["B", "D"]

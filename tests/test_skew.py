@@ -31,13 +31,22 @@ def test_hot_entity_events_and_rollup(spark):
     dm = spark.createDataFrame(MAP, schemas.DRUG_MAP)
     ev = S.entity_events(pay, dm, None, 1000)
     hot = ev.where(F.col("npi") == 7).orderBy("event_no").collect()
-    assert [r.event_no for r in hot] == list(range(1, 1001))
+    assert [r.event_no for r in hot] == list(range(1, 2001))        # in bulk nothing is cut
     assert [r.date for r in hot] == sorted(r.date for r in hot)
     assert ev.where(F.col("npi") != 7).count() == pay.where(F.col("npi") != 7).count()
     rolled = {(r.drug_key, r.npi): r.pay_count for r in R.pay_by_key(pay, dm).collect()}
     assert rolled[("Eliquis", 7)] + rolled[("Xarelto", 7)] == 2000
-    plan = ev._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    page = S.entity_events(pay, dm, 7, 1000)
+    assert sorted(r.event_no for r in page.collect()) == list(range(1, 1001))
+    assert "WindowGroupLimit" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_with_a_large_map(spark):
+    many = spark.range(20_000).selectExpr("concat('D', id) AS drug_key", "concat('BRAND', id) AS brnd_name", "'' AS gnrc_name", "'brand' AS match_on")
+    dm = many.unionByName(spark.createDataFrame(MAP, schemas.DRUG_MAP))
+    pay = _payments(spark, 300)
+    assert S.entity_events(pay, dm).count() == 300
+    assert S.entity_events(pay.withColumn("recipient_type", F.lit("Covered Recipient Teaching Hospital")), dm).count() == 0
 
 
 def test_dense_ids_with_hot_prefix(spark):

@@ -28,7 +28,9 @@ def test_payments_csv_typing_and_pruning(spark, tmp_dir):
     multi = ["0", "Covered Recipient Teaching Hospital", "", "bad", "Travel", "Beta", "Xarelto\nStarter",
              "", "", "", "", "", "junk", "y"]
     _write_csv(p, PAY_HEADER, [row, multi])
-    df = RD.read_payments_csv(spark, p)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        RD.read_payments_csv(spark, p).collect()                    # a quoted line end needs multi_line
+    df = RD.read_payments_csv(spark, p, multi_line=True)
     got = df.orderBy(F.desc("npi")).collect()
     assert got[0].npi == 123 and got[0].amount == D("1234.50") and got[0].manufacturer == "Acme"
     assert str(got[0].payment_date) == "2024-01-05" and got[0].program_year == 2024
@@ -119,3 +121,68 @@ def test_snapshot_swap(spark, tmp_dir):
     sinks.swap_snapshot(spark, cur.union(spark.createDataFrame([(2,)], "id long")), base)
     assert sinks.snapshot_versions(spark, base) == [0, 1]
     assert sorted(r.id for r in sinks.read_snapshot(spark, base).collect()) == [1, 2]
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_dir):
+    hdr = list(schemas.PARTD_HEADERS)
+    row = dict(zip(hdr, ["5", "Cardiology", "Eliquis", "Apixaban", "12", "3", "$99,999,999,999,999,999,999.00"]))
+    swapped = [*reversed(hdr), "Prscrbr_City"]
+    _write_csv(os.path.join(tmp_dir, "partd_2021.csv"), hdr, [[row[h] for h in hdr]])
+    _write_csv(os.path.join(tmp_dir, "partd_2022.csv"), swapped, [[row[h] for h in reversed(hdr)] + ["Austin"]])
+    got = sorted(RD.read_prescribing_csv(spark, os.path.join(tmp_dir, "partd_*.csv")).collect(), key=lambda r: r.yr)
+    assert [(r.yr, r.npi, r.brnd_name, r.gnrc_name, r.tot_clms, r.tot_drug_cst) for r in got] == \
+        [(y, 5, "Eliquis", "Apixaban", 12, D("0.00")) for y in (2021, 2022)]      # out of range: 0, no failure
+    _write_csv(os.path.join(tmp_dir, "partd_2023.csv"), ["Prscrbr_NPI"], [["1"]])
+    with pytest.raises(MissingColumns):
+        RD.read_prescribing_csv(spark, os.path.join(tmp_dir, "partd_*.csv"))
+
+
+def test_a_csv_file_is_split_among_tasks(spark, tmp_dir):
+    hdr = list(schemas.PARTD_HEADERS)
+    p = os.path.join(tmp_dir, "partd_2024.csv")
+    _write_csv(p, hdr, [[str(i), "Cardiology", "Eliquis", "Apixaban", "12", "3", "1.5"] for i in range(20000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
+    try:
+        df = RD.read_prescribing_csv(spark, p)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 20000
+        assert df.agg(F.count_distinct("npi")).first()[0] == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_log_that_cannot_be_read_is_not_empty(spark, tmp_dir, monkeypatch):
+    base = os.path.join(tmp_dir, "queue")
+    for i in range(2):
+        sinks.swap_snapshot(spark, spark.createDataFrame([(i,)], "id long"), base)
+    before = sorted(os.listdir(base))
+
+    class Broken:
+        def __getattr__(self, name):
+            raise OSError("storage timeout")
+
+    monkeypatch.setattr(type(spark), "read", property(lambda self: Broken()))
+    for call in (lambda: sinks.snapshot_versions(spark, base), lambda: sinks.read_snapshot(spark, base),
+                 lambda: sinks.swap_snapshot(spark, spark.createDataFrame([(9,)], "id long"), base)):
+        with pytest.raises(OSError):
+            call()
+    monkeypatch.undo()
+    assert sorted(os.listdir(base)) == before and sinks.snapshot_versions(spark, base) == [0, 1]
+    assert [r.id for r in sinks.read_snapshot(spark, base).collect()] == [1]
+
+
+def test_append_and_overwrite(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "t")
+    a = spark.createDataFrame([(1,)], "id long")
+    sinks.write_overwrite(a, out)
+    sinks.write_append(a, out)
+    assert spark.read.parquet(out).count() == 2
+    sinks.write_overwrite(a, out)
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_a_year_has_a_bounded_number_of_files(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "partd")
+    df = spark.range(5000).selectExpr("id AS npi", "2024 AS yr").repartition(50)
+    sinks.replace_partition(df, out, files_per_value=3)
+    files = [f for f in os.listdir(os.path.join(out, "yr=2024")) if f.endswith(".parquet")]
+    assert len(files) <= 3 and spark.read.parquet(out).count() == 5000

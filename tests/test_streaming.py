@@ -17,12 +17,12 @@ def test_two_runs_equal_batch(spark, tmp_dir):
     ch = review_changes(Tables(spark, SF))
     land, log, ck = (os.path.join(tmp_dir, x) for x in ("landing", "log", "ck"))
     ch.where(F.col("event_id") % 2 == 0).write.parquet(os.path.join(land, "part=0"))
-    RS.sync_to_log(spark, land, ch.schema, log, ck, dedup_keys=("review_id", "updated_at", "event_id"))
+    RS.sync_to_log(spark, land, ch.schema, log, ck)
     n1 = RS.read_log(spark, log).count()
     ch.where(F.col("event_id") % 2 == 1).write.parquet(os.path.join(land, "part=1"))
-    RS.sync_to_log(spark, land, ch.schema, log, ck, dedup_keys=("review_id", "updated_at", "event_id"))
+    RS.sync_to_log(spark, land, ch.schema, log, ck)
     n2 = RS.read_log(spark, log).count()
-    RS.sync_to_log(spark, land, ch.schema, log, ck, dedup_keys=("review_id", "updated_at", "event_id"))
+    RS.sync_to_log(spark, land, ch.schema, log, ck)
     assert RS.read_log(spark, log).count() == n2 == ch.count() and n1 < n2
     got = V.latest_state(RS.read_log(spark, log), order=("updated_at", "event_id"),
                          cols=("drug_key", "npi", "pay_amount", "status"))
@@ -84,10 +84,36 @@ def test_watch_mode_polls(spark, tmp_dir):
     ch = review_changes(Tables(spark, SF))
     land, log, ck = (os.path.join(tmp_dir, x) for x in ("landing", "log", "ck"))
     ch.limit(10).write.parquet(land)
-    q = RS.sync_to_log(spark, land, ch.schema, log, ck, once=False, interval="1 second",
-                       dedup_keys=("review_id", "updated_at", "event_id"))
+    q = RS.sync_to_log(spark, land, ch.schema, log, ck, once=False, interval="1 second")
     try:
         q.processAllAvailable()
         assert RS.read_log(spark, log).count() == 10
     finally:
         q.stop()
+
+
+def test_late_and_same_time_changes_are_kept(spark, tmp_dir):
+    schema = "review_id long, drug_key string, npi long, pay_amount decimal(18,2), status string, updated_at timestamp"
+    land, log, ck = (os.path.join(tmp_dir, x) for x in ("landing", "log", "ck"))
+    new = (1, "A", 1, D("1.00"), "flagged", dt.datetime(2024, 1, 1))
+    spark.createDataFrame([new], schema).write.parquet(land)
+    df = RS.sync_to_log(spark, land, spark.createDataFrame([new], schema).schema, log, ck)
+    late = [(1, "A", 1, D("1.00"), "old", dt.datetime(1990, 1, 1)), (1, "A", 1, D("2.00"), "flagged", dt.datetime(2024, 1, 1))]
+    spark.createDataFrame(late, schema).write.mode("append").parquet(land)
+    RS.sync_to_log(spark, land, spark.createDataFrame([new], schema).schema, log, ck)
+    assert df is not None and RS.read_log(spark, log).count() == 3
+    out = os.path.join(tmp_dir, "compact")
+    RS.compact_log(spark, log, out, 1)
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_upsert_of_many_changes_of_a_key_and_a_replayed_batch(spark, tmp_dir):
+    schema = "drug_key string, npi long, pay_amount decimal(18,2), updated_at timestamp, event_id long"
+    land, q, ck = (os.path.join(tmp_dir, x) for x in ("landing", "queue", "ck"))
+    rows = [("A", 1, D(i), dt.datetime(2024, 1, 1 + i % 3), i) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(land)
+    RS.upsert_batches(spark, land, df.schema, q, ck, now=dt.datetime(2024, 1, 1))
+    RS.upsert_batches(spark, land, df.schema, q, os.path.join(tmp_dir, "ck2"), now=dt.datetime(2024, 1, 1))  # batch 0 again
+    snap = sinks.read_snapshot(spark, q).collect()
+    assert [(r.id, r.pay_amount) for r in snap] == [(1, D("29.00"))] and sinks.snapshot_versions(spark, q) == [0]
