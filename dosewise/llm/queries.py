@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import embed_dedup, hmm_lm, mixing, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
+from dosewise.llm import embed_dedup, hmm_lm, mixing, oracle, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
 from dosewise.llm.common import id_bucket, id_text, read, stored
 from dosewise.plans.session import shared_dir
 
@@ -104,4 +104,11 @@ QUERIES = {
     "op10_embeddings": op10_embeddings,
 }
 
-SQL: dict[str, str] = {}
+#: The others are held against brute force, the library or held-out labels in tests/llm.
+SQL: dict[str, str] = {
+    "op3_quality_rules": oracle.QUALITY_RULES,
+    "op5_warc": oracle.WARC,
+    "op7_substring_dedup": oracle.SUBSTRINGS,
+    "op9_mixing": oracle.MIXING,
+    "op10_embeddings": oracle.EMBEDDINGS,
+}
