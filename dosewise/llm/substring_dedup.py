@@ -184,11 +184,12 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     if not GRAM < window <= 63 + GRAM:
         raise ValueError("a run's windows must fit the bits of a long")
     found = stored(per_batch(texts.select("ord", "row", "text"), _runs_of(window), "ord bigint, row bigint, start int, length int, anchor bigint, run bigint"), "runs")
-    shared = found.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
+    # what a join meets is stored first: then both its sides are plain exchanges, and a hot anchor's rows are split
+    shared = stored(found.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
     found = stored(found.join(shared, "anchor", "left_semi"), "shared-runs")
     # the distinct runs of each shared anchor
     kinds = stored(found.groupBy("anchor", "run").agg(F.min("ord").alias("owner"), F.max("length").alias("length")), "run-kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    mixed = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "mixed-anchors")
     mixed_kinds = stored(kinds.join(mixed, "anchor", "left_semi"), "mixed-kinds")
     # one row of the owner stands for the run; its windows come from its text
     at = found.join(mixed_kinds.select("anchor", "run", F.col("owner").alias("ord")), ["anchor", "run", "ord"]).groupBy("anchor", "run").agg(F.min("row").alias("row"))
@@ -199,6 +200,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = stored(windows.join(mixed_kinds.select("anchor", "run", "owner"), ["anchor", "run"]), "run-windows")
     each = windows.select("anchor", "run", "owner", F.posexplode("windows").alias("i", "hash"))
     first = each.groupBy("anchor", "hash").agg(F.min("owner").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash", "first")
+    first = stored(first, "window-owners")
     # a run's windows that some other run has too, each with the smallest id that has it
     owners = each.join(first, ["anchor", "hash"]).where("first < owner")
     early = stored(owners.groupBy("anchor", "run").agg(F.map_from_entries(F.collect_list(F.struct("i", "first"))).alias("firsts")), "run-owners")
