@@ -26,8 +26,9 @@ def entity_specialty(claims: DataFrame) -> DataFrame:
 
 
 def _base(claims: DataFrame, pays: DataFrame) -> DataFrame:
-    spec = entity_specialty(claims)
-    return (claims.drop("specialty").join(spec, "npi")
+    # The window's group is one entity's products; claims are read once.
+    spec = F.min("specialty").over(Window.partitionBy("npi"))
+    return (claims.withColumn("specialty", spec)
                   .join(pays.select("npi", "drug_key", "pay_amount", "pay_count"), ["npi", "drug_key"], "left")
                   .withColumn("pay_amount", F.coalesce("pay_amount", _zero_money()))
                   .withColumn("pay_count", F.coalesce("pay_count", F.lit(0).cast("bigint")))

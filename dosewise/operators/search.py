@@ -112,9 +112,19 @@ def entity_events(payments: DataFrame, drug_map: DataFrame, npi: int | None = No
         named.append(F.when(F.col(f"_{s}").isNotNull(), F.col(s)))
     ev = (p.select("npi", "date", "amount", "manufacturer", F.coalesce(*named).alias("drug"))
            .where(F.col("drug").isNotNull()))
-    w = Window.partitionBy("npi").orderBy("date", "amount", "manufacturer", "drug")
-    numbered = ev.withColumn("event_no", F.row_number().over(w))
-    return numbered if npi is None else numbered.where(F.col("event_no") <= limit)
+    order = ["amount", "manufacturer", "drug"]
+    if npi is not None:
+        w = Window.partitionBy("npi").orderBy("date", *order)
+        return ev.withColumn("event_no", F.row_number().over(w)).where(F.col("event_no") <= limit)
+    # In bulk an entity may hold a large share of all events: they are numbered
+    # day by day, after the events of earlier days, which are only counted.
+    days = ev.groupBy("npi", "date").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("npi").orderBy("date")
+    before = days.select("npi", "date", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    day = Window.partitionBy("npi", "date").orderBy(*order)
+    return (ev.join(before, ["npi", "date"])
+              .withColumn("event_no", (F.col("_before") + F.row_number().over(day)).cast("int"))
+              .select("npi", "date", "amount", "manufacturer", "drug", "event_no"))
 
 
 def profiles(doctors: DataFrame, dd: DataFrame, mfr: DataFrame, payments: DataFrame, drug_map: DataFrame,

@@ -20,6 +20,7 @@ from dosewise.operators import match as M
 from dosewise.operators import peers as P
 from dosewise.operators import rollup as R
 from dosewise.sources import fixtures as FX
+from dosewise.sources import sinks
 
 GRAIN_KEYS = ("drug_key", "npi")
 # Layers materialised by ``build_layers``, in dependency order.  The typed raw
@@ -137,7 +138,7 @@ def _write_layer(spark: SparkSession, lay: Layers, name: str, root: str, n: int,
     df = getattr(lay, name)
     if name in RAW_PARTITION:
         path = f"{root}/{name}"
-        df.write.mode("overwrite").partitionBy(RAW_PARTITION[name]).parquet(path)
+        sinks.replace_partition(df, path, RAW_PARTITION[name])
         lay.__dict__[name] = spark.read.parquet(path).select(*df.columns)
         return
     keys = BUCKET_KEYS.get(name, GRAIN_KEYS)
