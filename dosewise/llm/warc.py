@@ -177,7 +177,8 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
              .select("file", "block", (F.col("base") + F.col("x.starts")).alias("at"), F.when(F.col("x.leaves") >= 0, F.col("base") + F.col("x.leaves")).alias("to")))
     starts = splits.select("file").distinct().withColumn("at", F.lit(len(MAGIC)).cast("bigint"))
     entered = nodes.select("file", F.col("to").alias("at")).where("at is not null").unionByName(starts).distinct()
-    entries = stored(nodes.join(entered, ["file", "at"]), "entries")
+    # merged: the planner takes the exploded side for as small as the file it comes from
+    entries = stored(nodes.join(entered.hint("merge"), ["file", "at"]), "entries")
     edges = entries.where("to is not null").select("file", "at", "to")
     on = entries.join(reached(edges, starts), ["file", "at"]).select("file", "block", F.col("at").alias("entry"))
     marked = per_batch(splits.join(on, ["file", "block"], "left").select("file", "block", "base", "size", "starts", "ends", "entry"), _stray,
