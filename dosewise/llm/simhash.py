@@ -124,7 +124,10 @@ def links(nodes: DataFrame, max_bits: int, blocks: int = BLOCKS, chunk: int = CH
     keyed = nodes.select("node", "fp", F.explode(F.array(*(
         F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("x")).select("node", "fp", "x.*")
     counts = keyed.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    met = keyed.join(counts.select("combo", "key", "chunks"), ["combo", "key"])
+    # stored and merged: both sides are plain exchanges, so a crowded key's rows are split; and the planner
+    # takes the exploded side for as small as the file it comes from
+    counts = stored(counts.select("combo", "key", "chunks"), "crowded-keys")
+    met = keyed.join(counts.hint("merge"), ["combo", "key"])
     mine = F.pmod(F.xxhash64("fp", "combo"), F.col("chunks")).cast("int")
     # a row goes to the units of its chunk with every chunk of its key; side 2: the chunk with itself
     units = (met.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
