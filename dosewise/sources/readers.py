@@ -50,7 +50,7 @@ def csv_by_header(spark: SparkSession, path, required: dict, optional: dict, mul
     for f in files:
         groups.setdefault(tuple(csv_reader(spark, multi_line).csv(f).columns), []).append(f)
     if not groups:
-        raise MissingColumns(f"no files under {path}")
+        raise schemas.MissingColumns(f"no files under {path}")
     out = None
     for same in groups.values():
         df = csv_reader(spark, multi_line).csv(same)
