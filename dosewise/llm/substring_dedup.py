@@ -195,7 +195,8 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     at = found.join(mixed_kinds.select("anchor", "run", F.col("owner").alias("ord")), ["anchor", "run", "ord"]).groupBy("anchor", "run").agg(F.min("row").alias("row"))
     spot = at.join(found.select("anchor", "run", "row", "start"), ["anchor", "run", "row"]).groupBy("anchor", "run", "row").agg(F.min("start").alias("start"))
     asked = stored(spot.groupBy("row").agg(F.collect_set("start").alias("starts")), "asked-runs")  # at most a text's own runs
-    once = texts.select("row", "text").join(asked, "row")
+    # merged here and in remove_repeats: the same plan, and so the same needs, at every size
+    once = texts.select("row", "text").join(asked.hint("merge"), "row")
     windows = per_batch(once.select("text", "starts"), _windows_of(window), "anchor bigint, run bigint, windows array<bigint>").dropDuplicates(["anchor", "run"])
     windows = stored(windows.join(mixed_kinds.select("anchor", "run", "owner"), ["anchor", "run"]), "run-windows")
     each = windows.select("anchor", "run", "owner", F.posexplode("windows").alias("i", "hash"))
@@ -229,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     marks = stored(repeated_runs(texts, window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "marks")  # at most a text's own runs
     rows = texts if not carry else docs.select(F.xxhash64(docs[id_col].cast("bigint"), F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("row"),
                                                docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c] for c in carry))
-    joined = rows.join(marks, "row", "left").select("doc_id", *carry, "text", "marks")
+    joined = rows.join(marks.hint("merge"), "row", "left").select("doc_id", *carry, "text", "marks")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carry]), "kept_text string, n_words bigint, n_removed bigint, removed array<struct<`from`: int, `to`: int>>"])
     return per_batch(joined, _cut(window, as_is), schema)
