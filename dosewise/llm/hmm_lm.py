@@ -1,45 +1,50 @@
 """Language-model scoring: a hidden Markov model trained by Baum-Welch, beside a unigram base.
 
-The corpus's word counts are summed by Spark.  The model's alphabet has a
-bounded size whatever the corpus: every word with at least a ``1 / OWN`` share
-of all tokens has a symbol of its own (at most ``OWN`` words can have that),
-the rest share ``CLASSES`` symbols by their ending, and the end of a text has
-one.  A word's probability in a state is its symbol's, times the word's
-smoothed share of its symbol's count, so text of any vocabulary has an exact
-probability.
-
-Every Baum-Welch pass goes over all training text: tasks run the scaled
-forward-backward recursion over their documents and send expected counts,
-which Spark sums.  Starting values come from a few passes over at most
-``START_DOCS`` documents.  Scoring is the scaled forward recursion over each
-whole text.
-
-Rare words (under a ``1 / KNOWN`` share) are looked up by a join with the
-counts; the others, at most ``KNOWN`` words, are broadcast.
+The corpus's word counts are summed by Spark.  Every word seen at least ``OWN``
+times in training has a symbol of its own, and the model keeps its expected
+count in every state, whatever the size of the vocabulary.  Only words seen
+less often share ``CLASSES`` symbols by their ending; there a word's
+probability in a state is its class's, times the word's smoothed share of the
+class's count, so text of any vocabulary has an exact probability.
+
+Texts are coded in blocks of about ``BLOCK`` tokens.  Counts of the words of at
+least a ``1 / KNOWN`` share (at most ``KNOWN``) are broadcast; those of the
+others are a table, which is joined with the distinct words of each block and
+brought to the block's texts.
+
+Every Baum-Welch pass goes over all training text: each block runs the scaled
+forward-backward recursion over its texts and sends expected counts, which
+Spark sums by word.  Scoring is the scaled forward recursion over each whole
+text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import id_text, per_batch, stored
+from dosewise.llm.common import id_text, per_batch, ship, stored
+from dosewise.plans.session import shared_dir
 
-OWN, CLASSES, KNOWN = 4096, 64, 1 << 17
-STATES, PASSES = 8, 2
-START_DOCS, START_PASSES = 256, 8
+OWN, CLASSES, KNOWN = 2, 64, 1 << 17
+STATES, PASSES = 8, 10
 END = b""
-#: Words counted in a task before they are sent on, and tokens whose state probabilities are held at once.
-FLUSH, HELD = 300_000, 1 << 18
+#: Words counted in a task before they are sent on, tokens whose state probabilities are held at once, and tokens of a block.
+FLUSH, HELD, BLOCK = 300_000, 1 << 18, 1 << 21
 ADD = 0.1
+#: Occurrences by which a word's states are drawn towards those of all tokens.
+DRAW = 1.0
 
 
 def words(text: str) -> list[bytes]:
@@ -77,17 +82,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Alphabet:
     tokens: int  # all training tokens
     types: int  # distinct ones
-    known: dict[bytes, int]  # place of each broadcast word in the arrays below
-    symbol: np.ndarray
-    log_count: np.ndarray  # log10(count + ADD)
-    within: np.ndarray  # log10 of the word's share of its symbol
-    class_log: np.ndarray  # log10 of each class's smoothed count
-    n_symbols: int
-    share: np.ndarray  # of each symbol in the corpus, smoothed
-
-    @property
-    def first_class(self) -> int:
-        return self.n_symbols - CLASSES
+    own: int  # times a word is seen that has its own symbol
+    words: list[bytes]  # the broadcast ones
+    known: dict[bytes, int]  # their places
+    count: np.ndarray
+    is_own: np.ndarray
+    kind: np.ndarray  # class of each
+    class_count: np.ndarray
+    class_add: np.ndarray  # what smoothing adds to a class
 
 
 def alphabet(counts: DataFrame) -> Alphabet:
@@ -98,58 +100,51 @@ def alphabet(counts: DataFrame) -> Alphabet:
     listed = sorted(zip(rows["token"].to_pylist(), rows["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
     if END not in {t for t, _ in listed}:
         listed.append((END, 0))
-    own = (F.col("n") * OWN >= n) | (F.col("token") == F.lit(END))
-    sums = {r["class"]: (r.n, r.v) for r in counts.where(~own).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    seldom = (F.col("n") < OWN) & (F.col("token") != F.lit(END))
+    sums = {r["class"]: (r.n, r.v) for r in counts.where(seldom).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     count = np.array([c for _, c in listed], dtype=float)
-    classes = np.array([sum(x) for x in ((ADD * (sums.get(k, (0, 0))[1] + 1), sums.get(k, (0, 0))[0]) for k in range(CLASSES))])
-    is_own = np.array([t == END or c * OWN >= n for t, c in listed])
-    n_own = int(is_own.sum())
-    symbol = np.where(is_own, np.cumsum(is_own) - 1, [n_own + word_class(t) for t, _ in listed]).astype(np.uint16)
-    log_count = np.log10(count + ADD)
-    class_log = np.log10(classes)
-    within = np.where(is_own, 0.0, log_count - class_log[np.where(is_own, 0, symbol - n_own)])
-    share = np.concatenate([count[is_own] + ADD, classes])
-    return Alphabet(n, v, {t: i for i, (t, _) in enumerate(listed)}, symbol, log_count, within, class_log, n_own + CLASSES, share / share.sum())
+    return Alphabet(n, v, OWN, [t for t, _ in listed], {t: i for i, (t, _) in enumerate(listed)}, count,
+                    np.array([t == END or c >= OWN for t, c in listed]), np.array([word_class(t) for t, _ in listed]),
+                    np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], dtype=float),
+                    np.array([ADD * (sums.get(k, (0, 0))[1] + 1) for k in range(CLASSES)]))
 
 
 def coded(texts: DataFrame, letters: Alphabet) -> DataFrame:
-    """For ``row, doc_id, held_out, text``: the text's symbols, sums over its broadcast words, and its rare words with their counts."""
+    """``block, doc_id, held_out, symbols, rare`` of ``doc_id, held_out, text``.
+
+    A symbol is a broadcast word's place or, from their number on, a place in
+    the block's ``rare`` words, which stand in one row of the block.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(letters)
+    block_tokens = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value
-        end = a.known[END]
+        end, first = a.known[END], len(a.words)
+        ids, held, symbols, rare, size, block = [], [], [], {}, 0, TaskContext.get().partitionId() << 33
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(symbols, pa.binary()),
+                 pa.array([list(rare), *[None] * (len(ids) - 1)], pa.list_(pa.binary()))], names=["block", "doc_id", "held_out", "symbols", "rare"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                symbols, n_tokens, n_known, logs, withins, rare, times = [], [], [], [], [], [], []
-                for text in part.column("text"):
-                    ws = words(text.as_py())
-                    place = np.fromiter(map(a.known.get, ws, itertools.repeat(-1)), np.int64, len(ws))
-                    place = np.append(place, end)
-                    code = a.symbol[place]
-                    seldom = np.flatnonzero(place < 0)
-                    counted = Counter([ws[i] for i in seldom.tolist()])
-                    found = place[place >= 0]
-                    log, within = a.log_count[found].sum(), a.within[found].sum()
-                    if len(seldom):
-                        kinds = {w: word_class(w) for w in counted}
-                        of = np.fromiter((kinds[ws[i]] for i in seldom.tolist()), np.int64, len(seldom))
-                        code[seldom] = a.first_class + of
-                        within -= a.class_log[of].sum()
-                    symbols.append(code.astype("<u2").tobytes())
-                    n_tokens.append(len(ws) + 1)
-                    n_known.append(int((a.log_count[found] > -1).sum()))
-                    logs.append(log)
-                    withins.append(within)
-                    rare.append(list(counted))
-                    times.append(list(counted.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(symbols, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(logs, pa.float64()), pa.array(withins, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    names=["row", "doc_id", "held_out", "symbols", "n_tokens", "n_known", "log_count", "within", "rare", "times"])
-
-    return per_batch(texts, run, "row bigint, doc_id bigint, held_out boolean, symbols binary, n_tokens bigint, n_known bigint, log_count double, within double, rare array<binary>, times array<int>")
+            for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
+                ws = words(text.as_py())
+                if ids and size + len(ws) > block_tokens:
+                    yield done()
+                    ids, held, symbols, rare, size, block = [], [], [], {}, 0, block + 1
+                place = np.fromiter(map(a.known.get, ws, itertools.repeat(-1)), np.int64, len(ws))
+                for i in np.flatnonzero(place < 0).tolist():
+                    place[i] = first + rare.setdefault(ws[i], len(rare))
+                symbols.append(np.append(place, end).astype("<u4").tobytes())
+                ids.append(doc_id)
+                held.append(out)
+                size += len(ws) + 1
+        if ids:
+            yield done()
+
+    return per_batch(texts, run, "block bigint, doc_id bigint, held_out boolean, symbols binary, rare array<binary>")
 
 
 @dataclass
@@ -159,12 +154,45 @@ class Hmm:
     emit: np.ndarray  # symbols x K
 
 
-def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Hmm:
-    """Probabilities from expected counts; emissions are smoothed by the corpus's shares, so none is zero."""
+@dataclass
+class Model:
+    """What is sent to the tasks; expected counts of the words that are not broadcast are a table beside it."""
+
+    start: np.ndarray  # K
+    move: np.ndarray  # K x K
+    share: np.ndarray  # K: of each state in all tokens
+    total: np.ndarray  # K: smoothed counts of all symbols
+    known: np.ndarray  # broadcast words x K, probabilities
+    classes: np.ndarray  # CLASSES x K, probabilities
+
+
+def smoothed(n: np.ndarray, add: np.ndarray | float, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Expected counts (words x K) of words seen ``n`` times, drawn towards ``share`` by ``DRAW`` occurrences; their sum is ``n + add``."""
+    return (n / (n + DRAW))[:, None] * counts + (n * DRAW / (n + DRAW) + add)[:, None] * share
+
+
+def first_counts(names: list[bytes], n: np.ndarray, states: int) -> np.ndarray:
+    """Starting values: each word's count dealt over the states by a hash of the word."""
+    raw = np.frombuffer(b"".join(hashlib.shake_128(b"11" + w).digest(8 * states) for w in names), "<u8").reshape(len(names), states)
+    deal = -np.log((raw + 0.5) / 2.0**64)
+    return n[:, None] * deal / deal.sum(axis=1, keepdims=True)
+
+
+def from_counts(letters: Alphabet, start: np.ndarray, move: np.ndarray, known: np.ndarray, classes: np.ndarray, share: np.ndarray, rest: np.ndarray) -> Model:
+    """Probabilities from expected counts; ``rest`` is the sum of the smoothed ones of the words that are not broadcast."""
     k = len(start)
-    emit = emit + 20.0 * share[:, None]
     start, move = start + 1.0 / k, move + 1.0 / k
-    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
+    known, classes = smoothed(letters.count, ADD, known, share), smoothed(letters.class_count, letters.class_add, classes, share)
+    total = known[letters.is_own].sum(axis=0) + classes.sum(axis=0) + rest
+    classes = classes / total
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), share, total,
+                 emissions(letters, letters.count, letters.is_own, letters.kind, known / total, classes), classes)
+
+
+def emissions(letters: Alphabet, n: np.ndarray, is_own: np.ndarray, kind: np.ndarray, own: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Words x K: ``own`` of words with a symbol of their own, the others' class's times their share of it."""
+    within = (n + ADD) / (letters.class_count + letters.class_add)[kind]
+    return np.where(is_own[:, None], own, classes[kind] * within[:, None])
 
 
 def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
@@ -214,15 +242,15 @@ def log_likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions.
+def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions, and the natural log probability of all texts.
 
     Long texts are walked in blocks of at most ``HELD`` tokens: the forward
     pass keeps the state at each block's start, and the backward pass computes
     one block's states again at a time, so memory stays bounded.
     """
     k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k))
+    start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0
     for group in _groups(texts):
         walk = _Walk([texts[i] for i in group])
         block = max(1, HELD // len(group))
@@ -241,6 +269,7 @@ def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int) -> tupl
                 alpha, scale = walk.forward(model, t, alpha)
                 alphas.append(alpha)
                 scales.append(scale)
+                log += np.log(scale).sum()
             gammas = []
             for t in reversed(span):
                 a = alphas[t - span.start]
@@ -256,42 +285,92 @@ def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int) -> tupl
             gamma, symbols = np.concatenate(gammas), np.concatenate([walk.symbols(t) for t in reversed(span)])
             for s in range(k):
                 emit[:, s] += np.bincount(symbols, gamma[:, s], n_symbols)
-    return start, move * model.move, emit
-
-
-def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u2") for b in column.to_pylist()]
-
-
-def train(training: DataFrame, letters: Alphabet, states: int = STATES, passes: int = PASSES) -> Hmm:
-    """Baum-Welch over ``row, symbols`` of all training texts."""
-    spark = training.sparkSession
-    rng = np.random.default_rng(11)
-    some = training.orderBy(F.xxhash64("row"), "row").limit(START_DOCS).collect()
-    some = [np.frombuffer(r["symbols"], "<u2") for r in sorted(some, key=lambda r: r["row"])]
-    model = from_counts(np.ones(states), rng.random((states, states)) + 4 * np.eye(states), 1000 * letters.share[:, None] * rng.gamma(1.0, size=(letters.n_symbols, states)), letters.share)
-    for _ in range(START_PASSES if some else 0):
-        model = from_counts(*expected_counts(model, some, letters.n_symbols), letters.share)
-    for _ in range(passes if some else 0):
-        sent = spark.sparkContext.broadcast(model)  # states * (symbols + states + 1) numbers
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    got = expected_counts(sent.value, _texts(batch.slice(at, 4096).column("symbols")), len(sent.value.emit))
-                    total = got if total is None else tuple(a + b for a, b in zip(total, got))
-            if total is not None:
-                flat = np.concatenate([x.ravel() for x in total])
-                at = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
-
-        sums = per_batch(training.select("symbols"), run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(states + states * states + letters.n_symbols * states)
-        flat[sums["at"].to_numpy()] = sums["n"].to_numpy()
-        a, b = states, states + states * states
-        model = from_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:].reshape(letters.n_symbols, states), letters.share)
-    return model
+    return start, move * model.move, emit, float(log)
+
+
+def _texts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u4") for b in column.to_pylist()]
+
+
+def _by_block(rows: DataFrame, pairs: DataFrame, table: DataFrame | None, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work(rows, rare words)`` of each block; ``table`` has ``token, e``: expected counts of all words that have them."""
+    ship(rows.sparkSession)
+    if table is None:
+        words = pairs.withColumn("e", F.lit(None).cast("array<float>"))
+    else:
+        words = pairs.where(F.col("n") >= OWN).join(table, "token").unionByName(pairs.where(F.col("n") < OWN).withColumn("e", F.lit(None).cast("array<float>")))
+    return rows.groupBy("block").cogroup(words.select("block", "place", "token", "n", "e").groupBy("block")).applyInArrow(work, schema)
+
+
+def _block(letters: Alphabet, model: Model, rare: pa.Table, started: bool) -> tuple[Hmm, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The model over a block's symbols; its rare words, their counts, which have a symbol, and their classes."""
+    rare = rare.sort_by("place")
+    names, n = rare["token"].to_pylist(), rare["n"].to_numpy().astype(float)
+    is_own, kind = n >= letters.own, np.array([word_class(w) for w in names], dtype=np.int64)
+    k, counts = len(model.start), np.zeros((len(names), len(model.start)))
+    if is_own.any():
+        counts[is_own] = (rare["e"].combine_chunks().drop_null().flatten().to_numpy().reshape(-1, k) if started
+                          else first_counts([w for w, o in zip(names, is_own) if o], n[is_own], k))
+    own = smoothed(n, ADD, counts, model.share) / model.total
+    emit = np.concatenate([model.known, emissions(letters, n, is_own, kind, own, model.classes)])
+    return Hmm(model.start, model.move, emit), names, n, is_own, kind
+
+
+def _untrained(letters: Alphabet, states: int) -> Model:
+    share = np.full(states, 1.0 / states)
+    rest = letters.tokens - letters.count[letters.is_own].sum() - letters.class_count.sum()
+    return from_counts(letters, np.ones(states), np.random.default_rng(11).random((states, states)) + 4 * np.eye(states), first_counts(letters.words, letters.count, states),
+                       first_counts([b"class %d" % c for c in range(CLASSES)], letters.class_count, states), share, rest * share)
+
+
+def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int = STATES, passes: int = PASSES) -> tuple[Model, DataFrame | None]:
+    """Baum-Welch over ``block, symbols`` of all training texts and ``block, place, token, n`` of the blocks' rare words.
+
+    Returns the model and the table ``token, e`` of the words that are not
+    broadcast (none before the first pass).
+    """
+    spark, model, table = training.sparkSession, _untrained(letters, states), None
+    sent_letters, folder = spark.sparkContext.broadcast(letters), f"{shared_dir(spark, 'llm')}/expected-{uuid.uuid4().hex}"
+    n_known, sums = len(letters.words), [f"s{i}" for i in range(states)]
+    schema = ", ".join(["at int", "token binary", "n bigint", *(f"{c} double" for c in sums)])
+    kinds = pa.schema([("at", pa.int32()), ("token", pa.binary()), ("n", pa.int64()), *((c, pa.float64()) for c in sums)])
+    for done in range(passes if letters.tokens else 0):
+        sent, started = spark.sparkContext.broadcast(model), done > 0
+
+        def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return kinds.empty_table()
+            a, m = sent_letters.value, sent.value
+            hmm, names, n, is_own, kind = _block(a, m, rare, started)
+            start, move, emit, log = expected_counts(hmm, _texts(rows["symbols"]), len(hmm.emit))
+            known, own = emit[:n_known], np.flatnonzero(is_own)
+            classes = np.zeros((CLASSES, states))
+            np.add.at(classes, a.kind[~a.is_own], known[~a.is_own])
+            np.add.at(classes, kind[~is_own], emit[n_known:][~is_own])
+            # rare words, then broadcast ones, classes, moves, starts and the log probability
+            fixed = np.concatenate([known, classes, move, start[None], np.full((1, states), log)])
+            at = np.flatnonzero(fixed.any(axis=1))
+            values = np.concatenate([emit[n_known:][own], fixed[at]])
+            return pa.table([pa.array(np.concatenate([np.full(len(own), -1), at]), pa.int32()), pa.array([*(names[i] for i in own.tolist()), *[None] * len(at)], pa.binary()),
+                             pa.array(np.concatenate([n[own], np.zeros(len(at))]).astype(np.int64)), *(pa.array(values[:, s]) for s in range(states))], schema=kinds)
+
+        (_by_block(training, pairs, table, run, schema).groupBy("at", "token").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+         .write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}-{done % 2}"))
+        summed = spark.read.schema(schema).parquet(f"{folder}-{done % 2}")
+        got = summed.where("at >= 0").select("at", *sums).toArrow()
+        fixed = np.zeros((n_known + CLASSES + states + 2, states))
+        fixed[got["at"].to_numpy()] = np.stack([got[c].to_numpy() for c in sums], axis=1)
+        known, classes, move, start = fixed[:n_known], fixed[n_known : n_known + CLASSES], fixed[n_known + CLASSES : -2], fixed[-2]
+        drawn = F.lit(DRAW) / (F.col("n") + DRAW)
+        rest = summed.where("at < 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * drawn), *(F.sum(c) for c in sums), *(F.sum(F.col(c) * (1 - drawn)) for c in sums)).first()
+        rest = np.array([x or 0 for x in rest], dtype=float)
+        share = known[letters.is_own].sum(axis=0) + classes.sum(axis=0) + rest[2 : 2 + states]
+        share = share / share.sum()
+        model = from_counts(letters, start, move, known, classes, share, rest[2 + states :] + (rest[1] + ADD * rest[0]) * share)
+        sent.destroy()
+        spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of the pass
+        table = summed.where("at < 0").select("token", F.array(*(F.col(c).cast("float") for c in sums)).alias("e"))
+    return model, table
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES) -> DataFrame:
@@ -307,28 +386,25 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     rows = id_text(docs, id_col, text_col)
     counts = stored(word_counts(rows.where(train_on)), "word-counts")
     letters = alphabet(counts)
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (~train_on).alias("held_out"), "text")
-    coded_rows = stored(coded(numbered, letters), "coded")
-    model = train(coded_rows.where("not held_out").select("row", "symbols"), letters, states, passes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ll = log_likelihoods(sent.value, _texts(part.column("symbols"))) / np.log(10)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "symbols"), pa.array(ll)], names=[*(c for c in part.schema.names if c != "symbols"), "forward"])
-
-    walked = per_batch(coded_rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "log_count", "within", "symbols"), run,
-                       "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_count double, within double, forward double")
-    rare = coded_rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    coded_rows = stored(coded(rows.select("doc_id", (~train_on).alias("held_out"), "text"), letters), "coded")
+    rare = coded_rows.where("rare is not null").select("block", F.posexplode("rare").alias("place", "token"))
     seldom = counts.where(F.col("n") * KNOWN < F.lit(letters.tokens)).select("token", "n")
-    sums = (rare.join(seldom, "token", "left").groupBy("row")
-            .agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
+    # merged: the planner takes the exploded side for as small as the file it comes from
+    pairs = stored(rare.hint("merge").join(seldom, "token", "left").select("block", "place", "token", F.coalesce("n", F.lit(0)).alias("n")), "block-words")
+    model, table = train(coded_rows.where("not held_out").select("block", "symbols"), pairs, letters, states, passes)
+    spark = docs.sparkSession
+    sent_letters, sent, started = spark.sparkContext.broadcast(letters), spark.sparkContext.broadcast(model), table is not None
     log_total = float(np.log10(letters.tokens + ADD * (letters.types + 1)))
-    added = F.coalesce("rare_log", F.lit(0.0))
-    return walked.join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(letters.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("log_count") + added - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("forward") + F.col("within") + added).alias("score"))
+
+    def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
+        hmm, _, n, _, _ = _block(sent_letters.value, sent.value, rare, started)
+        texts = _texts(rows["symbols"])
+        n = np.concatenate([sent_letters.value.count, n])
+        logs = np.log10(n + ADD) - log_total
+        return pa.table([rows["doc_id"], rows["held_out"], pa.array([len(t) for t in texts], pa.int64()), pa.array([int((n[t] > 0).sum()) for t in texts], pa.int64()),
+                         pa.array([letters_tokens] * len(texts), pa.int64()), pa.array([float(logs[t].sum()) for t in texts], pa.float64()),
+                         pa.array(log_likelihoods(hmm, texts) / np.log(10), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    letters_tokens = letters.tokens
+    return _by_block(coded_rows.select("block", "doc_id", "held_out", "symbols"), pairs, table, run,
+                     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -94,6 +94,21 @@ def test_scores_of_odd_documents(spark, odd_docs, no_docs):
     assert (alone["held_out"], alone["n_tokens"], alone["n_known"], alone["train_tokens"], alone["base_score"]) == (True, 1, 0, 0, 0.0)
 
 
+@pytest.mark.parametrize("known", [64, 1 << 17])
+def test_rare_words_have_states_of_their_own(spark, monkeypatch, known):
+    """Two words of one ending, seen ten times each in 44,000 tokens, each among the words of one topic."""
+    monkeypatch.setattr(hmm_lm, "KNOWN", known)
+    rng = np.random.default_rng(5)
+    text = lambda topic, more: " ".join(f"{topic}{i}" if i < 40 else more for i in rng.permutation([*rng.integers(0, 40, 109), 40]))
+    rows = [(i, text("ab"[i % 2], ("redword" if i % 2 else "blueword") if i < 20 else "ab"[i % 2] + "0")) for i in range(400)]
+    ordinary = [text(t, "{}") for t in "ab"]
+    rows += [(1000 + i, ordinary[i // 2].format(("redword", "blueword")[i % 2])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in hmm_lm.score(docs, F.col("doc_id") < 1000).where("held_out").collect()}
+    assert got[1001]["score"] > got[1000]["score"] + 0.2 and got[1002]["score"] > got[1003]["score"] + 0.2
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+
+
 # -- classifiers ------------------------------------------------------------
 
 def held_out(spark, module, label, n, held):
