@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from dosewise.llm.common import LAST_ID, per_batch, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+#: A content length as a header line of its own.
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d{1,15})[ \t]*\r?$")
 _HEX32, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -90,11 +93,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 def _extent(piece: bytes) -> int:
     """Bytes from a record's content to its successor's content as its header says; -1 if it is no record."""
     end = piece.find(b"\r\n\r\n")
-    at = piece[: end + 2].lower().find(b"content-length:") if end >= 0 else -1
-    if at < 0 or (at and piece[at - 1 : at] != b"\n"):
-        return -1
-    value = piece[at + 15 : piece.find(b"\r\n", at)].strip()
-    return end + 4 + int(value) + len(END) + len(MAGIC) if value.isdigit() and len(value) < 16 else -1
+    said = _LENGTH.search(piece[:end]) if end >= 0 else None
+    return end + 4 + int(said[1]) + len(END) + len(MAGIC) if said else -1
 
 
 def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,8 @@ def _parsed(with_payload: bool):
                 for content in batch.slice(at, 256).column("piece"):
                     head, _, rest = content.as_py().partition(b"\r\n\r\n")
                     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))}
-                    payload = rest[: int(fields.get("content-length") or 0)]
+                    size = _LENGTH.search(head)
+                    payload = rest[: int(size[1]) if size else 0]
                     kind, said = fields.get("warc-type"), fields.get("warc-payload-digest", "").rpartition(":")[2] or None
                     own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     revisit = kind == "revisit"

@@ -80,6 +80,15 @@ def test_magic_inside_payloads_is_rejected(spark, small_splits, size):
     assert sorted((tuple(None if r[c] is None else bytes(r[c]) if c == "payload" else r[c] for c in COLS) for r in out), key=str) == brute(decoys())
 
 
+def test_content_length_is_read_at_a_line_start(spark):
+    rows = [(1, "http://a", "one"), (2, "http://b/?q=Content-Length:4&content-length: 7", "two"), (3, "content-length:", "three")] + [(10 + i, "u", f"later {i}") for i in range(5)]
+    assert round_trip(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string"), files=1) == brute(rows)
+    foreign = "".join(f"WARC/1.1\r\nX-Orig-Content-Length: 99\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\ncontent-length: 4\r\n\r\nbody\r\n\r\n" for i in range(3))
+    path = f"{shared_dir(spark, 'llm')}/test-{uuid.uuid4().hex}"
+    spark.createDataFrame([(foreign,)], "text string").write.option("lineSep", "\n").text(path)
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in warc.read_archives(spark, path).collect()) == [(i, b"body") for i in range(3)]
+
+
 def test_small_payloads_need_not_be_revisits(spark):
     pages = spark.createDataFrame([(*r, "x", 1) for r in decoys()], SCHEMA)
     assert round_trip(spark, pages, least=30) == brute(decoys(), 30)
