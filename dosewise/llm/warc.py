@@ -6,8 +6,8 @@ after every row, so its files are WARC files wherever the output folder is.
 Of pages with equal payloads one is stored, the others refer to it.
 
 Reading: Spark's text source splits any archive at the magic that opens a
-record, into *pieces*; but a payload may hold that magic too, even whole
-records.  So each split's task reads from every piece where the record that
+record, into *pieces*, which are numbered in their split and stored; but a
+payload may hold that magic too, even whole records.  So each split's task reads from every piece where the record that
 would start there ends (its successor), and follows successors inside the
 split.  What leads from split to split is one edge for each place that a chain
 enters; pointer jumping over these edges from every file's start finds the
@@ -97,34 +97,35 @@ def _extent(piece: bytes) -> int:
     return end + 4 + int(said[1]) + len(END) + len(MAGIC) if said else -1
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each split: where its pieces start, where their records end, and where the chain from each leaves the split."""
-
-    def done():
-        starts = np.cumsum([0, *sizes])
-        ends = np.where(np.array(extents) < 0, -1, starts[:-1] + extents)
-        place = {s: i for i, s in enumerate(starts[:-1].tolist())}
-        leaves = [-1] * len(sizes)
-        for i in range(len(sizes) - 1, -1, -1):
-            e = int(ends[i])
-            leaves[i] = e if e >= starts[-1] else leaves[place[e]] if e in place else -1
-        return pa.RecordBatch.from_arrays(
-            [pa.array([here[0]]), pa.array([here[1]], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([starts[:-1].tolist()], pa.list_(pa.int64())),
-             pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([leaves], pa.list_(pa.int64()))],
-            names=["file", "block", "size", "starts", "ends", "leaves"])
-
-    here, sizes, extents = None, [], []
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces with their number in the split, their bytes with the magic, and the extent of the record that would start there."""
+    here, k = None, 0
     for batch in batches:
+        ks, sizes, extents = [], [], []
         for file, block, piece in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "piece"))):
-            if here != (file, block):
-                if here:
-                    yield done()
-                here, sizes, extents = (file, block), [], []
-            first = block == 0 and not sizes  # what stands before a file's first magic is no record
+            here, k = ((file, block), 0) if (file, block) != here else (here, k + 1)
+            ks.append(k)
             sizes.append(len(piece) + len(MAGIC))
-            extents.append(-1 if first else _extent(piece))
-    if here:
-        yield done()
+            extents.append(-1 if block == 0 and k == 0 else _extent(piece))  # what stands before a file's first magic is no record
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ks, pa.int32()), pa.array(sizes, pa.int64()), pa.array(extents, pa.int64())], names=[*batch.schema.names, "k", "size", "extent"])
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split: where its pieces start, where their records end, and where the chain from each leaves the split."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            starts = np.cumsum([0, *r["sizes"]])
+            extents = np.array(r["extents"])
+            ends = np.where(extents < 0, -1, starts[:-1] + extents)
+            place = {s: i for i, s in enumerate(starts[:-1].tolist())}
+            leaves = [-1] * len(extents)
+            for i in range(len(extents) - 1, -1, -1):
+                e = int(ends[i])
+                leaves[i] = e if e >= starts[-1] else leaves[place[e]] if e in place else -1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["file"]]), pa.array([r["block"]], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([starts[:-1].tolist()], pa.list_(pa.int64())),
+                 pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([leaves], pa.list_(pa.int64()))],
+                names=["file", "block", "size", "starts", "ends", "leaves"])
 
 
 _STRAY = "array<struct<k: int, at: bigint, owner: bigint>>"
@@ -167,9 +168,10 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def verified(spark: SparkSession, path: str) -> DataFrame:
+def verified(pieces: DataFrame) -> DataFrame:
     """``file, block, k, at, owner`` of the stray pieces: pieces of a payload (``owner``: where its record starts), others (-1)."""
-    splits = per_batch(_pieces(spark, path), _splits, "file string, block bigint, size bigint, starts array<bigint>, ends array<bigint>, leaves array<bigint>")
+    lists = pieces.groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("k", "size", "extent"))).alias("x"))
+    splits = per_batch(lists.select("file", "block", F.col("x.size").alias("sizes"), F.col("x.extent").alias("extents")), _splits, "file string, block bigint, size bigint, starts array<bigint>, ends array<bigint>, leaves array<bigint>")
     # windows over one row per split of a file
     by = Window.partitionBy("file").orderBy("block")
     splits = stored(splits.withColumn("base", F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))), "splits")
@@ -190,16 +192,6 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     return stored(each.select("file", "block", "k", "at", owner.cast("bigint").alias("owner")), "strays")
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    here, k = None, 0
-    for batch in batches:
-        ks = []
-        for key in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()):
-            here, k = (key, 0) if key != here else (here, k + 1)
-            ks.append(k)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ks, pa.int32())], names=[*batch.schema.names, "k"])
-
-
 def _page(text: str | None) -> int | None:
     tail = (text or "").strip("<>").rpartition(":")[2]
     return int(tail) if tail.lstrip("-").isdigit() else None
@@ -239,8 +231,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     null, are the header's.  Records after a broken one, whose place in the
     file cannot be known, are not read.
     """
-    stray = verified(spark, path)
-    pieces = per_batch(_pieces(spark, path), _numbered, "file string, block bigint, piece binary, k int")
+    # the archives are read once: another read may be split in another way, and the numbers would then mean other pieces
+    pieces = stored(per_batch(_pieces(spark, path), _numbered, "file string, block bigint, piece binary, k int, size bigint, extent bigint"), "pieces")
+    stray = verified(pieces)
     joined = pieces.alias("p").join(stray.alias("s"), ["file", "block", "k"], "left").select("file", F.col("p.piece").alias("piece"), "s.at", "s.owner")
     whole = joined.where("at is null").select("piece")
     # a payload's pieces are put together again: a group is one record
