@@ -14,7 +14,7 @@ brought to the block's texts.
 
 Every Baum-Welch pass goes over all training text: each block runs the scaled
 forward-backward recursion over its texts and sends expected counts, which
-Spark sums by word.  Scoring is the scaled forward recursion over each whole
+Spark sums by word, until a pass gains next to nothing.  Scoring is the scaled forward recursion over each whole
 text.
 """
 
@@ -38,7 +38,9 @@ from dosewise.llm.common import id_text, per_batch, ship, stored
 from dosewise.plans.session import shared_dir
 
 OWN, CLASSES, KNOWN = 2, 64, 1 << 17
-STATES, PASSES = 8, 10
+STATES = 8
+#: Baum-Welch ends when a pass gains less than so much natural log probability a training token.
+TOLERANCE = 0.002
 END = b""
 #: Words counted in a task before they are sent on, tokens whose state probabilities are held at once, and tokens of a block.
 FLUSH, HELD, BLOCK = 300_000, 1 << 18, 1 << 21
@@ -323,9 +325,11 @@ def _untrained(letters: Alphabet, states: int) -> Model:
                        first_counts([b"class %d" % c for c in range(CLASSES)], letters.class_count, states), share, rest * share)
 
 
-def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int = STATES, passes: int = PASSES) -> tuple[Model, DataFrame | None]:
+def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int = STATES, passes: int | None = None) -> tuple[Model, DataFrame | None]:
     """Baum-Welch over ``block, symbols`` of all training texts and ``block, place, token, n`` of the blocks' rare words.
 
+    The start is seeded by hashes of the words.  Passes end when the gain is
+    below ``TOLERANCE``, or after ``passes`` if that is given.
     Returns the model and the table ``token, e`` of the words that are not
     broadcast (none before the first pass).
     """
@@ -334,7 +338,10 @@ def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int
     n_known, sums = len(letters.words), [f"s{i}" for i in range(states)]
     schema = ", ".join(["at int", "token binary", "n bigint", *(f"{c} double" for c in sums)])
     kinds = pa.schema([("at", pa.int32()), ("token", pa.binary()), ("n", pa.int64()), *((c, pa.float64()) for c in sums)])
-    for done in range(passes if letters.tokens else 0):
+    last = -np.inf
+    for done in itertools.count():
+        if done == passes or not letters.tokens:
+            break
         sent, started = spark.sparkContext.broadcast(model), done > 0
 
         def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
@@ -370,10 +377,13 @@ def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int
         sent.destroy()
         spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of the pass
         table = summed.where("at < 0").select("token", F.array(*(F.col(c).cast("float") for c in sums)).alias("e"))
+        gain, last = fixed[-1, 0] - last, fixed[-1, 0]
+        if passes is None and gain < TOLERANCE * letters.tokens:
+            break
     return model, table
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int | None = None) -> DataFrame:
     """Train on the texts whose ``doc_id`` satisfies ``train_on`` and score all.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,

@@ -109,6 +109,18 @@ def test_rare_words_have_states_of_their_own(spark, monkeypatch, known):
     assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
 
 
+def test_passes_go_on_until_nothing_is_gained_however_rows_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j}" for j in rng.integers(0, 20, 12))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scores = lambda df, **kw: {r["doc_id"]: r["score"] for r in hmm_lm.score(df, F.lit(True), states=3, **kw).collect()}
+    one, five, two_passes = scores(docs.coalesce(1)), scores(docs.repartition(5, "text")), scores(docs, passes=2)
+    assert five == pytest.approx(one, rel=1e-4)
+    assert sum(one.values()) > sum(two_passes.values()) + 900
+    monkeypatch.setattr(hmm_lm, "TOLERANCE", 100.0)
+    assert scores(docs) == pytest.approx(two_passes, rel=1e-4)
+
+
 # -- classifiers ------------------------------------------------------------
 
 def held_out(spark, module, label, n, held):
