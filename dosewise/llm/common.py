@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,22 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Terms are ASCII letters (lower-cased) and digits and everything beyond ASCII; other bytes become spaces.
+_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def term_lists(text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text in order, in lists of about ``piece`` bytes, so that a very long text's are not held at once."""
+    text = text.translate(_TERMS)
+    at = 0
+    while at < len(text):
+        end = len(text) if at + piece >= len(text) else text.find(b" ", at + piece)
+        end = len(text) if end < 0 else end
+        if words := text[at:end].split():
+            yield words
+        at = end
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the session's shared folder and read it back.
 

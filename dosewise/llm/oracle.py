@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dosewise.llm.common import LAST_ID
+from dosewise.llm.license_scan import BLOCK, STEP, TEMPLATES
 from dosewise.llm.quality_rules import ALPHA, DELTA, GRIDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -91,3 +92,20 @@ comp AS (SELECT a AS rid, min(o) AS low FROM reach JOIN v ON reach.b = v.rid GRO
 n AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, nullif(low, {LAST_ID}) AS component_id, vec_id IS NOT DISTINCT FROM nullif(low, {LAST_ID}) AS kept
 FROM v JOIN comp USING (rid) LEFT JOIN n USING (rid)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATES = ", ".join(f"('{t.label}', {str(t.phrase).lower()}, {[w.decode() for w in t.words]}, {t.need})" for t in TEMPLATES)
+
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+t AS (SELECT label, phrase, seq, list_distinct(seq) AS ds, need FROM (VALUES {_TEMPLATES}) AS v(label, phrase, seq, need)),
+blocks AS (SELECT rid, ws[k * {STEP} + 1 : k * {STEP} + {BLOCK}] AS b FROM (SELECT rid, ws, unnest(generate_series(0, (len(ws) - 1) // {STEP})) AS k FROM d WHERE len(ws) > 0)),
+met AS (SELECT rid, label, len(list_intersect(b, ds)) / len(ds) AS share FROM blocks JOIN t ON NOT phrase AND len(list_intersect(b, ds)) >= need),
+places AS (SELECT rid, label, i - 1 AS p FROM (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS i FROM d) JOIN t ON phrase AND ws[i : i + len(seq) - 1] = seq),
+base AS (SELECT rid, count(*) AS n, min(p) AS lo, max(p) AS hi FROM places GROUP BY rid),
+every AS (SELECT rid, label, 1 AS share, true AS phrase FROM places UNION ALL SELECT rid, label, share, false FROM met),
+named AS (SELECT rid, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels FROM every GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)"""

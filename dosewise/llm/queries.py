@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import embed_dedup, hmm_lm, mixing, oracle, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
+from dosewise.llm import embed_dedup, hmm_lm, license_scan, mixing, oracle, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
 from dosewise.llm.common import id_bucket, id_text, read, stored
 from dosewise.plans.session import shared_dir
 
@@ -91,6 +91,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_votes": op1_quality_votes,
     "op2_hidden_markov": op2_hidden_markov,
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op11_licenses": op11_licenses,
 }
 
 #: The others are held against brute force, the library or held-out labels in tests/llm.
@@ -111,4 +116,5 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": oracle.SUBSTRINGS,
     "op9_mixing": oracle.MIXING,
     "op10_embeddings": oracle.EMBEDDINGS,
+    "op11_licenses": oracle.LICENSES,
 }
