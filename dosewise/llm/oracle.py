@@ -109,3 +109,36 @@ named AS (SELECT rid, max(share) AS score, string_agg(DISTINCT label, ',' ORDER
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
     CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)"""
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+n AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, n),
+m AS (SELECT rid, doc_id, 100 - 50 + (50 * len(ws) * n_docs) // n_terms AS m FROM d, n),
+items AS (SELECT iid, item_id, unnest(list_distinct(ws)) AS term FROM (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS ws FROM benchmark)),
+scored AS (SELECT iid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, coalesce(doc_id, {LAST_ID})) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+# CRC-32 of a decimal number, bit by bit
+_CRC = ("list_reduce([CAST(x AS UBIGINT) FOR x IN list_transform(regexp_extract_all(CAST(c AS VARCHAR), '.'), lambda s: ascii(s))], lambda crc, b: "
+        "list_reduce([CAST(k AS UBIGINT) FOR k IN range(8)], lambda r, k: xor(r >> 1, (CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END)::UBIGINT), xor(crc, b)), 4294967295::UBIGINT)")
+
+TRIE = f"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, len(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'h': h, 'chars': chars}} ORDER BY turn NULLS FIRST, h) AS ts FROM t GROUP BY c),
+h AS (SELECT c, ts, CAST(xor({_CRC}, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM o),
+r AS (SELECT a.c, list_concat(coalesce(b.ts[1 : a.h], []), a.ts[a.h + 1 :]) AS ts FROM h a LEFT JOIN h b ON b.c = a.c - a.c % 100),
+p AS (SELECT c, len(ts) AS n, unnest(generate_series(0, len(ts))) AS d, ts FROM r),
+k AS (SELECT c, n, d, md5(array_to_string([x.h FOR x IN ts[1 : d]], ',')) AS id, CASE WHEN d > 0 THEN md5(array_to_string([x.h FOR x IN ts[1 : d - 1]], ',')) END AS up,
+    CASE WHEN d > 0 THEN ts[d].chars ELSE 0 END AS chars FROM p),
+node AS (SELECT id, d, up, chars, min(c) AS c, count(*) AS n_convs, sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM k GROUP BY ALL),
+kids AS (SELECT up AS id, count(*) AS n FROM node GROUP BY up),
+below AS (SELECT DISTINCT a.id AS top, b.id FROM k a JOIN k b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT top AS id, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM below JOIN node USING (id) LEFT JOIN kids USING (id) GROUP BY top)
+SELECT node.c AS conv_id, node.d AS depth, u.c AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sums USING (id) LEFT JOIN kids ON kids.id = node.id LEFT JOIN node u ON u.id = node.up"""

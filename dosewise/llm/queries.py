@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import embed_dedup, hmm_lm, license_scan, mixing, oracle, piece_codec, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
+from dosewise.llm import embed_dedup, hmm_lm, lexical_search, license_scan, mixing, oracle, piece_codec, prefix_trie, quality_knn, quality_rules, simhash, substring_dedup, toxicity, warc
 from dosewise.llm.common import id_bucket, id_text, read, stored
 from dosewise.plans.session import shared_dir
 
@@ -95,6 +95,16 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = stored(prefix_trie.sequences(read(spark, sf_dir, "conversations")), "conversations")
+    return prefix_trie.trie(prefix_trie.rebuilt(convs))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs, _ = lexical_search.build_index(read(spark, sf_dir, "documents"))
+    return lexical_search.search(index, n_docs, read(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_quality_votes": op1_quality_votes,
     "op2_hidden_markov": op2_hidden_markov,
@@ -107,6 +117,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
     "op11_licenses": op11_licenses,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The others are held against brute force, the library or held-out labels in tests/llm.
@@ -117,4 +129,6 @@ SQL: dict[str, str] = {
     "op9_mixing": oracle.MIXING,
     "op10_embeddings": oracle.EMBEDDINGS,
     "op11_licenses": oracle.LICENSES,
+    "op12_prefix_trie": oracle.TRIE,
+    "op13_lexical_search": oracle.SEARCH,
 }
