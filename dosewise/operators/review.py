@@ -1,9 +1,10 @@
 """Review queue: top-N seed, keyed upsert, append-only event log, latest state.
 
-The queue is a Parquet snapshot (no table format with MERGE is assumed):
-``upsert`` computes the next snapshot with one full outer join on the key
-and the caller writes it to a new path (``sinks.swap_snapshot``), never
-over the path being read.
+No table format with MERGE is assumed: ``upsert`` computes the next state of
+the rows it is given with one full outer join on the key, and the caller
+writes it beside them, never over the path being read.  ``upsert_buckets``
+gives it only the hash buckets that hold a changed key, and rewrites only
+these (``sources.buckets``).
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dosewise.operators.util import cut_lineage, dense_ids
+from dosewise.operators.util import dense_ids, stored
 from dosewise.sources import schemas
+from dosewise.sources.buckets import BucketedTable
 
 KEYS = ["drug_key", "npi"]
 DEFAULT_STATUS = "flagged"
@@ -51,7 +53,7 @@ def latest_per_key(source: DataFrame, keys, cols, order=()) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
            update_cols=("pay_amount", "avg_claims"), default_status: str = DEFAULT_STATUS,
-           order=()) -> DataFrame:
+           order=(), max_id: int | None = None) -> DataFrame:
     """JOIN-9 / SNK-9 / STR-7: insert new keys with the default status; on a key
     conflict update only ``update_cols``; status and assignee are kept.
 
@@ -59,8 +61,9 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
     (``latest_per_key``), so the result has one row per key and ids stay
     unique whatever a batch holds.  ``updated_at`` moves to ``now`` only where
     a value actually changed (the trigger of the reference, STR-7).  New ids
-    are ``max(id)`` + the dense position of the new key in key order
-    (``dense_ids``): deterministic and computed across partitions.
+    are ``max_id`` (by default the target's largest) + the dense position of the
+    new key in key order (``dense_ids``): deterministic and computed across
+    partitions.
     """
     ts_type = target.schema["updated_at"].dataType
     now_c = (F.lit(now) if not hasattr(now, "_jc") else now).cast(ts_type)
@@ -80,15 +83,26 @@ def upsert(target: DataFrame, source: DataFrame, now, keys=KEYS,
         F.col("t_assigned_to").alias("assigned_to"),
         F.when(is_new | changed, now_c).otherwise(F.col("t_updated_at")).alias("updated_at"),
     ]
-    # Read twice below (kept rows, new rows): joined once.
-    merged = cut_lineage(target.sparkSession, j.select(*cols))
-    # New ids: max(id) (a scalar subquery evaluated once) + dense position of
-    # the new key, numbered across partitions without a single-task window.
-    max_id = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint"))
-    new = dense_ids(merged.where(F.col("id").isNull()).drop("id"), list(keys), offset=max_id)
+    # Read twice below (kept rows, new rows): joined and written once.
+    merged = stored(j.select(*cols), "upsert")
+    top = F.coalesce(target.agg(F.max("id").cast("bigint")).scalar(), F.lit(0).cast("bigint")) if max_id is None else F.lit(max_id).cast("bigint")
+    fresh = merged.where(F.col("id").isNull()).drop("id")
+    new = dense_ids(fresh, list(keys), offset=top, known_rows=fresh.count())
     return merged.where(F.col("id").isNotNull()).unionByName(new.select(*merged.columns))
 
 
+def upsert_buckets(table: BucketedTable, source: DataFrame, now, update_cols=("pay_amount", "avg_claims"), order=(),
+                   tag: str | None = None) -> int:
+    """JOIN-9 / SNK-9 / STR-6: ``upsert`` that reads and rewrites only the buckets
+    of the source's keys; the table's version afterwards."""
+    latest = stored(latest_per_key(source, table.keys, list(update_cols), list(order)).withColumn("_bucket", table.bucket()), "changes")
+    touched = sorted(r["_bucket"] for r in latest.select("_bucket").distinct().collect())  # at most the table's buckets
+    if not touched:
+        return table.version
+    nxt = upsert(table.read(only=touched), latest.drop("_bucket"), now, keys=table.keys, update_cols=update_cols, max_id=table.max_id)
+    return table.commit(nxt, touched, tag)
+
+
 STATE_COLS = ("drug_key", "npi", "pay_amount", "status", "assigned_to")
 
 
@@ -97,21 +111,14 @@ def latest_state(events: DataFrame, id_col: str = "review_id", order=("synced_at
     """AGG-25 / STR-5: last value of each column per id by the log order,
     plus ``max(updated_at)``.
 
-    The raw log only meets hash aggregates of numbers and times (the largest
-    value of each order column per id, one column after the other) and
-    equi-joins back; the final aggregate runs over the winning rows.  Rows
-    that tie in the whole order resolve to the largest values.
+    One aggregate with a partial step: a task sends on one row per id, so an
+    id with very many events is combined before the shuffle.  Rows that tie in
+    the whole order resolve to the largest values.
     """
     cols = [c for c in cols if c in events.columns]
-    times = events.groupBy(id_col).agg(F.max("updated_at").alias("_latest"))
-    w = events.select(id_col, *dict.fromkeys([*order, *cols]))
-    for c in order:
-        top = w.groupBy(F.col(id_col).alias("_id")).agg(F.max(c).alias("_top"))
-        w = (w.join(top, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(c).eqNullSafe(F.col("_top")))
-              .drop("_id", "_top"))
-    last = w.groupBy(id_col).agg(F.max(F.struct(*cols)).alias("_v")).select(F.col(id_col).alias("_id"), "_v.*")
-    return (times.join(last, F.col(id_col).eqNullSafe(F.col("_id")))
-                 .select(id_col, *cols, F.col("_latest").alias("updated_at")))
+    row = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), *(F.col(c).alias(f"v{k}") for k, c in enumerate(cols)))
+    last = events.groupBy(id_col).agg(F.max(row).alias("_last"), F.max("updated_at").alias("updated_at"))
+    return last.select(id_col, *(F.col(f"_last.v{k}").alias(c) for k, c in enumerate(cols)), "updated_at")
 
 
 def queue_from_log(events: DataFrame) -> DataFrame:

@@ -38,9 +38,14 @@ def mean(c) -> Column:
     return F.sum(col).cast("double") / F.count(col)
 
 
-def dense_ids(df: DataFrame, order_cols, offset=None, partitions: int | None = None) -> DataFrame:
+#: Rows that one task may number.
+ONE_TASK = 1 << 17
+
+
+def dense_ids(df: DataFrame, order_cols, offset=None, partitions: int | None = None, known_rows: int | None = None) -> DataFrame:
     """Adds ``id`` = ``offset`` + 1-based position of each row in ``order_cols``
-    order, without moving all rows into one task.
+    order, without moving all rows into one task, unless they are known to be
+    at most ``ONE_TASK``.
 
     Rows are range-partitioned on the order (sampling splits even a hot
     value range), the result is checkpointed into the shared folder so both
@@ -51,6 +56,9 @@ def dense_ids(df: DataFrame, order_cols, offset=None, partitions: int | None = N
     """
     from pyspark.sql import Window
     spark = df.sparkSession
+    base = F.lit(0).cast("bigint") if offset is None else offset
+    if known_rows is not None and known_rows <= ONE_TASK:
+        return df.withColumn("id", base + F.row_number().over(Window.orderBy(*order_cols)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(spark, df.repartitionByRange(n, *order_cols)
                          .sortWithinPartitions(*order_cols)
@@ -59,12 +67,22 @@ def dense_ids(df: DataFrame, order_cols, offset=None, partitions: int | None = N
                     .withColumn("_start", F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt"))
                     .select("_pid", "_start"))
     local = Window.partitionBy("_pid").orderBy(*order_cols)
-    base = F.lit(0).cast("bigint") if offset is None else offset
     return (ranged.join(F.broadcast(starts), "_pid")
                   .withColumn("id", base + F.col("_start") + F.row_number().over(local))
                   .drop("_pid", "_start"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the session's shared folder and read
+    back: cuts lineage, survives executor loss, and later reads take only the
+    columns they need."""
+    import uuid
+    from dosewise.plans.session import shared_dir
+    path = f"{shared_dir(df.sparkSession, 'stored')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(spark: SparkSession, df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder.
 

@@ -70,6 +70,7 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'ord_4_similar_pool': {'double': ['pay_amount'], 'string': []},
     'ord_7_top_paid_per_drug': {'double': ['dollars'], 'string': []},
     'src_1_payments_csv': {'double': ['amount'], 'string': ['payment_date']},
+    'src_1_payments_quoted_lines': {'double': ['amount'], 'string': ['payment_date']},
     'src_2_prescribing_csv': {'double': ['tot_drug_cst'], 'string': []},
     'src_5_prescribing_json': {'double': ['tot_drug_cst'], 'string': []},
     'str_6_upsert_stream': {'double': ['pay_amount'], 'string': ['updated_at']},
@@ -830,7 +831,6 @@ def str_6(spark, d):
     import datetime as dt
     import uuid
     from dosewise.plans.session import shared_dir
-    from dosewise.sources import sinks
     from dosewise.streaming import review_sync as RS
     base = shared_dir(spark, f"review-upsert/{uuid.uuid4().hex}")
     changes = L(spark, d).review_changes
@@ -838,8 +838,8 @@ def str_6(spark, d):
     now = dt.datetime.fromisoformat(SYNC_TS)
     for b in range(3):
         twice.where(F.col("event_id") % 3 == b).write.mode("append").parquet(f"{base}/landing")
-        RS.upsert_batches(spark, f"{base}/landing", changes.schema, f"{base}/queue", f"{base}/checkpoint", now=now)
-    return sinks.read_snapshot(spark, f"{base}/queue").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+        RS.upsert_batches(spark, f"{base}/landing", changes.schema, f"{base}/queue", f"{base}/checkpoint", now=now, buckets=8)
+    return RS.queue_table(spark, f"{base}/queue").read().withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
 def _text_csv(df: DataFrame, headers: dict, optional: dict, path: str, junk, back: bool = False) -> None:
@@ -883,6 +883,50 @@ def src_1(spark, d):
     return RD.read_payments_csv(spark, f"{path}/part=*")
 
 
+@query("src_1_payments_quoted_lines", """
+SELECT npi, recipient_type, specialty, amount, CASE WHEN npi % 3 = 0 THEN nature || chr(10) || 'and "more", too' ELSE nature END AS nature,
+       CASE WHEN npi % 8 = 1 THEN manufacturer || ', 5" pipe' ELSE manufacturer END AS manufacturer, drug1, drug2, drug3, drug4, drug5,
+       CASE WHEN npi % 13 = 5 THEN 0 ELSE program_year END AS program_year, CASE WHEN npi % 13 = 5 THEN DATE '1970-01-01' ELSE payment_date END AS payment_date
+FROM fx_payments_raw""")
+def src_1_quoted(spark, d):
+    """SRC-1/3: payments text with line ends and quotes inside fields and rows that stop early."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    npi, p = F.col("npi"), L(spark, d).payments
+    text = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in schemas.PAYMENTS_HEADERS.values()}
+    text["nature"] = F.when(npi % 3 == 0, F.concat("nature", F.lit('\nand "more", too'))).otherwise(text["nature"])
+    text["manufacturer"] = F.when(npi % 8 == 1, F.concat("manufacturer", F.lit(', 5" pipe'))).otherwise(text["manufacturer"])
+    line = lambda cols: F.to_csv(F.struct(*(text[c].alias(c) for c in cols)), {"escape": '"', "emptyValue": ""})
+    order = list(text)
+    short = line([c for c in order if c not in ("program_year", "payment_date")])
+    row = F.when(npi % 13 == 5, short).otherwise(line(order))
+    # a file's first row brings the header along
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    path = _landing(spark, "payments_quoted")
+    p.select(F.when(first, F.concat(F.lit(",".join(schemas.PAYMENTS_HEADERS) + "\n"), row)).otherwise(row).alias("value")).write.text(path)
+    return RD.read_payments_csv(spark, path)
+
+
+@query("src_11_header_census", """
+SELECT CASE WHEN npi % 40 % 2 = 0 THEN 'Prscrbr_NPI,Brnd_Name,Tot_Clms' ELSE 'Tot_Clms,Prscrbr_NPI' END AS header, npi % 40 <> 8 AS plain,
+       count(DISTINCT npi % 40) AS n_files, npi % 40 % 2 <> 0 AS lacks_brand
+FROM fx_partd_raw GROUP BY ALL""")
+def src_11(spark, d):
+    """SRC-11: forty files under two headers, one of them with line ends inside quotes, found in one scan."""
+    from dosewise.sources import csv_records as C
+    p = L(spark, d).partd.withColumn("file", F.col("npi") % 40)
+    path = _landing(spark, "census")
+    brand = F.when(F.col("file") == 8, F.concat("brnd_name", F.lit("\nb"))).otherwise(F.col("brnd_name"))
+    forms = [(0, ["Prscrbr_NPI", "Brnd_Name", "Tot_Clms"]), (1, ["Tot_Clms", "Prscrbr_NPI"])]
+    cols = {"Prscrbr_NPI": F.col("npi"), "Brnd_Name": brand, "Tot_Clms": F.col("tot_clms")}
+    for k, names in forms:
+        (p.where(F.col("file") % 2 == k).repartition("file").select("file", *(cols[c].alias(c) for c in names))
+          .write.mode("append").partitionBy("file").option("header", True).option("escape", '"').csv(path))
+    groups, _ = C.census(spark, f"{path}/file=*")
+    lacks = {g: "Brnd_Name" not in g.columns for g in groups}
+    return spark.createDataFrame([(",".join(g.columns), g.plain, g.n_files, lacks[g]) for g in groups], "header string, plain boolean, n_files bigint, lacks_brand boolean")
+
+
 @query("src_2_prescribing_csv", """
 SELECT npi, specialty, brnd_name, gnrc_name, CASE WHEN npi % 4 = 1 THEN 0 ELSE tot_clms END AS tot_clms, tot_benes,
        tot_drug_cst, yr FROM fx_partd_raw""")

@@ -14,48 +14,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dosewise.functions.clean import date0, exact_money, full_name, int0, strip, year0, year_from_text
+from dosewise.sources import csv_records as C
 from dosewise.sources import schemas
+from dosewise.sources.csv_records import MAX_FIELD_CHARS
 from dosewise.sources.schemas import require_columns
 
-MAX_FIELD_CHARS = 1 << 24
-
 
 def csv_reader(spark: SparkSession, multi_line: bool = False):
-    """SRC-1/2: header-keyed CSV, 16 MiB field limit, bad bytes replaced (UTF-8),
-    everything read as text.
-
-    By default files are split among tasks, a record is a line, and a line with
-    too few or too many fields fails the load (all columns are parsed for
-    that, ``columnPruning`` off).  Files whose quoted fields hold line ends
-    need ``multi_line``, which reads each file in one task: convert such files
-    to Parquet once.
-    """
-    r = (spark.read.option("header", True).option("multiLine", multi_line)
-         .option("escape", '"').option("quote", '"')
-         .option("maxCharsPerColumn", MAX_FIELD_CHARS).option("encoding", "UTF-8")
-         .option("inferSchema", False))
-    return r if multi_line else r.option("mode", "FAILFAST").option("columnPruning", False)
+    """Header-keyed CSV, 16 MiB field limit, bad bytes replaced (UTF-8), everything
+    read as text.  Files are split among tasks and a record is a line; short rows
+    have nulls.  ``multi_line`` reads each file in one task."""
+    return (spark.read.option("header", True).option("multiLine", multi_line)
+            .option("escape", '"').option("quote", '"')
+            .option("maxCharsPerColumn", MAX_FIELD_CHARS).option("encoding", "UTF-8")
+            .option("inferSchema", False))
 
 
 def csv_by_header(spark: SparkSession, path, required: dict, optional: dict, multi_line: bool = False) -> DataFrame:
-    """The needed columns of all files under ``path``, each file read by its own header.
+    """SRC-1/2/3/11: the needed columns of all files under ``path``, each file read by its own header.
 
     Headers drift between years, and one CSV scan takes all files' columns from
-    one header by position.  So files are grouped by header (one short read of
-    each file's first line), every group is checked for the required columns
-    and scanned under its own header, and groups are united by column name.
+    one header by position.  A census of all files (``csv_records.census``, one
+    scan) finds the distinct headers and the files that are plain, that is, in
+    which every record is a line.  Every header is checked for the required
+    columns.  Plain files of one header are one scan of Spark's CSV reader; the
+    others are read by ``csv_records.records``, which also splits files whose
+    quoted fields hold line ends.  Groups are united by column name.
     """
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
-    groups: dict[tuple, list] = {}
-    for f in files:
-        groups.setdefault(tuple(csv_reader(spark, multi_line).csv(f).columns), []).append(f)
-    if not groups:
-        raise schemas.MissingColumns(f"no files under {path}")
-    out = None
-    for same in groups.values():
-        df = csv_reader(spark, multi_line).csv(same)
-        part = _pick(df.withColumn("_path", F.col("_metadata.file_path")), required, optional, ["_path"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    groups, files = C.census(spark, path)
+    C.require_headers(groups, list(required), path)
+    parts = []
+    for g in groups:
+        # the only group needs no list of files: the scan finds them itself
+        paths = path if len(groups) == 1 and g.plain else [
+            r.path for r in files.where((F.col("header") == F.lit(g.header)) & (F.col("plain") == g.plain)).select("path").orderBy("path").collect()]
+        if g.plain or multi_line:
+            df = csv_reader(spark, multi_line).csv(paths)
+            parts.append(_pick(df.withColumn("_path", F.col("_metadata.file_path")), required, optional, ["_path"]))
+        else:
+            wanted = {**required, **{h: n for h, n in optional.items() if h in g.columns}}
+            parts.append(C.records(spark, paths, list(g.columns), wanted))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -25,18 +25,16 @@ def write_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def replace_partition(df: DataFrame, path: str, column: str = "yr", files_per_value: int = 64) -> None:
+def replace_partition(df: DataFrame, path: str, column: str = "yr") -> None:
     """SNK-3: replace the partitions present in ``df`` (one year), keep the rest.
 
-    Dynamic partition overwrite, set for this write.  Rows are first dealt by
-    the value and a hash of the row, so a value has at most
-    ``files_per_value`` files (instead of one for each task) and a value that
-    holds most rows is still written by that many tasks.
+    Dynamic partition overwrite, set for this write.  Rows are rebalanced by
+    the value: from the sizes seen in the shuffle, small values share a task
+    and a value of many advisory partition sizes is written by that many.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_value))
-    (df.repartition(F.col(column), spread)
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(column).parquet(path))
+    even = df.sparkSession.sql(f"SELECT /*+ REBALANCE(`{column}`) */ * FROM {{df}}", df=df)
+    (even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(column).parquet(path))
 
 
 def write_scoped(df: DataFrame, path: str, keys=("drug_key", "npi"), partitions: int | None = None) -> None:

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dosewise.operators import review as V
-from dosewise.sources import sinks
+from dosewise.sources import schemas
+from dosewise.sources.buckets import BucketedTable
+
 
 def change_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
                   max_files_per_trigger: int | None = None) -> DataFrame:
@@ -101,32 +103,30 @@ def compact_log(spark: SparkSession, sink_dir: str, out_dir: str, files: int) ->
     read_log(spark, sink_dir).repartition(files, "review_id").write.mode("error").parquet(out_dir)
 
 
+def queue_table(spark: SparkSession, base: str, buckets: int = 64) -> BucketedTable:
+    """The review queue as a bucketed table under ``base``."""
+    return BucketedTable(spark, base, schemas.REVIEW_QUEUE, V.KEYS, buckets)
+
+
 def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, queue_base: str,
-                   checkpoint: str, now=None, once: bool = True, max_files_per_trigger: int | None = None):
-    """STR-6 / STR-7: upsert every micro-batch of changes into the queue snapshot.
-
-    The next snapshot is computed from the committed one and written as a
-    new version (``sinks.swap_snapshot``); applied batch ids are appended to
-    a small log table after the swap, so a replayed batch is a no-op.  A key's
-    changes within a batch are applied in the order of ``updated_at`` and
-    ``event_id``, as far as the source has these; a log that cannot be read
-    stops the stream.
+                   checkpoint: str, now=None, once: bool = True, max_files_per_trigger: int | None = None, buckets: int = 64):
+    """STR-6 / STR-7: upsert every micro-batch of changes into the queue.
+
+    A batch rewrites only the buckets that hold its keys, and its commit
+    carries the batch id, so a replayed batch is a no-op.  A key's changes
+    within a batch are applied in the order of ``updated_at`` and
+    ``event_id``, as far as the source has these; a manifest that cannot be
+    read stops the stream.
     """
-    applied = f"{queue_base.rstrip('/')}/_batches"
-
     def apply(batch: DataFrame, batch_id: int) -> None:
-        log = sinks.read_if_there(spark, applied, "batch_id long")
-        if log is not None and not log.where(F.col("batch_id") == batch_id).isEmpty():
+        table = queue_table(batch.sparkSession, queue_base, buckets)
+        if table.applied(str(batch_id)):
             return
-        current = sinks.read_snapshot(spark, queue_base)
         order = [c for c in ("updated_at", "event_id") if c in batch.columns]
         src = batch.select("drug_key", "npi", "pay_amount",
                            (F.col("avg_claims") if "avg_claims" in batch.columns
                             else F.lit(None).cast("double")).alias("avg_claims"), *order)
-        ts = now if now is not None else F.current_timestamp()
-        nxt = V.upsert(_empty_queue(spark) if current is None else current, src, ts, order=order)
-        sinks.swap_snapshot(spark, nxt, queue_base)
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(applied)
+        V.upsert_buckets(table, src, now if now is not None else F.current_timestamp(), order=order, tag=str(batch_id))
 
     r = change_stream(spark, source_dir, schema, max_files_per_trigger)
     w = r.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -137,11 +137,6 @@ def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, q
     return q
 
 
-def _empty_queue(spark: SparkSession) -> DataFrame:
-    from dosewise.sources import schemas
-    return spark.createDataFrame([], schemas.REVIEW_QUEUE)
-
-
 def latest_state_stream(changes: DataFrame, order=("updated_at", "event_id")) -> DataFrame:
     """STR-5 (streaming form): running latest state per id, one mergeable
     aggregate; run in ``update`` or ``complete`` output mode."""

@@ -55,8 +55,9 @@ def test_upsert_each_batch(spark, tmp_dir):
     b.write.mode("append").parquet(land)
     RS.upsert_batches(spark, land, a.schema, q, ck, now=now)
     RS.upsert_batches(spark, land, a.schema, q, ck, now=now)   # nothing new: no new version
-    snap = {(r.drug_key, r.npi): r for r in sinks.read_snapshot(spark, q).collect()}
-    assert len(sinks.snapshot_versions(spark, q)) == 2
+    table = RS.queue_table(spark, q)
+    snap = {(r.drug_key, r.npi): r for r in table.read().collect()}
+    assert table.version == 1
     assert snap[("A", 1)].pay_amount == D("7.00") and snap[("A", 1)].id == 1
     assert snap[("B", 3)].id == 3 and snap[("B", 3)].status == "flagged"
 
@@ -115,5 +116,5 @@ def test_upsert_of_many_changes_of_a_key_and_a_replayed_batch(spark, tmp_dir):
     df.write.parquet(land)
     RS.upsert_batches(spark, land, df.schema, q, ck, now=dt.datetime(2024, 1, 1))
     RS.upsert_batches(spark, land, df.schema, q, os.path.join(tmp_dir, "ck2"), now=dt.datetime(2024, 1, 1))  # batch 0 again
-    snap = sinks.read_snapshot(spark, q).collect()
-    assert [(r.id, r.pay_amount) for r in snap] == [(1, D("29.00"))] and sinks.snapshot_versions(spark, q) == [0]
+    table = RS.queue_table(spark, q)
+    assert [(r.id, r.pay_amount) for r in table.read().collect()] == [(1, D("29.00"))] and table.version == 0
