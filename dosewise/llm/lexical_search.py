@@ -3,9 +3,10 @@
 The index has a row per shard of at most ``SHARD_DOCS`` documents: its term
 dictionary, and over the grid (term row x document column) a quadtree.  Level
 by level every cell that is not empty has a four-bit mask of its children and
-the largest impact in it (kept as the difference to its parent's).  Terms of
-like frequency stand together, by their first document, so that rare terms
-fill a narrow band of cells and bounds are tight.
+the largest impact in it (kept as the difference to its parent's); a cell of
+one point is not split further and keeps the point's place.  Terms of like
+frequency stand together, by their first document, so that rare terms fill a
+narrow band of cells and bounds are tight.
 
 An impact is the part of a score that does not depend on the term's weight:
 ``10^9 * tf div (1000 * tf + 20 * m)``, ``m`` by the document's length.
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 
 from dosewise.llm.common import LAST_ID, id_text, per_batch, stored, term_lists
 
-SHARD_DOCS = 4096
-SHARD_BYTES = 16 << 20
+#: Documents of a shard, and bytes of their text (a larger text is a shard of its own); shards of a file.
+SHARD_DOCS, SHARD_BYTES, SHARD_FILE = 1024, 4 << 20, 8
 #: Items of a search pass, and bytes of their terms (a larger item is a pass of its own).
 PASS_ITEMS, PASS_BYTES = 1024, 8 << 20
 #: Ranges split at a time, and the longest item (rows in the shard) whose ranges keep their cells; others' are found anew from the root.
 SPLIT, KEEP = 256, 2048
-INDEX = "docs array<bigint>, terms binary, df binary, levels int, masks binary, falls binary"
+INDEX = "docs array<bigint>, terms binary, df binary, levels int, masks binary, falls binary, places binary"
 _ONES = np.array([bin(b).count("1") for b in range(16)], np.int64)
 
 
@@ -65,20 +66,36 @@ def _interleave(row: np.ndarray, col: np.ndarray, levels: int) -> np.ndarray:
     return code
 
 
-def quadtree(row: np.ndarray, col: np.ndarray, impact: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Masks (of all cells above the last level) and maxima (of all cells), root first, each level in cell order."""
+def quadtree(row: np.ndarray, col: np.ndarray, impact: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all cells, root first, each level in cell order: masks (0: one point) and maxima; and the places of the cells of one point."""
     code = _interleave(row, col, levels)
     order = np.argsort(code)
-    code, top = code[order], impact[order]
-    masks, maxima = [], [top]
-    for _ in range(levels):
-        up = code >> 2
-        first = np.flatnonzero(np.concatenate([[True], np.diff(up) != 0]))
-        masks.append(np.bitwise_or.reduceat(np.left_shift(1, code & 3), first).astype(np.uint8))
-        top = np.maximum.reduceat(top, first)
-        maxima.append(top)
-        code = up[first]
-    return np.concatenate(masks[::-1]) if masks else np.empty(0, np.uint8), np.concatenate(maxima[::-1])
+    code, impact = code[order], impact[order]
+    masks, maxima, places = [], [impact.max(keepdims=True)], []
+    if len(code) == 1:
+        masks, places = [np.zeros(1, np.uint8)], [code]
+    level = 0
+    while len(code) > 1:  # the points of cells with several: their cells one level below
+        level += 1
+        cell = code >> 2 * (levels - level)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
+        count = np.diff(np.append(first, len(code)))
+        up = cell[first] >> 2
+        masks.append(np.bitwise_or.reduceat(np.left_shift(1, cell[first] & 3), np.flatnonzero(np.concatenate([[True], np.diff(up) != 0]))))
+        maxima.append(np.maximum.reduceat(impact, first))
+        # cells of one point have an empty mask; the others' comes with the next level
+        places.append(code[first[count == 1]])
+        many = np.repeat(count > 1, count)
+        code, impact = code[many], impact[many]
+        masks[-1] = (masks[-1], count > 1)
+    if level:
+        spread = [masks[0][0]]
+        for (_, several), below in zip(masks, [*masks[1:], (np.empty(0, np.int64), None)]):
+            each = np.zeros(len(several), np.int64)
+            each[several] = below[0]
+            spread.append(each)
+        masks = spread
+    return np.concatenate(masks).astype(np.uint8), np.concatenate(maxima), np.concatenate(places)
 
 
 def _shard(held: list[tuple[int | None, bytes]], n_docs: int, n_terms: int) -> dict:
@@ -103,12 +120,12 @@ def _shard(held: list[tuple[int | None, bytes]], n_docs: int, n_terms: int) -> d
     row[order] = np.arange(len(voc))
     m = 50 + (50 * n * n_docs) // max(n_terms, 1)
     levels = max(len(held) - 1, len(voc) - 1, 1).bit_length()
-    masks, maxima = quadtree(row[term], doc, 1_000_000_000 * tf // (1000 * tf + 20 * m[doc]), levels) if keys else (np.empty(0, np.uint8), np.empty(0, np.int64))
+    masks, maxima, places = quadtree(row[term], doc, 1_000_000_000 * tf // (1000 * tf + 20 * m[doc]), levels) if keys else (np.empty(0, np.uint8), *(np.empty(0, np.int64),) * 2)
     parent = np.repeat(np.arange(len(masks)), _ONES[masks])  # of every cell but the root
     falls = np.concatenate([maxima[:1], maxima[parent] - maxima[1:]]).astype(np.int32)
     names = list(voc)
     return {"docs": [d[0] for d in held], "terms": b"\n".join(names[t] for t in order), "df": df[order].astype(np.int32).tobytes(),
-            "levels": levels, "masks": masks.tobytes(), "falls": falls.tobytes()}
+            "levels": levels, "masks": masks.tobytes(), "falls": falls.tobytes(), "places": np.diff(places, prepend=0).tobytes()}
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
@@ -117,7 +134,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Shards are cut where the rows lie: no text is shuffled.
     """
     n_docs, n_terms = corpus_size(docs, text_col)
-    kind = pa.schema([("docs", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("levels", pa.int32()), ("masks", pa.binary()), ("falls", pa.binary())])
+    kind = pa.schema([("docs", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("levels", pa.int32()), ("masks", pa.binary()), ("falls", pa.binary()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -132,7 +149,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held:
             yield pa.RecordBatch.from_pylist([_shard(held, n_docs, n_terms)], kind)
 
-    return stored(per_batch(id_text(docs, id_col, text_col), run, INDEX), "search-index"), n_docs, n_terms
+    return stored(per_batch(id_text(docs, id_col, text_col), run, INDEX), "search-index", SHARD_FILE), n_docs, n_terms
 
 
 # -- search -----------------------------------------------------------------
@@ -140,25 +157,31 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 class Treap:
     """A shard's quadtree unpacked: masks, first children and maxima of all cells; the last cell stands for an empty one."""
 
-    def __init__(self, docs: list[int | None], levels: int, masks: bytes, falls: bytes):
+    def __init__(self, docs: list[int | None], levels: int, masks: bytes, falls: bytes, places: bytes):
         self.docs = np.array([LAST_ID if d is None else d for d in docs], np.int64)
         self.levels = levels
-        inner, fall = np.frombuffer(masks, np.uint8), np.frombuffer(falls, np.int32).astype(np.int64)
+        fall = np.frombuffer(falls, np.int32)
         self.mask = np.zeros(len(fall) + 1, np.uint8)
-        self.mask[: len(inner)] = inner
-        self.first = np.cumsum(np.concatenate([[1], _ONES[self.mask[:-1]]]))
-        self.top = np.append(fall, 0)
-        parent = np.repeat(np.arange(len(inner)), _ONES[inner])
+        self.mask[:-1] = np.frombuffer(masks, np.uint8)
+        n = _ONES[self.mask]
+        self.first = (np.cumsum(n) - n + 1).astype(np.int32)
+        parent = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.top = np.append(fall, np.int32(0))
         start, end = 0, min(1, len(fall))
         while end < len(fall):  # the level after the one from start to end
-            start, end = end, end + int(_ONES[inner[start:end]].sum())
+            start, end = end, end + int(n[start:end].sum())
             self.top[start:end] = self.top[parent[start - 1 : end - 1]] - fall[start:end]
+        self.place = np.full(len(n), -1, np.int64)
+        self.place[:-1][self.mask[:-1] == 0] = np.cumsum(np.frombuffer(places, np.int64))
 
     def _child(self, cells: np.ndarray, rows: np.ndarray, level: np.ndarray, half: np.ndarray | int) -> np.ndarray:
         """The cells one level below that hold ``rows`` and the left or right half of each range."""
-        quad = (rows[None, :] >> (self.levels - 1 - level)[:, None] & 1) * 2 + half
+        left = self.levels - 1 - level[:, None]
+        quad = (rows[None, :] >> left & 1) * 2 + half
         mask = self.mask[cells]
-        return np.where(mask >> quad & 1, self.first[cells] + _ONES[mask & ((1 << quad) - 1)], len(self.top) - 1)
+        # a cell of one point stays what it is as long as the point lies there
+        same = (mask == 0) & (self.place[cells] >> 2 * left & 3 == quad) & (cells < len(self.top) - 1)
+        return np.where(mask >> quad & 1, self.first[cells] + _ONES[mask & ((1 << quad) - 1)], np.where(same, cells, len(self.top) - 1))
 
     def _from_root(self, rows: np.ndarray, level: np.ndarray, col: np.ndarray) -> np.ndarray:
         cells = np.zeros((len(level), len(rows)), np.int64)
@@ -234,9 +257,9 @@ def _search(sent, k: int) -> callable:
         items = sent.value
         best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in items]
         for batch in batches:
-            for s in batch.to_pylist():
+            for s in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 row_of = {w: i for i, w in enumerate(s["terms"].split(b"\n"))}
-                treap = Treap(s["docs"], s["levels"], s["masks"], s["falls"])
+                treap = Treap(s["docs"], s["levels"], s["masks"], s["falls"], s["places"])
                 if len(treap.top) == 1:
                     continue  # no terms in this shard
                 for j, (_, terms) in enumerate(items):

@@ -87,7 +87,7 @@ def test_shards_of_every_size_hold_exact_scores():
         sizes = [len(terms(t)) for _, t in part]
         n_docs, n_terms = sum(x > 0 for x in sizes), sum(sizes)
         shard = _shard(held, n_docs, n_terms)
-        treap = Treap(shard["docs"], shard["levels"], shard["masks"], shard["falls"])
+        treap = Treap(shard["docs"], shard["levels"], shard["masks"], shard["falls"], shard["places"])
         row_of = {w: i for i, w in enumerate(shard["terms"].split(b"\n"))}
         df = np.frombuffer(shard["df"], np.int32)
         for (_, want), (_, text) in zip(scores(part, [*items, (0, long)]), [*items, (0, long)]):
@@ -99,9 +99,12 @@ def test_shards_of_every_size_hold_exact_scores():
                     assert [(int(s), int(treap.docs[c])) for c, s in zip(col, score) if s > 0][:k] == want[:k]
 
 
-def test_maxima_bound_their_cells():
+def test_cells_of_one_point_are_not_split():
     rng = np.random.default_rng(1)
     cells = rng.choice(64 * 64, 200, replace=False)
     impact = rng.integers(1, 1000, 200)
-    masks, maxima = quadtree(cells // 64, cells % 64, impact, 6)
-    assert maxima[0] == impact.max() and len(maxima) == 1 + sum(bin(m).count("1") for m in masks)
+    masks, maxima, places = quadtree(cells // 64, cells % 64, impact, 6)
+    assert maxima[0] == impact.max() and len(maxima) == len(masks) == 1 + sum(bin(m).count("1") for m in masks)
+    assert len(places) == 200 == (masks == 0).sum() and len(set(places.tolist())) == 200
+    masks, maxima, places = quadtree(np.array([5]), np.array([3]), np.array([7]), 3)
+    assert masks.tolist() == [0] and maxima.tolist() == [7] and places.tolist() == [0b100111]
