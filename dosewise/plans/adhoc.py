@@ -15,8 +15,16 @@ from dosewise.operators import quality as Q
 REPORTS = {"ShowTables", "ShowTablesCommand", "ShowColumns", "ShowColumnsCommand", "ShowNamespaces", "ShowFunctions",
            "ShowTableProperties", "ShowViews", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand",
            "DescribeNamespace", "DescribeFunction", "ExplainCommand"}
-# Sources whose name in front of a quoted path would read files instead of a registered table.
-FILE_SOURCES = {"parquet", "csv", "json", "text", "orc", "avro", "binaryfile", "xml", "jdbc"}
+# What a query is made of when it is parsed.  Any other node is refused, whatever it does.
+QUERY_NODES = {
+    "Aggregate", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit",
+    "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project", "Range", "Sample", "Sort", "SubqueryAlias", "Union", "UnresolvedGenerator", "UnresolvedHaving",
+    "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases",
+    "UnresolvedWith", "Unpivot", "View", "Window", "WithWindowDefinition"}
+# Expressions that name something only when they are evaluated.
+LATE_NAMES = {"ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier"}
+# Built-in functions that call code by its name or read a file: not for queries of others.
+UNSAFE_FUNCTIONS = {"reflect", "java_method", "try_reflect", "from_protobuf", "to_protobuf"}
 
 # View name -> attribute of ``Layers``.
 VIEWS = {
@@ -41,33 +49,66 @@ def _each(seq):
         yield seq.apply(i)
 
 
+def _allowed_functions(spark: SparkSession) -> set[str]:
+    """Spark's own functions but the unsafe ones; functions that a session has registered run foreign code."""
+    return {r.function.lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - UNSAFE_FUNCTIONS
+
+
 def _require_read_only(spark: SparkSession, plan) -> None:
-    """Refuse a parsed plan that holds a command or an insert anywhere, or reads a path instead of a table."""
-    of = spark._jvm.java.lang.Class.forName
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    command, statement = of(logical + "Command"), of(logical + "ParsedStatement")
-    todo = [plan]
-    while todo:
+    """Refuse a parsed plan with any node that is no part of a query or report, a
+    table that is a path, a name made at run time, or a function that is not
+    one of Spark's own safe ones: in subqueries, common tables, EXPLAIN and
+    expressions at any depth."""
+    functions = None
+
+    def function(parts) -> None:
+        nonlocal functions
+        functions = functions or _allowed_functions(spark)
+        names = [p.lower() for p in _each(parts)]
+        if names[-1] not in functions or names[:-1] not in ([], ["builtin"], ["system", "builtin"]):
+            raise NotReadOnly(f"the function {'.'.join(names)} may not be used here")
+
+    def relation(parts) -> None:
+        names = list(_each(parts))
+        if len(names) > 1 and not (names[0] in ("spark_catalog", "global_temp") or (len(names) == 2 and "/" not in names[1] and spark.catalog.databaseExists(names[0]))):
+            raise NotReadOnly("only registered tables can be read, not paths")
+
+    todo, expressions = [plan], []
+    while todo or expressions:
+        if expressions:
+            e = expressions.pop()
+            name = e.getClass().getSimpleName()
+            if name in LATE_NAMES:
+                raise NotReadOnly("names made at run time may not be used here")
+            if name == "UnresolvedFunction":
+                function(e.nameParts())
+            expressions += _each(e.children())
+            continue
         p = todo.pop()
         name = p.getClass().getSimpleName()
-        if name == "ExplainCommand":
-            todo.append(p.logicalPlan())
-        elif name == "DescribeQueryCommand":
-            todo.append(p.plan())
-        if (command.isInstance(p) and name not in REPORTS) or statement.isInstance(p):
-            raise NotReadOnly(f"this statement writes or changes the session ({name}); only queries and reports run here")
-        if name == "UnresolvedRelation" and p.multipartIdentifier().size() > 1 \
-                and p.multipartIdentifier().apply(0).lower() in FILE_SOURCES:
-            raise NotReadOnly("only registered tables can be read, not paths")
-        if not (command.isInstance(p) and name != "ExplainCommand"):
-            todo += [*_each(p.children()), *_each(p.subqueriesAll())]
-            todo += [c for c in _each(p.innerChildren()) if hasattr(c, "subqueriesAll")]
+        if name in REPORTS:
+            if name == "ExplainCommand":
+                todo.append(p.logicalPlan())
+            elif name == "DescribeQueryCommand":
+                todo.append(p.plan())
+            continue
+        if name not in QUERY_NODES:
+            raise NotReadOnly(f"this statement does more than query or report ({name}); only queries and reports run here")
+        if name == "UnresolvedRelation":
+            relation(p.multipartIdentifier())
+        elif name == "UnresolvedTableValuedFunction":
+            function(p.name())
+        expressions += _each(p.expressions())
+        todo += [*_each(p.children()), *_each(p.subqueriesAll())]
+        if name == "UnresolvedWith":
+            for pair in _each(p.cteRelations()):
+                todo.append(pair.productElement(1))
 
 
 def run_query(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """API-1 / FLT-20: the statement is parsed and its whole plan checked before
-    anything runs: queries, SHOW, DESCRIBE and EXPLAIN pass; commands and
-    inserts are refused wherever they stand (also under WITH or EXPLAIN)."""
+    anything runs: queries, SHOW, DESCRIBE and EXPLAIN pass; whatever else it
+    holds, at any depth, is refused."""
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql or "")
     _require_read_only(spark, parsed)
     return spark.sql(sql, args=args) if args else spark.sql(sql)

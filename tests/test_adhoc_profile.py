@@ -27,6 +27,20 @@ def test_guard(spark, tmp_dir):
                     "TRUNCATE TABLE guard_target", "CREATE TEMP VIEW v AS SELECT 1"):
             with pytest.raises(adhoc.NotReadOnly):
                 adhoc.run_query(spark, bad)
+        # code called by name, names made at run time, statements in text, functions of the session, at any depth
+        spark.udf.register("own_function", lambda x: x)
+        for bad in ("SELECT java_method('java.lang.System', 'setProperty', 'guard', 'x')", "SELECT transform(array(1), x -> length(reflect('a', 'b')))",
+                    "WITH a AS (SELECT try_reflect('a', 'b') AS y) SELECT * FROM a", "SELECT npi FROM doctors WHERE npi IN (SELECT length(reflect('a', 'b')))",
+                    "SELECT * FROM doctors ORDER BY java_method('a', 'b')", "SELECT sum(npi) OVER (PARTITION BY reflect('a', 'b')) FROM doctors", "SELECT system.builtin.reflect('a', 'b')",
+                    f"SELECT * FROM IDENTIFIER('parquet.`{tmp_dir}`')", "SELECT IDENTIFIER('java_method')('a', 'b')", "EXECUTE IMMEDIATE 'CREATE TEMPORARY VIEW v AS SELECT 1'",
+                    "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT own_function(npi) FROM doctors", "EXPLAIN SELECT java_method('a', 'b')", "SELECT TRANSFORM(npi) USING 'cat' FROM doctors",
+                    "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hosts`", "DESCRIBE QUERY SELECT * FROM text.`/etc/hosts`", "BEGIN SELECT 1; END"):
+            with pytest.raises(adhoc.NotReadOnly):
+                adhoc.run_query(spark, bad)
+        for good in ("SELECT npi FROM doctors |> WHERE npi > 1", "SELECT specialty, max(npi) FROM doctors GROUP BY specialty HAVING max(npi) > 1 ORDER BY 1 LIMIT 3",
+                     "SELECT * FROM doctors JOIN doctor_drug USING (npi) WHERE EXISTS (SELECT 1 FROM rx_by_npi_drug r WHERE r.npi = doctors.npi)",
+                     "SELECT row_number() OVER w AS n FROM doctors WINDOW w AS (ORDER BY npi)", "SELECT x FROM doctors LATERAL VIEW explode(array(1, 2)) e AS x"):
+            assert adhoc.run_query(spark, good).count() >= 1
         for nothing in ("", "; select 1"):
             with pytest.raises(ParseException):
                 adhoc.run_query(spark, nothing)
