@@ -8,7 +8,7 @@ Java-regex lookarounds for Postgres-style word boundaries (FN-14), and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -36,19 +36,25 @@ def word_patterns(q: str) -> tuple[str, str]:
     return "(?U)" + WORD_START + rx + WORD_END, "(?U)" + WORD_START + rx
 
 
+SEARCH_COLS = ["npi", "name", "specialty", "city", "state", "total_pay", "total_claims"]
+
+
+def match_rank(low: Column, q: str) -> Column:
+    """Whole word 0, word start 1, anywhere 2."""
+    whole, start = word_patterns(q)
+    return F.when(low.rlike(whole), 0).when(low.rlike(start), 1).otherwise(2)
+
+
 def search_entities(doctors: DataFrame, q: str, limit: int = 20) -> DataFrame:
     """API-4 / ORD-2 / FLT-12 / FLT-19: whole word (0) < word start (1) <
     substring (2), then total claims desc nulls last, name, npi; ``limit``."""
     ql = (q or "").strip().lower()
-    cols = ["npi", "name", "specialty", "city", "state", "total_pay", "total_claims"]
     if len(ql) < MIN_QUERY_LEN:
-        return doctors.select(*cols).limit(0)
-    whole, start = word_patterns(ql)
+        return doctors.select(*SEARCH_COLS).limit(0)
     low = F.lower(F.col("name"))
-    rank = F.when(low.rlike(whole), 0).when(low.rlike(start), 1).otherwise(2)
-    return (doctors.where(F.instr(low, ql) > 0).withColumn("match_rank", rank)
+    return (doctors.where(F.instr(low, ql) > 0).withColumn("match_rank", match_rank(low, ql))
                    .orderBy("match_rank", F.col("total_claims").desc_nulls_last(), "name", "npi")
-                   .limit(limit).select(*cols, "match_rank"))
+                   .limit(limit).select(*SEARCH_COLS, "match_rank"))
 
 
 def find_entity(doctors: DataFrame, name: str, limit: int = 25) -> DataFrame:

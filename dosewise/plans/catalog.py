@@ -53,6 +53,10 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'api_3_find_entity': {'double': ['total_pay'], 'string': []},
     'api_4_search_whole_word': {'double': ['total_pay'], 'string': []},
     'api_4_search_word_start': {'double': ['total_pay'], 'string': []},
+    'api_4_search_indexed': {'double': ['total_pay'], 'string': []},
+    'flt_15_clustered_profile': {'double': ['total_pay', 'pay_amount'], 'string': []},
+    'str_5_state_store_stream': {'double': ['pay_amount'], 'string': ['updated_at']},
+    'str_8_levelled_log_latest_state': {'double': ['pay_amount'], 'string': ['updated_at']},
     'api_7_entity_profiles': {'double': ['total_pay'], 'string': []},
     'api_9_events_of_one_entity': {'double': ['amount'], 'string': []},
     'api_9_entity_payment_events': {'double': ['amount'], 'string': []},
@@ -668,6 +672,49 @@ def api_3(spark, d):
     return S.find_entity(L(spark, d).doctors, "RING", 25)
 
 
+def _name_index(spark, d):
+    from dosewise.operators.name_index import NameIndex
+    return NameIndex.build(L(spark, d).doctors, _landing(spark, "names"), folders=16)
+
+
+@query("api_4_search_indexed", _search_sql("ol"))
+def api_4_indexed(spark, d):
+    """API-4 by the gram index: one folder of postings is read."""
+    return _name_index(spark, d).search(L(spark, d).doctors, "ol", 20)
+
+
+@query("api_3_find_many_indexed", """
+SELECT q_id, q, n_hits, rank, npi, name, total_claims FROM (
+  SELECT a.npi AS q_id, q, count(*) OVER (PARTITION BY a.npi) AS n_hits, CAST(row_number() OVER (PARTITION BY a.npi ORDER BY b.total_claims DESC, b.npi) AS INTEGER) AS rank,
+         b.npi, b.name, b.total_claims
+  FROM (SELECT npi, substr(name, CAST(2 + npi % 3 AS BIGINT), CAST(2 + npi % 5 AS BIGINT)) AS q FROM fx_doctors) a JOIN fx_doctors b ON len(q) >= 2 AND instr(lower(b.name), lower(q)) > 0)
+WHERE rank <= 5""")
+def api_3_many(spark, d):
+    """API-3 for a piece of every entity's name at once, by the gram index."""
+    names = L(spark, d).doctors
+    q = F.substring("name", (2 + F.col("npi") % 3).cast("int"), (2 + F.col("npi") % 5).cast("int"))
+    return _name_index(spark, d).find_many(names.select(F.col("npi").alias("q_id"), q.alias("q")).where(F.length("q") >= 2), 5)
+
+
+@query("flt_15_clustered_profile", """
+SELECT d.npi, d.name, d.specialty, d.city, d.state, d.total_pay, d.total_claims, x.n_drugs, x.claims, x.pay_amount, coalesce(m.n_manufacturers, 0) AS n_manufacturers
+FROM fx_doctors d JOIN (SELECT npi, count(*) AS n_drugs, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(pay_amount) AS DECIMAL(18,2)) AS pay_amount FROM fx_dd GROUP BY npi) x USING (npi)
+LEFT JOIN (SELECT npi, count(DISTINCT manufacturer) AS n_manufacturers FROM fx_mfr GROUP BY npi) m USING (npi)
+WHERE npi = (SELECT max(npi) FROM fx_dd)""")
+def flt_15(spark, d):
+    """FLT-15/API-7: one entity's page from read models clustered by id; each scan reads the row groups of that id alone."""
+    from dosewise.sources import sinks
+    x, paths = L(spark, d), {n: _landing(spark, n) for n in ("doctors", "dd", "mfr")}
+    for n, path in paths.items():
+        sinks.write_clustered(getattr(x, n), path, "npi")
+    npi = x.dd.agg(F.max("npi")).first()[0]
+    one = {n: spark.read.schema(getattr(x, n).schema).parquet(path).where(F.col("npi") == (0 if npi is None else npi)) for n, path in paths.items()}
+    drugs = one["dd"].groupBy("npi").agg(F.count(F.lit(1)).alias("n_drugs"), F.sum("claims").cast("bigint").alias("claims"), F.sum("pay_amount").cast("decimal(18,2)").alias("pay_amount"))
+    makers = one["mfr"].groupBy("npi").agg(F.count_distinct("manufacturer").alias("n_manufacturers"))
+    return (one["doctors"].join(drugs, "npi").join(makers, "npi", "left")
+            .select("npi", "name", "specialty", "city", "state", "total_pay", "total_claims", "n_drugs", "claims", "pay_amount", F.coalesce("n_manufacturers", F.lit(0)).cast("bigint").alias("n_manufacturers")))
+
+
 @query("api_9_entity_payment_events", f"""
 SELECT npi, date, amount, manufacturer, drug, event_no FROM (
   SELECT npi, date, amount, manufacturer, drug,
@@ -815,6 +862,44 @@ def str_5(spark, d):
              .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")))
 
 
+@query("str_5_state_store_stream", LATEST_SQL)
+def str_5_state(spark, d):
+    """STR-5 as a stream: running state in the state store, killed before its third commit, restarted from the checkpoint."""
+    import uuid
+    from pyspark.errors import StreamingQueryException
+    from dosewise.plans.session import shared_dir
+    from dosewise.streaming import review_sync as RS
+    base = shared_dir(spark, f"review-state/{uuid.uuid4().hex}")
+    changes = L(spark, d).review_changes
+    changes.repartitionByRange(4, "event_id").write.parquet(f"{base}/landing")
+
+    def killed(batch_id):
+        if batch_id == 2:
+            raise RuntimeError("killed")
+
+    how = dict(max_files_per_trigger=1, buckets=4)
+    try:
+        RS.keep_latest_state(spark, f"{base}/landing", changes.schema, f"{base}/state", f"{base}/checkpoint", before_commit=killed, **how)
+    except StreamingQueryException:
+        RS.keep_latest_state(spark, f"{base}/landing", changes.schema, f"{base}/state", f"{base}/checkpoint", **how)
+    return RS.state_table(spark, f"{base}/state").read().withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("str_8_levelled_log_latest_state", LATEST_SQL)
+def str_8(spark, d):
+    """STR-8: batches streamed into the levelled log, every third change twice; latest state of what is read back."""
+    import uuid
+    from dosewise.plans.session import shared_dir
+    from dosewise.streaming import event_log as EL
+    base = shared_dir(spark, f"review-levels/{uuid.uuid4().hex}")
+    changes = L(spark, d).review_changes
+    twice = changes.unionByName(changes.where(F.col("event_id") % 3 == 0))
+    twice.repartitionByRange(9, "event_id").write.parquet(f"{base}/landing")
+    log = EL.sync(spark, f"{base}/landing", changes.schema, f"{base}/log", f"{base}/checkpoint", fanout=3, max_files_per_trigger=1)
+    return (V.latest_state(log.read(), order=("updated_at", "event_id", "synced_at"), cols=("drug_key", "npi", "pay_amount", "status"))
+             .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")))
+
+
 @query("str_6_upsert_stream", f"""
 SELECT id, drug_key, npi, pay_amount, avg_claims, status, assigned_to, updated_at
 FROM (SELECT l.drug_key, l.npi, l.pay_amount, CAST(NULL AS DOUBLE) AS avg_claims, 'flagged' AS status,

@@ -82,3 +82,13 @@ class BucketedTable:
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.base}/_manifest")
         self.live = self._live(None)
         return version
+
+    def replace(self, rows: DataFrame, tag: str | None = None) -> int:
+        """Put ``rows`` (one a key) in the place of the rows of their keys; the version afterwards."""
+        from dosewise.operators.util import stored
+        rows = stored(rows.select(*self.schema.fieldNames()), "replaced")  # read three times below
+        touched = sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())  # at most the table's buckets
+        if not touched:
+            return self.version
+        kept = self.read(only=touched).join(rows.select(*self.keys), self.keys, "left_anti")
+        return self.commit(kept.unionByName(rows), touched, tag)

@@ -50,6 +50,16 @@ def write_scoped(df: DataFrame, path: str, keys=("drug_key", "npi"), partitions:
        .write.mode("overwrite").partitionBy(keys[0]).parquet(path))
 
 
+def write_clustered(df: DataFrame, path: str, key: str, partitions: int | None = None, group_bytes: int = 16 << 20, expected_keys: int = 1 << 20) -> None:
+    """SNK-4 / FLT-15: a read model for lookups by ``key``: files are ranges of
+    it, rows sorted by it, in row groups of ``group_bytes`` with page indexes
+    and a Bloom filter, so that a filter on one key reads a row group or two of
+    one file.  Without ``partitions``, AQE sizes the files."""
+    ranged = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
+    (ranged.sortWithinPartitions(key).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_bytes)
+           .option(f"parquet.bloom.filter.enabled#{key}", True).option(f"parquet.bloom.filter.expected.ndv#{key}", expected_keys).parquet(path))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK-6: CSV with header; NULL written as an empty field."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)

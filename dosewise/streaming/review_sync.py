@@ -144,3 +144,37 @@ def latest_state_stream(changes: DataFrame, order=("updated_at", "event_id")) ->
     cols = [c for c in V.STATE_COLS if c in changes.columns]
     return changes.groupBy("review_id").agg(*[F.max_by(c, o).alias(c) for c in cols],
                                             F.max("updated_at").alias("updated_at"))
+
+
+STATE = T.StructType([T.StructField(c, schemas.REVIEW_EVENTS[c].dataType) for c in ("review_id", *V.STATE_COLS[:-1], "updated_at")])
+
+
+def state_table(spark: SparkSession, base: str, buckets: int = 64) -> BucketedTable:
+    """The latest state of every review, kept by ``keep_latest_state``."""
+    return BucketedTable(spark, base, STATE, ["review_id"], buckets, id_col="review_id")
+
+
+def keep_latest_state(spark: SparkSession, source_dir: str, schema: T.StructType, base: str, checkpoint: str, *, once: bool = True,
+                      interval: str = "5 seconds", order=("updated_at", "event_id"), max_files_per_trigger: int | None = None, buckets: int = 64, before_commit=None):
+    """STR-5 as a stream: the running latest state per id lives in the state store,
+    and the ids a micro-batch changed replace their rows in ``state_table``.
+
+    A read of the table opens the live buckets' files and aggregates nothing.
+    The checkpoint restores the state after a restart; a batch that is run
+    again finds its tag in the table's manifest and is not applied twice.
+    ``before_commit(batch_id)`` is called before each commit.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table = state_table(batch.sparkSession, base, buckets)
+        if table.applied(str(batch_id)):
+            return
+        if before_commit:
+            before_commit(batch_id)
+        table.replace(batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in STATE)), tag=str(batch_id))
+
+    s = latest_state_stream(change_stream(spark, source_dir, schema, max_files_per_trigger), order)
+    w = s.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
+    if once:
+        q.awaitTermination()
+    return q
