@@ -75,6 +75,12 @@ OUTPUT_CASTS: dict[str, dict[str, list[str]]] = {
     'ord_7_top_paid_per_drug': {'double': ['dollars'], 'string': []},
     'src_1_payments_csv': {'double': ['amount'], 'string': ['payment_date']},
     'src_1_payments_quoted_lines': {'double': ['amount'], 'string': ['payment_date']},
+    'src_5_prescribing_json_arrays': {'double': ['tot_drug_cst'], 'string': []},
+    'src_6_payments_json': {'double': ['amount'], 'string': ['payment_date']},
+    'snk_1_append': {'double': ['drug_cst'], 'string': []},
+    'snk_3_replace_year': {'double': ['tot_drug_cst'], 'string': []},
+    'snk_4_scoped_layout': {'double': ['pay_amount'], 'string': []},
+    'snk_6_csv_round_trip': {'double': ['total_pay'], 'string': []},
     'src_2_prescribing_csv': {'double': ['tot_drug_cst'], 'string': []},
     'src_5_prescribing_json': {'double': ['tot_drug_cst'], 'string': []},
     'str_6_upsert_stream': {'double': ['pay_amount'], 'string': ['updated_at']},
@@ -1044,6 +1050,90 @@ def src_5(spark, d):
     return RD.read_prescribing_json(spark, path, year=2020, lines=True).select(*schemas.PARTD_RAW.fieldNames())
 
 
+def _page(h, n: int):
+    """A landing file is one page of an API: some two thousand rows, however many pages that are."""
+    return F.pmod(h, F.lit(max(1, n // 2000)))
+
+
+@query("src_5_prescribing_json_arrays", "SELECT npi, specialty, brnd_name, gnrc_name, tot_clms, tot_benes, tot_drug_cst, 2021 AS yr FROM fx_partd_raw")
+def src_5_arrays(spark, d):
+    """SRC-5: files that are one JSON array of objects each."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    path = _landing(spark, "partd_2021_arrays")
+    one = F.struct(*(F.col(n).cast("string").alias(h) for h, n in schemas.PARTD_HEADERS.items()))
+    p = L(spark, d).partd
+    paged = p.withColumn("page", _page(F.xxhash64(*p.columns), p.count()))
+    paged.groupBy("page").agg(F.to_json(F.collect_list(one)).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    return RD.read_prescribing_json(spark, f"{path}/page=*", year=2021).select(*schemas.PARTD_RAW.fieldNames())
+
+
+@query("src_6_payments_json", """
+SELECT npi, recipient_type, specialty, amount, nature, manufacturer, drug1, drug2, drug3, drug4, drug5, program_year, payment_date FROM fx_payments_raw""")
+def src_6(spark, d):
+    """SRC-6: payment records of the API, lower-case keys, a page of them a file."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas
+    path = _landing(spark, "payments_json")
+    one = F.struct(*(F.nullif(F.col(n).cast("string"), F.lit("")).alias(h.lower()) for h, n in schemas.PAYMENTS_HEADERS.items()))
+    p = L(spark, d).payments
+    paged = p.withColumn("page", _page(F.xxhash64(*p.columns), p.count()))
+    paged.groupBy("page").agg(F.to_json(F.collect_list(one)).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    return RD.read_payments_json(spark, f"{path}/page=*").select(*schemas.PAYMENTS_RAW.fieldNames())
+
+
+@query("snk_1_append", "SELECT drug_key, npi, specialty, clms, drug_cst, benes FROM fx_rx")
+def snk_1(spark, d):
+    """SNK-1/2: a truncating load over old rows, then two appends."""
+    from dosewise.sources import sinks
+    rx, path = L(spark, d).rx, _landing(spark, "rx")
+    sinks.write_append(rx, path)
+    sinks.write_overwrite(rx.where(F.col("npi") % 3 == 0), path)
+    for k in (1, 2):
+        sinks.write_append(rx.where(F.col("npi") % 3 == k), path)
+    return spark.read.schema(rx.schema).parquet(path).select("drug_key", "npi", "specialty", "clms", "drug_cst", "benes")
+
+
+@query("snk_3_replace_year", """
+SELECT npi, specialty, brnd_name, gnrc_name, CASE WHEN yr = (SELECT max(yr) FROM fx_partd_raw) THEN tot_clms + 1 ELSE tot_clms END AS tot_clms, tot_benes, tot_drug_cst, yr FROM fx_partd_raw""")
+def snk_3(spark, d):
+    """SNK-3: all years written, then the last one replaced; the others stay."""
+    from dosewise.sources import sinks
+    p, path = L(spark, d).partd, _landing(spark, "years")
+    sinks.replace_partition(p, path)
+    last = p.where(F.col("yr") == p.agg(F.max("yr")).scalar())
+    sinks.replace_partition(last.withColumn("tot_clms", F.col("tot_clms") + 1), path)
+    return spark.read.schema(p.schema).parquet(path).select(*p.columns)
+
+
+@query("snk_4_scoped_layout", "SELECT drug_key, npi, pay_amount, pay_count FROM fx_pay")
+def snk_4(spark, d):
+    """SNK-4: a grain table in folders by product, sorted by id."""
+    from dosewise.sources import sinks
+    pay, path = L(spark, d).pay, _landing(spark, "scoped")
+    sinks.write_scoped(pay, path)
+    return spark.read.schema(pay.schema).parquet(path).select("drug_key", "npi", "pay_amount", "pay_count")
+
+
+@query("snk_6_csv_round_trip", "SELECT npi, name, specialty, city, state, total_pay, total_claims FROM fx_doctors")
+def snk_6(spark, d):
+    """SNK-6/SRC-7: the entity list written as CSV with a header and read back with its declared schema."""
+    from dosewise.sources import readers as RD
+    from dosewise.sources import schemas, sinks
+    path = _landing(spark, "doctors_csv")
+    sinks.write_csv(L(spark, d).doctors.select(*schemas.DOCTORS.fieldNames()), path)
+    return RD.read_dimension_csv(spark, path, schemas.DOCTORS)
+
+
+@query("snk_8_json_dump", "SELECT drug_key, npi, CAST(pay_count AS BIGINT) AS pay_count, (SELECT count(*) FROM fx_pay) AS n_written FROM fx_pay")
+def snk_8(spark, d):
+    """SNK-8: raw JSON dump with the row count observed while writing."""
+    from dosewise.sources import sinks
+    path = _landing(spark, "dump")
+    n = sinks.write_json_dump(L(spark, d).pay, path)
+    return spark.read.schema("drug_key string, npi bigint, pay_count bigint").json(path).withColumn("n_written", F.lit(n).cast("bigint"))
+
+
 @query("agg_22_exact_rollup", """
 SELECT m.drug_key, p.npi, min(p.specialty) AS specialty, CAST(sum(p.tot_clms) AS BIGINT) AS clms,
        CAST(sum(p.tot_drug_cst) AS DECIMAL(18,2)) AS drug_cst, CAST(sum(p.tot_benes) AS BIGINT) AS benes
