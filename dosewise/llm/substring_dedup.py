@@ -205,7 +205,9 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     # a run's windows that some other run has too, each with the smallest id that has it
     owners = each.join(first, ["anchor", "hash"]).where("first < owner")
     early = stored(owners.groupBy("anchor", "run").agg(F.map_from_entries(F.collect_list(F.struct("i", "first"))).alias("firsts")), "run-owners")
-    full = found.join(kinds.select("anchor", "run", "owner"), ["anchor", "run"]).join(early, ["anchor", "run"], "left")
+    # the runs' verdicts are put together first, so that their many occurrences meet one stored side
+    verdicts = stored(kinds.select("anchor", "run", "owner").join(early, ["anchor", "run"], "left"), "run-verdicts")
+    full = found.join(verdicts.hint("merge"), ["anchor", "run"])
     first_of = lambda i: F.coalesce(F.try_element_at("firsts", i), F.col("owner"))
     bits = F.aggregate(F.sequence(F.lit(0), F.col("length") - 1), F.lit(0).cast("bigint"),
                        lambda acc, i: F.when(first_of(i) < F.col("ord"), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))).otherwise(acc))
