@@ -24,13 +24,7 @@ def piece_model() -> str:
 
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Encode and decode whole texts; one row of digests per document."""
-    coded = piece_codec.decode(piece_codec.encode(id_text(docs), model_path).drop("text"), model_path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return piece_codec.digests(id_text(docs), model_path)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_compatibility_is_re_merging(codec):
     pairs += [(w[:k], w[k:]) for w in words for k in range(1, len(w)) if w[:k] in codec.right_edges and w[k:] in codec.right_edges]
     for a, b in pairs:
         if "▁▁" not in a + b and "▁" not in b:
-            assert codec.compatible(a, b) == (codec.merge(a + b) == [a, b]), (a, b)
+            assert codec.compatible((a, b)) == (codec.merge(a + b) == [a, b]), (a, b)
 
 
 def check_rows(docs, library):
