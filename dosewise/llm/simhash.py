@@ -1,6 +1,6 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, and a check of the Hamming distance.
 
-A 64-bit fingerprint is cut into ``BLOCKS`` blocks.  Fingerprints that differ
+A 64-bit fingerprint is cut into ``BLOCKS`` or more blocks.  Fingerprints that differ
 in at most ``d`` bits agree in at least ``BLOCKS - d`` of them, so they meet
 under one of the combinations of that many blocks; all that meet under a
 combination are compared and none else.
@@ -25,7 +25,8 @@ from xxhash import xxh64_intdigest
 from dosewise.llm.common import LAST_ID, per_batch, stored
 from dosewise.llm.components import components, forest
 
-BLOCKS = 6
+#: Blocks of a fingerprint for few and for ever more fingerprints; keys that so many share on average ask for one more.
+BLOCKS, MOST_BLOCKS, SHARED = 6, 12, 64
 CHUNK = 512
 SEED = 42
 
@@ -111,6 +112,12 @@ def _compare(max_bits: int):
     return run
 
 
+def block_count(n: int, max_bits: int) -> int:
+    """The fewest blocks (above ``max_bits + 1``) whose keys at most ``SHARED`` of ``n`` evenly spread fingerprints share."""
+    fits = (b for b in range(max(BLOCKS, max_bits + 1), MOST_BLOCKS) if n >> 64 * (b - max_bits) // b <= SHARED)
+    return next(fits, max(MOST_BLOCKS, max_bits + 1))
+
+
 def links(nodes: DataFrame, max_bits: int, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Edges ``a, b`` that connect exactly what links at ``max_bits`` or fewer connect.
 
@@ -137,7 +144,7 @@ def links(nodes: DataFrame, max_bits: int, blocks: int = BLOCKS, chunk: int = CH
     return per_batch(dealt, _compare(max_bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id, fp bigint, component_id, group`` of every document, and its bigint columns ``carry``.
 
     ``component_id`` is the smallest id reachable over links, the document's
@@ -150,10 +157,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     prints = stored(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first")), "fingerprint-nodes")
     # fingerprints are the graph's nodes: ids may repeat, fingerprints here do not
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, blocks))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
-    lowest = named.groupBy("group").agg(F.min("first").alias("lowest"))
-    members = stored(named.join(lowest, "group").select("fp", "group", "lowest"), "fingerprint-groups")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, blocks or block_count(nodes.count(), max_bits)))
+    # both stored before they meet: plain exchanges, so a very large group is split
+    named = stored(nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group")), "named-fingerprints")
+    lowest = stored(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest-ids")
+    members = stored(named.join(lowest.hint("merge"), "group").select("fp", "group", "lowest"), "fingerprint-groups")
     return prints.join(members, "fp").select("doc_id", "fp", *(carry or []), F.when(F.col("lowest") < LAST_ID, F.col("lowest")).alias("component_id"), "group")
 
 
