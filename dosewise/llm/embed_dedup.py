@@ -32,7 +32,8 @@ from dosewise.llm.components import components, forest
 
 SUBSPACES, CODES = 8, 256
 CHUNK = 512
-SAMPLE = 20_000
+#: Vectors that centroids and codes are fitted on: 16 for each list, at least and at most so many.
+SAMPLE, MOST_SAMPLE = 20_000, 1 << 18
 _UNIT = ("cell", "kind", "i", "j")
 
 
@@ -130,9 +131,9 @@ def _search(sent, threshold: float):
             far = np.zeros((len(q), len(y)))
             for s in range(SUBSPACES):
                 far += _distances(np.ascontiguousarray(rest[:, s]), index.codebooks[s])[:, code[:, s]]
-            # a code is off its vector by a known length: what that can add to the distance of a true neighbour, with room
+            # a code is off its vector by a known length, the most that it can add to the distance of a true neighbour
             off = rows.column("off").to_numpy()[y]
-            ok = far <= limit + off * off + 6 * 2 * math.sqrt(limit) * off / math.sqrt(index.dim) + 1e-9
+            ok = far <= (math.sqrt(limit) + off) ** 2 + 1e-9
             if inside:
                 ok &= q[:, None] < y[None, :]
             elif kind == 1:
@@ -175,14 +176,21 @@ def _search(sent, threshold: float):
     return run
 
 
-def links(nodes: DataFrame, n_nodes: int, threshold: float, margin: float, sample: int = SAMPLE, cells: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, n_nodes: int, threshold: float, sample: int | None = None, cells: int | None = None) -> DataFrame:
     """``a, n, b``: vectors that node ``a`` links to directly (``n``, copies counted), and edges ``a - b`` that connect what links connect.
 
     ``nodes``: ``node, n bigint, vector binary`` (doubles, of one dimension).
     ``cells`` is the square root of the number of nodes unless given, and at
-    most a sixteenth of the sample.
+    most a sixteenth of the sample, which grows with the lists up to
+    ``MOST_SAMPLE`` vectors.
+
+    Between two vectors that link lies every border between their lists, so
+    one of them is within half their distance of it: with that margin, one of
+    them searches the other's list.
     """
     spark = nodes.sparkSession
+    margin = math.sqrt(max(2 - 2 * threshold, 0)) / 2 + 1e-9
+    sample = sample or min(MOST_SAMPLE, max(SAMPLE, 16 * round(math.sqrt(n_nodes))))
     picked = nodes.orderBy(F.xxhash64("vector"), "node").limit(sample).select("node", "vector").toArrow()
     order = np.argsort(picked["node"].to_numpy(), kind="stable")
     x = _unit([picked["vector"][int(i)].as_py() for i in order])
@@ -206,7 +214,7 @@ def links(nodes: DataFrame, n_nodes: int, threshold: float, margin: float, sampl
     return per_batch(sorted_units, _search(sent, threshold), "a bigint, n bigint, b bigint")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float = 0.12, sample: int = SAMPLE, cells: int | None = None,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int | None = None, cells: int | None = None,
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
@@ -225,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "vector", "first", "n"), "vector-nodes")
     found = None
     for r in nodes.groupBy(F.octet_length("vector").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).collect():  # one row a dimension
-        got = links(nodes.where(F.octet_length("vector") == r["bytes"]), r["n"], threshold, margin, sample, cells)
+        got = links(nodes.where(F.octet_length("vector") == r["bytes"]), r["n"], threshold, sample, cells)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -233,8 +241,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     groups = components(found.select("a", "b"))
     named = nodes.select("node", "vector", "first", "n").join(counts, "node", "left").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    lowest = named.groupBy("group").agg(F.min("first").alias("lowest"))
-    known = stored(named.join(lowest, "group").select("vector", "lowest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "vector-groups")
+    # both stored before they meet: plain exchanges, so a very large group is split
+    named = stored(named.select("vector", "first", "n", "links", "group"), "named-vectors")
+    lowest = stored(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest-ids")
+    known = stored(named.join(lowest.hint("merge"), "group").select("vector", "lowest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "vector-groups")
     lone = F.col("lowest").isNull()
     component = F.when(lone, F.col("vec_id")).when(F.col("lowest") < LAST_ID, F.col("lowest"))
     return rows.join(known, "vector", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),

@@ -69,9 +69,18 @@ def crowd():
 
 def test_crowded_lists_and_recall(spark, crowd):
     df = spark.createDataFrame([(int(i), [float(v) for v in row], 0, "x", 1) for i, row in enumerate(crowd)], SCHEMA)
-    found, total = check(df, recall=0.97)
+    found, total = check(df, exact=True)
     assert total > 1_000_000 and found
-    assert check(df, recall=0.9, cells=200)[0]
+    check(df, exact=True, cells=200)
+
+
+@pytest.mark.parametrize(("dim", "rank"), [(3, 3), (64, 4)])
+def test_no_link_is_missed_in_few_dimensions(spark, dim, rank):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((1500, rank)) @ rng.standard_normal((rank, dim))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row], 0, "x", 1) for i, row in enumerate(x)], SCHEMA)
+    found, total = check(df, exact=True, cells=60)
+    assert total > 10_000
 
 
 def test_odd_vectors(spark):
