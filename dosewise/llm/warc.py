@@ -193,8 +193,9 @@ def verified(pieces: DataFrame) -> DataFrame:
 
 
 def _page(text: str | None) -> int | None:
+    """The number at the end of a record id of ours; null for foreign ones."""
     tail = (text or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    return int(tail) if re.fullmatch(r"-?[0-9]{1,19}", tail) and -(1 << 63) <= int(tail) < 1 << 63 else None
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean"
@@ -205,8 +206,8 @@ def _parsed(with_payload: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for content in batch.slice(at, 256).column("piece"):
-                    head, _, rest = content.as_py().partition(b"\r\n\r\n")
+                for content in batch.slice(at, 256).column("pieces"):
+                    head, _, rest = MAGIC.encode().join(content.as_py()).partition(b"\r\n\r\n")
                     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))}
                     size = _LENGTH.search(head)
                     payload = rest[: int(size[1]) if size else 0]
@@ -238,5 +239,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     whole = joined.where("at is null").select("piece")
     # a payload's pieces are put together again: a group is one record
     parts = joined.where("owner >= 0").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
-    glued = parts.select(F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["piece"], lambda acc, x: F.concat(acc, F.lit(MAGIC).cast("binary"), x["piece"])).alias("piece"))
-    return per_batch(whole.unionByName(glued), _parsed(with_payload), RECORD + ", payload binary" * with_payload)
+    # joined in the task, by one pass over the pieces
+    return per_batch(whole.select(F.array("piece").alias("pieces")).unionByName(parts.select(F.col("parts.piece").alias("pieces"))), _parsed(with_payload), RECORD + ", payload binary" * with_payload)

@@ -113,3 +113,11 @@ def test_pointer_jumping_reaches_the_chain_and_nothing_else(spark):
     edges = [("a", i, i + 3) for i in range(0, 300, 3)] + [("a", i, i + 2) for i in range(1, 50, 3)] + [("b", 0, 500)]
     got = warc.reached(spark.createDataFrame(edges, "file string, at bigint, to bigint"), spark.createDataFrame([("a", 0), ("b", 0)], "file string, at bigint"))
     assert {(r["file"], r["at"]) for r in got.collect()} == {("a", i) for i in range(0, 301, 3)} | {("b", 0), ("b", 500)}
+
+
+def test_foreign_record_ids_and_a_payload_of_many_magics(spark):
+    for text in ("<urn:page:²>", "<urn:page:--5>", "<urn:page:>", "<urn:uuid:1a>", None, "", "<urn:page:99999999999999999999>", "<urn:page:9223372036854775808>"):
+        assert warc._page(text) is None
+    assert [warc._page(f"<urn:page:{i}>") for i in (5, -5, -(1 << 63), (1 << 63) - 1)] == [5, -5, -(1 << 63), (1 << 63) - 1]
+    rows = [(1, "u", "WARC/1.1\r\n" * 20_000), (2, "u", "after")]
+    assert round_trip(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string"), files=1) == brute(rows)
