@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dosewise.plans.session import shared_dir
@@ -94,14 +94,18 @@ def per_batch(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+#: Rows of one id that a sample may hold.
+COPIES = 2
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int,
                     id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
-    """Texts of at most ``per_class`` labelled ids of either class, and each class's weight.
+    """Texts of at most ``per_class`` labelled ids of either class, at most ``COPIES`` rows of an id, and each class's weight.
 
     ``learn`` is a condition on ``doc_id``: other ids are never looked at.  The
     ids are the first in the order of a seeded hash.  Labels other than 0 and 1
-    are ignored; an id with both labels counts as 1; repeated document rows of
-    one id all count.  The weight is the number of labelled ids a sampled one
+    are ignored; an id with both labels counts as 1; of an id's rows count the
+    first in the order of the text's hash.  The weight is the number of labelled ids a sampled one
     stands for.  Returns ``(label int, text string)`` and ``{label: weight}``.
     """
     known = (labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("label"))
@@ -110,6 +114,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("label", "text")
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
+    of_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    texts = texts.withColumn("_nth", F.row_number().over(of_id)).where(F.col("_nth") <= COPIES).select("label", "text")
     weights = {v: n / min(n, per_class) for v, n in totals.items()}
     return texts, weights

