@@ -1,21 +1,24 @@
 """Language-model scoring: a hidden Markov model trained by Baum-Welch, beside a unigram base.
 
-The corpus's word counts are summed by Spark.  Every word seen at least ``OWN``
-times in training has a symbol of its own, and the model keeps its expected
-count in every state, whatever the size of the vocabulary.  Only words seen
-less often share ``CLASSES`` symbols by their ending; there a word's
-probability in a state is its class's, times the word's smoothed share of the
-class's count, so text of any vocabulary has an exact probability.
-
-Texts are coded in blocks of about ``BLOCK`` tokens.  Counts of the words of at
-least a ``1 / KNOWN`` share (at most ``KNOWN``) are broadcast; those of the
-others are a table, which is joined with the distinct words of each block and
-brought to the block's texts.
-
-Every Baum-Welch pass goes over all training text: each block runs the scaled
-forward-backward recursion over its texts and sends expected counts, which
-Spark sums by word, until a pass gains next to nothing.  Scoring is the scaled forward recursion over each whole
-text.
+The corpus's word counts are summed by Spark.  Words of at least a ``1 / KNOWN``
+share of all tokens (at most ``KNOWN``) are symbols of their own from the start;
+the others are tied to ``CLASSES`` symbols by their ending while the states are
+found.  Texts are coded once, in blocks of about ``BLOCK`` tokens, each a row of
+a stored table: an expectation step reads these rows and sends on expected
+counts of the symbols alone, so no text is shuffled.
+
+Training is incremental Baum-Welch: texts are dealt to ``SLICES`` slices by
+their hash, each slice's expected counts are kept, and the model is made anew
+from the counts of all slices after each one.  Every sweep goes over all
+training text, until a sweep gains next to nothing.  A last sweep unties the
+words: every word seen at least ``OWN`` times, however many there are, gets its
+expected count in every state, summed by Spark; only words seen less often keep
+their class's, times the word's smoothed share of the class's count, so text of
+any vocabulary has an exact probability.
+
+Scoring is the scaled forward recursion over each whole text.  The counts of a
+block's words that are not broadcast are looked up by hash parts of the
+vocabulary: a part is read once, and the blocks' questions stream by.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import itertools
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,20 +36,27 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from dosewise.llm.common import id_text, per_batch, ship, stored
 from dosewise.plans.session import shared_dir
 
-OWN, CLASSES, KNOWN = 2, 64, 1 << 17
-STATES = 8
-#: Baum-Welch ends when a pass gains less than so much natural log probability a training token.
-TOLERANCE = 0.002
+OWN, CLASSES, KNOWN = 8, 64, 1 << 15
+STATES, SLICES = 8, 24
+#: Slices taken together in the first sweep, the second, and all later ones: the model is made anew after each group.
+TOGETHER = (1, 3, 6)
+#: Baum-Welch ends when a sweep gains less than so much natural log probability a training token.
+TOLERANCE = 0.01
 END = b""
 #: Words counted in a task before they are sent on, tokens whose state probabilities are held at once, and tokens of a block.
-FLUSH, HELD, BLOCK = 300_000, 1 << 18, 1 << 21
+FLUSH, HELD, BLOCK = 300_000, 1 << 19, 1 << 20
+#: Tokens of a long text that are walked in one go.
+PIECE = 256
 ADD = 0.1
 #: Occurrences by which a word's states are drawn towards those of all tokens.
 DRAW = 1.0
+#: Bits of the set of words that may be seen ``OWN`` times: a task leaves out most others.  Words of a part of the vocabulary.
+SEEN_BITS, PART = 1 << 25, 100_000
 
 
 def words(text: str) -> list[bytes]:
@@ -84,69 +94,81 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Alphabet:
     tokens: int  # all training tokens
     types: int  # distinct ones
-    own: int  # times a word is seen that has its own symbol
+    own: int  # times a word is seen that has expected counts of its own in the end
     words: list[bytes]  # the broadcast ones
     known: dict[bytes, int]  # their places
     count: np.ndarray
-    is_own: np.ndarray
-    kind: np.ndarray  # class of each
-    class_count: np.ndarray
-    class_add: np.ndarray  # what smoothing adds to a class
+    tied_count: np.ndarray  # of each class: all words that are not broadcast
+    tied_add: np.ndarray  # what smoothing adds
+    class_count: np.ndarray  # of each class: those seen less than ``own`` times
+    class_add: np.ndarray
 
 
 def alphabet(counts: DataFrame) -> Alphabet:
     """``counts`` is a stored result of ``word_counts``.  What is collected has at most ``KNOWN + 1 + CLASSES`` rows."""
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n or 0), int(total.v)
-    rows = counts.where((F.col("n") * KNOWN >= n) | (F.col("token") == F.lit(END))).select("token", "n").toArrow()
+    common = (F.col("n") * KNOWN >= n) | (F.col("token") == F.lit(END))
+    rows = counts.where(common).select("token", "n").toArrow()
     listed = sorted(zip(rows["token"].to_pylist(), rows["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
     if END not in {t for t, _ in listed}:
         listed.append((END, 0))
-    seldom = (F.col("n") < OWN) & (F.col("token") != F.lit(END))
-    sums = {r["class"]: (r.n, r.v) for r in counts.where(seldom).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    count = np.array([c for _, c in listed], dtype=float)
-    return Alphabet(n, v, OWN, [t for t, _ in listed], {t: i for i, (t, _) in enumerate(listed)}, count,
-                    np.array([t == END or c >= OWN for t, c in listed]), np.array([word_class(t) for t, _ in listed]),
-                    np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], dtype=float),
-                    np.array([ADD * (sums.get(k, (0, 0))[1] + 1) for k in range(CLASSES)]))
+    seldom = F.when(F.col("n") < OWN, F.col("n"))
+    sums = {r["class"]: r for r in counts.where(~common).groupBy("class").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(seldom).alias("rn"), F.count(seldom).alias("rv")).collect()}
+    of = lambda c: np.array([(sums[k][c] or 0) if k in sums else 0 for k in range(CLASSES)], dtype=float)
+    return Alphabet(n, v, OWN, [t for t, _ in listed], {t: i for i, (t, _) in enumerate(listed)}, np.array([c for _, c in listed], dtype=float),
+                    of("n"), ADD * (of("v") + 1), of("rn"), ADD * (of("rv") + 1))
+
+
+CODED = "block bigint, slice int, ids array<bigint>, held array<boolean>, sizes array<int>, symbols binary, rare array<binary>, kinds binary"
 
 
 def coded(texts: DataFrame, letters: Alphabet) -> DataFrame:
-    """``block, doc_id, held_out, symbols, rare`` of ``doc_id, held_out, text``.
+    """A row per block of ``doc_id, held_out, text``: ids, whether held out, sizes and symbols of its texts, and its words that are not broadcast.
 
     A symbol is a broadcast word's place or, from their number on, a place in
-    the block's ``rare`` words, which stand in one row of the block.
+    the block's ``rare`` words, of the classes ``kinds``.  A block holds texts
+    of one slice.
     """
     sent = texts.sparkSession.sparkContext.broadcast(letters)
-    block_tokens = BLOCK
+    block_tokens, slices, classes = BLOCK, SLICES, CLASSES
+    kind = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
+                      ("symbols", pa.binary()), ("rare", pa.list_(pa.binary())), ("kinds", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value
-        end, first = a.known[END], len(a.words)
-        ids, held, symbols, rare, size, block = [], [], [], {}, 0, TaskContext.get().partitionId() << 33
+        end, first, number = a.known[END], len(a.words), itertools.count(TaskContext.get().partitionId() << 33)
+        fresh = lambda: {"ids": [], "held": [], "symbols": [], "rare": {}, "size": 0}
+        opened = [fresh() for _ in range(slices)]
 
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(symbols, pa.binary()),
-                 pa.array([list(rare), *[None] * (len(ids) - 1)], pa.list_(pa.binary()))], names=["block", "doc_id", "held_out", "symbols", "rare"])
+        def done(s):
+            o, opened[s] = opened[s], fresh()
+            row = {"block": next(number), "slice": s, "ids": o["ids"], "held": o["held"], "sizes": [len(x) for x in o["symbols"]], "symbols": np.concatenate(o["symbols"]).tobytes(),
+                   "rare": list(o["rare"]), "kinds": np.fromiter((zlib.crc32(w[-2:]) % classes for w in o["rare"]), np.uint8, len(o["rare"])).tobytes()}
+            return pa.RecordBatch.from_pylist([row], kind)
 
         for batch in batches:
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
-                ws = words(text.as_py())
-                if ids and size + len(ws) > block_tokens:
-                    yield done()
-                    ids, held, symbols, rare, size, block = [], [], [], {}, 0, block + 1
+                text = text.as_py()
+                ws, s = words(text), zlib.crc32(text.encode()) % slices
+                o = opened[s]
+                if o["ids"] and o["size"] + len(ws) > block_tokens:
+                    yield done(s)
+                    o = opened[s]
                 place = np.fromiter(map(a.known.get, ws, itertools.repeat(-1)), np.int64, len(ws))
+                rare = o["rare"]
                 for i in np.flatnonzero(place < 0).tolist():
                     place[i] = first + rare.setdefault(ws[i], len(rare))
-                symbols.append(np.append(place, end).astype("<u4").tobytes())
-                ids.append(doc_id)
-                held.append(out)
-                size += len(ws) + 1
-        if ids:
-            yield done()
+                o["symbols"].append(np.append(place, end).astype("<u4"))
+                o["ids"].append(doc_id)
+                o["held"].append(out)
+                o["size"] += len(ws) + 1
+        for s in range(slices):
+            if opened[s]["ids"]:
+                yield done(s)
 
-    return per_batch(texts, run, "block bigint, doc_id bigint, held_out boolean, symbols binary, rare array<binary>")
+    return per_batch(texts, run, CODED)
 
 
 @dataclass
@@ -167,6 +189,10 @@ class Model:
     known: np.ndarray  # broadcast words x K, probabilities
     classes: np.ndarray  # CLASSES x K, probabilities
 
+    def tied(self, real=np.float64) -> Hmm:
+        """Over broadcast words and classes."""
+        return Hmm(self.start.astype(real), self.move.astype(real), np.concatenate([self.known, self.classes]).astype(real))
+
 
 def smoothed(n: np.ndarray, add: np.ndarray | float, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Expected counts (words x K) of words seen ``n`` times, drawn towards ``share`` by ``DRAW`` occurrences; their sum is ``n + add``."""
@@ -180,207 +206,345 @@ def first_counts(names: list[bytes], n: np.ndarray, states: int) -> np.ndarray:
     return n[:, None] * deal / deal.sum(axis=1, keepdims=True)
 
 
-def from_counts(letters: Alphabet, start: np.ndarray, move: np.ndarray, known: np.ndarray, classes: np.ndarray, share: np.ndarray, rest: np.ndarray) -> Model:
-    """Probabilities from expected counts; ``rest`` is the sum of the smoothed ones of the words that are not broadcast."""
+def from_counts(letters: Alphabet, start: np.ndarray, move: np.ndarray, known: np.ndarray, classes: np.ndarray, share: np.ndarray, own: np.ndarray | None = None) -> Model:
+    """Probabilities from expected counts.  ``own`` is the sum of the smoothed ones of words with counts of their own; without it all others are tied."""
     k = len(start)
     start, move = start + 1.0 / k, move + 1.0 / k
-    known, classes = smoothed(letters.count, ADD, known, share), smoothed(letters.class_count, letters.class_add, classes, share)
-    total = known[letters.is_own].sum(axis=0) + classes.sum(axis=0) + rest
-    classes = classes / total
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), share, total,
-                 emissions(letters, letters.count, letters.is_own, letters.kind, known / total, classes), classes)
+    n, add = (letters.tied_count, letters.tied_add) if own is None else (letters.class_count, letters.class_add)
+    known, classes = smoothed(letters.count, ADD, known, share), smoothed(n, add, classes, share)
+    total = known.sum(axis=0) + classes.sum(axis=0) + (0 if own is None else own)
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), share, total, known / total, classes / total)
 
 
-def emissions(letters: Alphabet, n: np.ndarray, is_own: np.ndarray, kind: np.ndarray, own: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Words x K: ``own`` of words with a symbol of their own, the others' class's times their share of it."""
-    within = (n + ADD) / (letters.class_count + letters.class_add)[kind]
-    return np.where(is_own[:, None], own, classes[kind] * within[:, None])
+class _Pieces:
+    """Texts cut into pieces of at most ``PIECE`` tokens, which can be walked side by side."""
 
+    def __init__(self, texts: list[np.ndarray]):
+        self.flat = np.concatenate(texts).astype(np.int64)
+        sizes = np.array([len(t) for t in texts])
+        n = -(-sizes // PIECE)
+        self.text = np.repeat(np.arange(len(texts)), n)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
+        self.at = np.repeat(np.cumsum(sizes) - sizes, n) + nth * PIECE
+        self.size = np.minimum(PIECE, np.repeat(sizes, n) - nth * PIECE)
+        self.first, self.last, self.nth = nth == 0, nth == np.repeat(n, n) - 1, nth
 
-def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
-    """Places of texts of like length, longest first, of at most ``HELD`` tokens together (or one text)."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    group, total = [], 0
-    for i in order:
-        if group and total + len(texts[i]) > HELD:
-            yield group
-            group, total = [], 0
-        group.append(i)
-        total += len(texts[i])
-    if group:
-        yield group
+    def groups(self, some: np.ndarray) -> Iterator[np.ndarray]:
+        """``some`` pieces, longest first, in groups of at most ``HELD`` tokens (or one piece)."""
+        some = some[np.argsort(-self.size[some], kind="stable")]
+        cut = np.cumsum(self.size[some]) // HELD
+        return iter(np.split(some, np.flatnonzero(np.diff(cut)) + 1)) if len(some) else iter(())
 
+    def steps(self, group: np.ndarray) -> list[int]:
+        """How many pieces of a group are longer than ``t``, for each ``t``."""
+        size = self.size[group]
+        return np.searchsorted(-size, -np.arange(size[0])).tolist()
 
-class _Walk:
-    """Texts of a group, longest first, walked in step: ``symbols(t)`` of those longer than ``t``."""
+    def symbols(self, group: np.ndarray, t: int, n: int) -> np.ndarray:
+        return self.flat[self.at[group[:n]] + t]
 
-    def __init__(self, texts: list[np.ndarray]):
-        self.flat = np.concatenate(texts).astype(np.int64)
-        sizes = np.array([len(t) for t in texts])
-        self.at = np.cumsum(sizes) - sizes
-        self.steps = int(sizes[0])
-        self.active = np.searchsorted(-sizes, -np.arange(self.steps + 1)).tolist()  # texts longer than t
 
-    def symbols(self, t: int) -> np.ndarray:
-        return self.flat[self.at[: self.active[t]] + t]
+def _borders(model: Hmm, p: _Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities before each piece given what came before, and, up to a factor, of all that follows it given the state at its end.
 
-    def forward(self, model: Hmm, t: int, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        new = (model.start if alpha is None else alpha[: self.active[t]] @ model.move) * model.emit[self.symbols(t)]
-        scale = new.sum(axis=1)
-        new /= scale[:, None]
-        return new, scale
+    A piece is a product of matrices, one a token; the products of all pieces
+    but the first ones are formed side by side, then applied in order.
+    """
+    k, real = len(model.start), model.emit.dtype
+    before, after = np.zeros((len(p.size), k), real), np.ones((len(p.size), k), real)
+    if p.first.all():
+        return before, after
+    ends, products = np.zeros((len(p.size), k), real), np.zeros((len(p.size), k, k), real)
+    for group in p.groups(np.flatnonzero(p.first & ~p.last)):
+        ends[group] = _forward(model, p, group, before)[0][-1]  # all of one length
+    for group in p.groups(np.flatnonzero(~p.first)):
+        q = np.broadcast_to(np.eye(k, dtype=real), (len(group), k, k)).copy()
+        for t, n in enumerate(p.steps(group)):
+            new = (q[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[p.symbols(group, t, n)][:, None, :]
+            q[:n] = new / new.sum(axis=(1, 2))[:, None, None]
+        products[group] = q
+    for j in range(1, int(p.nth.max()) + 1):
+        here = np.flatnonzero(p.nth == j)
+        before[here] = ends[here - 1]
+        new = np.einsum("ij,ijk->ik", before[here], products[here])
+        ends[here] = new / new.sum(axis=1, keepdims=True)
+    for j in range(int(p.nth.max()), 0, -1):
+        here = np.flatnonzero(p.nth == j)
+        new = np.einsum("ijk,ik->ij", products[here], after[here])
+        after[here - 1] = new / new.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def _forward(model: Hmm, p: _Pieces, group: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Scaled forward probabilities and scales of each step."""
+    alphas, scales = [], []
+    alpha = None
+    for t, n in enumerate(p.steps(group)):
+        prior = np.where(p.first[group][:, None], model.start, before[group] @ model.move) if alpha is None else alpha[:n] @ model.move
+        alpha = prior * model.emit[p.symbols(group, t, n)]
+        scale = alpha.sum(axis=1)
+        alpha /= scale[:, None]
+        alphas.append(alpha)
+        scales.append(scale)
+    return alphas, scales
 
 
 def log_likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each text's symbols, by the scaled forward recursion."""
-    out = np.zeros(len(texts))
-    for group in _groups(texts):
-        walk = _Walk([texts[i] for i in group])
-        total, alpha = np.zeros(len(group)), None
-        for t in range(walk.steps):
-            alpha, scale = walk.forward(model, t, alpha)
-            total[: len(scale)] += np.log(scale)
-        out[group] = total
+    p, out = _Pieces(texts), np.zeros(len(texts))
+    before, _ = _borders(model, p)
+    for group in p.groups(np.arange(len(p.size))):
+        for scale in _forward(model, p, group, before)[1]:
+            out += np.bincount(p.text[group[: len(scale)]], np.log(scale), len(texts))
     return out
 
 
-def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the natural log probability of all texts.
+def expected_counts(model: Hmm, texts: list[np.ndarray], n_symbols: int, also: tuple[list[np.ndarray], int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """Expected counts of starts, moves and emissions, the natural log probability of all texts, and expected counts of other marks.
 
-    Long texts are walked in blocks of at most ``HELD`` tokens: the forward
-    pass keeps the state at each block's start, and the backward pass computes
-    one block's states again at a time, so memory stays bounded.
+    ``also``: for each text a mark of every token (-1: none), and their number.
+    Long texts are walked in pieces, between borders that are found first, so
+    any length takes ``PIECE`` steps and memory for ``HELD`` tokens.
     """
     k = len(model.start)
     start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0
-    for group in _groups(texts):
-        walk = _Walk([texts[i] for i in group])
-        block = max(1, HELD // len(group))
-        heads, alpha = [], None
-        for t in range(walk.steps - 1 if walk.steps > block else 0):
-            if t % block == 0:
-                heads.append(alpha)
-            alpha, _ = walk.forward(model, t, alpha)
-        if walk.steps <= block or (walk.steps - 1) % block == 0:
-            heads.append(alpha)
-        later = np.empty((0, k))  # emission times beta over scale, of the step after
-        for b in range(len(heads) - 1, -1, -1):
-            alpha, alphas, scales = heads[b], [], []
-            span = range(b * block, min((b + 1) * block, walk.steps))
-            for t in span:
-                alpha, scale = walk.forward(model, t, alpha)
-                alphas.append(alpha)
-                scales.append(scale)
-                log += np.log(scale).sum()
-            gammas = []
-            for t in reversed(span):
-                a = alphas[t - span.start]
-                beta = np.ones_like(a)
-                if len(later):
-                    beta[: len(later)] = later @ model.move.T
-                    move += a[: len(later)].T @ later
-                gamma = a * beta
-                gammas.append(gamma)
-                later = model.emit[walk.symbols(t)] * beta / scales[t - span.start][:, None]
-            if b == 0:
-                start += gammas[-1].sum(axis=0)
-            gamma, symbols = np.concatenate(gammas), np.concatenate([walk.symbols(t) for t in reversed(span)])
+    extra = np.zeros((also[1] if also else 0, k))
+    p = _Pieces(texts)
+    marks = np.concatenate(also[0]) if also else None
+    before, after = _borders(model, p)
+    for group in p.groups(np.arange(len(p.size))):
+        alphas, scales = _forward(model, p, group, before)
+        log += sum(float(np.log(c).sum()) for c in scales)
+        gammas, places, later = [], [], np.empty((0, k), model.emit.dtype)  # later: emission times beta over scale, of the step after
+        for t in range(len(alphas) - 1, -1, -1):
+            a, n = alphas[t], len(later)
+            beta = np.empty_like(a)
+            beta[:n] = later @ model.move.T
+            move += a[:n].T @ later
+            end = after[group[n : len(a)]]
+            beta[n:] = end / (a[n:] * end).sum(axis=1, keepdims=True)
+            gamma = a * beta
+            gammas.append(gamma)
+            places.append(p.at[group[: len(a)]] + t)
+            later = model.emit[p.flat[places[-1]]] * beta / scales[t][:, None]
+        opening = p.first[group]
+        start += gammas[-1][opening].sum(axis=0)
+        move += before[group[~opening]].T @ later[~opening]
+        gamma, at = np.concatenate(gammas), np.concatenate(places)
+        symbols = p.flat[at]
+        for s in range(k):
+            emit[:, s] += np.bincount(symbols, gamma[:, s], n_symbols)
+        if also:
+            some = marks[at] >= 0
             for s in range(k):
-                emit[:, s] += np.bincount(symbols, gamma[:, s], n_symbols)
-    return start, move * model.move, emit, float(log)
+                extra[:, s] += np.bincount(marks[at][some], gamma[some, s], also[1])
+    return start, move * model.move, emit, float(log), extra
+
+
+def _tied(row: dict, n_known: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Symbols of a block's rows with words that are not broadcast as their classes, and the texts that are not held out."""
+    symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
+    kinds = np.frombuffer(row["kinds"], np.uint8).astype(np.int64)
+    rare = symbols >= n_known
+    tied = symbols.copy()
+    tied[rare] = n_known + kinds[symbols[rare] - n_known]
+    ends = np.cumsum(row["sizes"])
+    return symbols, [tied[e - n : e] for e, n, out in zip(ends, row["sizes"], row["held"]) if not out]
+
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-def _texts(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u4") for b in column.to_pylist()]
 
+_SUMS = "at int, token binary, {}"
 
-def _by_block(rows: DataFrame, pairs: DataFrame, table: DataFrame | None, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``work(rows, rare words)`` of each block; ``table`` has ``token, e``: expected counts of all words that have them."""
-    ship(rows.sparkSession)
-    if table is None:
-        words = pairs.withColumn("e", F.lit(None).cast("array<float>"))
-    else:
-        words = pairs.where(F.col("n") >= OWN).join(table, "token").unionByName(pairs.where(F.col("n") < OWN).withColumn("e", F.lit(None).cast("array<float>")))
-    return rows.groupBy("block").cogroup(words.select("block", "place", "token", "n", "e").groupBy("block")).applyInArrow(work, schema)
 
+def _expect(blocks: DataFrame, letters: Alphabet, model: Model, seen: np.ndarray | None = None) -> DataFrame:
+    """``at, token, s0...``: expected counts of the training texts of ``blocks``, summed by symbol.
 
-def _block(letters: Alphabet, model: Model, rare: pa.Table, started: bool) -> tuple[Hmm, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The model over a block's symbols; its rare words, their counts, which have a symbol, and their classes."""
-    rare = rare.sort_by("place")
-    names, n = rare["token"].to_pylist(), rare["n"].to_numpy().astype(float)
-    is_own, kind = n >= letters.own, np.array([word_class(w) for w in names], dtype=np.int64)
-    k, counts = len(model.start), np.zeros((len(names), len(model.start)))
-    if is_own.any():
-        counts[is_own] = (rare["e"].combine_chunks().drop_null().flatten().to_numpy().reshape(-1, k) if started
-                          else first_counts([w for w, o in zip(names, is_own) if o], n[is_own], k))
-    own = smoothed(n, ADD, counts, model.share) / model.total
-    emit = np.concatenate([model.known, emissions(letters, n, is_own, kind, own, model.classes)])
-    return Hmm(model.start, model.move, emit), names, n, is_own, kind
+    ``at`` numbers broadcast words, classes, moves, the starts and, last, the
+    log probability.  With ``seen`` (bits of word hashes) also those of each
+    word whose bit is set (``at`` -1).
+    """
+    spark, k = blocks.sparkSession, len(model.start)
+    sums = [f"s{i}" for i in range(k)]
+    n_known, n_symbols, flush = len(letters.words), len(letters.words) + CLASSES, FLUSH
+    sent = spark.sparkContext.broadcast((model, seen))
+    kinds = pa.schema([("at", pa.int32()), ("token", pa.binary()), *((c, pa.float64()) for c in sums)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, bits = sent.value
+        hmm, fixed, own = m.tied(np.float32), np.zeros((n_symbols + k + 2, k)), {}  # sums are doubles
+
+        def listed(at, tokens, values):
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(tokens, pa.binary()), *(pa.array(values[:, i]) for i in range(k))], schema=kinds)
+
+        def of_words():
+            out = listed(np.full(len(own), -1), list(own), np.stack(list(own.values())))
+            own.clear()
+            return out
+
+        for row in _rows(batches):
+            symbols, texts = _tied(row, n_known)
+            if not texts:
+                continue
+            wide = None
+            if bits is not None:
+                # places of the words that may be seen often, as symbols beyond the tied ones
+                names = row["rare"]
+                h = np.fromiter((xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)) % np.uint64(SEEN_BITS)
+                kept = np.flatnonzero(bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1)
+                place = np.full(len(names), -1, np.int64)
+                place[kept] = np.arange(len(kept))
+                ends = np.cumsum(row["sizes"])
+                wide = [symbols[e - n : e] for e, n, out in zip(ends, row["sizes"], row["held"]) if not out]
+                wide = ([np.where(w >= n_known, place[np.maximum(w - n_known, 0)], -1) if len(names) else np.full(len(w), -1) for w in wide], len(kept))
+            start, move, emit, log, extra = expected_counts(hmm, texts, n_symbols, wide)
+            fixed += np.concatenate([emit, move, start[None], np.full((1, k), log)])
+            if wide is not None:
+                for i, e in zip(kept.tolist(), extra):
+                    w = names[i]
+                    own[w] = own[w] + e if w in own else e
+                if len(own) > flush:
+                    yield of_words()
+        if own:
+            yield of_words()
+        at = np.flatnonzero(fixed.any(axis=1))
+        yield listed(at, [None] * len(at), fixed[at])
+
+    cols = ["sizes", "held", "symbols", "kinds"] + (["rare"] if seen is not None else [])
+    return per_batch(blocks.select(*cols), run, _SUMS.format(", ".join(f"{c} double" for c in sums))).groupBy("at", "token").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def _fixed(summed: DataFrame, n: int, k: int) -> np.ndarray:
+    """The expected counts that stay on the driver: at most a row for each broadcast word, class and state."""
+    got = summed.where("at >= 0").drop("token").toArrow()
+    out = np.zeros((n, k))
+    out[got["at"].to_numpy()] = np.stack([got[f"s{i}"].to_numpy() for i in range(k)], axis=1)
+    return out
 
 
 def _untrained(letters: Alphabet, states: int) -> Model:
-    share = np.full(states, 1.0 / states)
-    rest = letters.tokens - letters.count[letters.is_own].sum() - letters.class_count.sum()
     return from_counts(letters, np.ones(states), np.random.default_rng(11).random((states, states)) + 4 * np.eye(states), first_counts(letters.words, letters.count, states),
-                       first_counts([b"class %d" % c for c in range(CLASSES)], letters.class_count, states), share, rest * share)
+                       first_counts([b"class %d" % c for c in range(CLASSES)], letters.tied_count, states), np.full(states, 1.0 / states))
+
+
+def _model_of(letters: Alphabet, fixed: np.ndarray, states: int) -> Model:
+    n = len(letters.words)
+    known, classes, move, start = fixed[:n], fixed[n : n + CLASSES], fixed[n + CLASSES : -2], fixed[-2]
+    share = known.sum(axis=0) + classes.sum(axis=0)
+    return from_counts(letters, start, move, known, classes, share / share.sum())
 
 
-def train(training: DataFrame, pairs: DataFrame, letters: Alphabet, states: int = STATES, passes: int | None = None) -> tuple[Model, DataFrame | None]:
-    """Baum-Welch over ``block, symbols`` of all training texts and ``block, place, token, n`` of the blocks' rare words.
+def train(blocks: DataFrame, letters: Alphabet, states: int = STATES, passes: int | None = None) -> tuple[Model, list[float]]:
+    """Incremental Baum-Welch over the coded blocks, words that are not broadcast tied by class.
 
-    The start is seeded by hashes of the words.  Passes end when the gain is
-    below ``TOLERANCE``, or after ``passes`` if that is given.
-    Returns the model and the table ``token, e`` of the words that are not
-    broadcast (none before the first pass).
+    The start is seeded by hashes of the words.  The expected counts of each
+    group of slices take the place of its earlier ones, and the model is made
+    from all.  Sweeps end when the gain is below ``TOLERANCE``, or after
+    ``passes`` if that is given.  Returns the model and each sweep's log
+    probability a token.
     """
-    spark, model, table = training.sparkSession, _untrained(letters, states), None
-    sent_letters, folder = spark.sparkContext.broadcast(letters), f"{shared_dir(spark, 'llm')}/expected-{uuid.uuid4().hex}"
-    n_known, sums = len(letters.words), [f"s{i}" for i in range(states)]
-    schema = ", ".join(["at int", "token binary", "n bigint", *(f"{c} double" for c in sums)])
-    kinds = pa.schema([("at", pa.int32()), ("token", pa.binary()), ("n", pa.int64()), *((c, pa.float64()) for c in sums)])
-    last = -np.inf
-    for done in itertools.count():
-        if done == passes or not letters.tokens:
+    model, logs = _untrained(letters, states), []
+    n = len(letters.words) + CLASSES + states + 2
+    kept = [np.zeros((n, states))] * SLICES
+    while letters.tokens and len(logs) != passes:
+        step = TOGETHER[min(len(logs), len(TOGETHER) - 1)]
+        for first in range(0, SLICES, step):
+            group = range(first, min(first + step, SLICES))
+            for s in group:
+                kept[s] = np.zeros((n, states))
+            kept[first] = _fixed(_expect(blocks.where(F.col("slice").isin(list(group))), letters, model), n, states)
+            total = sum(kept)
+            if total[:-1].any():
+                model = _model_of(letters, total, states)
+        logs.append(float(sum(x[-1, 0] for x in kept)) / letters.tokens)
+        if passes is None and len(logs) > 1 and logs[-1] - logs[-2] < TOLERANCE:
             break
-        sent, started = spark.sparkContext.broadcast(model), done > 0
-
-        def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
-            if not rows.num_rows:
-                return kinds.empty_table()
-            a, m = sent_letters.value, sent.value
-            hmm, names, n, is_own, kind = _block(a, m, rare, started)
-            start, move, emit, log = expected_counts(hmm, _texts(rows["symbols"]), len(hmm.emit))
-            known, own = emit[:n_known], np.flatnonzero(is_own)
-            classes = np.zeros((CLASSES, states))
-            np.add.at(classes, a.kind[~a.is_own], known[~a.is_own])
-            np.add.at(classes, kind[~is_own], emit[n_known:][~is_own])
-            # rare words, then broadcast ones, classes, moves, starts and the log probability
-            fixed = np.concatenate([known, classes, move, start[None], np.full((1, states), log)])
-            at = np.flatnonzero(fixed.any(axis=1))
-            values = np.concatenate([emit[n_known:][own], fixed[at]])
-            return pa.table([pa.array(np.concatenate([np.full(len(own), -1), at]), pa.int32()), pa.array([*(names[i] for i in own.tolist()), *[None] * len(at)], pa.binary()),
-                             pa.array(np.concatenate([n[own], np.zeros(len(at))]).astype(np.int64)), *(pa.array(values[:, s]) for s in range(states))], schema=kinds)
-
-        (_by_block(training, pairs, table, run, schema).groupBy("at", "token").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
-         .write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}-{done % 2}"))
-        summed = spark.read.schema(schema).parquet(f"{folder}-{done % 2}")
-        got = summed.where("at >= 0").select("at", *sums).toArrow()
-        fixed = np.zeros((n_known + CLASSES + states + 2, states))
-        fixed[got["at"].to_numpy()] = np.stack([got[c].to_numpy() for c in sums], axis=1)
-        known, classes, move, start = fixed[:n_known], fixed[n_known : n_known + CLASSES], fixed[n_known + CLASSES : -2], fixed[-2]
-        drawn = F.lit(DRAW) / (F.col("n") + DRAW)
-        rest = summed.where("at < 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * drawn), *(F.sum(c) for c in sums), *(F.sum(F.col(c) * (1 - drawn)) for c in sums)).first()
-        rest = np.array([x or 0 for x in rest], dtype=float)
-        share = known[letters.is_own].sum(axis=0) + classes.sum(axis=0) + rest[2 : 2 + states]
-        share = share / share.sum()
-        model = from_counts(letters, start, move, known, classes, share, rest[2 + states :] + (rest[1] + ADD * rest[0]) * share)
-        sent.destroy()
-        spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of the pass
-        table = summed.where("at < 0").select("token", F.array(*(F.col(c).cast("float") for c in sums)).alias("e"))
-        gain, last = fixed[-1, 0] - last, fixed[-1, 0]
-        if passes is None and gain < TOLERANCE * letters.tokens:
-            break
-    return model, table
+    return model, logs
+
+
+def untied(blocks: DataFrame, counts: DataFrame, letters: Alphabet, model: Model) -> tuple[Model, DataFrame]:
+    """One more pass: the model with words seen ``OWN`` times or more untied, and their table ``token, n, e``."""
+    k, n_known = len(model.start), len(letters.words)
+    common = (F.col("n") * KNOWN >= letters.tokens) | (F.col("token") == F.lit(END))
+    often = counts.where((F.col("n") >= OWN) & ~common).select("token", "n", "class")
+    bit = F.pmod(F.xxhash64("token"), F.lit(SEEN_BITS))  # SEEN_BITS is a power of two: the same for signed and unsigned hashes
+    rows = often.select(bit.alias("b")).groupBy((F.col("b") / 8).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 8).cast("int"))).alias("bits")).toArrow()
+    seen = np.zeros(SEEN_BITS // 8, np.uint8)
+    seen[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
+    summed = stored(_expect(blocks, letters, model, seen), "expected")
+    fixed = _fixed(summed, n_known + CLASSES + k + 2, k)
+    sums = [F.col(f"s{i}") for i in range(k)]
+    own = stored(often.join(summed.where("at < 0").drop("at"), "token").select("token", "n", "class", F.array(*sums).alias("e")), "own-words")
+    drawn = F.lit(DRAW) / (F.col("n") + DRAW)
+    each = [F.col("e")[i] for i in range(k)]
+    got = own.groupBy("class").agg(F.count(F.lit(1)).alias("v"), F.sum(F.col("n") * drawn).alias("d"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(each)),
+                                   *(F.sum(c * (1 - drawn)).alias(f"r{i}") for i, c in enumerate(each))).collect()
+    known, classes, move, start = fixed[:n_known], fixed[n_known : n_known + CLASSES].copy(), fixed[n_known + CLASSES : -2], fixed[-2]
+    share = known.sum(axis=0) + classes.sum(axis=0)
+    share = share / share.sum()
+    rest = np.zeros(k)
+    for r in got:
+        classes[r["class"]] -= [r[f"s{i}"] for i in range(k)]
+        rest += np.array([r[f"r{i}"] for i in range(k)]) + (r["d"] + ADD * r["v"]) * share
+    return from_counts(letters, start, move, known, np.maximum(classes, 0), share, rest), own.select("token", "n", "e")
+
+
+# -- scoring ----------------------------------------------------------------
+
+def _questions(parts: int):
+    """The words of each block that are not broadcast, by part of the vocabulary, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            names = row["rare"]
+            part = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % parts
+            order = np.argsort(part, kind="stable")
+            which, first = np.unique(part[order], return_index=True)
+            asked = [[names[i] for i in group] for group in np.split(order, first[1:])] if len(names) else []
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.ones(len(which)), pa.int32()), pa.array([row["block"]] * len(which), pa.int64()),
+                                              pa.array(asked, pa.list_(pa.binary())), pa.array([None] * len(which), pa.int64()), pa.array([None] * len(which), pa.list_(pa.float64()))],
+                                             names=["part", "side", "block", "words", "n", "e"])
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each question's words, and expected counts of those that have them.  A part's words come first."""
+    now, count, own = None, {}, {}
+    for batch in batches:
+        blocks, parts, ns, places, es = [], [], [], [], []
+        for part, side, block, asked, n, e in zip(*(batch.column(c) for c in ("part", "side", "block", "words", "n", "e"))):
+            if part.as_py() != now:
+                now, count, own = part.as_py(), {}, {}
+            if not side.as_py():
+                word = asked.as_py()[0]
+                count[word] = n.as_py()
+                if e.is_valid:
+                    own[word] = np.asarray(e.values)
+                continue
+            names = asked.as_py()
+            have = [i for i, w in enumerate(names) if w in own]
+            blocks.append(block)
+            parts.append(now)
+            ns.append(np.fromiter((count.get(w, 0) for w in names), np.int64, len(names)).tobytes())
+            places.append(np.array(have, np.int32).tobytes())
+            es.append(np.concatenate([own[names[i]] for i in have]).astype(np.float32).tobytes() if have else b"")
+        yield pa.RecordBatch.from_arrays([pa.array([b.as_py() for b in blocks], pa.int64()), pa.array(parts, pa.int32()), pa.array(ns, pa.binary()), pa.array(places, pa.binary()), pa.array(es, pa.binary())],
+                                         names=["block", "part", "ns", "places", "es"])
+
+
+def looked_up(blocks: DataFrame, counts: DataFrame, own: DataFrame, parts: int) -> DataFrame:
+    """``block, part, ns, places, es`` for each block's words that are not broadcast."""
+    asked = per_batch(blocks.select("block", "rare"), _questions(parts), "part int, side int, block bigint, words array<binary>, n bigint, e array<double>")
+    part = (F.crc32("token") % parts).cast("int")
+    # merged: the table of words seen often is larger than it looks in its file
+    words_of = counts.join(own.select("token", "e").hint("merge"), "token", "left").select(part.alias("part"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("block"), F.array("token").alias("words"), "n", "e")
+    dealt = words_of.unionByName(asked).repartition("part").sortWithinPartitions("part", "side")
+    return per_batch(dealt, _answers, "block bigint, part int, ns binary, places binary, es binary")
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int | None = None) -> DataFrame:
@@ -393,28 +557,48 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     has one token.  Without training text nothing is known, every token's base
     probability is 1 and the model is its untrained start.
     """
-    rows = id_text(docs, id_col, text_col)
+    rows, spark = id_text(docs, id_col, text_col), docs.sparkSession
     counts = stored(word_counts(rows.where(train_on)), "word-counts")
     letters = alphabet(counts)
-    coded_rows = stored(coded(rows.select("doc_id", (~train_on).alias("held_out"), "text"), letters), "coded")
-    rare = coded_rows.where("rare is not null").select("block", F.posexplode("rare").alias("place", "token"))
-    seldom = counts.where(F.col("n") * KNOWN < F.lit(letters.tokens)).select("token", "n")
-    # merged: the planner takes the exploded side for as small as the file it comes from
-    pairs = stored(rare.hint("merge").join(seldom, "token", "left").select("block", "place", "token", F.coalesce("n", F.lit(0)).alias("n")), "block-words")
-    model, table = train(coded_rows.where("not held_out").select("block", "symbols"), pairs, letters, states, passes)
-    spark = docs.sparkSession
-    sent_letters, sent, started = spark.sparkContext.broadcast(letters), spark.sparkContext.broadcast(model), table is not None
+    path = f"{shared_dir(spark, 'llm')}/coded-{uuid.uuid4().hex}"
+    made = coded(rows.select("doc_id", (~train_on).alias("held_out"), "text"), letters)
+    made.write.partitionBy("slice").option("compression", "zstd").option("maxRecordsPerFile", 8).parquet(path)
+    blocks = spark.read.schema(made.schema).parquet(path)
+    model, _ = train(blocks, letters, states, passes)
+    model, own = untied(blocks, counts, letters, model) if letters.tokens else (model, spark.createDataFrame([], "token binary, n bigint, e array<double>"))
+    parts = max(64, letters.types // PART, blocks.count() // 4)
+    answers = looked_up(blocks, counts, own, parts)
+    sent = spark.sparkContext.broadcast((letters, model))
     log_total = float(np.log10(letters.tokens + ADD * (letters.types + 1)))
 
-    def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
-        hmm, _, n, _, _ = _block(sent_letters.value, sent.value, rare, started)
-        texts = _texts(rows["symbols"])
-        n = np.concatenate([sent_letters.value.count, n])
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        a, m = sent.value
+        row, n_known, k = rows.to_pylist()[0], len(a.words), len(m.start)
+        kinds = np.frombuffer(row["kinds"], np.uint8).astype(np.int64)
+        # the answers in the order of the block's words
+        part = np.fromiter(map(zlib.crc32, row["rare"]), np.int64, len(row["rare"])) % parts
+        order, n, emit = np.argsort(part, kind="stable"), np.zeros(len(part), np.int64), np.zeros((len(part), k))
+        at = 0
+        for got in sorted(answers.to_pylist(), key=lambda r: r["part"]):
+            ns = np.frombuffer(got["ns"], np.int64)
+            here = order[at : at + len(ns)]
+            n[here] = ns
+            emit[here[np.frombuffer(got["places"], np.int32)]] = np.frombuffer(got["es"], np.float32).reshape(-1, k)
+            at += len(ns)
+        untied_words = emit.any(axis=1)
+        emit = smoothed(n.astype(float), ADD, emit, m.share) / m.total
+        seldom = ~untied_words
+        add = (a.class_count + a.class_add) if a.tokens else (a.tied_count + a.tied_add)
+        emit[seldom] = m.classes[kinds[seldom]] * ((n[seldom] + ADD) / add[kinds[seldom]])[:, None]
+        hmm = Hmm(m.start, m.move, np.concatenate([m.known, emit]))
+        symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
+        texts = [symbols[e - s : e] for e, s in zip(np.cumsum(row["sizes"]), row["sizes"])]
+        n = np.concatenate([a.count, n])
         logs = np.log10(n + ADD) - log_total
-        return pa.table([rows["doc_id"], rows["held_out"], pa.array([len(t) for t in texts], pa.int64()), pa.array([int((n[t] > 0).sum()) for t in texts], pa.int64()),
-                         pa.array([letters_tokens] * len(texts), pa.int64()), pa.array([float(logs[t].sum()) for t in texts], pa.float64()),
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array([len(t) for t in texts], pa.int64()), pa.array([int((n[t] > 0).sum()) for t in texts], pa.int64()),
+                         pa.array([a.tokens] * len(texts), pa.int64()), pa.array([float(logs[t].sum()) for t in texts], pa.float64()),
                          pa.array(log_likelihoods(hmm, texts) / np.log(10), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    letters_tokens = letters.tokens
-    return _by_block(coded_rows.select("block", "doc_id", "held_out", "symbols"), pairs, table, run,
-                     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    ship(spark)
+    return blocks.drop("slice").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -1,6 +1,7 @@
 """Trained operators: recursions against enumeration, held-out accuracy, odd documents."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -29,9 +30,11 @@ def paths(model, text):
         yield path, p
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 256])
 @pytest.mark.parametrize("held", [4, 7, 1 << 18])
-def test_recursions_equal_enumeration(monkeypatch, held):
+def test_recursions_equal_enumeration(monkeypatch, held, piece):
     monkeypatch.setattr(hmm_lm, "HELD", held)
+    monkeypatch.setattr(hmm_lm, "PIECE", piece)
     rng = np.random.default_rng(held)
     model = random_model(rng)
     texts = [rng.integers(0, 5, n) for n in (1, 5, 2, 7, 7, 3, 8, 1)]
@@ -94,9 +97,9 @@ def test_scores_of_odd_documents(spark, odd_docs, no_docs):
     assert (alone["held_out"], alone["n_tokens"], alone["n_known"], alone["train_tokens"], alone["base_score"]) == (True, 1, 0, 0, 0.0)
 
 
-@pytest.mark.parametrize("known", [64, 1 << 17])
+@pytest.mark.parametrize("known", [512, 1 << 17])
 def test_rare_words_have_states_of_their_own(spark, monkeypatch, known):
-    """Two words of one ending, seen ten times each in 44,000 tokens, each among the words of one topic."""
+    """Two words of one ending, seen ten times each in 44,000 tokens, each among the words of one topic; tied at first where they are not broadcast."""
     monkeypatch.setattr(hmm_lm, "KNOWN", known)
     rng = np.random.default_rng(5)
     text = lambda topic, more: " ".join(f"{topic}{i}" if i < 40 else more for i in rng.permutation([*rng.integers(0, 40, 109), 40]))
@@ -116,7 +119,9 @@ def test_passes_go_on_until_nothing_is_gained_however_rows_are_split(spark, monk
     scores = lambda df, **kw: {r["doc_id"]: r["score"] for r in hmm_lm.score(df, F.lit(True), states=3, **kw).collect()}
     one, five, two_passes = scores(docs.coalesce(1)), scores(docs.repartition(5, "text")), scores(docs, passes=2)
     assert five == pytest.approx(one, rel=1e-4)
-    assert sum(one.values()) > sum(two_passes.values()) + 900
+    # near what the source itself gives its texts: one of twenty words at a time, then one end of thirteen tokens
+    source = -900 * (12 * np.log10(20 * 13 / 12) + np.log10(13))
+    assert 1.04 * source < sum(one.values()) < source and sum(one.values()) > sum(two_passes.values())
     monkeypatch.setattr(hmm_lm, "TOLERANCE", 100.0)
     assert scores(docs) == pytest.approx(two_passes, rel=1e-4)
 
@@ -173,3 +178,68 @@ def test_blocked_votes_equal_plain_votes():
         best = np.argsort(-sims)[:5]
         w = np.clip(sims[best], 0, None) ** 3 * votes[best]
         assert got == pytest.approx((w * labels[best]).sum() / w.sum(), abs=1e-4)
+
+
+# -- toxicity against a plain version ---------------------------------------
+
+def plain_grams(text):
+    """The n-grams of a text as a set, hashed one by one."""
+    import re
+    text = re.sub("[\t-\r]", " ", f" {text.lower()} ")
+    base, mix, out = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, set()
+    for n in toxicity.ORDERS:
+        for k in range(len(text) - n + 1):
+            h = ord(text[k])
+            for c in text[k + 1 : k + n]:
+                h = (h * base + ord(c)) & (1 << 64) - 1
+            out.add((((h ^ h >> 29) * mix + n) & (1 << 64) - 1) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_is_the_plain_log_count_ratio_model(spark):
+    rnd = random.Random(4)
+    voc = {0: ["fine", "day", "café", "sun", "tree"], 1: ["vile", "day", "nasty", "sun", "scum"]}
+    rows = [(i, " ".join(rnd.choices(voc[i % 3 == 0], k=rnd.randrange(1, 9)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows if i % 4], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, learn=F.col("doc_id") != 7, n_features=150, least_z=0.0)
+    known = [(plain_grams(t), int(i % 3 == 0)) for i, t in rows if i % 4 and i != 7]
+    n = [sum(y == v for _, y in known) for v in (0, 1)]
+    z = {}
+    for g in set().union(*(s for s, _ in known)):
+        held = [sum(g in s for s, y in known if y == v) for v in (0, 1)]
+        p = [(held[v] + 1) / (n[v] + 2) for v in (0, 1)]
+        z[g] = (abs(p[1] - p[0]) / sum(p[v] * (1 - p[v]) / n[v] for v in (0, 1)) ** 0.5, np.log(p[1] / p[0]))
+    best = sorted(sorted(z, key=lambda g: (-z[g][0], g))[:150])
+    assert len(best) == 150 and set(np.flatnonzero(model.weights)) <= set(best)
+    ratio = np.array([z[g][1] for g in best])
+    x = np.array([[g in s for g in best] for s, _ in known], float) * ratio
+    y = np.array([v for _, v in known], float)
+    each = np.array([1 / n[v] for _, v in known]) / 2
+    # the weights are a minimum of the weighted loss: its gradient is nearly zero, and the loss is far below that of no weights
+    w = np.divide(model.weights[best], ratio, out=np.zeros(150), where=ratio != 0)
+    bias = model.bias - 0.5 * np.log(n[1] / n[0])
+    at = x @ w + bias
+    loss = (each * (np.logaddexp(0, at) - y * at)).sum()
+    assert loss < 0.1 and np.abs(x.T @ (each * (1 / (1 + np.exp(-np.clip(at, -700, 700))) - y))).max() < 0.02
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in rows:
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-(sum(float(model.weights[g]) for g in plain_grams(t)) + model.bias))), rel=1e-5)
+
+
+def test_ngrams_of_a_long_text_in_pieces(monkeypatch):
+    text = "".join(random.Random(1).choices("abcde \n\U0001f600é", k=3000))
+    whole = toxicity.ngrams(text)
+    assert set(whole.tolist()) == plain_grams(text)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert np.array_equal(toxicity.ngrams(text), whole)
+    assert not len(toxicity.ngrams("")) and len(toxicity.ngrams("a")) == 1
+
+
+def test_a_sample_is_bounded_though_an_id_has_many_rows(spark):
+    from dosewise.llm.common import COPIES, labelled_sample
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "x") for i in range(2, 20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    texts, _ = labelled_sample(docs, labels, "quality", F.lit(True), 50)
+    assert texts.count() == COPIES + 18
