@@ -6,8 +6,8 @@ gram, and carry the name and what results are ordered by.  A name that
 contains the query contains all of its grams, so a search reads the folder of
 the query's rarest gram alone, where Parquet's statistics skip other grams,
 and checks the names it finds there; details of the few results are fetched by
-key.  Many searches at once are one join of their rarest grams with the
-postings.
+key.  Many searches at once are one join of the different texts' rarest grams
+with the different names of those grams.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dosewise.operators import search as S
+from dosewise.operators.util import stored
 
 SIZES = (2, 3)
-POSTING = ["npi", "name", "low", "total_claims"]
 
 
 def grams(low: Column) -> Column:
@@ -61,9 +61,9 @@ class NameIndex:
         """Index ``npi, name, total_claims``; a gram of very many names is written by as many tasks as its size needs."""
         spark, low = entities.sparkSession, F.lower(F.coalesce("name", F.lit("")))
         index = cls(spark, path, folders)
-        rows = entities.select("npi", "name", low.alias("low"), F.col("total_claims").cast("bigint").alias("total_claims"), F.explode(grams(low)).alias("gram"))
-        rows = rows.select("gram", *POSTING, index._folder(F.col("gram")).alias("folder"))
-        even = spark.sql("SELECT /*+ REBALANCE(folder) */ * FROM {rows}", rows=rows)
+        rows = entities.select("npi", "name", F.col("total_claims").cast("bigint").alias("total_claims"), F.explode(grams(low)).alias("gram"))
+        rows = rows.withColumn("folder", index._folder(F.col("gram")))
+        even = spark.sql("SELECT /*+ REBALANCE(folder) */ * FROM {rows}", rows=rows).select("gram", "npi", "name", low.alias("low"), "total_claims", "folder")
         even.sortWithinPartitions("folder", "gram", "npi").write.mode("errorifexists").partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
         index.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).sort("gram").write.option("compression", "zstd").parquet(f"{path}/frequencies")
         return index
@@ -111,15 +111,28 @@ class NameIndex:
     def find_many(self, queries: DataFrame, limit: int = 25) -> DataFrame:
         """``q_id, q, n_hits, rank, npi, name, total_claims``: the first hits of each query (``q_id`` unique, ``q`` of two characters or more) in ``find``'s order.
 
-        A query meets the names of its rarest gram alone; hits are ranked with a
-        limit in every task before they are shuffled.
+        Different texts meet different names: a text asked many times is looked
+        up once, in the names of its rarest gram, and a name of many entities
+        is checked once and stands for their number and their first ``limit``.
+        A name has few pieces, so hits of texts in names grow with the names,
+        however many entities share them or queries ask for them.
         """
         low = F.lower("q")
-        asked = queries.select("q_id", "q", low.alias("ql"), F.explode(F.filter(grams(low), lambda g: F.length(g) == F.least(F.length(low), F.lit(max(SIZES))))).alias("gram"))
+        # in the end rows are put together by q_id: dealt by it here
+        queries = queries.where(F.col("q_id").isNotNull()).select("q_id", "q", low.alias("ql")).repartition("q_id").distinct()
+        asked = queries.select("ql").distinct().withColumn("gram", F.explode(F.filter(grams(F.col("ql")), lambda g: F.length(g) == F.least(F.length("ql"), F.lit(max(SIZES))))))
         seen = asked.join(self.frequencies, "gram", "left")
-        rarest = seen.groupBy("q_id", "q", "ql").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("q_id", "q", "ql", F.col("r.gram").alias("gram"))
-        met = rarest.withColumn("folder", self._folder(F.col("gram"))).join(self.postings, ["folder", "gram"]).where(F.expr("instr(low, ql) > 0"))
-        counted = met.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_hits"))
-        w = Window.partitionBy("q_id").orderBy(F.desc("total_claims"), "npi")
-        first = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-        return first.join(counted, "q_id").select("q_id", "q", "n_hits", "rank", "npi", "name", "total_claims")
+        rarest = seen.groupBy("ql").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("ql", F.col("r.gram").alias("gram"))
+        rarest = stored(rarest.withColumn("folder", self._folder(F.col("gram"))), "asked")
+        names = self.postings.join(rarest.select("folder", "gram").distinct(), ["folder", "gram"], "left_semi").groupBy("folder", "gram", "low").agg(F.count(F.lit(1)).alias("n"))
+        pairs = stored(rarest.join(names, ["folder", "gram"]).where(F.expr("instr(low, ql) > 0")).select("ql", "low", "n"), "pairs")
+        # of an entity's postings, the one of its name's first gram
+        entities = self.postings.where(F.col("gram") == F.substring("low", 1, min(SIZES))).select("low", "npi", "name", "total_claims")
+        order = [F.desc("total_claims"), F.col("npi")]
+        first = entities.withColumn("nth", F.row_number().over(Window.partitionBy("low").orderBy(*order))).where(F.col("nth") <= limit)
+        best = pairs.select("ql", "low").join(first, "low").withColumn("nth", F.row_number().over(Window.partitionBy("ql").orderBy(*order))).where(F.col("nth") <= limit)
+        hits = best.groupBy("ql").agg(F.collect_list(F.struct("npi", "name", "total_claims")).alias("best")).join(pairs.groupBy("ql").agg(F.sum("n").alias("n")), "ql")
+        of_id = Window.partitionBy("q_id")
+        met = queries.join(stored(hits, "hits"), "ql").withColumn("n_hits", F.sum("n").over(of_id))
+        met = met.select("q_id", "q", "n_hits", F.inline("best")).withColumn("rank", F.row_number().over(of_id.orderBy(*order)))
+        return met.where(F.col("rank") <= limit).select("q_id", "q", "n_hits", "rank", "npi", "name", "total_claims")

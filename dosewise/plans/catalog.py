@@ -679,14 +679,18 @@ def api_3(spark, d):
 
 
 def _name_index(spark, d):
+    """The entities, computed once, and their index."""
     from dosewise.operators.name_index import NameIndex
-    return NameIndex.build(L(spark, d).doctors, _landing(spark, "names"), folders=16)
+    from dosewise.operators.util import stored
+    names = stored(L(spark, d).doctors, "doctors")
+    return names, NameIndex.build(names, _landing(spark, "names"), folders=16)
 
 
 @query("api_4_search_indexed", _search_sql("ol"))
 def api_4_indexed(spark, d):
     """API-4 by the gram index: one folder of postings is read."""
-    return _name_index(spark, d).search(L(spark, d).doctors, "ol", 20)
+    names, index = _name_index(spark, d)
+    return index.search(names, "ol", 20)
 
 
 @query("api_3_find_many_indexed", """
@@ -697,9 +701,9 @@ SELECT q_id, q, n_hits, rank, npi, name, total_claims FROM (
 WHERE rank <= 5""")
 def api_3_many(spark, d):
     """API-3 for a piece of every entity's name at once, by the gram index."""
-    names = L(spark, d).doctors
+    names, index = _name_index(spark, d)
     q = F.substring("name", (2 + F.col("npi") % 3).cast("int"), (2 + F.col("npi") % 5).cast("int"))
-    return _name_index(spark, d).find_many(names.select(F.col("npi").alias("q_id"), q.alias("q")).where(F.length("q") >= 2), 5)
+    return index.find_many(names.select(F.col("npi").alias("q_id"), q.alias("q")).where(F.length("q") >= 2), 5)
 
 
 @query("flt_15_clustered_profile", """

@@ -69,3 +69,34 @@ def test_a_lookup_reads_few_rows(spark, tmp_dir):
         leaves = plan.collectLeaves()
         read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
         assert len(rows) == n and read < 20_000, read
+
+
+def _nodes(plan):
+    """All operators of an executed plan, those of its stages too."""
+    kind = plan.getClass().getSimpleName()
+    yield plan
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _nodes(plan.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from _nodes(plan.plan())
+    else:
+        for i in range(plan.children().size()):
+            yield from _nodes(plan.children().apply(i))
+
+
+def test_shared_names_are_met_once(spark, tmp_dir):
+    """Every entity's name is asked for, most names are shared: what is met grows with the names, not with their square."""
+    n, names = 600, ["Ann Lee", "ann lee", "Annabel O'Hara", "aaaa"]
+    people = spark.range(n).selectExpr("id AS npi", f"element_at(array({', '.join(repr(x) if chr(39) not in x else chr(34) + x + chr(34) for x in names)}), CAST(id % 4 + 1 AS INT)) AS name",
+                                       "CAST(NULL AS DECIMAL(18,2)) AS total_pay", "IF(id % 50 = 0, NULL, id % 7) AS total_claims").cache()
+    queries = people.selectExpr("npi AS q_id", "substr(name, CAST(1 + npi % 3 AS INT), CAST(2 + npi % 5 AS INT)) AS q")
+    index = NameIndex.build(people, os.path.join(tmp_dir, "shared"), folders=4)
+    got = index.find_many(queries, 3)
+    rows = sorted(tuple(r) for r in got.collect())
+    people.createOrReplaceTempView("shared_people")
+    queries.createOrReplaceTempView("shared_queries")
+    want = spark.sql("""SELECT * FROM (SELECT q_id, q, count(*) OVER (PARTITION BY q_id) AS n_hits, row_number() OVER (PARTITION BY q_id ORDER BY total_claims DESC, npi) AS rank, npi, name, total_claims
+                        FROM shared_queries JOIN shared_people ON instr(lower(name), lower(q)) > 0) WHERE rank <= 3""")
+    assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) == 3 * n
+    met = max(p.metrics().apply("numOutputRows").value() for p in _nodes(got._jdf.queryExecution().executedPlan()) if p.metrics().contains("numOutputRows"))
+    assert met <= 30 * n, met
