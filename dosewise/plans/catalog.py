@@ -713,11 +713,15 @@ LEFT JOIN (SELECT npi, count(DISTINCT manufacturer) AS n_manufacturers FROM fx_m
 WHERE npi = (SELECT max(npi) FROM fx_dd)""")
 def flt_15(spark, d):
     """FLT-15/API-7: one entity's page from read models clustered by id; each scan reads the row groups of that id alone."""
+    from dosewise.operators.util import stored
     from dosewise.sources import sinks
     x, paths = L(spark, d), {n: _landing(spark, n) for n in ("doctors", "dd", "mfr")}
+    # both read models come from the two rollups, computed once
+    claims, pays = stored(x.claims, "claims"), stored(x.pays, "pays")
+    models = {"doctors": R.entities(claims, pays, x.identities, x.pay_identities), "dd": P.entity_drug(claims, pays), "mfr": x.mfr}
     for n, path in paths.items():
-        sinks.write_clustered(getattr(x, n), path, "npi")
-    npi = x.dd.agg(F.max("npi")).first()[0]
+        sinks.write_clustered(models[n], path, "npi")
+    npi = spark.read.schema(x.dd.schema).parquet(paths["dd"]).agg(F.max("npi")).first()[0]
     one = {n: spark.read.schema(getattr(x, n).schema).parquet(path).where(F.col("npi") == (0 if npi is None else npi)) for n, path in paths.items()}
     drugs = one["dd"].groupBy("npi").agg(F.count(F.lit(1)).alias("n_drugs"), F.sum("claims").cast("bigint").alias("claims"), F.sum("pay_amount").cast("decimal(18,2)").alias("pay_amount"))
     makers = one["mfr"].groupBy("npi").agg(F.count_distinct("manufacturer").alias("n_manufacturers"))

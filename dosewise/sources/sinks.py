@@ -37,6 +37,12 @@ def replace_partition(df: DataFrame, path: str, column: str = "yr") -> None:
          .partitionBy(column).parquet(path))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` stored: ranges are found from a sample first, so what is ranged is read twice and should be computed once."""
+    from dosewise.operators.util import stored
+    return stored(df, "ranged")
+
+
 def write_scoped(df: DataFrame, path: str, keys=("drug_key", "npi"), partitions: int | None = None) -> None:
     """SNK-4: the grain tables laid out for key skipping: one folder per
     ``drug_key`` (partition pruning), rows sorted by ``npi`` inside (Parquet
@@ -46,7 +52,7 @@ def write_scoped(df: DataFrame, path: str, keys=("drug_key", "npi"), partitions:
     tasks instead of sending it to one, and each task writes few folders.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    (_once(df).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
        .write.mode("overwrite").partitionBy(keys[0]).parquet(path))
 
 
@@ -55,6 +61,7 @@ def write_clustered(df: DataFrame, path: str, key: str, partitions: int | None =
     it, rows sorted by it, in row groups of ``group_bytes`` with page indexes
     and a Bloom filter, so that a filter on one key reads a row group or two of
     one file.  Without ``partitions``, AQE sizes the files."""
+    df = _once(df)
     ranged = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
     (ranged.sortWithinPartitions(key).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_bytes)
            .option(f"parquet.bloom.filter.enabled#{key}", True).option(f"parquet.bloom.filter.expected.ndv#{key}", expected_keys).parquet(path))

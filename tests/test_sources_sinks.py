@@ -196,3 +196,22 @@ def test_a_year_is_written_by_as_many_tasks_as_its_size_needs(spark, tmp_dir):
     sinks.replace_partition(df.where("yr = 2024").limit(10), out)  # one year again: the others stay
     assert spark.read.parquet(out).groupBy("yr").count().where("yr = 2024").first()["count"] == 10
     assert spark.read.parquet(out).where("yr <> 2024").count() == 10_000
+
+
+def _counted(spark, n):
+    """``n`` rows and a counter of how often they were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def count(i):
+        seen.add(1)
+        return i
+
+    return spark.range(n).select(count("id").alias("npi"), F.lit("Small").alias("drug_key")), seen
+
+
+def test_ranged_rows_are_computed_once(spark, tmp_dir):
+    for i, write in enumerate((lambda df, out: sinks.write_clustered(df, out, "npi", partitions=3), sinks.write_scoped)):
+        df, seen = _counted(spark, 1000)
+        write(df, os.path.join(tmp_dir, f"ranged-{i}"))
+        assert seen.value == 1000 and spark.read.parquet(os.path.join(tmp_dir, f"ranged-{i}")).count() == 1000
