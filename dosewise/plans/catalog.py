@@ -1058,9 +1058,17 @@ def src_5(spark, d):
     return RD.read_prescribing_json(spark, path, year=2020, lines=True).select(*schemas.PARTD_RAW.fieldNames())
 
 
-def _page(h, n: int):
-    """A landing file is one page of an API: some two thousand rows, however many pages that are."""
-    return F.pmod(h, F.lit(max(1, n // 2000)))
+def _write_pages(rows, one, path: str) -> None:
+    """Land ``one`` of each row in JSON arrays.  A file is one page of an API: some two thousand rows, however many pages that are.
+
+    The rows are computed once, then dealt to their pages in one shuffle; each
+    array is a file of its own beside the others, so no page needs a folder.
+    """
+    from dosewise.operators.util import stored
+    rows = stored(rows, "pages")
+    page = F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 2000))).alias("page")
+    arrays = rows.select(page, one.alias("one")).groupBy("page").agg(F.to_json(F.collect_list("one")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 @query("src_5_prescribing_json_arrays", "SELECT npi, specialty, brnd_name, gnrc_name, tot_clms, tot_benes, tot_drug_cst, 2021 AS yr FROM fx_partd_raw")
@@ -1070,10 +1078,8 @@ def src_5_arrays(spark, d):
     from dosewise.sources import schemas
     path = _landing(spark, "partd_2021_arrays")
     one = F.struct(*(F.col(n).cast("string").alias(h) for h, n in schemas.PARTD_HEADERS.items()))
-    p = L(spark, d).partd
-    paged = p.withColumn("page", _page(F.xxhash64(*p.columns), p.count()))
-    paged.groupBy("page").agg(F.to_json(F.collect_list(one)).alias("value")).repartition("page").write.partitionBy("page").text(path)
-    return RD.read_prescribing_json(spark, f"{path}/page=*", year=2021).select(*schemas.PARTD_RAW.fieldNames())
+    _write_pages(L(spark, d).partd, one, path)
+    return RD.read_prescribing_json(spark, path, year=2021).select(*schemas.PARTD_RAW.fieldNames())
 
 
 @query("src_6_payments_json", """
@@ -1084,10 +1090,8 @@ def src_6(spark, d):
     from dosewise.sources import schemas
     path = _landing(spark, "payments_json")
     one = F.struct(*(F.nullif(F.col(n).cast("string"), F.lit("")).alias(h.lower()) for h, n in schemas.PAYMENTS_HEADERS.items()))
-    p = L(spark, d).payments
-    paged = p.withColumn("page", _page(F.xxhash64(*p.columns), p.count()))
-    paged.groupBy("page").agg(F.to_json(F.collect_list(one)).alias("value")).repartition("page").write.partitionBy("page").text(path)
-    return RD.read_payments_json(spark, f"{path}/page=*").select(*schemas.PAYMENTS_RAW.fieldNames())
+    _write_pages(L(spark, d).payments, one, path)
+    return RD.read_payments_json(spark, path).select(*schemas.PAYMENTS_RAW.fieldNames())
 
 
 @query("snk_1_append", "SELECT drug_key, npi, specialty, clms, drug_cst, benes FROM fx_rx")

@@ -215,3 +215,15 @@ def test_ranged_rows_are_computed_once(spark, tmp_dir):
         df, seen = _counted(spark, 1000)
         write(df, os.path.join(tmp_dir, f"ranged-{i}"))
         assert seen.value == 1000 and spark.read.parquet(os.path.join(tmp_dir, f"ranged-{i}")).count() == 1000
+
+
+def test_pages_are_computed_once_and_lie_beside_each_other(spark, tmp_dir):
+    from dosewise.plans.catalog import _write_pages
+    df, seen = _counted(spark, 9000)
+    out = os.path.join(tmp_dir, "pages")
+    _write_pages(df, F.struct("npi"), out)
+    files = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert seen.value == 9000 and len(files) == 4 and all(os.path.isfile(os.path.join(out, f)) for f in files)
+    assert sorted(r.npi for r in spark.read.schema("npi bigint").option("multiLine", True).json(out).collect()) == list(range(9000))
+    _write_pages(df.limit(0), F.struct("npi"), out + "-none")
+    assert spark.read.schema("npi bigint").option("multiLine", True).json(out + "-none").count() == 0
