@@ -30,8 +30,11 @@ def replace_partition(df: DataFrame, path: str, column: str = "yr") -> None:
 
     Dynamic partition overwrite, set for this write.  Rows are rebalanced by
     the value: from the sizes seen in the shuffle, small values share a task
-    and a value of many advisory partition sizes is written by that many.
+    and a value of many advisory partition sizes is written by that many, as
+    far as ``df`` has partitions: a value is split along them.  They are
+    observed, since the optimizer would drop a ``repartition`` right below.
     """
+    df = df.observe(Observation(), F.count(F.lit(1)).alias("n"))
     even = df.sparkSession.sql(f"SELECT /*+ REBALANCE(`{column}`) */ * FROM {{df}}", df=df)
     (even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(column).parquet(path))
