@@ -1,5 +1,6 @@
 """Trained operators: recursions against enumeration, held-out accuracy, odd documents."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -126,6 +127,36 @@ def test_passes_go_on_until_nothing_is_gained_however_rows_are_split(spark, monk
     assert scores(docs) == pytest.approx(two_passes, rel=1e-4)
 
 
+def test_a_book_lists_its_words_once_whatever_slices_its_texts_are_in(spark):
+    """Before, every slice of a task listed its words anew, so that words sent and answered grew with the slices."""
+    rows = [(i, i % 10 == 0, f"the w{i} w{i % 7} \x1codd\x0b\x85 Été") for i in range(300)] + [(None, False, ""), (1, None, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string").coalesce(1)
+    counts = hmm_lm.word_counts(docs).collect()
+    seen = collections.Counter(w for _, _, x in rows for w in [*hmm_lm.words(x), b""])
+    assert {(bytes(r["token"]), r["n"], r["class"]) for r in counts} == {(w, n, hmm_lm.word_class(w)) for w, n in seen.items()}
+    none = np.zeros(hmm_lm.CLASSES)
+    letters = hmm_lm.Alphabet(1, 2, 8, [b"the", b""], {b"the": 0, b"": 1}, np.ones(2), none, none, none, none)
+    (book,) = hmm_lm.coded(docs, letters).collect()
+    rare = hmm_lm._parted(book["rare"])
+    assert len(rare) == len(set(rare)) and set(rare) == set(seen) - {b"the", b""}
+    assert hmm_lm._unpacked(book["kinds"], "u1").tolist() == [hmm_lm.word_class(w) for w in rare]
+    symbols, sizes = hmm_lm._coded_texts(book.asDict(), [*hmm_lm.SLICED, "out"], 1)
+    texts = [b" ".join([b"the", b"", *rare][i] for i in x[:-1]) for x in np.split(symbols, np.cumsum(sizes)[:-1])]
+    got = sorted(zip(book["ids"], book["held"], texts), key=str)
+    assert got == sorted([(i, out, b" ".join(hmm_lm.words(x))) for i, out, x in rows], key=str)
+
+
+def test_scores_do_not_depend_on_books(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{j}" for j in rng.zipf(1.4, 60) % 500)) for i in range(400)], "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(hmm_lm, "KNOWN", 256)
+    whole = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in hmm_lm.score(docs, F.col("doc_id") % 10 != 0, passes=2).collect()}
+    for name, n in (("BOOK", 500), ("SPLIT", 700), ("FLUSH", 50)):
+        monkeypatch.setattr(hmm_lm, name, n)
+    for r in hmm_lm.score(docs, F.col("doc_id") % 10 != 0, passes=2).collect():
+        assert (r["score"], r["base_score"], r["n_known"]) == pytest.approx(whole[r["doc_id"]], rel=1e-5)
+
+
 # -- classifiers ------------------------------------------------------------
 
 def held_out(spark, module, label, n, held):
