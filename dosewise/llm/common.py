@@ -59,15 +59,17 @@ def term_lists(text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int = 0, **options: str) -> DataFrame:
     """Write ``df`` once into the session's shared folder and read it back; wide rows in files of ``rows_per_file``.
 
+    ``options``: of Spark's Parquet writer.
+
     Cuts lineage; survives executor loss; the planner then knows the real
     size, so its own size-checked broadcast rule applies to what is read back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Index searches against brute force: no false links, recall, components."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dosewise.llm import embed_dedup
@@ -83,6 +84,58 @@ def test_no_link_is_missed_in_few_dimensions(spark, dim, rank):
     assert total > 10_000
 
 
+def test_vectors_are_not_copied_for_the_lists_they_search(spark, tmp_path, monkeypatch):
+    """Isotropic vectors are near the borders of very many lists; what is stored and shuffled stays within a few times the vectors."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 64)).astype("<f4")
+    near = x[:300] + 0.02 * rng.standard_normal((300, 64)).astype("<f4")
+    df = spark.createDataFrame([(int(i), [float(v) for v in row], 0, "x", 1) for i, row in enumerate(np.concatenate([x, near]))], SCHEMA)
+    df.write.parquet(str(tmp_path / "embeddings"))
+    monkeypatch.setattr("dosewise.llm.common.shared_dir", lambda *_: str(tmp_path / "shared"))
+    found, total = check(spark.read.parquet(str(tmp_path / "embeddings")), exact=True, cells=80)
+    assert found == total > 0
+    used = sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*.parquet"))
+    assert used < 2 * 6300 * 64 * 4
+
+
+def test_several_blocks_a_file_and_doubles(spark, crowd, monkeypatch):
+    for name, value in (("LEAST_BLOCK", 64), ("MOST_BLOCK", 256), ("TOGETHER", 3)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    rows = [(None if i % 97 == 0 else int(i) % 3000, [float(v) for v in row], 0, "x", 1) for i, row in enumerate(crowd)]
+    rows += [(50_000 + i, [1.0 + i * 1e-12, *([0.5] * 23)], 0, "x", 1) for i in range(40)]  # equal as floats
+    check(spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>")), exact=True, cells=9)
+
+
+def test_codes_by_tables_and_decoded_agree():
+    rng = np.random.default_rng(2)
+    x = embed_dedup._unit(rng.standard_normal((4000, 20)) + 3 * rng.standard_normal((1, 20)))
+    index = embed_dedup.train(x[:1500], 1)
+    codes = np.zeros((len(x), embed_dedup.SUBSPACES), np.uint8)
+    part = {"cell": np.zeros(len(x), "<i4"), "node": np.arange(len(x)), "n": np.ones(len(x), "<i8"), "vector": x.astype("<f4"), "code": codes, "off": np.full(len(x), 0.1, "<f4")}
+    a = embed_dedup._Members({k: v.tobytes() for k, v in part.items()}, index, 0.3, True)
+    a.code = rng.integers(0, embed_dedup.CODES, codes.shape).astype(np.uint8)
+    a.decoded = index.single[a.cell] + np.concatenate([index.books[s][a.code[:, s]] for s in range(embed_dedup.SUBSPACES)], axis=1)
+    a.need = np.einsum("ij,ij->i", a.decoded, a.unit).astype("<f4")
+    every = np.arange(len(x))
+    by_tables = embed_dedup._near_codes(a, every, a.unit[:64], index)
+    decoded = np.concatenate([embed_dedup._near_codes(a, part, a.unit[:64], index) for part in np.split(every, 4)])
+    away = np.abs(a.decoded @ a.unit[:64].T - a.need[:, None]) > index.slack
+    assert 0.1 < by_tables.mean() < 0.9 and (by_tables == decoded)[away].all()
+
+
+def test_two_vectors_of_one_node_differ_in_the_check(monkeypatch):
+    real = embed_dedup._digests
+
+    def same_node(raw, dim, salt):
+        out = real(raw, dim, salt).copy()
+        out[:, 0] = 7
+        return out
+
+    monkeypatch.setattr(embed_dedup, "_digests", same_node)
+    named = list(embed_dedup._named(0)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[1.0, 0.0], [0.0, 1.0]])], names=["vec_id", "v"])])))
+    assert named[0].column("node").to_pylist() == [7, 7] and len(set(named[0].column("check").to_pylist())) == 2
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [3.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]),
